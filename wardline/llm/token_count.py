@@ -23,9 +23,9 @@ from tokenizers import Tokenizer
 from wardline.llm.common import text_of
 
 #: Words kept in a worker's memo, and the length up to which a word is kept.
-MEMO_WORDS, MEMO_LENGTH = 300_000, 48
+MEMO_WORDS, MEMO_LENGTH = 100_000, 48
 #: Texts of about this many bytes are handled at a time.
-SLICE_BYTES = 32_000_000
+SLICE_BYTES = 8_000_000
 #: Below this code point `regex` and the tokenizer agree on letters, digits and white space (tested);
 #: pieces with others are left to the tokenizer.
 AGREED = chr(0x530)
