@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a table that may be broadcast after they have been counted.
-BROADCAST_ROWS = 50_000
+#: Rows and bytes of a table that may be broadcast after they have been counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 32_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,9 +33,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a written table for broadcast if a count proves that it is small; otherwise leave the join to the planner."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Mark a written table for broadcast if counting its rows (and the bytes that `weight` gives for
+    each) proves that it is small; otherwise leave the join to the planner."""
+    of = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(weight if weight is not None else F.lit(100)), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if of.n <= BROADCAST_ROWS and of.bytes <= BROADCAST_BYTES else df
 
 
 def partitions(spark: SparkSession) -> int:
