@@ -29,7 +29,7 @@ from wardline.llm.token_count import sliced
 BANDS, ROWS = 32, 6
 #: Bits of an odd sketch; a pair is dropped unread only if its estimate is this far under the threshold
 #: (over five standard errors of the sample).
-SKETCH_BITS, SLACK = 512, 0.15
+SKETCH_BITS, SLACK = 1024, 0.18
 
 _RANDOM = np.random.default_rng(20)
 _A = (_RANDOM.integers(0, 2**32, BANDS * ROWS, np.uint32) | np.uint32(1))[:, None]
