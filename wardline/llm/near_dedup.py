@@ -3,11 +3,11 @@
 1. Each text becomes its set of distinct word shingles; a MinHash sample of it gives band keys, and the
    sample folded into a parity bitmap (an odd sketch) gives a close estimate of high similarities.
 2. Equal sets form a class; from here on only classes are compared.
-3. In every band bucket all classes are compared with one leader, the class with the fewest shingles of
-   its own. Sketches drop what is clearly different, the full sets decide, links are contracted.
-4. A class of which too many shingles occur in no other candidate can't have a link (proof by
-   counting). What then still shares a bucket without sharing a component is compared pair by pair, so
-   that no bucket is capped and yet no group of copies is expanded.
+3. In every band bucket all classes are compared with one leader, the class that shares most buckets
+   with others. Sketches drop what is clearly different, the full sets decide, links are contracted.
+4. What then still shares a bucket without sharing a component goes through an exact prefix filter over
+   the rarest shingles, and its pairs through sketches and full sets, so that no bucket is capped and
+   yet no group of copies is expanded.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import cut, text_of
+from wardline.llm.common import cut, small, text_of
 from wardline.llm.graph import components
 from wardline.llm.shingles import mixed, shingle_sets
 from wardline.llm.token_count import sliced
@@ -125,11 +125,34 @@ def _linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int
     near = near.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
     differing = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = cut(near.where(estimate(differing) >= percent / 100 - SLACK).select("a", "b").distinct(), "near")
-    full = near.join(of(sets, "a", "shingles"), "a").join(of(sets, "b", "shingles"), "b")
+    # where the pairs are few only the sets they name move
+    first = of(sets, "a", "shingles").join(small(near), "a")
+    named = small(cut(near.select("b").distinct(), "named"))
+    full = first.join(of(sets, "b", "shingles").join(named, "b", "left_semi"), "b")
     common = F.size(F.array_intersect("a_shingles", "b_shingles"))
     return full.where(100 * common >= percent * (F.size("a_shingles") + F.size("b_shingles") - common)).select("a", "b").distinct()
 
 
+def _rest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the nodes (node, label) of different labels that can pass at all.
+
+    A prefix filter: with shingles in one order, rare ones first, two sets that pass share one of the
+    first n - ceil(percent n / 100) + 1 of each. The first one they share, at places i and j, leaves room
+    for at most min(m - i, n - j) common shingles, which must reach the overlap that the two sizes ask
+    for; that drops pairs that share only what everybody has. Shingles of one label aren't joined."""
+    each = sets.join(rest, "node").select("node", "label", "n", F.explode("shingles").alias("s"))
+    counts = each.groupBy("s").agg(F.count("*").alias("c"))
+    size = (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).cast("int")
+    ranked = each.join(counts, "s").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("order"))
+    prefix = cut(ranked.select("node", "label", "n", F.posexplode(F.slice("order", F.lit(1), size)).alias("i", "x")).select("node", "label", (F.col("n") - F.col("i")).alias("room"), "n", "x.s"), "prefix")
+    shared = prefix.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("s")
+    some = cut(prefix.join(shared, "s", "left_semi"), "prefix")
+    of = lambda *names: some.select("s", *(F.col(c).alias(n) for c, n in zip(("node", "label", "n", "room"), names, strict=True)))
+    pairs = of("a", "x", "m", "k").join(of("b", "y", "n", "l"), "s").where("a < b and x <> y")
+    pairs = pairs.where((100 + percent) * F.least("k", "l") >= percent * (F.col("m") + F.col("n")))
+    return pairs.select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, row (a hash of key and text) for every row of `docs`.
 
@@ -146,34 +169,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str
     first = all_.join(classes.select("hi", "lo", "n", "row", "node"), ["hi", "lo", "n", "row"])
     sketches = first.select("node", "n", "sketch")
     banded = first.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("band")
+    shared = banded.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("c")).where("x <> y").select("band", "c")
     members = cut(banded.join(shared, "band").distinct(), "members")
     nodes = members.select("node").distinct()
-    wanted = cut(classes.join(nodes, "node").select("row", "node", "hi", "lo"), "wanted")
+    wanted = small(cut(classes.join(nodes, "node").select("row", "node", "hi", "lo"), "wanted"))
     sets = cut(_sets(docs, wanted, width, key, text), "sets")
-    sketches = cut(sketches.join(wanted.select("node"), "node", "left_semi"), "sketches")
-
-    own = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node"))
-    own = own.where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
-    known = cut(sketches.select("node", "n").distinct().join(own, "node", "left").select("node", (100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n")).alias("open"), F.floor(1000 * F.coalesce("own", F.lit(0)) / F.col("n")).alias("apart")), "known")
+    sketches = cut(sketches.join(small(cut(nodes, "nodes")), "node", "left_semi"), "sketches")
 
-    open_ = cut(members.join(known.where("open"), "node").select("band", "node", "apart"), "open")
-    rank = F.col("apart").cast("decimal(38,0)") * shift
-    leaders = open_.withColumn("rank", (rank + F.col("node")).cast("decimal(38,0)")).groupBy("band").agg((F.min("rank") % shift).cast("long").alias("a"))
-    stars = open_.join(leaders, "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    # the class that meets most others in its buckets leads them: in a group of edited copies, the original
+    central = members.groupBy("node").agg(F.sum("c").alias("central"))
+    rank = F.col("central").cast("decimal(38,0)") * shift + (_SHIFTED - 1 - F.col("node"))
+    leaders = members.join(central, "node").withColumn("rank", rank.cast("decimal(38,0)")).groupBy("band").agg((_SHIFTED - 1 - (F.max("rank") % shift).cast("long")).alias("a"))
+    stars = members.join(leaders, "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     links = cut(_linked(stars, sketches, sets, percent), "links")
     labels = components(links)
 
-    named = cut(open_.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "named")
+    named = cut(members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "named")
     mixed_ = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    rest = cut(named.join(mixed_, "band"), "rest")
-    # in a bucket only classes outside the largest label need to meet all others
-    sizes = rest.groupBy("band", "label").agg(F.count("*").alias("c"))
-    top = sizes.groupBy("band").agg(F.max(F.col("c").cast("decimal(38,0)") * shift + F.col("label")).alias("t"))
-    top = top.select("band", (F.col("t") % shift).cast("long").alias("top"))
-    few = rest.join(top, "band").where("label <> top").select("band", F.col("node").alias("a"), F.col("label").alias("x"))
-    more = few.join(rest.select("band", F.col("node").alias("b"), F.col("label").alias("y")), "band").where("x <> y")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = small(cut(named.join(mixed_, "band", "left_semi").select("node", "label").distinct(), "rest"))
+    more = _rest(rest, sets, percent)
     late = cut(_linked(more, sketches, sets, percent), "links")
     if not late.isEmpty():
         labels = components(links.union(late))
