@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import cut, small
+from wardline.llm.common import cut
 from wardline.llm.repeats import place, rows_of, without
 
 #: Pieces of a span; words of a piece at most, so that 51 words are three pieces at least; characters a
@@ -42,7 +42,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     all_ = spans(docs, key, text).withColumn("place", place("s"))
     twice = all_.groupBy("h", "g").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("h", "g", "first")
-    twice = small(cut(twice, "spans"))
+    twice = cut(twice, "spans")
     gone = all_.join(twice, ["h", "g"]).where("place <> first").select("id", "mark", "s", (F.col("s") + SPAN - 1).alias("e"))
     out = without(docs, gone, key, text, sentences)
     others = [c for c in docs.columns if c not in (text, "n_sentences", "n_removed")]
