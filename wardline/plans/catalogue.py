@@ -1,10 +1,547 @@
-"""Queries of the engine over the driver's tables, each with its DuckDB counterpart where SQL can express it."""
+"""Queries of the engine over the driver's tables, each with its DuckDB counterpart where SQL can express it.
+
+Mappings: documents and pages are payload texts; events are tool calls (user, type, props); conversations
+are exchanges (user and system turns ask, assistant turns answer; a question and its answer share an id).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardline.functions import identity, text
+from wardline.functions.patterns import CATEGORIES, DEFAULT_CATEGORY, EGRESS_REDACTIONS, PATTERNS, REDACTIONS
+from wardline.functions.redact import json_redactor, placeholder, redact
+from wardline.functions.scan import clean, first_index, has, hit, result, scan
+from wardline.operators import audit, classify, decide, fold, rules, trace
+from wardline.plans.engine import decide as decide_exchanges
+from wardline.plans.engine import scan_texts
+from wardline.sources import audit_log, exchanges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+# ---------------------------------------------------------------- content scans
+
+#: Literals of every kind that the tables don't hold, put together here so that no scanner takes this file for a leak.
+PLANTED = ["AK" + "IA" + "Q" * 16, "AS" + "IA" + "7" * 16, "AI" + "za" + "b" * 35, "gh" + "p_" + "c" * 36, "glp" + "at-" + "d" * 20, "xo" + "xb-" + "1" * 12, "s" + "k-" + "e" * 24, "ey" + "J" + "f" * 12 + "." + "g" * 12 + ".hhhh", "redis" + "://user:pw@host:6379", "pass" + "word=" + "swordfish1", "![a](https://x.example/p?d=" + "i" * 40 + ")", "j" * 44, "4111 1111 1111 1111", "a.b@example.com", "### System", "-----BEGIN " + "RSA PRIVATE KEY-----", ""]
+
+
+def planted(key: Column, value: Column) -> Column:
+    """The text with one literal at its end, by key."""
+    branch = F
+    for k, p in enumerate(PLANTED):
+        branch = branch.when(key % len(PLANTED) == k, p)
+    return F.concat(value, F.lit(" "), branch)
+
+
+SQL_PLANTED = "text || ' ' || CASE " + " ".join(f"WHEN doc_id % {len(PLANTED)} = {k} THEN {quoted(p)}" for k, p in enumerate(PLANTED)) + " END"
+SQL_INDEX = "CASE " + " ".join(f"WHEN regexp_matches(t, {quoted(p.regex)}) THEN {k}" for k, p in enumerate(PATTERNS)) + " ELSE -1 END"
+
+
+def sql_by_index(value: Callable, other: str) -> str:
+    return "CASE i " + " ".join(f"WHEN {k} THEN {value(p)}" for k, p in enumerate(PATTERNS)) + f" ELSE {other} END"
+
+
+SQL_SCANNER = sql_by_index(lambda p: quoted(f"regex:{p.name}"), "'regex'")
+SQL_OUTCOME = sql_by_index(lambda p: quoted(p.outcome), "'allow'")
+SQL_SCORE = sql_by_index(lambda p: f"{p.score}::DOUBLE", "0.0::DOUBLE")
+
+
+def _sql_print(p) -> str:
+    shown = f"'match_len=' || length(regexp_extract(t, {quoted(p.regex)}))"
+    return f"{quoted(p.reason + ' (')} || {shown}" + (f" || ' match_sha256=' || substr(sha256(regexp_extract(t, {quoted(p.regex)})), 1, 12)" if p.high_entropy else "") + " || ')'"
+
+
+SQL_REASON = sql_by_index(_sql_print, "''")
+SQL_TEXTS = f"WITH s AS (SELECT doc_id, text AS t FROM documents), h AS (SELECT *, {SQL_INDEX} AS i FROM s)"
+SQL_PLANTS = f"WITH s AS (SELECT doc_id, {SQL_PLANTED} AS t FROM documents), h AS (SELECT *, {SQL_INDEX} AS i FROM s)"
+SQL_DECIDED = SQL_PLANTS + f", v AS (SELECT doc_id, t, {SQL_SCANNER} AS scanner, {SQL_OUTCOME} AS o, {SQL_REASON} AS r, {SQL_SCORE} AS score FROM h)"
+
+
+def plants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("t"))
+
+
+def first_hits(df: DataFrame, name: str) -> DataFrame:
+    """The first-match verdict without the normalized pass, which SQL can't express."""
+    return df.withColumn("i", first_index(F.col(name))).withColumn("scan", F.coalesce(hit(F.col(name), F.col("i")), clean()))
+
+
+@query(SQL_TEXTS + f" SELECT {SQL_SCANNER} AS scanner, {SQL_OUTCOME} AS outcome, count(*) AS n FROM h GROUP BY ALL")
+def scan_outcomes(spark, sf_dir):
+    """Verdicts of all documents, counted."""
+    return first_hits(table(spark, sf_dir, "documents").select("text"), "text").groupBy("scan.scanner", "scan.outcome").agg(F.count("*").alias("n"))
+
+
+@query(SQL_TEXTS + f" SELECT doc_id, {SQL_SCANNER} AS scanner, {SQL_OUTCOME} AS outcome, {SQL_SCORE} AS score FROM h")
+def scan_first_match(spark, sf_dir):
+    return first_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "scan.scanner", "scan.outcome", "scan.score")
+
+
+@query(SQL_TEXTS + f" SELECT doc_id, {SQL_REASON} AS reason FROM h")
+def scan_fingerprint(spark, sf_dir):
+    return first_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "scan.reason")
+
+
+@query(SQL_PLANTS + f" SELECT doc_id, {SQL_SCANNER} AS scanner, {SQL_OUTCOME} AS outcome, {SQL_REASON} AS reason FROM h")
+def scan_injected(spark, sf_dir):
+    return first_hits(plants(spark, sf_dir), "t").select("doc_id", "scan.scanner", "scan.outcome", "scan.reason")
+
+
+@query("SELECT " + ", ".join(f"count(*) FILTER (regexp_matches(text, {quoted(p.regex)})) AS {p.name}" for p in PATTERNS) + " FROM documents")
+def scan_all_patterns(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.agg(*(F.count_if(has(F.col("text"), p)).alias(p.name) for p in PATTERNS))
+
+
+@query(f"WITH s AS (SELECT page_id, html AS t FROM pages), h AS (SELECT *, {SQL_INDEX} AS i FROM s) SELECT page_id, {SQL_SCANNER} AS scanner, {SQL_OUTCOME} AS outcome FROM h")
+def scan_pages(spark, sf_dir):
+    return first_hits(table(spark, sf_dir, "pages").select("page_id", "html"), "html").select("page_id", "scan.scanner", "scan.outcome")
+
+
+@query()
+def scan_normalized(spark, sf_dir):
+    """Documents that end in a marker written with lookalike letters, wide letters or hidden characters."""
+    odd = F.element_at(F.array(*map(F.lit, ["### ЅYSTEM", "＃＃＃ ＳＹＳＴＥＭ", "### SY­STEM", "### Συνολο"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" "), odd).alias("t"))
+    return scan(docs, "t").select("doc_id", "scan.scanner", "scan.outcome", "scan.reason")
+
+
+# ---------------------------------------------------------------- windows and sizes
+
+
+@query()
+def byte_windows(spark, sf_dir):
+    docs = text.scan_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "chunks", 1024, 256)
+    return docs.select("doc_id", F.posexplode("chunks").alias("part", "chunk")).select("doc_id", "part", F.octet_length("chunk").alias("bytes"), F.md5("chunk").alias("md5"))
+
+
+@query()
+def scan_coverage(spark, sf_dir):
+    docs = text.scan_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "chunks", 1024, 256)
+    return docs.select("doc_id", *(c.alias(n) for n, c in text.coverage(F.col("text"), F.col("chunks"), 1024).items()))
+
+
+@query("SELECT doc_id, strlen(text) AS total_bytes, CASE WHEN strlen(text) > 4096 THEN 'human_review' END AS outcome FROM documents")
+def payload_size(spark, sf_dir):
+    total = F.octet_length("text").cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", total.alias("total_bytes"), text.payload_size(total, total, 4096)["outcome"].alias("outcome"))
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 12) AS payload_sha256, strlen(text) AS bytes FROM documents")
+def payload_digest(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.payload_digest(F.col("text")).alias("payload_sha256"), text.payload_bytes(F.col("text")).alias("bytes"))
+
+
+# ---------------------------------------------------------------- classifier
+
+
+@query(
+    """WITH a AS (SELECT doc_id, n_chars AS n FROM documents),
+    b AS (SELECT *, least(greatest(4, (n - 512 + 448) // 448 + 1), 16) AS budget, range(0, n - 511, 448) AS starts FROM a WHERE n > 512),
+    c AS (SELECT doc_id, n, starts[1 : budget - 1] AS s FROM b),
+    d AS (SELECT doc_id, CASE WHEN s[len(s)] = n - 512 THEN s ELSE list_append(s, n - 512) END AS s FROM c UNION ALL SELECT doc_id, [0] FROM a WHERE n <= 512)
+    SELECT doc_id, generate_subscripts(s, 1) - 1 AS part, unnest(s) AS start FROM d"""
+)
+def token_windows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(text.token_windows(F.col("n_chars"))).alias("part", "start")).select("doc_id", F.col("part").cast("long").alias("part"), F.col("start").cast("long").alias("start"))
+
+
+@query("SELECT vec_id, round(exp(embedding[len(embedding)] - list_max(embedding)) / list_sum(list_transform(embedding, lambda x: exp(x - list_max(embedding)))), 6) AS score FROM embeddings")
+def softmax_last(spark, sf_dir):
+    logits = F.col("embedding").cast("array<double>")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(text.softmax_last(logits), 6).alias("score"))
+
+
+@query("SELECT vec_id, CASE WHEN s >= 0.9 THEN 'block' WHEN s >= 0.5 THEN 'human_review' ELSE 'allow' END AS outcome FROM (SELECT vec_id, vec_id % 100 / 100.0::DOUBLE AS s FROM embeddings)")
+def classifier_thresholds(spark, sf_dir):
+    score = (F.col("vec_id") % 100 / 100.0).cast("double")
+    return table(spark, sf_dir, "embeddings").select("vec_id", classify.verdict(score)["outcome"].alias("outcome"))
+
+
+@query()
+def classifier_stage(spark, sf_dir):
+    """A stand-in model (share of capitals) through the batch scorer, and its verdicts."""
+    run = classify.scorer(lambda: lambda texts: [min(1.0, 8 * sum(c.isupper() for c in t) / max(1, len(t))) for t in texts])
+    return classify.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", run).select("doc_id", "classifier.outcome", F.round("classifier.score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- decisions
+
+
+def decided(spark: SparkSession, sf_dir: str, mode: str = "pass") -> DataFrame:
+    df = first_hits(plants(spark, sf_dir), "t").withColumn("results", F.array("scan"))
+    return df.withColumn("d", decide.decision(F.col("results"), mode))
+
+
+@query(SQL_DECIDED + " SELECT doc_id, o = 'block' AS deny, o = 'human_review' AS human_review, CASE o WHEN 'block' THEN scanner || ':block:' || r WHEN 'human_review' THEN scanner || ':review' ELSE '' END AS reason FROM v")
+def decision_pass(spark, sf_dir):
+    return decided(spark, sf_dir).select("doc_id", "d.deny", "d.human_review", "d.reason")
+
+
+@query(SQL_DECIDED + " SELECT doc_id, o <> 'allow' AS deny, CASE o WHEN 'block' THEN scanner || ':block:' || r WHEN 'human_review' THEN scanner || ':human_review_escalated:' || r ELSE '' END AS reason FROM v")
+def decision_deny_mode(spark, sf_dir):
+    return decided(spark, sf_dir, "deny").select("doc_id", "d.deny", "d.reason")
+
+
+@query(SQL_DECIDED + " SELECT CASE WHEN o = 'block' THEN 'deny' WHEN doc_id % 3 = 0 THEN 'mutated' ELSE 'allow' END AS wire, CASE WHEN o = 'block' THEN 'deny' WHEN o = 'human_review' THEN 'human_review' WHEN doc_id % 3 = 0 THEN 'mutated' ELSE 'allow' END AS audit, count(*) AS n FROM v GROUP BY ALL")
+def outcome_label(spark, sf_dir):
+    df, mutated = decided(spark, sf_dir), F.col("doc_id") % 3 == 0
+    labels = df.select(decide.wire_outcome(F.col("d.deny"), mutated).alias("wire"), decide.audit_outcome(F.col("d.deny"), F.col("d.human_review"), mutated).alias("audit"))
+    return labels.groupBy("wire", "audit").agg(F.count("*").alias("n"))
+
+
+@query(SQL_DECIDED + f" SELECT doc_id, CASE WHEN o = 'block' THEN {quoted(CATEGORIES['regex'][0])} ELSE {quoted(DEFAULT_CATEGORY[0])} END AS category, CASE WHEN o = 'block' THEN {quoted(CATEGORIES['regex'][1])} ELSE {quoted(DEFAULT_CATEGORY[1])} END AS remedy FROM v")
+def deny_category(spark, sf_dir):
+    return decided(spark, sf_dir).select("doc_id", F.inline(F.array(decide.deny_category(F.col("results")))))
+
+
+@query(SQL_DECIDED + " SELECT doc_id, score AS scan_score, CASE WHEN o = 'block' THEN 'deny' ELSE 'allow' END AS outcome, CASE WHEN o = 'block' THEN 'denied by content policy (ref ' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) || ')' END AS public_reason FROM v")
+def result_metadata(spark, sf_dir):
+    df = decided(spark, sf_dir)
+    ref = F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 8)
+    outcome = decide.wire_outcome(F.col("d.deny"), F.lit(False))
+    meta = decide.metadata(F.col("results"), F.lit(0), F.lit(""), outcome)
+    return df.select("doc_id", meta["scan_score"].alias("scan_score"), meta["outcome"].alias("outcome"), F.when(F.col("d.deny"), decide.public_reason(F.lit("request"), ref)).alias("public_reason"))
+
+
+# ---------------------------------------------------------------- redaction
+
+
+def sql_redaction(source: str, key: str, patterns) -> str:
+    """Substitutions one after another, with the matches counted on each intermediate text."""
+    steps = [f"WITH r0 AS (SELECT {key} AS k, {source} AS t, 0 AS n FROM documents)"]
+    for j, (name, regex) in enumerate(patterns):
+        steps.append(f"r{j + 1} AS (SELECT k, regexp_replace(t, {quoted(regex)}, {quoted(placeholder(name))}, 'g') AS t, n + len(regexp_extract_all(t, {quoted(regex)})) AS n FROM r{j})")
+    return ", ".join(steps), f"r{len(patterns)}"
+
+
+for _name, _set in (("redact_default", REDACTIONS), ("redact_egress", EGRESS_REDACTIONS)):
+    _with, _last = sql_redaction(SQL_PLANTED, "doc_id", _set)
+
+    def _run(spark, sf_dir, patterns=_set):
+        return redact(plants(spark, sf_dir), "t", patterns=patterns).select("doc_id", F.md5("redacted").alias("md5"), "redactions")
+
+    _run.__name__ = _name
+    query(_with + f" SELECT k AS doc_id, md5(t) AS md5, CAST(n AS BIGINT) AS redactions FROM {_last}")(_run)
+
+_with, _last = sql_redaction("text", "doc_id", REDACTIONS)
+
+
+@query(_with + f" SELECT CAST(sum(n) AS BIGINT) AS redactions, count(*) FILTER (n > 0) AS changed FROM {_last}")
+def redact_counts(spark, sf_dir):
+    df = redact(table(spark, sf_dir, "documents").select("text"), "text")
+    return df.agg(F.sum("redactions").alias("redactions"), F.count_if(F.expr("redactions > 0")).alias("changed"))
+
+
+@query()
+def redact_json(spark, sf_dir):
+    talk = table(spark, sf_dir, "conversations")
+    payload = F.to_json(F.struct("role", F.array(F.struct(F.concat("text", F.lit(" mail a.b@example.com")).alias("text"))).alias("content")))
+    return talk.select("conv_id", "turn", json_redactor()(payload).alias("r")).select("conv_id", "turn", F.md5("r.value").alias("md5"), "r.redactions")
+
+
+# ---------------------------------------------------------------- identity and access
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_type = 'error' THEN 'tool ''error'' denied by tool ACL' WHEN event_type NOT IN ('click', 'view', 'signup') THEN 'tool ''' || event_type || ''' not in tool allowlist' END AS reason FROM events"""
+)
+def acl_verdict(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", identity.acl_verdict(F.col("event_type"), ("click", "view", "signup"), ("error",))["reason"].alias("reason"))
+
+
+@query("SELECT p_partkey, CASE WHEN starts_with(tool, 'red/') THEN 'denied' WHEN NOT (starts_with(tool, 'blue/') OR tool = 'green/bolt') THEN 'unlisted' ELSE 'open' END AS access FROM (SELECT p_partkey, replace(p_name, ' ', '/') AS tool FROM part)")
+def acl_prefixes(spark, sf_dir):
+    tool = F.replace(F.col("p_name"), F.lit(" "), F.lit("/"))
+    verdict = identity.acl_verdict(tool, ("blue/*", "green/bolt"), ("red/*",))
+    access = F.when(verdict["reason"].endswith("ACL"), "denied").when(verdict.isNotNull(), "unlisted").otherwise("open")
+    return table(spark, sf_dir, "part").select("p_partkey", access.alias("access"))
+
+
+def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    meta = F.map_from_arrays(F.array(F.when(F.col("event_id") % 3 == 0, "exchange_id").otherwise("trace_id"), F.lit("route_name")), F.array(F.when(F.col("event_id") % 3 == 1, F.concat(F.lit(" t\t"), id_)).otherwise(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x"), id_)).otherwise("")), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise("")))
+    headers = F.map_from_arrays(F.array(F.when(F.col("event_id") % 4 < 2, "X-Request-ID").otherwise("Other"), F.lit("X-Forwarded-User")), F.array(F.concat(F.lit("h"), id_), F.concat(F.lit("u"), user)))
+    return table(spark, sf_dir, "events").select("event_id", meta.alias("m"), headers.alias("h"), F.array(F.lit("svc")).alias("s"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'x' || event_id WHEN 1 THEN 't' || event_id ELSE CASE WHEN event_id % 4 < 2 THEN 'h' || event_id ELSE substr(sha256(CAST(event_id AS VARCHAR)), 1, 8) END END AS exchange_id FROM events")
+def exchange_id(spark, sf_dir):
+    return _identified(spark, sf_dir).select("event_id", identity.exchange_id(F.col("m"), F.col("h"), F.col("event_id")).alias("exchange_id"))
+
+
+@query("SELECT event_id, 'u' || user_id AS caller FROM events")
+def caller(spark, sf_dir):
+    return _identified(spark, sf_dir).select("event_id", identity.caller(F.col("h")).alias("caller"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'svc' END || '|x-forwarded-user=u' || user_id AS trace_key FROM events")
+def trace_key(spark, sf_dir):
+    return _identified(spark, sf_dir).select("event_id", identity.trace_key(identity.metadata_value(F.col("m"), "route_name"), F.col("s"), F.col("h"), ("x-forwarded-user",)).alias("trace_key"))
+
+
+# ---------------------------------------------------------------- flattening
+
+
+@query("SELECT conv_id, turn, md5(text || chr(10) || 'end ' || role) AS md5 FROM conversations")
+def extract_content(spark, sf_dir):
+    item = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.struct(F.lit("text").alias("type"), F.concat(F.lit("end "), F.col("role")).alias("text")))
+    got = text.extract_text(F.to_json(F.struct(item.alias("content"))), request=False)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", got.alias("x")).select("conv_id", "turn", F.md5("x.text").alias("md5"))
+
+
+@query("""SELECT p_partkey, p_name || chr(10) || '{"brand": "' || p_brand || '"}' AS text FROM part""")
+def extract_tools(spark, sf_dir):
+    tool = F.struct(F.col("p_name").alias("description"), F.struct(F.col("p_brand").alias("brand")).alias("inputSchema"))
+    got = text.extract_text(F.to_json(F.struct(F.array(tool).alias("tools"))), request=False)
+    return table(spark, sf_dir, "part").select("p_partkey", got.alias("x")).select("p_partkey", "x.text")
+
+
+@query("SELECT doc_id, md5(text) AS md5 FROM documents")
+def extract_blob(spark, sf_dir):
+    """Texts sent as base64 come back as they were."""
+    got = text.extract_text(F.to_json(F.struct(F.array(F.struct(F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "\\s", "").alias("blob"))).alias("contents"))), request=False)
+    return table(spark, sf_dir, "documents").select("doc_id", got.alias("x")).select("doc_id", F.md5("x.text").alias("md5"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def dotted_path(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", rules.argument(F.col("props"), "k", "long").alias("k"))
+
+
+@query("SELECT role, count(*) AS n, count(*) FILTER (turn % 4 = 0) AS absent, count(*) FILTER (turn % 4 = 1) AS bad FROM conversations GROUP BY role")
+def parse_payloads(spark, sf_dir):
+    """Null payloads are empty objects, broken ones errors."""
+    raw = F.when(F.col("turn") % 4 == 0, None).when(F.col("turn") % 4 == 1, F.lit("{no")).otherwise(F.to_json(F.struct("text")))
+    got = table(spark, sf_dir, "conversations").select("role", text.extract_text(raw).alias("x"))
+    return got.groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.expr("x.text = '{}'")).alias("absent"), F.count_if(F.expr("x.error LIKE 'invalid json payload%'")).alias("bad"))
+
+
+# ---------------------------------------------------------------- trace rules
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    return trace.record(ev, F.col("user_id"), F.col("event_id"), F.col("ts"), F.col("event_type"), F.col("props"))
+
+
+DAY, SPAN = 86400.0, 8
+LOOP, RATE = rules.Loop("loop", 3), rules.Rate("rate", "*", DAY, 3)
+SUM = rules.Budget("sum", "k", 150, "(purchase|click)", DAY)
+FLOW2 = rules.Flow("flow2", (rules.Step("error"), rules.Step("purchase", {"k": "^[5-9][0-9]$"})))
+FLOW3 = rules.Flow("flow3", (rules.Step("signup"), rules.Step("error"), rules.Step("purchase")))
+GUARDED = rules.Flow("guarded", (rules.Step("error"), rules.Step("view", guard=True), rules.Step("purchase")))
+SQL_CALLS = "WITH e AS (SELECT event_id, user_id, ts, event_type, props, event_type || ':' || props AS fp, json_extract_string(props, '$.k') AS k, count(*) OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))"
+SQL_NOW = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+SQL_PAST = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+SQL_LOOP = SQL_CALLS + f", l AS (SELECT *, lag(rn, 2) OVER (PARTITION BY user_id, fp ORDER BY ts, event_id) AS b FROM e), loop AS (SELECT event_id, coalesce(max(b) {SQL_NOW} > rn - 256, false) AS hit FROM l)"
+SQL_RATE = f", r AS (SELECT *, lag(rn, 3) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS b, lag(ts, 3) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS s FROM e), rate AS (SELECT event_id, coalesce(max(b) {SQL_NOW} > rn - 256 AND max(s) {SQL_NOW} >= ts - INTERVAL 1 DAY, false) AS hit FROM r)"
+SQL_FLOW2 = f", f AS (SELECT *, CASE WHEN event_type = 'error' THEN rn END AS d1 FROM e), f2 AS (SELECT *, CASE WHEN event_type = 'purchase' AND regexp_matches(k, '^[5-9][0-9]$') THEN max(d1) {SQL_PAST} END AS d2 FROM f), flow2 AS (SELECT event_id, coalesce(max(d2) {SQL_NOW} > rn - 8, false) AS hit FROM f2)"
+
+
+@query(SQL_LOOP + " SELECT event_id, hit FROM loop")
+def loop_rule(spark, sf_dir):
+    return trace.apply_rule(calls(spark, sf_dir), LOOP).select("event_id", F.col("loop").alias("hit"))
+
+
+@query(SQL_CALLS + SQL_RATE + " SELECT event_id, hit FROM rate")
+def rate_rule(spark, sf_dir):
+    return trace.apply_rule(calls(spark, sf_dir), RATE).select("event_id", F.col("rate").alias("hit"))
+
+
+@query(SQL_CALLS + " SELECT event_id, coalesce(sum(CASE WHEN event_type IN ('purchase', 'click') THEN CAST(k AS DOUBLE) END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW), 0) > 150 AS hit FROM e")
+def sum_rule(spark, sf_dir):
+    return trace.apply_rule(calls(spark, sf_dir), SUM).select("event_id", F.col("sum").alias("hit"))
+
+
+@query(SQL_CALLS + SQL_FLOW2 + " SELECT event_id, hit FROM flow2")
+def flow_rule(spark, sf_dir):
+    return trace.apply_rule(calls(spark, sf_dir), FLOW2, SPAN).select("event_id", F.col("flow2").alias("hit"))
+
+
+@query(SQL_CALLS + f", a AS (SELECT *, CASE WHEN event_type = 'signup' THEN rn END AS d1 FROM e), b AS (SELECT *, CASE WHEN event_type = 'error' THEN max(d1) {SQL_PAST} END AS d2 FROM a), c AS (SELECT *, CASE WHEN event_type = 'purchase' THEN max(d2) {SQL_PAST} END AS d3 FROM b) SELECT event_id, coalesce(max(d3) {SQL_NOW} > rn - 8, false) AS hit FROM c")
+def flow3_rule(spark, sf_dir):
+    return trace.apply_rule(calls(spark, sf_dir), FLOW3, SPAN).select("event_id", F.col("flow3").alias("hit"))
+
+
+@query(SQL_CALLS + ", w AS (SELECT event_id, list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS x FROM e) SELECT event_id, list_reduce(list_prepend(0, list_transform(x, lambda t: CASE t WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END)), lambda s, t: CASE WHEN s = 9 THEN 9 WHEN s = 5 AND t = 2 THEN 0 WHEN s = 5 AND t = 3 THEN 9 WHEN s = 5 THEN 5 WHEN t = 1 THEN 5 ELSE 0 END) = 9 AS hit FROM w")
+def flow_negate(spark, sf_dir):
+    return trace.apply_rule(calls(spark, sf_dir), GUARDED, SPAN).select("event_id", F.col("guarded").alias("hit"))
+
+
+@query(SQL_LOOP + SQL_RATE + SQL_FLOW2 + " SELECT event_id, CASE WHEN flow2.hit THEN 'invariant:flow2' WHEN loop.hit THEN 'invariant:loop' WHEN rate.hit THEN 'invariant:rate' END AS scanner FROM flow2 JOIN loop USING (event_id) JOIN rate USING (event_id)")
+def rule_priority(spark, sf_dir):
+    df = trace.apply_rule(calls(spark, sf_dir), FLOW2, SPAN).withColumnRenamed("flow2", "first")
+    df = trace.apply_pack(df, (LOOP, RATE))
+    return df.select("event_id", F.when(F.col("first"), "invariant:flow2").otherwise(F.col("invariant.scanner")).alias("scanner"))
+
+
+@query()
+def flow_sticky(spark, sf_dir):
+    """The fold with parked progress: flows may span more calls than the window holds."""
+    return fold.fold_keys(calls(spark, sf_dir), (FLOW2, GUARDED, LOOP), SPAN, 30 * DAY)
+
+
+@query(SQL_CALLS + " SELECT event_id, array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), ', ') AS summary FROM e")
+def trace_summary(spark, sf_dir):
+    return trace.summary(calls(spark, sf_dir)).select("event_id", "summary")
+
+
+@query("SELECT event_id, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) OVER w, 9) AS failure_ratio, count(*) OVER w < 20 OR avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) OVER w <= 0.2 AS healthy FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
+def health_window(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").withColumn("seq", F.col("event_id"))
+    df = audit.health(ev, "user_id", F.col("event_type") != "error", worst=0.2)
+    return df.select("event_id", F.round("failure_ratio", 9).alias("failure_ratio"), "healthy")
+
+
+# ---------------------------------------------------------------- exchanges, audit, replay
+
+
+def talk_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as exchanges: a question calls the tool `ask/<role>`, the answer is its result."""
+    talk = table(spark, sf_dir, "conversations")
+    ask = F.col("role") != "assistant"
+    id_ = F.concat_ws("-", "conv_id", F.floor(F.col("turn") / 2).cast("string"))
+    request = F.to_json(F.struct(F.concat(F.lit("ask/"), F.col("role")).alias("name"), F.struct("text", "turn").alias("arguments")))
+    response = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")))
+    return talk.select(
+        id_.alias("exchange_key"), F.when(ask, "request").otherwise("response").alias("phase"), F.lit("tools/call").alias("method"), F.array(F.lit("talk")).alias("service_names"),
+        F.create_map(F.lit("exchange_id"), id_, F.lit("route_name"), F.concat(F.lit("c"), F.col("conv_id"))).alias("metadata"), F.create_map(F.lit("x-forwarded-user"), F.col("role")).alias("headers"),
+        F.when(ask, request).otherwise(response).alias("payload"), F.timestamp_seconds(1_700_000_000 + F.col("conv_id") * 1000 + F.col("turn")).alias("ts"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
+    )
+
+
+@query()
+def decide_exchange_table(spark, sf_dir):
+    """The whole dataflow over the conversations."""
+    out = decide_exchanges(talk_exchanges(spark, sf_dir))
+    return out.select("exchange_id", "phase", "tool", "caller", "outcome", "reason", "wire.kind", "payload_sha256", "total_bytes", "seq")
+
+
+def talk_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit records of the conversations under a fixed verdict by length, for the replay queries."""
+    talk = table(spark, sf_dir, "conversations")
+    n = F.length("text")
+    outcome = F.when(n % 7 == 0, "deny").when(n % 5 == 0, "human_review").otherwise("allow")
+    block = result(F.concat(F.lit("invariant:rule"), (n % 2).cast("string")), "block", "r", 0.0)
+    scanners = F.when(outcome == "deny", F.array(result("regex", "allow", "", 0.0), block)).when(outcome == "human_review", F.array(result("regex:jwt", "human_review", "", 0.8))).otherwise(F.array(result("regex", "allow", "", 0.0)))
+    return talk.select(
+        F.when(F.col("role") == "assistant", "response").otherwise("request").alias("phase"), F.lit("tools/call").alias("method"), outcome.alias("outcome"), F.concat_ws("-", "conv_id", F.floor(F.col("turn") / 2).cast("string")).alias("exchange_id"),
+        (1.7e12 + F.col("conv_id") * 1000 + F.col("turn")).alias("ts_ms"), F.lit(None).cast("long").alias("ts"), F.col("role").alias("tool"), F.concat(F.lit("why "), n.cast("string")).alias("reason"), F.lit("r").alias("ref"), (n % 100).cast("double").alias("duration_ms"), scanners.alias("scanners"),
+    )
+
+
+SQL_AUDIT = "WITH a AS (SELECT CASE role WHEN 'assistant' THEN 'response' ELSE 'request' END AS phase, CASE WHEN length(text) % 7 = 0 THEN 'deny' WHEN length(text) % 5 = 0 THEN 'human_review' ELSE 'allow' END AS outcome, conv_id || '-' || turn // 2 AS exchange_id, 1.7e12 + conv_id * 1000 + turn AS ts_ms, role AS tool, 'why ' || length(text) AS reason, (length(text) % 100)::DOUBLE AS duration_ms, length(text) AS n FROM conversations)"
+SQL_SCANS = ", s AS (SELECT phase, outcome AS o, 'regex' AS scanner, 'allow' AS outcome FROM a WHERE outcome <> 'human_review' UNION ALL SELECT phase, outcome, 'invariant:rule' || n % 2, 'block' FROM a WHERE outcome = 'deny' UNION ALL SELECT phase, outcome, 'regex:jwt', 'human_review' FROM a WHERE outcome = 'human_review')"
+
+
+@query(SQL_AUDIT + " SELECT outcome, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM a GROUP BY outcome")
+def replay_outcomes(spark, sf_dir):
+    return audit.distribution(talk_audit(spark, sf_dir), "outcome")
+
+
+@query(SQL_AUDIT + " SELECT phase, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM a GROUP BY phase")
+def replay_phase(spark, sf_dir):
+    return audit.distribution(talk_audit(spark, sf_dir), "phase")
+
+
+@query(SQL_AUDIT + SQL_SCANS + " SELECT scanner, outcome, count(*) AS n FROM s GROUP BY ALL")
+def replay_scanners(spark, sf_dir):
+    return audit.scanner_outcomes(talk_audit(spark, sf_dir))
+
+
+@query(SQL_AUDIT + SQL_SCANS + " SELECT substr(scanner, 11) AS rule, count(*) AS n FROM s WHERE starts_with(scanner, 'invariant:') GROUP BY ALL")
+def replay_rules(spark, sf_dir):
+    return audit.rule_hits(talk_audit(spark, sf_dir))
+
+
+@query(SQL_AUDIT + ", g AS (SELECT exchange_id, count(*) AS n, min(phase) AS phase FROM a GROUP BY 1) SELECT count(*) AS exchanges, count(*) FILTER (n >= 2) AS pairs, count(*) FILTER (n = 1 AND phase = 'request') AS request_only, count(*) FILTER (n = 1 AND phase = 'response') AS response_only FROM g")
+def replay_pairs(spark, sf_dir):
+    return audit.pairs(talk_audit(spark, sf_dir))
+
+
+@query(SQL_AUDIT + " SELECT exchange_id, phase, outcome, tool, reason, 'r' AS ref FROM a WHERE outcome <> 'allow'")
+def replay_detail(spark, sf_dir):
+    return audit.deny_detail(talk_audit(spark, sf_dir))
+
+
+@query(SQL_AUDIT + " SELECT (max(ts_ms) - min(ts_ms))::DOUBLE AS span_ms, count(*) AS n FROM a")
+def replay_span(spark, sf_dir):
+    return audit.time_span(talk_audit(spark, sf_dir))
+
+
+@query(SQL_AUDIT + SQL_SCANS + " SELECT 'decisions' AS metric, phase AS label1, outcome AS label2, 'tools/call' AS label3, count(*) AS n FROM a GROUP BY ALL UNION ALL SELECT 'scanner_results', string_split(scanner, ':')[1], outcome, '', count(*) FROM s GROUP BY ALL UNION ALL SELECT 'invariant_hits', substr(scanner, 11), '', '', count(*) FROM s WHERE starts_with(scanner, 'invariant:') GROUP BY ALL")
+def metrics_decisions(spark, sf_dir):
+    return audit.counters(talk_audit(spark, sf_dir))
+
+
+@query(SQL_AUDIT + " SELECT phase, outcome, count(*) AS n, sum(duration_ms) AS total_ms, max(duration_ms) AS max_ms FROM a GROUP BY ALL")
+def metrics_latency(spark, sf_dir):
+    return audit.latency(talk_audit(spark, sf_dir))
+
+
+@query()
+def audit_record(spark, sf_dir):
+    out = audit.record(decide_exchanges(talk_exchanges(spark, sf_dir)))
+    return out.select(F.to_json(F.struct(*out.columns)).alias("record"))
+
+
+def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    body = F.to_json(F.struct("doc_id", "lang", "source", F.md5("text").alias("payload_sha256")))
+    return audit.chain(docs.select("source", "doc_id", body.alias("record")), "source", "doc_id")
+
+
+@query()
+def chain_write(spark, sf_dir):
+    return _chained(spark, sf_dir)
+
+
+@query("SELECT source AS stream, CAST(count(*) AS BIGINT) AS checked, CAST(0 AS BIGINT) AS unchained, min(CASE WHEN doc_id % 97 = 5 THEN doc_id END) AS broken_at, CASE WHEN min(CASE WHEN doc_id % 97 = 5 THEN doc_id END) IS NOT NULL THEN 'line_hash mismatch' END AS problem FROM documents GROUP BY source")
+def chain_verify(spark, sf_dir):
+    """Chains by source in which some lines are changed after they were written."""
+    lines = _chained(spark, sf_dir)
+    changed = F.regexp_replace("line", '"payload_sha256": "', '"payload_sha256": "0')
+    return audit.verify(lines.withColumn("line", F.when(F.col("seq") % 97 == 5, changed).otherwise(F.col("line"))))
+
+
+@query("SELECT count(*) AS lines, count(*) FILTER (doc_id % 10 = 3 OR doc_id % 10 = 4) AS bad FROM documents WHERE doc_id % 10 <> 7")
+def audit_scan(spark, sf_dir):
+    """Lines of which some are blank, broken or no object."""
+    k = F.col("doc_id") % 10
+    value = F.when(k == 3, "{broken").when(k == 4, "[1, 2]").when(k == 7, "  ").otherwise(F.to_json(F.struct("doc_id", F.lit("allow").alias("outcome"))))
+    return audit_log.malformed(table(spark, sf_dir, "documents").select(value.alias("value")))
+
+
+@query()
+def review_payloads(spark, sf_dir):
+    """What reviewers are told of documents that need one."""
+    df = scan_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    df = df.withColumns({"reason": F.col("decision.reason"), "ref": F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 8), "exchange_id": F.col("doc_id").cast("string")})
+    return exchanges.review_payload(df)
+

@@ -1,0 +1 @@
+"""Where exchanges, audit lines and rule packs come from, and where results go."""
