@@ -30,7 +30,7 @@ def upto_now(*cols: str):
 def record(calls: DataFrame, key: Column, seq: Column, ts: Column, tool: Column, args: Column, recorded: Column | None = None) -> DataFrame:
     """`calls` with key, seq, ts, tool, args, fp, recorded, rn: rn counts the recorded calls of the key so far."""
     recorded = (tool != "") if recorded is None else recorded
-    cols = {"key": key, "seq": seq, "ts": ts, "tool": tool, "args": args, "recorded": F.coalesce(recorded, F.lit(False))}
+    cols = {"key": key, "seq": seq, "ts": ts.cast("timestamp"), "tool": tool, "args": args, "recorded": F.coalesce(recorded, F.lit(False))}
     calls = calls.withColumns(cols).withColumn("fp", F.concat("tool", F.lit(":"), "args"))
     return calls.withColumn("rn", F.sum(F.col("recorded").cast("long")).over(upto_now("key")))
 
