@@ -36,6 +36,14 @@ def first_index(text: Column, patterns: Sequence[Pattern] = PATTERNS) -> Column:
     return branch if patterns else F.lit(None).cast("int")
 
 
+def fence(value: Column) -> Column:
+    """The value, marked so that the optimizer computes it once where it stands.
+
+    Filters and projections above would otherwise be rewritten over copies of its whole expression, and
+    verdicts over verdicts grow without bound. The row number is never below 0."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def digest12(value: Column) -> Column:
     return F.substring(F.sha2(value, 256), 1, 12)
 
@@ -108,17 +116,17 @@ def scan(df: DataFrame, text: str, out: str = "scan", patterns: Sequence[Pattern
     wins if it is more severe. Only such texts travel to Python for the view; for the others it is null.
     """
     spare = ["__first", "__view", "__second"]
-    df = df.withColumn("__first", first_index(F.col(text), patterns))
+    df = df.withColumn("__first", fence(first_index(F.col(text), patterns)))
     own = hit(F.col(text), F.col("__first"), patterns, key)
     if not normalize:
-        return df.withColumn(out, F.coalesce(own, clean())).drop(*spare)
+        return df.withColumn(out, fence(F.coalesce(own, clean()))).drop(*spare)
     severity = lambda i: _by_index(i, patterns, lambda p: F.lit(SEVERITY[p.outcome]))
     open_ = (F.octet_length(text) != F.char_length(text)) & F.coalesce(severity(F.col("__first")) < SEVERITY[BLOCK], F.lit(True))
     df = df.withColumn("__view", F.when(open_, F.col(text))).withColumn("__view", normalized_view(F.col("__view")))
-    df = df.withColumn("__second", F.when(F.col("__view") != F.col(text), first_index(F.col("__view"), patterns)))
+    df = df.withColumn("__second", fence(F.when(F.col("__view") != F.col(text), first_index(F.col("__view"), patterns))))
     better = F.col("__second").isNotNull() & (F.col("__first").isNull() | (severity(F.col("__second")) > severity(F.col("__first"))))
     seen = hit_in_view(F.col(text), F.col("__view"), F.col("__second"), patterns, key)
-    return df.withColumn(out, F.when(better, seen).otherwise(F.coalesce(own, clean()))).drop(*spare)
+    return df.withColumn(out, fence(F.when(better, seen).otherwise(F.coalesce(own, clean())))).drop(*spare)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -143,8 +151,8 @@ def scan_chunks(df: DataFrame, chunks: str, out: str, patterns: Sequence[Pattern
     odd = F.exists(chunks, lambda c: F.octet_length(c) != F.char_length(c))
     df = df.withColumn("__v", F.when(odd, F.col(chunks))).withColumn("__v", views("__v"))
     seen = lambda x: F.when(x.v.isNotNull() & (severity(x.i) < SEVERITY[BLOCK]), first_index(x.v, patterns))
-    df = df.withColumn("__f", F.transform(chunks, lambda c, k: F.struct(c.alias("c"), F.get("__v", k).alias("v"), first_index(c, patterns).alias("i"))))
-    df = df.withColumn("__f", F.transform("__f", lambda x: F.struct(x.c.alias("c"), x.v.alias("v"), x.i.alias("i"), seen(x).alias("j"))))
+    df = df.withColumn("__f", fence(F.transform(chunks, lambda c, k: F.struct(c.alias("c"), F.get("__v", k).alias("v"), first_index(c, patterns).alias("i")))))
+    df = df.withColumn("__f", fence(F.transform("__f", lambda x: F.struct(x.c.alias("c"), x.v.alias("v"), x.i.alias("i"), seen(x).alias("j")))))
     better = lambda x: x.j.isNotNull() & (severity(x.j) > severity(x.i))
     verdict = lambda x: F.when(better(x), hit_in_view(x.c, x.v, x.j, patterns, key)).otherwise(F.coalesce(hit(x.c, x.i, patterns, key), clean()))
-    return df.withColumn(out, F.transform("__f", verdict)).drop("__v", "__f")
+    return df.withColumn(out, fence(F.transform("__f", verdict))).drop("__v", "__f")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import identity, text
 from wardline.functions.redact import json_redactor, redaction_gate, tagged
-from wardline.functions.scan import RESULT, scan, scan_chunks
+from wardline.functions.scan import RESULT, fence, scan, scan_chunks
 from wardline.operators import decide as d
 from wardline.operators import trace
 from wardline.operators.rules import DEFAULT_PACK, Rule
@@ -57,11 +57,11 @@ def decide(exchanges: DataFrame, cfg: Config = Config(), pack: Sequence[Rule] =
     args = F.coalesce(F.to_json(F.try_variant_get(F.try_parse_json("payload"), "$.arguments", "variant")), F.lit("{}"))
     request = F.col("phase") == "request"
     df = trace.record(df, F.concat(F.col("phase"), F.lit(":"), F.col("trace_key")), F.col("seq"), F.col("ts"), F.col("tool"), args, request & (F.col("tool") != "") & F.col("error").isNull())
-    df = trace.apply_pack(df, pack, window=cfg.invariant_window)
+    df = trace.apply_pack(df, pack, window=cfg.invariant_window).withColumn("invariant", fence(F.col("invariant")))
 
     scanned = F.when(F.col("acl").isNotNull(), F.array("acl")).otherwise(F.col("content"))
-    df = df.withColumn("results", d.results(d.as_array(F.col("size")), scanned, d.as_array(F.when(request, F.col("invariant")))))
-    df = df.withColumn("decision", d.decision(F.col("results"), cfg.human_review_mode))
+    df = df.withColumn("results", fence(d.results(d.as_array(F.col("size")), scanned, d.as_array(F.when(request, F.col("invariant"))))))
+    df = df.withColumn("decision", fence(d.decision(F.col("results"), cfg.human_review_mode)))
 
     gate = redaction_gate(F.col("decision.deny"), F.col("decision.human_review"), F.col("total_bytes"), cfg.redact_on_review, cfg.redaction_max_bytes)
     wanted = F.lit(cfg.enable_redaction) & gate.isNull() & F.col("error").isNull() & (~request | F.lit(cfg.redact_request_params))
@@ -77,8 +77,8 @@ def decide(exchanges: DataFrame, cfg: Config = Config(), pack: Sequence[Rule] =
 
 def scan_texts(df: DataFrame, column: str) -> DataFrame:
     """A lone text column scanned and decided: scan, decision, outcome."""
-    df = scan(df, column).withColumn("results", F.array("scan"))
-    df = df.withColumn("decision", d.decision(F.col("results")))
+    df = scan(df, column).withColumn("results", fence(F.array("scan")))
+    df = df.withColumn("decision", fence(d.decision(F.col("results"))))
     return df.withColumn("outcome", d.audit_outcome(F.col("decision.deny"), F.col("decision.human_review"), F.lit(False)))
 
 
