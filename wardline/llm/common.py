@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +56,33 @@ def text_of(text: str) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: What Python workers keep between tasks, by the operator that keeps it.
+_KEPT: dict[str, Callable[[], None]] = {}
+_LAST: list[str] = [""]
+
+
+def keeps(operator: str, clear: Callable[[], None]) -> None:
+    """Name the function that drops what an operator keeps in a worker."""
+    _KEPT[operator] = clear
+
+
+def begin(operator: str) -> None:
+    """To be called in a worker at the start of a task: a worker that comes from another operator drops that one's memos."""
+    if _LAST[0] != operator:
+        for name, clear in _KEPT.items():
+            if name != operator:
+                clear()
+        _LAST[0] = operator
+        gc.collect()
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where there is a way to."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

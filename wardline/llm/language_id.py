@@ -12,11 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wardline.llm.common import text_of
+from wardline.llm.common import begin, trim
 from wardline.llm.token_count import sliced
 
 #: Hashed features, longest n-gram, and the labelled documents the model is fitted on for each language, about.
@@ -88,6 +90,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     chosen = rows.where(F.pmod(F.xxhash64(F.lit("language"), "key", F.when(F.col("key").isNull(), F.col("text"))), F.lit(1_000_000)) < share * 1_000_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("language ID")
         total = {}
         for batch in batches:
             names, at = batch.column(1).to_pylist(), 0
@@ -114,23 +117,23 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null, empty and letterless texts are `und` with score 0; ties go to the first language by name.
     Each row is scored alone: repeated rows agree, an empty table stays empty.
     """
-    spark, width = docs.sparkSession, "__text"
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
-    rows = base.withColumn(width, text_of(text))
-    schema = base.schema.add("lang_pred", "string", False).add("score", "double", False)
+    schema, at = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)]), base.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("language ID")
         for batch in batches:
             langs, scores = [], []
-            for part in sliced(batch.column(batch.num_columns - 1), 1_000_000):
+            for part in sliced(pc.fill_null(batch.column(at), ""), 1_000_000):
                 a, b = shared.value.score(part.to_pylist())
                 langs += a
                 scores.append(b)
             both = [pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, np.zeros(0)]))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *both], [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *both], [*batch.schema.names, "lang_pred", "score"])
+            trim()
 
-    return rows.mapInArrow(run, schema)
+    return base.mapInArrow(run, schema)
 
 
 def op8_language_id(docs: DataFrame) -> DataFrame:

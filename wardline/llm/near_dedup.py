@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import cut, small, text_of
+from wardline.llm.common import begin, cut, small, text_of, trim
 from wardline.llm.graph import components
 from wardline.llm.shingles import mixed, shingle_sets
 from wardline.llm.token_count import sliced
@@ -82,6 +82,7 @@ def signed(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text")
     none = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("near duplicates")
         for batch in batches:
             at = 0
             for part in sliced(batch.column(2)):
@@ -94,6 +95,7 @@ def signed(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text")
                 head = [batch.column(k).slice(at, len(part)) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*head, *(pa.array(x, pa.int64()) for x in (sizes, his, los)), _int64(bands), _int64(sketches)], ["row", "doc_id", "n", "hi", "lo", "bands", "sketch"])
                 at += len(part)
+            trim()
 
     lean = docs.select(F.xxhash64(key, text).alias("row"), F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
     return lean.mapInArrow(run, "row long, doc_id long, n long, hi long, lo long, bands array<long>, sketch array<long>")
@@ -103,6 +105,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -
     """node, n, shingles of the wanted (row, node, hi, lo)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("near duplicates")
         for batch in batches:
             at = 0
             for part in sliced(batch.column(3)):
@@ -113,6 +116,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -
                         rows.append(s.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(r) for r in rows], pa.int64()), _int64(rows)], ["node", "n", "shingles"])
                 at += len(part)
+            trim()
 
     texts = docs.select(F.xxhash64(key, text).alias("row"), text_of(text).alias("text"))
     return texts.join(wanted, "row").select("node", "hi", "lo", "text").mapInArrow(run, "node long, n long, shingles array<long>")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from wardline.llm.common import text_of
+from wardline.llm.common import begin, keeps, trim
 
 #: Words kept in a worker's memo, and the length up to which a word is kept.
 MEMO_WORDS, MEMO_LENGTH = 100_000, 48
@@ -154,6 +154,9 @@ def _counter(path: str) -> TokenCounter:
     return TokenCounter(path)
 
 
+keeps("token counts", lambda: _counter.cache_clear())
+
+
 def sliced(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """The array in runs of about so many bytes."""
     ends, at = np.cumsum(np.asarray(pc.binary_length(texts), np.int64)), 0
@@ -170,26 +173,25 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", column: str = "
     don't matter; an empty table gives an empty table; other columns pass through unread by Python
     except as Arrow buffers. `path` must be readable on the executors.
     """
-    spot = "__text"
-    while spot in docs.columns:
-        spot += "_"
     wide = docs.drop(column) if column in docs.columns and column != text else docs
-    rows = wide.withColumn(spot, text_of(text))
     kept = [f for f in wide.schema.fields if f.name != column]
     schema = T.StructType([*kept, T.StructField(column, T.LongType(), False)])
+    at = wide.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("token counts")
         counter = _counter(path)
         for batch in batches:
-            counts = [counter.count(part) for part in sliced(batch.column(len(batch.schema) - 1))]
+            counts = [counter.count(part) for part in sliced(pc.fill_null(batch.column(at), ""))]
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([*counts, np.zeros(0, np.int64)]))], [*(f.name for f in kept), column])
+        trim()
 
-    return rows.mapInArrow(run, schema)
+    return wide.mapInArrow(run, schema)
 
 
 def op1_token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
-    lean = docs.select("doc_id", F.octet_length(text_of("text")).cast("long").alias("n_bytes"), "text")
+    lean = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     out = token_counts(lean, path)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

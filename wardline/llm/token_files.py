@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wardline.llm.common import cut, new_folder, partitions, text_of
+from wardline.llm.common import begin, cut, keeps, new_folder, partitions, text_of, trim
 from wardline.llm.token_count import MEMO_LENGTH, MEMO_WORDS, Memo, sliced, words_of
 
 #: Magic numbers of the format (fixed values).
@@ -90,6 +90,9 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+keeps("token files", lambda: _encoder.cache_clear())
+
+
 class FrameWriter:
     """Writes frames as they come; the tables at the end."""
 
@@ -144,6 +147,7 @@ def encoded(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id",
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("token files")
         encoder, squeeze = _encoder(path), zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             keys, row = batch.column(0), 0
@@ -161,6 +165,8 @@ def encoded(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id",
                     ["key", "tie", "frame", "plain", "check"],
                 )
                 row += len(part)
+                del plain
+            trim()
 
     return docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text")).mapInArrow(run, "key long, tie long, frame binary, plain long, check long")
 
