@@ -24,14 +24,19 @@ def rows_of(docs: DataFrame, key: str, text: str, parts: Callable[[Column], Colu
     return docs.select(F.col(key).alias("id"), F.xxhash64(F.lit(1), text).alias("mark"), parts(F.coalesce(F.col(text), F.lit(""))).alias("parts"))
 
 
+def ranged(docs: DataFrame, gone: DataFrame, key: str, text: str) -> DataFrame:
+    """All columns of `docs` and __ranges: the set of s and e that `gone` (id, mark, s, e) has for a row, null if none."""
+    ranges = gone.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_set(F.struct("s", "e")).alias("__ranges"))
+    ranges = cut(ranges, "removed")
+    ranges = small(ranges, 50 + 16 * F.size("__ranges"))
+    return docs.join(ranges, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(F.lit(1), text) == F.col("__mark")), "left").drop("__id", "__mark")
+
+
 def without(docs: DataFrame, gone: DataFrame, key: str, text: str, parts: Callable[[Column], Column]) -> DataFrame:
     """All columns of `docs`, __n (parts), __gone (removed parts) and __text (the text without them).
 
     `gone` has id, mark, s, e: ranges of parts, which may overlap."""
-    ranges = gone.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_set(F.struct("s", "e")).alias("__ranges"))
-    ranges = cut(ranges, "removed")
-    ranges = small(ranges, 50 + 16 * F.size("__ranges"))
-    rows = docs.join(ranges, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(F.lit(1), text) == F.col("__mark")), "left").drop("__id", "__mark")
+    rows = ranged(docs, gone, key, text)
     # ranges in order with those that another covers left out, so that each part is looked up once
     rows = rows.withColumn("__parts", parts(F.coalesce(F.col(text), F.lit("")))).withColumn("__n", F.size("__parts").cast("long"))
     start = F.struct(F.array().cast("array<int>").alias("gone"), F.lit(-1).alias("to"))

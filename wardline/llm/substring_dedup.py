@@ -1,52 +1,139 @@
 """Removal of repeated passages by sliding sentence spans.
 
-A text is cut into sentences; sentences of many words are cut again, so that text without stops has
-pieces too. Every run of SPAN consecutive pieces is hashed, spans of all documents meet by hash, and a
-piece goes if any repeated span that isn't the first of its kind covers it.
+A text is cut into sentences, and these where their words say so: of every WINDOW words without a stop
+the one with the least hash ends a piece, so that a passage has the same pieces inside whatever stands
+before it. Every run of SPAN consecutive pieces is hashed, spans of all
+documents meet by hash, and a piece goes if any repeated span that isn't the first of its kind covers it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from wardline.llm.common import cut
-from wardline.llm.repeats import place, rows_of, without
+from wardline.llm.common import begin, cut, keeps, text_of
+from wardline.llm.repeats import place, ranged
+from wardline.llm.token_count import sliced
 
-#: Pieces of a span; words of a piece at most, so that 51 words are three pieces at least; characters a
-#: span needs, so that short common sentences are no passage.
+#: Pieces of a span; words of a sentence that n_sentences counts as one at most; characters a span
+#: needs, so that short common sentences are no passage.
 SPAN, PIECE_WORDS, LEAST_CHARS = 3, 25, 40
-SENTENCE = r"(?:[^.!?\s]++[^\S\n]*+){1,%d}+(?:[.!?\n]++\s*+)?|[.!?\s]++" % PIECE_WORDS
+#: Words of which one ends a piece. Two copies of a passage can be cut differently only in their first and
+#: last WINDOW - 1 words, so 51 words leave 37 with at least four common ends: SPAN pieces.
+WINDOW = 8
+#: A word with the white space, or the stops and white space, that follow it; stops without a word.
+WORD = re.compile(r"[^.!?\s]+[^\S\n]*(?:[.!?\n]+\s*)?|[.!?\s]+", re.ASCII)
+BLANK = " \t\n\v\f\r"
+
+#: Hashes of words, -1 for those that end a sentence, while there are few of them.
+_WORDS: dict[str, int] = {}
+keeps("repeated passages", _WORDS.clear)
+
+
+def _hash(word: str) -> int:
+    bare = word.rstrip(BLANK)
+    value = -1 if "\n" in word or bare[-1:] in ("", ".", "!", "?") else zlib.crc32(bare.encode("utf-8", "surrogatepass"))
+    if len(_WORDS) < 100_000:
+        _WORDS[word] = value
+    return value
+
+
+def pieces(text: str) -> tuple[list[str], list[int], list[bool]]:
+    """The words with what follows them (together they are the text), where each piece ends, which words end sentences."""
+    words = WORD.findall(text)
+    known = _WORDS.get
+    hashes = np.array([_hash(w) if (h := known(w)) is None else h for w in words], np.int64)
+    last = hashes < 0
+    ends = last.copy()
+    if len(words) >= WINDOW:
+        windows = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)[:, ::-1]
+        ends[np.arange(len(windows)) + WINDOW - 1 - windows.argmin(axis=1)] = True
+    ends[-1:] = True
+    return words, (np.flatnonzero(ends) + 1).tolist(), last.tolist()
 
 
-def sentences(text: Column) -> Column:
-    """The pieces with the white space that follows them; together they are the text."""
-    return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+def runs(lengths: list[int]) -> list[tuple[int, int]]:
+    """First and last piece of the spans: SPAN pieces that have LEAST_CHARS characters."""
+    return [(s, s + SPAN - 1) for s in range(len(lengths) - SPAN + 1) if sum(lengths[s : s + SPAN]) >= LEAST_CHARS]
 
 
 def spans(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, mark, s (first piece), h, g (128 bits of the span's pieces without outer white space)."""
-    rows = rows_of(docs, key, text, sentences).where(F.size("parts") >= SPAN)
-    rows = rows.select("id", "mark", F.transform("parts", F.trim).alias("parts")).withColumn("s", F.explode(F.sequence(F.lit(0), F.size("parts") - SPAN)))
-    at = [F.get("parts", F.col("s") + k) for k in range(SPAN)]
-    long = sum((F.char_length(x) for x in at), F.lit(0)) >= LEAST_CHARS
-    return rows.where(long).select("id", "mark", "s", F.xxhash64(F.lit(1), *at).alias("h"), F.xxhash64(F.lit(2), *at).alias("g"))
+    """id, mark, s, e (first and last piece), h, g (128 bits of the span's pieces without outer white space)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("repeated passages")
+        for batch in batches:
+            at = 0
+            for part in sliced(batch.column(2)):
+                row, starts, ends, digests = [], [], [], []
+                for k, t in enumerate(part.to_pylist(), at):
+                    words, stops, _ = pieces(t)
+                    bare = ["".join(words[a:b]).strip(" ") for a, b in zip([0, *stops], stops, strict=False)]
+                    found = runs([len(x) for x in bare])
+                    row += [k] * len(found)
+                    starts += [s for s, _ in found]
+                    ends += [e for _, e in found]
+                    digests += [hashlib.blake2b("\0".join(bare[s : e + 1]).encode("utf-8", "surrogatepass"), digest_size=16).digest() for s, e in found]
+                bits = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                head = [batch.column(k).take(pa.array(row, pa.int64())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], ["id", "mark", "s", "e", "h", "g"])
+                at += len(part)
+
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.lit(1), text).alias("mark"), text_of(text).alias("text"))
+    kinds = StructType.fromDDL("mark long, s int, e int, h long, g long")
+    return rows.mapInArrow(run, StructType([StructField("id", rows.schema["id"].dataType), *kinds]))
+
+
+def left_over(text: str, ranges: list[dict] | None) -> tuple[str | None, int, int]:
+    """The text without these ranges of pieces; its sentences (of at most PIECE_WORDS words), and how many of them lose something."""
+    words, stops, last = pieces(text)
+    number, n, run = [], 0, 0
+    for x in last:
+        number.append(n)
+        run += 1
+        if x or run == PIECE_WORDS:
+            n, run = n + 1, 0
+    count = n + (run > 0)
+    if not ranges:
+        return None, count, 0
+    gone = np.zeros(len(words), bool)
+    starts = [0, *stops]
+    for r in ranges:
+        gone[starts[r["s"]] : stops[r["e"]]] = True
+    return "".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x), count, len(set(np.array(number)[gone].tolist()))
+
+
+def _left_over(text: pa.Array, ranges: pa.Array) -> pa.Array:
+    begin("repeated passages")
+    out = [left_over(t, r) for t, r in zip(text.to_pylist(), ranges.to_pylist(), strict=True)]
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["text", "n", "gone"])
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with n_sentences, n_removed and the text without repeated passages (columns of these names are replaced).
 
-    The first occurrence of a span by key, then place, stays. Null stays null; texts of fewer pieces than
-    a span stay as they are; rows that repeat key and text are one document, rows with the same key and
-    other texts are ordered by a hash of them; null keys come first. Empty tables stay empty.
+    The first occurrence of a span by key, then place, stays. n_removed counts the sentences that lose
+    words. Null stays null; texts of fewer pieces than a span stay as they are; rows that repeat key and
+    text are one document, rows with the same key and other texts are ordered by a hash of them; null
+    keys come first. Empty tables stay empty.
     """
     all_ = spans(docs, key, text).withColumn("place", place("s"))
     twice = all_.groupBy("h", "g").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("h", "g", "first")
     twice = cut(twice, "spans")
-    gone = all_.join(twice, ["h", "g"]).where("place <> first").select("id", "mark", "s", (F.col("s") + SPAN - 1).alias("e"))
-    out = without(docs, gone, key, text, sentences)
+    gone = all_.join(twice, ["h", "g"]).where("place <> first").select("id", "mark", "s", "e")
+    left = F.arrow_udf(_left_over, "struct<text string, n long, gone long>")
+    out = ranged(docs, gone, key, text).withColumn("__left", left(text_of(text), F.col("__ranges")))
     others = [c for c in docs.columns if c not in (text, "n_sentences", "n_removed")]
-    return out.select(*others, F.col("__text").alias(text), F.col("__n").alias("n_sentences"), F.col("__gone").alias("n_removed"))
+    kept = F.when(F.col("__ranges").isNull(), F.col(text)).otherwise(F.col("__left.text"))
+    return out.select(*others, kept.alias(text), F.col("__left.n").alias("n_sentences"), F.col("__left.gone").alias("n_removed"))
 
 
 def op10_substring_dedup(docs: DataFrame) -> DataFrame:
