@@ -34,3 +34,17 @@ def test_passages_repeat_wherever_they_begin_in_a_sentence(spark):
     for k in want:  # only the ends of a passage can be left
         assert len(got[k].text.split()) <= len(texts[k].split()) - 21
     assert all(got[k].text == texts[k] for k in range(0, 80, 2))
+
+
+def test_short_sentences_make_longer_spans(spark):
+    """Dialogue, decimals and dotted names: over 50 words of which no three pieces have LEAST_CHARS characters."""
+    rnd = random.Random(22)
+    talk = " ".join(f"{a.capitalize()} {b}." for a, b in zip(plain_words(rnd, 30, 2, 4), plain_words(rnd, 30, 2, 4), strict=True))
+    numbers = " ".join(f"0.{rnd.randint(10, 99)}" for _ in range(60)) + "."
+    dotted = ".".join(plain_words(rnd, 70, 2, 5)) + "."
+    for passage in (talk, numbers, dotted):
+        got = deduplicated(spark, [" ".join([*plain_words(rnd, n), "end.", passage, *plain_words(rnd, 20)]) for n in (7, 12, 3)])
+        assert passage in got[0].text
+        assert all(got[k].n_removed >= 30 and passage[-30:] not in got[k].text and passage[:30] not in got[k].text for k in (1, 2))
+    got = deduplicated(spark, ["He ran. She hid.", "He ran. She hid. No.", "Yes. He ran. She hid. No."])  # too short for a passage
+    assert not any(r.n_removed for r in got.values())

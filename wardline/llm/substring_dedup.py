@@ -2,7 +2,7 @@
 
 A text is cut into sentences, and these where their words say so: of every WINDOW words without a stop
 the one with the least hash ends a piece, so that a passage has the same pieces inside whatever stands
-before it. Every run of SPAN consecutive pieces is hashed, spans of all
+before it. Every run of SPAN consecutive pieces (more where they are short) is hashed, spans of all
 documents meet by hash, and a piece goes if any repeated span that isn't the first of its kind covers it.
 """
 
@@ -61,8 +61,17 @@ def pieces(text: str) -> tuple[list[str], list[int], list[bool]]:
 
 
 def runs(lengths: list[int]) -> list[tuple[int, int]]:
-    """First and last piece of the spans: SPAN pieces that have LEAST_CHARS characters."""
-    return [(s, s + SPAN - 1) for s in range(len(lengths) - SPAN + 1) if sum(lengths[s : s + SPAN]) >= LEAST_CHARS]
+    """First and last piece of the spans: from each piece on and back from each piece, the shortest run of
+    SPAN pieces at least that has LEAST_CHARS characters (a blank between pieces). All of a repeated
+    passage that holds a run lies in such runs of its own."""
+    n = len(lengths)
+    if n < SPAN:
+        return []
+    at, sums = np.arange(n), np.concatenate([[0], np.cumsum(np.array(lengths) + 1)])
+    to = np.maximum(at + SPAN - 1, np.searchsorted(sums, sums[:-1] + LEAST_CHARS + 1) - 1)
+    back = np.minimum(at - SPAN + 1, np.searchsorted(sums, sums[1:] - LEAST_CHARS - 1, "right") - 1)
+    both = np.concatenate([(at * n + to)[to < n], (back * n + at)[back >= 0]])
+    return [divmod(x, n) for x in np.unique(both).tolist()]
 
 
 def spans(docs: DataFrame, key: str, text: str) -> DataFrame:
