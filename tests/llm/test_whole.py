@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from wardline.llm import substring_dedup
 
 SMALL = "abcdefghijklmnopqrstuvwxyz"
@@ -48,3 +50,14 @@ def test_short_sentences_make_longer_spans(spark):
         assert all(got[k].n_removed >= 30 and passage[-30:] not in got[k].text and passage[:30] not in got[k].text for k in (1, 2))
     got = deduplicated(spark, ["He ran. She hid.", "He ran. She hid. No.", "Yes. He ran. She hid. No."])  # too short for a passage
     assert not any(r.n_removed for r in got.values())
+
+
+@pytest.mark.parametrize("gap", ["\n", "\n\n", "\t", "\r\n", "\x0b "])
+def test_white_space_after_a_passage_makes_no_other_piece(spark, gap):
+    """Three pieces that end a paragraph here, stand inside a line there, and end the text elsewhere."""
+    rnd = random.Random(23)
+    passage = " ".join(" ".join(plain_words(rnd, 7)) + "." for _ in range(3))
+    texts = [f"Own {a}. {passage}{z}" for a, z in (("one", f"{gap}Then more."), ("two", " And else."), ("three", ""))]
+    got = deduplicated(spark, texts)
+    assert got[0].text == texts[0]
+    assert [got[k].text.strip() for k in (1, 2)] == ["Own two. And else.", "Own three."]

@@ -85,7 +85,7 @@ def spans(docs: DataFrame, key: str, text: str) -> DataFrame:
                 row, starts, ends, digests = [], [], [], []
                 for k, t in enumerate(part.to_pylist(), at):
                     words, stops, _ = pieces(t)
-                    bare = ["".join(words[a:b]).strip(" ") for a, b in zip([0, *stops], stops, strict=False)]
+                    bare = ["".join(words[a:b]).strip(BLANK) for a, b in zip([0, *stops], stops, strict=False)]
                     found = runs([len(x) for x in bare])
                     row += [k] * len(found)
                     starts += [s for s, _ in found]
