@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from wardline.llm import substring_dedup
+from wardline.llm import line_dedup, substring_dedup
 
 SMALL = "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,3 +61,17 @@ def test_white_space_after_a_passage_makes_no_other_piece(spark, gap):
     got = deduplicated(spark, texts)
     assert got[0].text == texts[0]
     assert [got[k].text.strip() for k in (1, 2)] == ["Own two. And else.", "Own three."]
+
+
+def test_copies_and_long_blocks_leave_no_lines(spark):
+    rnd = random.Random(24)
+    lines = lambda n: [" ".join(plain_words(rnd, 5)) for _ in range(n)]
+    block, copy = lines(60), [lines(n) for n in range(2, 30)]
+    texts = ["\n".join(x) for x in copy + copy] + ["\n".join([*lines(rnd.randint(2, 9)), *block, *lines(rnd.randint(2, 9))]) for _ in range(12)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in line_dedup.op7_line_dedup(frame).collect()}
+    n = len(copy)
+    assert all(got[k].text == texts[k] for k in range(n))
+    assert all(got[k].text == "" for k in range(n, 2 * n))
+    inner = set(block[15:-15])  # away from its ends, where a chunk can hold foreign lines
+    assert all(not inner & set(got[k].text.split("\n")) for k in range(2 * n + 1, len(texts)))

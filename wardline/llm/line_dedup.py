@@ -31,11 +31,16 @@ def _rolled(i: Column) -> Column:
     return out
 
 
-def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, mark, s, e (first and last line), chunk (bytes without the last line feed), h of all multi-line chunks."""
+def chunks(docs: DataFrame, key: str, text: str, lone: bool = True) -> DataFrame:
+    """id, mark, s, e (first and last line), chunk (bytes without the last line feed), h of all multi-line chunks.
+
+    Without `lone` no chunk has one line: an end right after another one, after the first line or before the
+    last line is none, so that every line lies in a chunk that is compared."""
     rows = rows_of(docs, key, text, lines).where("size(parts) > 1")
     rows = rows.withColumn("hashes", F.transform("parts", lambda x: F.xxhash64(F.rtrim(x, F.lit("\n")))))
-    ends = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: (F.pmod(_rolled(i), F.lit(MEAN)) == 0) | (i == F.size("parts") - 1))
+    last, rolled = F.size("parts") - 1, lambda i: F.pmod(_rolled(i), F.lit(MEAN)) == 0
+    inner = rolled if lone else lambda i: (i > 0) & (i != last - 1) & rolled(i) & ((i == 1) | ~rolled(i - 1))
+    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | inner(i))
     rows = rows.withColumn("ends", ends)
     spans = F.transform("ends", lambda e, k: F.struct(F.coalesce(F.get("ends", k - 1) + 1, F.lit(0)).alias("s"), e.alias("e")))
     rows = rows.select("id", "mark", "parts", F.inline(F.filter(spans, lambda x: x.e > x.s)))
@@ -43,14 +48,15 @@ def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("id", "mark", "s", "e", "chunk", F.xxhash64("chunk").alias("h"))
 
 
-def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lone: bool = True) -> DataFrame:
     """`docs` with n_lines, n_removed and the text without repeated chunks (columns of these names are replaced).
 
     The first occurrence of a chunk by key, then place, stays. Null stays null; empty and one-line texts
     stay as they are; rows that repeat key and text are one document, rows with the same key and other
     texts are ordered by a hash of them; null keys come first. Empty tables stay empty.
+    With `lone`, chunks of one line occur and always stay; see chunks().
     """
-    all_ = chunks(docs, key, text)
+    all_ = chunks(docs, key, text, lone)
     twice = small(cut(all_.groupBy("h").agg(F.count("*").alias("c"), F.min(place("s")).alias("x"), F.max(place("s")).alias("y")).where("x <> y").select("h"), "hashes"))
     again = cut(all_.join(twice, "h", "left_semi").withColumn("place", place("s")), "chunks")
     # grouping by the bytes themselves is the comparison: chunks of one hash and other bytes stay apart
@@ -63,4 +69,4 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def op7_line_dedup(docs: DataFrame) -> DataFrame:
-    return line_dedup(docs.select("doc_id", "text"))
+    return line_dedup(docs.select("doc_id", "text"), lone=False)
