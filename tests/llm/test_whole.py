@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from wardline.llm import line_dedup, substring_dedup
+from wardline.llm import line_dedup, near_dedup, substring_dedup
 
 SMALL = "abcdefghijklmnopqrstuvwxyz"
 
@@ -75,3 +75,16 @@ def test_copies_and_long_blocks_leave_no_lines(spark):
     assert all(got[k].text == "" for k in range(n, 2 * n))
     inner = set(block[15:-15])  # away from its ends, where a chunk can hold foreign lines
     assert all(not inner & set(got[k].text.split("\n")) for k in range(2 * n + 1, len(texts)))
+
+
+def test_repeated_rows_keep_the_prefix_filter_exact(spark):
+    rnd = random.Random(25)
+    words = plain_words(rnd, 300, 5, 9)
+    other = [*words[:285], *plain_words(rnd, 15, 5, 9)]
+    rows = [(k, " ".join(t)) for k, t in ((1, words), (2, other)) for _ in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    signed = near_dedup.signed(docs, 5).select("row", "doc_id", "hi", "lo").distinct()
+    sets = near_dedup._sets(docs, signed.selectExpr("row", "doc_id AS node", "hi", "lo"), 5, "doc_id", "text").cache()
+    assert sorted(r.node for r in sets.collect()) == [1, 2]
+    rest = spark.createDataFrame([(1, 1), (2, 2)], "node long, label long")
+    assert [tuple(r) for r in near_dedup._rest(rest, sets, 85).collect()] == [(1, 2)]

@@ -119,7 +119,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -
             trim()
 
     texts = docs.select(F.xxhash64(key, text).alias("row"), text_of(text).alias("text"))
-    return texts.join(wanted, "row").select("node", "hi", "lo", "text").mapInArrow(run, "node long, n long, shingles array<long>")
+    # rows that repeat key and text give their node's set once
+    return texts.join(wanted, "row").select("node", "hi", "lo", "text").distinct().mapInArrow(run, "node long, n long, shingles array<long>")
 
 
 def _linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
