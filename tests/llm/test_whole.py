@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from wardline.llm import line_dedup, near_dedup, substring_dedup
+from wardline.llm import line_dedup, near_dedup, secret_scan, substring_dedup
 
 SMALL = "abcdefghijklmnopqrstuvwxyz"
 
@@ -88,3 +88,17 @@ def test_repeated_rows_keep_the_prefix_filter_exact(spark):
     assert sorted(r.node for r in sets.collect()) == [1, 2]
     rest = spark.createDataFrame([(1, 1), (2, 2)], "node long, label long")
     assert [tuple(r) for r in near_dedup._rest(rest, sets, 85).collect()] == [(1, 2)]
+
+
+def test_the_network_reads_whole_runs_and_runs_of_every_kind(spark):
+    """Keys far behind a path, without digits, and short after a key's name."""
+    rnd = random.Random(26)
+    letters = SMALL + SMALL.upper()
+    keys = [lambda: "host.example.com/api/v1/long/path/of/names/" + "".join(rnd.choices(letters + "0123456789", k=36)), lambda: "".join(rnd.choices(letters, k=32)), lambda: "".join(rnd.choices(letters + "0123456789", k=14))]
+    words = lambda n: " ".join(plain_words(rnd, n))
+    rows = [(k, f"{words(5)} key={keys[k % 3]()} {words(5)}") for k in range(90)] + [(k, words(12)) for k in range(90, 180)]
+    net = secret_scan.train(secret_scan.made_up(1600, random.Random(4)))
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), net).collect()}
+    for kind in range(3):
+        assert sum(any(x.kind == "model" for x in got[k]) for k in range(kind, 90, 3)) >= 27
+    assert not any(got[k] for k in range(90, 180))
