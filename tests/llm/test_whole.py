@@ -1,7 +1,9 @@
 """Passages, blocks, secrets and links that only the whole job finds: each of these tests failed on a version that did less."""
 
+import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from wardline.llm import line_dedup, near_dedup, secret_scan, substring_dedup
@@ -102,3 +104,15 @@ def test_the_network_reads_whole_runs_and_runs_of_every_kind(spark):
     for kind in range(3):
         assert sum(any(x.kind == "model" for x in got[k]) for k in range(kind, 90, 3)) >= 27
     assert not any(got[k] for k in range(90, 180))
+
+
+def test_thresholds_keep_the_demanded_recall():
+    """Also where secrets look like harmless runs, so that the quantile of their scores is under LEAST."""
+    rows = secret_scan.made_up(500, random.Random(27))
+    rows = [(v, int(y or k % 16 == 1), s) for k, (v, y, s) in enumerate(rows)]
+    net = secret_scan.train(rows)
+    held = sorted(set(rows), key=lambda r: hashlib.sha256(r[0].encode("utf-8", "surrogatepass")).digest())[::5]
+    secrets = [r for r in held if r[1]]
+    p = net.score([r[0] for r in secrets])
+    assert min(net.thresholds) < secret_scan.LEAST
+    assert np.mean([x >= net.thresholds[s] - 1e-9 for x, (_, _, s) in zip(p, secrets, strict=True)]) >= secret_scan.RECALL
