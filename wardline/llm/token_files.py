@@ -13,7 +13,9 @@ import itertools
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,92 +27,113 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from wardline.llm.common import begin, cut, keeps, new_folder, partitions, text_of, trim
-from wardline.llm.token_count import MEMO_LENGTH, MEMO_WORDS, Memo, sliced, words_of
+from wardline.llm.bpe import LONGEST, Merges
+from wardline.llm.common import cut, new_folder, partitions, text_of, trim
+from wardline.llm.token_count import cut_long, library, load, words_of
 
 #: Magic numbers of the format (fixed values).
 SKIPPABLE, SEEK_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
 #: The tokenizer's split of lowered text (fixed value), and the code point below which its normal form is lower case alone.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CUT = regex.compile(PATTERN + "| ")
 PLAIN = chr(0x130)
 LEVEL = 3
+#: Compressed bytes of a file, about.
+FILE_BYTES = 256_000_000
 
 
+@dataclass
 class Encoder:
     """Ids of texts exactly as `tokenizer.encode(text, add_special_tokens=False)`, word by word.
 
     Only for the word-end tokenizer, whose pre-tokeniser drops white space: a space or line feed then
     separates words that don't touch each other's ids. Words of plain Latin letters are lowered and cut
-    here by the tokenizer's own pattern, so that one entry serves all their spellings; others are left
-    to the library."""
-
-    def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.split = regex.compile(PATTERN)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words, self.tokens = Memo(MEMO_WORDS), Memo(MEMO_WORDS)
-
-    def _by_library(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, words: list[str]) -> list[bytes]:
-        hard = [not w.isascii() and max(w) >= PLAIN or "<" in w and any(s in w for s in self.special) for w in words]
-        cuts = [[w] if h else self.split.findall(w.lower()) for w, h in zip(words, hard, strict=True)]
-        tokens = list({t for cut in cuts for t in cut})
-        values, lost = self.tokens.known(tokens)
-        for k, b in zip(lost, self._by_library([tokens[k] for k in lost]), strict=True):
-            values[k] = b
-            if len(tokens[k]) <= MEMO_LENGTH:
-                self.tokens[tokens[k]] = b
-        self.tokens.trim()
-        ids = dict(zip(tokens, values, strict=True))
-        return [b"".join([ids[t] for t in cut]) for cut in cuts]
-
-    def encode(self, texts: pa.Array) -> list[bytes]:
+    here by the tokenizer's own pattern and merged with its tables; others are left to the library."""
+
+    path: str
+    special: tuple[str, ...]
+    merges: Merges
+
+    @staticmethod
+    @functools.lru_cache(maxsize=4)
+    def of(path: str) -> Encoder:
+        return Encoder(path, tuple(t.content for t in load(path).get_added_tokens_decoder().values()), Merges.of(path))
+
+    def _by_library(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """ids of the texts one after another, and how many each has."""
+        ids = [np.array(e.ids, np.uint32) for e in library(self.path).encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return np.concatenate([*ids, np.zeros(0, np.uint32)]), [len(i) for i in ids]
+
+    def _tokens(self, tokens: pa.Array) -> pa.Array:
+        """ids (large_binary) of distinct lowered pre-tokens."""
+        short = pc.less_equal(pc.binary_length(tokens), LONGEST)
+        ids, counts = self.merges.apply(pa.concat_arrays([tokens.filter(short)]))
+        long, n_long = self._by_library(tokens.filter(pc.invert(short)).to_pylist())
+        place = np.argsort(np.concatenate([np.flatnonzero(short), np.flatnonzero(pc.invert(short))]), kind="stable")
+        return grouped(np.concatenate([ids, long]), np.concatenate([counts, np.array(n_long, np.int64)])).take(pa.array(place))
+
+    def words(self, words: list[str]) -> pa.Array:
+        """ids (large_binary) of words."""
+        easy, mixed, hard = [], [], []
+        for k, w in enumerate(words):
+            if not w.isascii() and max(w) >= PLAIN or "<" in w and any(s in w for s in self.special):
+                hard.append(k)
+            else:
+                (easy if w.isalpha() else mixed).append(k)
+        tokens, sizes = [words[k].lower() for k in easy], np.ones(len(easy), np.int64)
+        if mixed:
+            cut = CUT.findall(" ".join([words[k] for k in mixed]).lower())
+            ends = np.array([*(i for i, t in enumerate(cut) if t == " "), len(cut)])
+            sizes = np.concatenate([sizes, np.diff(ends, prepend=-1) - 1])
+            tokens += [t for t in cut if t != " "]
+        coded = pa.array(tokens, pa.large_string()).dictionary_encode()
+        ids = self._tokens(coded.dictionary).take(coded.indices)
+        bounds = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        counts = np.diff(bounds[np.concatenate([[0], np.cumsum(sizes)])]) // 4
+        rest, n_rest = self._by_library([words[k] for k in hard])
+        flat = np.frombuffer(ids.buffers()[2] or b"", np.uint32)[: bounds[-1] // 4] if len(ids) else np.zeros(0, np.uint32)
+        place = np.argsort(np.array([*easy, *mixed, *hard], np.int64), kind="stable")
+        return grouped(np.concatenate([flat, rest]), np.concatenate([counts, np.array(n_rest, np.int64)])).take(pa.array(place))
+
+    def encode(self, texts: pa.Array) -> Iterator[memoryview]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
         words, index, starts = words_of(pc.replace_substring(texts, "\n", " "))
-        of, new = self.words.known(words)
-        for k, b in zip(new, self.pieces([words[k] for k in new]), strict=True):
-            of[k] = b
-            if len(words[k]) <= MEMO_LENGTH:
-                self.words[words[k]] = b
-        self.words.trim()
-        ids = pa.array(of, pa.large_binary()).take(pa.array(index))
+        ids = self.words(words).take(pa.array(index))
         ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
-        plain, cuts = memoryview(ids.buffers()[2] or b""), [*ends[starts].tolist(), int(ends[-1])]
-        return [bytes(plain[a:b]) for a, b in itertools.pairwise(cuts)]
+        plain = memoryview(ids.buffers()[2] or b"")
+        for a, b in itertools.pairwise([*ends[starts].tolist(), int(ends[-1])]):
+            yield plain[a:b]
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
-keeps("token files", lambda: _encoder.cache_clear())
+def grouped(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The ids cut into groups of these sizes, each as bytes."""
+    ends = np.concatenate([[0], np.cumsum(counts) * 4]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids.astype("<u4")))])
 
 
 class FrameWriter:
     """Writes frames as they come; the tables at the end."""
 
     def __init__(self, out) -> None:
-        self.out, self.entries, self.keys = out, [], []
+        self.out, self.entries, self.keys, self.known = out, array("I"), array("q"), bytearray()
+
+    def __len__(self) -> int:
+        return len(self.keys)
 
     def add(self, key: int | None, frame: bytes, plain: int, check: int) -> None:
         self.out.write(frame)
-        self.entries.append((len(frame), plain, check))
-        self.keys.append(key)
+        self.entries.extend((len(frame), plain, check))
+        self.keys.append(key or 0)
+        self.known.append(key is not None)
 
     def close(self) -> None:
-        known = np.array([k is not None for k in self.keys], np.uint8).tobytes()
-        keys = known + np.array([k or 0 for k in self.keys], "<i8").tobytes()
+        keys = bytes(self.known) + np.frombuffer(self.keys, np.int64).astype("<i8").tobytes()
         self.out.write(struct.pack("<II", SKIPPABLE, len(keys)) + keys)
-        table = b"".join(struct.pack("<III", *e) for e in self.entries)
+        table = np.frombuffer(self.entries, np.uint32).astype("<u4").tobytes()
         self.out.write(struct.pack("<II", SEEK_TABLE, len(table) + 9) + table)
-        self.out.write(struct.pack("<IBI", len(self.entries), CHECKSUMS, SEEKABLE))
+        self.out.write(struct.pack("<IBI", len(self), CHECKSUMS, SEEKABLE))
 
 
 class FrameReader:
@@ -145,28 +168,38 @@ class FrameReader:
 def encoded(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, tie, frame, plain, check: one compressed frame of ids for each row; a null text has no ids but the end id."""
     tail = b"" if end_id is None else struct.pack("<I", end_id)
+    shared = docs.sparkSession.sparkContext.broadcast(Encoder.of(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("token files")
-        encoder, squeeze = _encoder(path), zstandard.ZstdCompressor(level=LEVEL)
+        encoder, squeeze = shared.value, zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
-            keys, row = batch.column(0), 0
-            for part in sliced(batch.column(1)):
-                plain = [ids + tail for ids in encoder.encode(part)]
-                checks = [xxhash.xxh64_intdigest(p) for p in plain]
+            row, before = 0, b""
+            for part, more in cut_long(batch.column(1), between="[ \n]"):
+                frames, plains, checks = [], array("q"), []
+                for ids in encoder.encode(part):
+                    if more:
+                        before += ids
+                        continue
+                    plain = before + ids + tail
+                    before = b""
+                    frames.append(squeeze.compress(plain))
+                    plains.append(len(plain))
+                    checks.append(xxhash.xxh64_intdigest(plain))
+                if more:
+                    continue
+                digests = np.array(checks, np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        keys.slice(row, len(part)).cast(pa.int64()),
-                        pa.array([c >> 1 for c in checks], pa.int64()),
-                        pa.array([squeeze.compress(p) for p in plain], pa.binary()),
-                        pa.array([len(p) for p in plain], pa.int64()),
-                        pa.array([c & 0xFFFFFFFF for c in checks], pa.int64()),
+                        batch.column(0).slice(row, len(part)),
+                        pa.array((digests >> np.uint64(1)).view(np.int64)),
+                        pa.array(frames, pa.binary()),
+                        pa.array(np.frombuffer(plains, np.int64)),
+                        pa.array((digests & np.uint64(0xFFFFFFFF)).view(np.int64)),
                     ],
                     ["key", "tie", "frame", "plain", "check"],
                 )
                 row += len(part)
-                del plain
-            trim()
+        trim()
 
     return docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text")).mapInArrow(run, "key long, tie long, frame binary, plain long, check long")
 
@@ -174,15 +207,18 @@ def encoded(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id",
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | None, files: int | None = None, key: str = "doc_id", text: str = "text") -> list[tuple[str, int, int]]:
     """Write all documents, ascending by key over the files in order; returns (file, documents, ids) of each.
 
-    Rows are encoded where they lie and only compressed frames move. The range partitioning samples the
-    key together with a digest, so a key with very many rows is spread too. Equal keys are ordered by the
-    digest of their ids; null keys come first; repeated rows are written each time; an empty table gives
-    no file. A task writes under a name of its own and renames at the end, so a repeated task replaces
-    its file with the same bytes. `folder` is any URI that pyarrow can write and all executors share.
+    Rows are encoded where they lie and only compressed frames move. The number of files follows the
+    bytes (about FILE_BYTES each), but isn't under the number of shuffle partitions. The range
+    partitioning samples the key together with a digest, so a key with very many rows is spread too.
+    Equal keys are ordered by the digest of their ids; null keys come first; repeated rows are written
+    each time; an empty table gives no file. Very long texts are encoded in parts, but one document's
+    ids are one frame, which its worker holds. A task writes under a name of its own and renames at the
+    end, so a repeated task replaces its file with the same bytes. `folder` is any URI that pyarrow can
+    write and all executors share.
     """
     spark = docs.sparkSession
     rows = cut(encoded(docs, path, end_id, key, text), "frames")
-    n = files or partitions(spark)
+    n = files or max(partitions(spark), -(-(rows.agg(F.sum(F.octet_length("frame"))).first()[0] or 0) // FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -194,14 +230,15 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(temp)
                 writer = FrameWriter(out)
-            for key_, frame, plain, check in zip(*(batch.column(k).to_pylist() for k in ("key", "frame", "plain", "check")), strict=True):
-                writer.add(key_, frame, plain, check)
+            keys, frames, plains, checks = (batch.column(k) for k in ("key", "frame", "plain", "check"))
+            for k, (key_, plain, check) in enumerate(zip(keys.to_pylist(), plains.to_pylist(), checks.to_pylist(), strict=True)):
+                writer.add(key_, frames[k].as_buffer(), plain, check)
                 ids += plain // 4
         if writer:
             writer.close()
             out.close()
             store.move(temp, final)
-            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()]).cast(pa.int64()), pa.array([os.path.basename(final)]), pa.array([len(writer.keys)], pa.int64()), pa.array([ids], pa.int64())], ["part", "file", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()]).cast(pa.int64()), pa.array([os.path.basename(final)]), pa.array([len(writer)], pa.int64()), pa.array([ids], pa.int64())], ["part", "file", "n", "ids"])
 
     dealt = rows.repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie")
     made = dealt.mapInArrow(run, "part long, file string, n long, ids long").collect()
