@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from wardline.llm import decontaminate, fingerprint, language_id, line_dedup, mixing, near_dedup, secret_scan, substring_dedup
+from wardline.llm import decontaminate, fingerprint, graph, language_id, line_dedup, mixing, near_dedup, secret_scan, substring_dedup
 from wardline.llm.graph import components
 
 RND = random.Random(11)
@@ -71,6 +71,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_chain_of_ascending_ids_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "cut", lambda df, name, f=graph.cut: rounds.append(name) or f(df, name))
+    chain = spark.range(2000).selectExpr("id AS a", "id + 1 AS b")
+    assert components(chain).select("label").distinct().count() == 1
+    assert rounds.count("step") <= 15
+
+
 def brute_near(rows, percent=85):
     def shingles(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", low(text))
@@ -119,6 +127,19 @@ def test_near_duplicates_of_a_drifting_group(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == brute_near(rows)
 
 
+def test_drifting_chains_with_every_row_twice(spark):
+    """Links that no bucket leader has, between texts that all occur in two equal rows."""
+    rnd = random.Random(12)
+    rows = []
+    for c in range(8):
+        words = prose(rnd, 60).split(" ")
+        for k in range(50):
+            words[rnd.randrange(60)] = f"c{c}w{k}"
+            rows.append((100 * c + k, " ".join(words)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows + rows, "doc_id long, text string").repartition(6))
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == sorted(brute_near(rows) * 2)
+
+
 def test_sketch_estimates_high_similarities():
     rnd = np.random.default_rng(2)
     for j in (0.7, 0.85, 0.95):

@@ -4,23 +4,22 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
 
 import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of a table that may be broadcast after they have been counted.
-BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 32_000_000
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one of our own."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.wardline.scratch", None)
+    """The folder in spark.checkpoint.dir. Only in local mode (tests), where it may be unset, one of our own."""
+    conf = spark.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.wardline.scratch", None)
     if not folder:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="wardline-")
         spark.conf.set("spark.wardline.scratch", folder)
     return folder.rstrip("/")
@@ -35,14 +34,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, so that lost executors cost no lineage."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_to = path
+    return out
+
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `cut` has written and nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._cut_to)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
-def small(df: DataFrame, weight: Column | None = None) -> DataFrame:
-    """Mark a written table for broadcast if counting its rows (and the bytes that `weight` gives for
-    each) proves that it is small; otherwise leave the join to the planner."""
-    of = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(weight if weight is not None else F.lit(100)), F.lit(0)).alias("bytes")).first()
-    return F.broadcast(df) if of.n <= BROADCAST_ROWS and of.bytes <= BROADCAST_BYTES else df
+
+def sweep(spark: SparkSession) -> None:
+    """Let the driver's JVM notice that finished jobs are no longer referred to, so that their shuffle files go
+    before the next step needs the disk."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -58,27 +66,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: What Python workers keep between tasks, by the operator that keeps it.
-_KEPT: dict[str, Callable[[], None]] = {}
-_LAST: list[str] = [""]
-
-
-def keeps(operator: str, clear: Callable[[], None]) -> None:
-    """Name the function that drops what an operator keeps in a worker."""
-    _KEPT[operator] = clear
-
-
-def begin(operator: str) -> None:
-    """To be called in a worker at the start of a task: a worker that comes from another operator drops that one's memos."""
-    if _LAST[0] != operator:
-        for name, clear in _KEPT.items():
-            if name != operator:
-                clear()
-        _LAST[0] = operator
-        gc.collect()
-        trim()
-
-
 def trim() -> None:
     """Give freed memory back to the system, where there is a way to."""
     pa.default_memory_pool().release_unused()

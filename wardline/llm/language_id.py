@@ -18,14 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.common import begin, trim
-from wardline.llm.token_count import sliced
+from wardline.llm.common import trim
+from wardline.llm.token_count import cut_long
 
 #: Hashed features, longest n-gram, and the labelled documents the model is fitted on for each language, about.
 FEATURES, LONGEST, SAMPLE = 1 << 15, 3, 4_000
 #: A document's evidence counts as that of so many n-grams at most, so that scores don't all end at 1.
 EVIDENCE = 40.0
 UNKNOWN = "und"
+#: Bytes of texts that are read at a time, and where a longer text may be cut.
+SLICE, ANYWHERE = 1_000_000, r"(?s:.)"
 
 _LETTER = regex.compile(r"\p{L}")
 _P = [np.uint32(p) for p in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
@@ -57,19 +59,26 @@ class Model:
     langs: list[str]
     logp: np.ndarray  # languages x features
 
-    def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text; `und` and 0 for texts without letters."""
-        known = [bool(_LETTER.search(t)) for t in texts]
-        if not self.langs or not texts:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the sums of log probabilities by language, the number of n-grams, and whether it has letters."""
         found, starts = features(texts)
         sums = np.stack([np.add.reduceat(row[found], starts[:-1]) for row in self.logp], axis=1)
-        n = np.diff(starts)[:, None]
+        return sums, np.diff(starts), np.array([bool(_LETTER.search(t)) for t in texts])
+
+    def decided(self, sums: np.ndarray, n: np.ndarray, known: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Language and score; `und` and 0 without letters."""
+        n = n[:, None]
         logits = sums / n * np.minimum(n, EVIDENCE)
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
-        return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, p[np.arange(len(texts)), best], 0.0)
+        return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, p[np.arange(len(n)), best], 0.0)
+
+    def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text; `und` and 0 for texts without letters, and for all if no language is known."""
+        if not self.langs or not texts:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return self.decided(*self.evidence(texts))
 
 
 def held_out(key: str) -> Column:
@@ -90,17 +99,16 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     chosen = rows.where(F.pmod(F.xxhash64(F.lit("language"), "key", F.when(F.col("key").isNull(), F.col("text"))), F.lit(1_000_000)) < share * 1_000_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("language ID")
         total = {}
         for batch in batches:
             names, at = batch.column(1).to_pylist(), 0
-            for part in sliced(batch.column(0), 1_000_000):
+            for part, more in cut_long(batch.column(0), SLICE, ANYWHERE):
                 texts = part.to_pylist()
                 found, starts = features(texts)
                 of = np.array([langs.index(n) for n in names[at : at + len(texts)]]).repeat(np.diff(starts))
                 for k in np.unique(of):
                     total[k] = total.get(k, 0) + np.bincount(found[of == k], minlength=FEATURES)
-                at += len(texts)
+                at += 0 if more else len(texts)
         for k, counts in total.items():
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.int64))], ["l", "f", "n"])
@@ -115,18 +123,26 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of `docs` and lang_pred, score (columns of these names are replaced).
 
     Null, empty and letterless texts are `und` with score 0; ties go to the first language by name.
-    Each row is scored alone: repeated rows agree, an empty table stays empty.
+    Each row is scored alone: repeated rows agree, an empty table stays empty. Texts of more than twice
+    SLICE bytes are read in parts, of which the evidence is added up (an n-gram across a cut ends there).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
     schema, at = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)]), base.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("language ID")
+        model = shared.value
         for batch in batches:
-            langs, scores = [], []
-            for part in sliced(pc.fill_null(batch.column(at), ""), 1_000_000):
-                a, b = shared.value.score(part.to_pylist())
+            langs, scores, before = [], [], None
+            for part, more in cut_long(pc.fill_null(batch.column(at), ""), SLICE, ANYWHERE):
+                if not model.langs:
+                    a, b = model.score([] if more else part.to_pylist())
+                else:
+                    sums, n, known = model.evidence(part.to_pylist())
+                    if before is not None:
+                        sums[0], n[0], known[0] = sums[0] + before[0], n[0] + before[1], known[0] | before[2]
+                    before = (sums[0], n[0], known[0]) if more else None
+                    a, b = ([], np.zeros(0)) if more else model.decided(sums, n, known)
                 langs += a
                 scores.append(b)
             both = [pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, np.zeros(0)]))]

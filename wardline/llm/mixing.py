@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.common import cut, small
+from wardline.llm.common import cut
 
 #: Words (fixed value): runs of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", ke
     plan = sums.select("source", "bins").withColumnRenamed("source", "s").join(targets(sums.select("source", "source_size")), F.col("s").eqNullSafe(F.col("source"))).drop("s")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-    plan = small(cut(plan.withColumnRenamed("source", "s"), "plan"))
+    plan = cut(plan.withColumnRenamed("source", "s"), "plan")
     binned = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bin", F.floor((1 - F.exp(-F.col("k"))) * F.col("bins")).cast("int"))
 
     of_bins = binned.groupBy("source", "bin", "rest").agg(F.sum("size").alias("sum"))
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", ke
     of_bins = of_bins.withColumn("upto", F.sum("sum").over(upto)).withColumn("before", F.col("upto") - F.col("sum"))
     # where the budget ends: the one bin that holds it, whose predecessors are taken whole
     last = of_bins.where("before < rest and upto >= rest").select(F.col("source").alias("s"), F.col("bin").alias("last"), "before")
-    last = small(cut(last, "last-bins"))
+    last = cut(last, "last-bins")
     placed = binned.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     inside = (F.col("bin") == F.col("last")) & (F.col("size") > 0)
     order = Window.partitionBy("source").orderBy("k", "id", "mark").rowsBetween(Window.unboundedPreceding, 0)

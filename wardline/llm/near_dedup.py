@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import begin, cut, small, text_of, trim
+from wardline.llm.common import cut, forget, text_of, trim
 from wardline.llm.graph import components
 from wardline.llm.shingles import mixed, shingle_sets
 from wardline.llm.token_count import sliced
@@ -82,7 +82,6 @@ def signed(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text")
     none = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("near duplicates")
         for batch in batches:
             at = 0
             for part in sliced(batch.column(2)):
@@ -105,7 +104,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -
     """node, n, shingles of the wanted (row, node, hi, lo)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("near duplicates")
         for batch in batches:
             at = 0
             for part in sliced(batch.column(3)):
@@ -119,8 +117,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -
             trim()
 
     texts = docs.select(F.xxhash64(key, text).alias("row"), text_of(text).alias("text"))
-    # rows that repeat key and text give their node's set once
-    return texts.join(wanted, "row").select("node", "hi", "lo", "text").distinct().mapInArrow(run, "node long, n long, shingles array<long>")
+    # rows that repeat key and text give their node's set once; the join has sorted them next to each other
+    once = texts.join(wanted, "row").dropDuplicates(["row"]).select("node", "hi", "lo", "text")
+    return once.mapInArrow(run, "node long, n long, shingles array<long>")
 
 
 def _linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -130,12 +129,11 @@ def _linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int
     near = near.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
     differing = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = cut(near.where(estimate(differing) >= percent / 100 - SLACK).select("a", "b").distinct(), "near")
-    # where the pairs are few only the sets they name move
-    first = of(sets, "a", "shingles").join(small(near), "a")
-    named = small(cut(near.select("b").distinct(), "named"))
-    full = first.join(of(sets, "b", "shingles").join(named, "b", "left_semi"), "b")
+    full = near.join(of(sets, "a", "shingles"), "a").join(of(sets, "b", "shingles"), "b")
     common = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    return full.where(100 * common >= percent * (F.size("a_shingles") + F.size("b_shingles") - common)).select("a", "b").distinct()
+    linked = cut(full.where(100 * common >= percent * (F.size("a_shingles") + F.size("b_shingles") - common)).select("a", "b").distinct(), "links")
+    forget(near)
+    return linked
 
 
 def _rest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -148,14 +146,16 @@ def _rest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     each = sets.join(rest, "node").select("node", "label", "n", F.explode("shingles").alias("s"))
     counts = each.groupBy("s").agg(F.count("*").alias("c"))
     size = (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).cast("int")
-    ranked = each.join(counts, "s").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("order"))
+    ranked = each.join(counts, "s").groupBy("node", "label", "n").agg(F.array_sort(F.collect_set(F.struct("c", "s"))).alias("order"))
     prefix = cut(ranked.select("node", "label", "n", F.posexplode(F.slice("order", F.lit(1), size)).alias("i", "x")).select("node", "label", (F.col("n") - F.col("i")).alias("room"), "n", "x.s"), "prefix")
     shared = prefix.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("s")
     some = cut(prefix.join(shared, "s", "left_semi"), "prefix")
     of = lambda *names: some.select("s", *(F.col(c).alias(n) for c, n in zip(("node", "label", "n", "room"), names, strict=True)))
     pairs = of("a", "x", "m", "k").join(of("b", "y", "n", "l"), "s").where("a < b and x <> y")
     pairs = pairs.where((100 + percent) * F.least("k", "l") >= percent * (F.col("m") + F.col("n")))
-    return pairs.select("a", "b").distinct()
+    pairs = cut(pairs.select("a", "b").distinct(), "pairs")
+    forget(prefix, some)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,35 +171,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str
     all_ = cut(signed(docs, width, key, text), "signed")
     classes = all_.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    first = all_.join(classes.select("hi", "lo", "n", "row", "node"), ["hi", "lo", "n", "row"])
-    sketches = first.select("node", "n", "sketch")
+    same = ["hi", "lo", "n", "row"]
+    first = all_.join(classes.select(*same, "node"), same).dropDuplicates(same)
     banded = first.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("c")).where("x <> y").select("band", "c")
-    members = cut(banded.join(shared, "band").distinct(), "members")
-    nodes = members.select("node").distinct()
-    wanted = small(cut(classes.join(nodes, "node").select("row", "node", "hi", "lo"), "wanted"))
-    sets = cut(_sets(docs, wanted, width, key, text), "sets")
-    sketches = cut(sketches.join(small(cut(nodes, "nodes")), "node", "left_semi"), "sketches")
+    members = cut(banded.join(shared, "band"), "members")
+    nodes = cut(members.select("node").distinct(), "nodes")
+    sets = cut(_sets(docs, classes.join(nodes, "node").select("row", "node", "hi", "lo"), width, key, text), "sets")
+    sketches = cut(first.select("node", "n", "sketch").join(nodes, "node"), "sketches")
 
     # the class that meets most others in its buckets leads them: in a group of edited copies, the original
     central = members.groupBy("node").agg(F.sum("c").alias("central"))
     rank = F.col("central").cast("decimal(38,0)") * shift + (_SHIFTED - 1 - F.col("node"))
     leaders = members.join(central, "node").withColumn("rank", rank.cast("decimal(38,0)")).groupBy("band").agg((_SHIFTED - 1 - (F.max("rank") % shift).cast("long")).alias("a"))
     stars = members.join(leaders, "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    links = cut(_linked(stars, sketches, sets, percent), "links")
+    links = _linked(stars, sketches, sets, percent)
     labels = components(links)
 
     named = cut(members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "named")
     mixed_ = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    rest = small(cut(named.join(mixed_, "band", "left_semi").select("node", "label").distinct(), "rest"))
-    more = _rest(rest, sets, percent)
-    late = cut(_linked(more, sketches, sets, percent), "links")
+    rest = cut(named.join(mixed_, "band", "left_semi").select("node", "label").distinct(), "rest")
+    pairs = _rest(rest, sets, percent)
+    late = _linked(pairs, sketches, sets, percent)
     if not late.isEmpty():
         labels = components(links.union(late))
 
     least = classes.join(labels, "node", "left").select("hi", "lo", "n", "least", F.coalesce("label", "node").alias("label"))
     groups = least.groupBy("label").agg(F.min("least").alias("component_id"))
     found = cut(least.join(groups, "label").select("hi", "lo", "n", "component_id"), "found")
+    forget(members, nodes, sets, sketches, links, named, rest, pairs, late, classes)
     out = all_.select("doc_id", "hi", "lo", "n", "row").join(found, ["hi", "lo", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "row")
