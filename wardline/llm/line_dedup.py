@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import cut, small
+from wardline.llm.common import cut
 from wardline.llm.repeats import place, rows_of, without
 
 #: Lines under the rolling hash, and the mean number of lines of a chunk.
@@ -57,11 +57,11 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lone: b
     With `lone`, chunks of one line occur and always stay; see chunks().
     """
     all_ = chunks(docs, key, text, lone)
-    twice = small(cut(all_.groupBy("h").agg(F.count("*").alias("c"), F.min(place("s")).alias("x"), F.max(place("s")).alias("y")).where("x <> y").select("h"), "hashes"))
+    twice = cut(all_.groupBy("h").agg(F.min(place("s")).alias("x"), F.max(place("s")).alias("y")).where("x <> y").select("h"), "hashes")
     again = cut(all_.join(twice, "h", "left_semi").withColumn("place", place("s")), "chunks")
     # grouping by the bytes themselves is the comparison: chunks of one hash and other bytes stay apart
     first = again.groupBy("h", "chunk").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last")
-    first = small(cut(first.select(F.col("h").alias("h_"), F.col("chunk").alias("chunk_"), "first"), "first"), F.octet_length("chunk_") + 60)
+    first = cut(first.select(F.col("h").alias("h_"), F.col("chunk").alias("chunk_"), "first"), "first")
     gone = again.join(first, (F.col("h") == F.col("h_")) & (F.col("chunk") == F.col("chunk_"))).where("place <> first").select("id", "mark", "s", "e")
     out = without(docs, gone, key, text, lines)
     others = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
