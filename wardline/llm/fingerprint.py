@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import partitions, text_of
@@ -86,6 +86,21 @@ def likeness(x: str, y: str) -> float:
     return best
 
 
+def _below(borders: list[int], value: Column) -> Column:
+    """How many of the ascending borders are less than the value, by halving."""
+    table, n = F.array(*map(F.lit, borders)).cast("array<long>"), len(borders)
+    start = F.struct(F.lit(0).alias("low"), F.lit(n).alias("high"))
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["low"] + span["high"]) / 2).cast("int")
+        less = F.coalesce(F.get(table, middle) < value, F.lit(False))
+        low, high = F.when(less, middle + 1).otherwise(span["low"]), F.when(less, span["high"]).otherwise(middle)
+        open_ = span["low"] < span["high"]
+        return F.struct(F.when(open_, low).otherwise(span["low"]).alias("low"), F.when(open_, high).otherwise(span["high"]).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), start, halve)["low"] if n else F.lit(0)
+
+
 def with_successor(docs: DataFrame, key: str, text: str, bins: int) -> DataFrame:
     """bin, guest, id, text: documents in bins of ascending key, each bin with its successor's first rows as guests.
 
@@ -94,15 +109,15 @@ def with_successor(docs: DataFrame, key: str, text: str, bins: int) -> DataFrame
     rows = docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("text"))
     borders = rows.agg(F.percentile_approx("id", [k / bins for k in range(1, bins)], 10_000).alias("q")).first().q if bins > 1 else None
     borders = sorted(set(borders or []))
-    place = F.lit(0)
-    if borders:
-        place = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, borders)), lambda x: x < F.col("id"))))
-    rows = rows.withColumn("bin", place)
-    firsts = sorted(((r.bin, r.least, r.nulls) for r in rows.groupBy("bin").agg(F.min("id").alias("least"), (F.count("*") > F.count("id")).alias("nulls")).collect()), key=lambda r: r[0])
+    rows = rows.withColumn("bin", F.when(F.col("id").isNull(), 0).otherwise(_below(borders, F.col("id"))))
+    firsts = {r.bin: r for r in rows.groupBy("bin").agg(F.min("id").alias("least"), (F.count("*") > F.count("id")).alias("nulls")).collect()}
     if not firsts:
         return rows.select("bin", F.lit(False).alias("guest"), "id", "text")
-    table = F.create_map(*[x for k, (b, low, nulls) in enumerate(firsts) for x in (F.lit(b), F.struct(F.lit(firsts[k - 1][0]).alias("before"), F.lit(None if nulls else low).cast("long").alias("least")))])
-    info = F.element_at(table, F.col("bin"))
+    # by bin: where its first rows are guests (before the first bin comes the last), and their key
+    known, before, least = sorted(firsts), [None] * (len(borders) + 1), [None] * (len(borders) + 1)
+    for k, b in enumerate(known):
+        before[b], least[b] = known[k - 1], None if firsts[b].nulls else firsts[b].least
+    info = {"before": F.get(F.array(*map(F.lit, before)).cast("array<int>"), F.col("bin")), "least": F.get(F.array(*map(F.lit, least)).cast("array<long>"), F.col("bin"))}
     first = F.col("id").eqNullSafe(info["least"])
     homes = F.when(first, F.array(F.struct(F.col("bin").alias("bin"), F.lit(False).alias("guest")), F.struct(info["before"].alias("bin"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("bin").alias("bin"), F.lit(False).alias("guest"))))
     dealt = rows.select("id", "text", F.explode(homes).alias("home")).select("home.bin", "home.guest", "id", "text")

@@ -65,7 +65,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", ke
         rows = rows.withColumn("quality", F.coalesce("quality", F.lit(1.0)))
     else:
         rows = rows.withColumn("quality", F.lit(1.0))
-    rows = cut(rows.withColumn("k", -F.log(uniform(F.lit(seed), F.col("id").cast("string"))) / F.col("quality")), "sized")
+    rows = cut(rows.withColumn("k", -F.log(uniform(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.col("mark").cast("string")))) / F.col("quality")), "sized")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     bins = F.least(F.lit(MAX_BINS), F.greatest(F.lit(1), F.ceil(F.col("rows") / BIN_ROWS))).cast("int").alias("bins")
     sums = cut(sums.select("source", "source_size", bins), "sources")
@@ -99,14 +99,20 @@ def label_quality(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.when(F.max("quality") > 0, F.lit(2.0)).otherwise(F.lit(0.5)).alias("quality"))
 
 
-def mixed_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: every row of `docs` as often as it is taken, with all its columns.
 
-    Rows that repeat id and text come as often as the one of them that is taken most."""
-    plan = mix(docs, quality).where("taken > 0").withColumn("__n", (F.col("epochs") + F.col("extra").cast("long")).cast("int"))
-    times = plan.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.max("__n").alias("__n"))
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__mark")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    Rows that repeat id, text and source are told apart by a running number, so that together they come as
+    often as the mix takes them together. Rows without words are never taken. Names of columns that begin
+    with two underscores are used inside.
+    """
+    plan = mix(docs, quality, key=key, text=text, source=source).where("size > 0")
+    times = plan.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("source").alias("__source")).agg(F.min("epochs").alias("__epochs"), F.count_if("extra").alias("__extra"))
+    times = times.where("__epochs > 0 or __extra > 0")
+    same = F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")) & F.col(source).cast("string").eqNullSafe(F.col("__source"))
+    number = F.row_number().over(Window.partitionBy("__id", "__mark", "__source").orderBy(F.lit(0)))
+    rows = docs.join(times, same).withColumn("__n", F.col("__epochs") + (number <= F.col("__extra")).cast("long"))
+    return rows.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*docs.columns)
 
 
 def op6_mixing(docs: DataFrame, labels: DataFrame) -> DataFrame:

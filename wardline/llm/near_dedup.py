@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.common import cut, forget, text_of, trim
@@ -159,7 +159,7 @@ def _rest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, row (a hash of key and text) for every row of `docs`.
+    """doc_id, n_shingles, component_id, kept, row (a hash of key and text), group for every row of `docs`.
 
     Rows are linked if 100 * intersection >= percent * union of their shingle sets. component_id is the
     smallest key that links reach; kept says that it is the row's own. Null and empty texts have no
@@ -198,8 +198,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str
 
     least = classes.join(labels, "node", "left").select("hi", "lo", "n", "least", F.coalesce("label", "node").alias("label"))
     groups = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = cut(least.join(groups, "label").select("hi", "lo", "n", "component_id"), "found")
+    found = cut(least.join(groups, "label").select("hi", "lo", "n", "component_id", F.col("label").alias("group")), "found")
     forget(members, nodes, sets, sketches, links, named, rest, pairs, late, classes)
     out = all_.select("doc_id", "hi", "lo", "n", "row").join(found, ["hi", "lo", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "row")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "row", "group")
+
+
+def one_of_each(docs: DataFrame, percent: int = 85, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, of which no other row of their group is kept.
+
+    Of each group one row stays, also where its rows repeat each other or share a key: one with the least key
+    (null if there is no other), then the least hash of key and text. Rows without shingles all stay.
+    """
+    found = near_duplicates(docs, percent, width, key, text)
+    chosen = found.where("kept and n_shingles > 0").groupBy("group").agg(F.min("row").alias("__row"))
+    chosen = cut(found.where("n_shingles = 0").select(F.col("row").alias("__row"), F.lit(True).alias("__all")).distinct().unionByName(chosen.select("__row", F.lit(False).alias("__all"))), "chosen")
+    # a row's hash alone could be another row's, which a key beside it rules out as far as keys differ
+    keyed = found.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct().join(chosen, "__row")
+    same = (F.xxhash64(key, text) == F.col("__row")) & F.col(key).cast("long").eqNullSafe(F.col("__id"))
+    copy = F.row_number().over(Window.partitionBy("__row", "__id").orderBy(F.lit(0)))
+    return docs.join(keyed, same).withColumn("__copy", copy).where("__all or __copy = 1").select(*docs.columns)
