@@ -26,9 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    found = near_dedup.near_duplicates(docs)
-    gone = cut(found.where(~F.col("kept")).select(F.col("row").alias("__gone")), "gone")
-    return docs.join(gone, F.xxhash64("doc_id", "text") == F.col("__gone"), "left_anti")
+    return near_dedup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
