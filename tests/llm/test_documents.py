@@ -336,6 +336,35 @@ def test_substring_dedup(spark, docs, none):
     assert substring_dedup.op10_substring_dedup(none).count() == 0
 
 
+def test_common_lines_are_no_passages(spark):
+    """Lines and sentences that many documents share stay; passages of over 50 words between them go."""
+    rnd = random.Random(31)
+    own = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(n)) + "."
+    common, passage = [own(n) for n in (8, 9, 13)], own(51)
+    rows = [(k, "\n".join([own(12), rnd.choice(common), own(9), *([passage] if k in (3, 17) else []), own(7), common[0], own(4)])) for k in range(30)]
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert [k for k in got if got[k].n_removed] == [17]
+    assert all(got[k].text == t for k, t in rows if k != 17)
+    assert len(got[17].text.split()) <= len(rows[17][1].split()) - 22
+
+
+def test_spans_of_a_batch_and_repeated_rows(spark, monkeypatch):
+    """A row that is repeated is one document, in one batch and over several; others with its text lose it."""
+    rnd = random.Random(32)
+    text = " ".join("".join(rnd.choices("abcdefghij", k=5)) for _ in range(90))
+    for parts in (1, 6):
+        rows = [(k, text) for k in (4, 4, 4, 7, 7, 9, None, None)]
+        got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted((str(r.doc_id), r.text == text) for r in got) == [*[(k, False) for k in "44477"], ("9", False), ("None", True), ("None", True)]
+    for size in (40, 10**6):
+        monkeypatch.setattr(substring_dedup, "SLICE", size)
+        rows = corpus()
+        got = substring_dedup.substring_dedup(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()
+        result = sorted((str(r.doc_id), str(r.text), r.n_sentences, r.n_removed) for r in got)
+        assert size == 40 or result == before
+        before = result
+
+
 def test_language_id(spark, docs, none):
     rnd = random.Random(6)
     words = {"aa": ["thi", "ou", "wha", "sh"], "bb": ["lich", "keit", "äu", "ß"], "cc": ["ción", "mente", "ñ", "osa"]}

@@ -3,7 +3,8 @@
 A text is cut into sentences, and these where their words say so: of every WINDOW words without a stop
 the one with the least hash ends a piece, so that a passage has the same pieces inside whatever stands
 before it. Every run of SPAN consecutive pieces (more where they are short) is hashed, spans of all
-documents meet by hash, and a piece goes if any repeated span that isn't the first of its kind covers it.
+documents meet by hash, and a piece goes if any repeated span that isn't the first of its kind covers it, unless
+such spans together cover less than LEAST_WORDS words there: common lines are no passages.
 
 All of this works on the bytes of a whole slice of texts at once.
 """
@@ -31,6 +32,9 @@ SPAN, PIECE_WORDS, LEAST_BYTES = 3, 25, 40
 #: Words of which one ends a piece. Two copies of a passage can be cut differently only in their first and
 #: last WINDOW - 1 words, so 51 words leave 37 with at least four common ends: SPAN pieces.
 WINDOW = 8
+#: Words that repeated spans must cover without a gap before anything goes. Of 51 shared words at least those between
+#: two common ends are covered, the first of which is the 15th at most and the last the 37th at least.
+LEAST_WORDS = 20
 #: Bytes of texts that are cut at a time; words of more bytes are hashed alone.
 SLICE, LONG_WORD = 2_000_000, 512
 
@@ -221,8 +225,16 @@ def _again(ids: pa.Array, marks: pa.Array, row: np.ndarray, s: np.ndarray, h: np
     return again, keep
 
 
+def long_runs(gone: np.ndarray, cut: Pieces) -> np.ndarray:
+    """Those of the pieces that lie in a run of LEAST_WORDS words at least of one text."""
+    fresh = np.ones(len(gone), bool)
+    fresh[1:] = (gone[1:] != gone[:-1]) | (cut.piece_of[1:] != cut.piece_of[:-1])
+    run = np.cumsum(fresh) - 1
+    return gone & (np.bincount(run, cut.to - cut.piece_start)[run] >= LEAST_WORDS) if len(gone) else gone
+
+
 def left_over(texts: pa.Array, ranges: pa.Array) -> pa.Array:
-    """struct<text, n, gone>: the texts without these ranges of pieces; their sentences (of at most PIECE_WORDS
+    """struct<text, n, gone>: the texts without these ranges of pieces (where they make runs of LEAST_WORDS); their sentences (of at most PIECE_WORDS
     words), and how many of them lose something."""
     out, at = [], 0
     for part in sliced(texts, SLICE):
@@ -242,7 +254,7 @@ def left_over(texts: pa.Array, ranges: pa.Array) -> pa.Array:
         change = np.zeros(len(cut.to) + 1, np.int64)
         np.add.at(change, cut.piece_at[row] + np.asarray(pc.struct_field(flat, "s")), 1)
         np.add.at(change, cut.piece_at[row] + np.asarray(pc.struct_field(flat, "e")) + 1, -1)
-        gone = np.repeat(np.cumsum(change)[:-1] > 0, cut.to - cut.piece_start)
+        gone = np.repeat(long_runs(np.cumsum(change)[:-1] > 0, cut), cut.to - cut.piece_start)
         lost = np.bincount(cut.of[np.flatnonzero(gone)[np.unique(sentence[gone], return_index=True)[1]]], minlength=len(part)) if n else np.zeros(len(part), np.int64)
         keep = np.repeat(~gone, cut.end - cut.start)
         ends = np.concatenate([[0], np.cumsum(keep)])[cut.at].astype(np.int64)
