@@ -28,7 +28,7 @@ def ranged(docs: DataFrame, gone: DataFrame, key: str, text: str) -> DataFrame:
     """All columns of `docs` and __ranges: the set of s and e that `gone` (id, mark, s, e) has for a row, null if none."""
     ranges = gone.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_set(F.struct("s", "e")).alias("__ranges"))
     ranges = cut(ranges, "removed")
-    return docs.join(ranges, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(F.lit(1), text) == F.col("__mark")), "left").drop("__id", "__mark")
+    return docs.join(ranges.hint("merge"), F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(F.lit(1), text) == F.col("__mark")), "left").drop("__id", "__mark")
 
 
 def without(docs: DataFrame, gone: DataFrame, key: str, text: str, parts: Callable[[Column], Column]) -> DataFrame:
