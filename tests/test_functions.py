@@ -46,20 +46,27 @@ def test_first_match_and_normalized_view(spark):
     assert keyed.endswith(f"match_hmac={hmac.new(b'k', AWS.encode(), 'sha256').hexdigest()[:12]})")
 
 
+def boundaries(value):
+    """The byte offsets at which characters of a text begin, and its end."""
+    return [len(value[:k].encode()) for k in range(len(value) + 1)]
+
+
 def python_windows(value, most, tail):
-    data = value.encode()
-    cut = lambda b: b.decode("utf-8", "ignore")
-    if len(data) <= most:
+    """By byte offsets: the longest beginning within `most`, `tail` bytes about the middle of the unread part, the last `tail`."""
+    at, size = boundaries(value), len(value.encode())
+    if size <= most:
         return [value]
-    head = cut(data[:most])
-    out = [head]
+    up, down = (lambda a: next((x for x in at if x >= a), size)), (lambda b: max(x for x in at if x <= b))
+    read = down(most)
+    spans = [(0, read)]
     if tail > 0:
-        start, stop = len(head.encode()), max(len(head.encode()), len(data) - tail)
-        if stop - start > 1:
-            m = max(start, (start + stop) // 2 - tail // 2)
-            out.append(cut(data[m : m + tail]))
-        out.append(cut(data[-tail:]))
-    return [x for k, x in enumerate(out) if x and x not in out[:k]]
+        unread_end = max(read, size - tail)
+        middle = max(read, (read + unread_end) // 2 - tail // 2)
+        if unread_end > read + 1:
+            spans.append((up(middle), down(min(size, middle + tail))))
+        spans.append((up(max(0, size - tail)), size))
+    texts = [value.encode()[a:b].decode() for a, b in spans if b > a]
+    return list(dict.fromkeys(texts))
 
 
 @pytest.mark.parametrize(("most", "tail"), [(16, 4), (16, 0), (7, 9), (1024, 256)])
@@ -108,13 +115,44 @@ def test_identity(spark):
 
 
 def test_token_windows(spark):
-    def plan(n, win=512, stride=64, most=16):
-        if n <= win:
-            return [0]
-        step = max(1, win - stride)
-        starts = list(range(0, n - win + 1, step))[: max(0, min(max(4, (n - win + step) // step + 1), most) - 1)]
-        return starts if starts and starts[-1] == n - win else [*starts, n - win]
-
+    """As many windows as the budget says, a stride apart, and the last one at the end of the tokens."""
     sizes = [0, 1, 512, 513, 960, 961, 1408, 5000, 20000]
     got = {r.t: r.w for r in column(spark, sizes, "int").withColumn("w", text.token_windows(F.col("t"))).collect()}
-    assert got == {n: plan(n) for n in sizes}
+    assert got == {n: text.window_starts(n) for n in sizes}
+    assert got[512] == [0]
+    assert got[513] == [0, 1]
+    assert got[961] == [0, 448, 449]
+    assert got[5000] == [*range(0, 5000 - 512, 448), 5000 - 512]
+    assert got[20000] == [448 * k for k in range(15)] + [20000 - 512]
+    for n in sizes[3:]:
+        starts = got[n]
+        assert starts[-1] == n - 512
+        assert len(starts) <= 16
+        assert len(starts) == 16 or all(b - a <= 448 for a, b in zip(starts, starts[1:]))
+
+
+def test_payloads_that_no_table_can_hold_spoil_only_their_row(spark):
+    deep = "[" * 60_000 + "]" * 60_000
+    raws = [json.dumps({"content": [{"text": "fine"}]}), '{"content": [{"text": "a\\ud800b"}]}', '{"content": [{"text": "\\ud83d\\ude00"}]}', deep, "", None, '{"\\udc00": 1}', '{"bad']
+    df = column(spark, raws)
+    got = {r.k: r.x for r in df.withColumn("x", text.extract_text(F.col("t"))).collect()}
+    assert [got[k].text for k in range(8)] == ["fine", "a\ufffdb", "😀", None, None, "{}", '{"\ufffd": 1}', None]
+    assert [got[k].error and got[k].error[:20] for k in range(8)] == [None, None, None, "engine_error", "empty json payload", None, None, "invalid json payload"]
+    masked = {r.k: r.x for r in df.withColumn("x", json_redactor()(F.col("t"))).collect()}
+    assert masked[1].value == '{"content": [{"text": "a\\ud800b"}]}'
+    assert (masked[3].value, masked[4].value, masked[7].redactions) == (None, None, 0)
+    sizes = {r.k: r.x for r in df.withColumn("x", text.json_bytes(F.col("t"))).collect()}
+    assert sizes[0] == len(raws[0])
+    assert sizes[3] is None
+
+
+def test_redaction_of_one_member_and_of_large_values(spark):
+    raw = json.dumps({"name": "me@x.example", "arguments": {"to": "é me@x.example", "n": 1}})
+    df = column(spark, [raw, '{"name": "a@b.example"}', '"me@x.example"'])
+    got = {r.k: r.x for r in df.withColumn("x", json_redactor(member="arguments")(F.col("t"))).collect()}
+    assert got[0].value == '{"name": "me@x.example", "arguments": {"to": "\\u00e9 [REDACTED:EMAIL]", "n": 1}}'
+    assert (got[0].redactions, got[1].value, got[2].value) == (1, None, None)
+    size = len(json.dumps({"to": "é me@x.example", "n": 1}))
+    for most, skipped in ((size, False), (size - 1, True)):
+        r = df.withColumn("x", json_redactor(member="arguments", most=most)(F.col("t"))).where("k = 0").first().x
+        assert (r.skipped, r.value is None) == (skipped, skipped)

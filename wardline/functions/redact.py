@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Any
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.patterns import REDACTION_NEEDS, REDACTIONS
+from wardline.functions.text import value_bytes
 
 
 def placeholder(name: str) -> str:
@@ -38,21 +39,30 @@ def _python(regex: str) -> re.Pattern[str]:
     return re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), regex))
 
 
-def json_redactor(patterns: Sequence[tuple[str, str]] = REDACTIONS):
-    """A pandas UDF from JSON text to struct<value, redactions>: strings at any depth are masked, keys,
-    numbers and shape stay. Invalid JSON and null give null and 0."""
+def masker(patterns: Sequence[tuple[str, str]] = REDACTIONS) -> Callable[[str], tuple[str, int]]:
+    """A function from text to the masked text and the number of substitutions, for use in workers."""
     compiled = [(placeholder(n), _python(r)) for n, r in patterns]
 
-    def text(value: str) -> tuple[str, int]:
+    def mask(text: str) -> tuple[str, int]:
         total = 0
         for mark, regex in compiled:
-            value, n = regex.subn(mark, value)
+            text, n = regex.subn(mark, text)
             total += n
-        return value, total
+        return text, total
+
+    return mask
+
+
+def json_redactor(patterns: Sequence[tuple[str, str]] = REDACTIONS, member: str | None = None, most: int = 0):
+    """A pandas UDF from JSON text to struct<value, redactions, skipped>: strings at any depth are masked, keys,
+    numbers and shape stay, and the value is ASCII JSON. With `member` only that member of an object is masked;
+    what is larger than `most` bytes (0: no bound) is left alone and marked as skipped. Invalid JSON, nesting
+    without end, a missing member and null give null and 0."""
+    mask = masker(patterns)
 
     def walk(value: Any) -> tuple[Any, int]:
         if isinstance(value, str):
-            return text(value)
+            return mask(value)
         if isinstance(value, dict):
             done = {k: walk(v) for k, v in value.items()}
             return {k: v for k, (v, _) in done.items()}, sum(n for _, n in done.values())
@@ -61,26 +71,28 @@ def json_redactor(patterns: Sequence[tuple[str, str]] = REDACTIONS):
             return [v for v, _ in done], sum(n for _, n in done)
         return value, 0
 
-    def one(raw: str | None) -> tuple[str | None, int]:
+    def one(raw: str | None) -> tuple[str | None, int, bool]:
         try:
-            value, n = walk(json.loads(raw))
-        except (TypeError, ValueError):
-            return None, 0
-        return json.dumps(value, ensure_ascii=False), n
-
-    @F.pandas_udf("struct<value:string,redactions:long>")
+            whole = json.loads(raw)
+            part = whole if member is None else whole[member]
+            if part is None or 0 < most < value_bytes(part):
+                return None, 0, part is not None
+            part, n = walk(part)
+            return json.dumps(part if member is None else {**whole, member: part}), n, False
+        except (TypeError, ValueError, KeyError, RecursionError):
+            return None, 0, False
+
+    @F.pandas_udf("struct<value:string,redactions:long,skipped:boolean>")
     def run(raw: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(r) for r in raw], columns=["value", "redactions"])
+        return pd.DataFrame([one(r) for r in raw], columns=["value", "redactions", "skipped"])
 
     return run
 
 
-def redaction_gate(deny: Column, review: Column, size: Column, on_review: bool = True, most: int = 262144) -> Column:
-    """Null where a payload is to be masked, else why not: denied, review or size."""
+def redaction_gate(deny: Column, review: Column, on_review: bool = True) -> Column:
+    """Null where a payload is to be masked, else why not: denied or review. Size is judged by the redactor."""
     gate = F.when(deny, F.lit("denied"))
-    if not on_review:
-        gate = gate.when(review, F.lit("review"))
-    return gate.when(size > most, F.lit("size"))
+    return gate if on_review else gate.when(review, F.lit("review"))
 
 
 def tagged(reason: Column, n: Column) -> Column:

@@ -48,19 +48,20 @@ def digest12(value: Column) -> Column:
     return F.substring(F.sha2(value, 256), 1, 12)
 
 
-def _by_index(index: Column, patterns: Sequence[Pattern], value) -> Column:
-    branch = F
-    for k, p in enumerate(patterns):
-        branch = branch.when(index == k, value(p))
-    return branch
+def _entry(index: Column, patterns: Sequence[Pattern]) -> Column:
+    """What is known of the pattern at an index, from one literal table, so that plans stay small; null for none."""
+    rows = [F.struct(F.lit(f"regex:{p.name}").alias("scanner"), F.lit(p.outcome).alias("outcome"), F.lit(p.reason).alias("reason"), F.lit(p.score).alias("score"), F.lit(p.high_entropy).alias("secret"), F.lit(p.java).alias("regex")) for p in patterns]
+    return F.get(F.array(*rows), index)
+
+
+def _severity(index: Column, patterns: Sequence[Pattern]) -> Column:
+    """The severity of the pattern at an index, -1 for none."""
+    return F.coalesce(F.get(F.array(*(F.lit(SEVERITY[p.outcome]) for p in patterns)), index), F.lit(-1))
 
 
-def fingerprint(match: Column, pattern: Pattern, key: str | None = None) -> Column:
-    """Length of a match and, unless it could be guessed, twelve hex digits of its (keyed) digest."""
-    length = F.concat(F.lit("match_len="), F.char_length(match).cast("string"))
-    if not pattern.high_entropy:
-        return length
-    return F.concat(length, F.lit(" match_hmac="), hmac12(match, key)) if key else F.concat(length, F.lit(" match_sha256="), digest12(match))
+def _found(text: Column, entry: Column) -> Column:
+    """The first match of an entry's pattern."""
+    return F.call_function("regexp_extract", text, entry["regex"], F.lit(0))
 
 
 def hmac12(value: Column, key: str) -> Column:
@@ -75,23 +76,21 @@ def hmac12(value: Column, key: str) -> Column:
 
 
 def hit(text: Column, index: Column, patterns: Sequence[Pattern] = PATTERNS, key: str | None = None) -> Column:
-    """The verdict of the pattern at `index` on the text, null for none."""
-    def one(p: Pattern) -> Column:
-        shown = fingerprint(F.regexp_extract(text, p.java, 0), p, key)
-        return result(f"regex:{p.name}", p.outcome, F.concat(F.lit(f"{p.reason} ("), shown, F.lit(")")), p.score)
-
-    return _by_index(index, patterns, one)
+    """The verdict of the pattern at `index` on the text, null for none: with the match's length and, unless the
+    match could be guessed, twelve hex digits of its (keyed) digest."""
+    p = _entry(index, patterns)
+    match = _found(text, p)
+    digest = F.concat(F.lit(" match_hmac="), hmac12(match, key)) if key else F.concat(F.lit(" match_sha256="), digest12(match))
+    shown = F.concat(p["reason"], F.lit(" (match_len="), F.char_length(match).cast("string"), F.when(p["secret"], digest).otherwise(""), F.lit(")"))
+    return F.when(index.isNotNull(), result(p["scanner"], p["outcome"], shown, p["score"]))
 
 
 def hit_in_view(text: Column, view: Column, index: Column, patterns: Sequence[Pattern] = PATTERNS, key: str | None = None) -> Column:
     """As `hit`, for a match in the normalized view: its length there and a digest of the original text."""
+    p = _entry(index, patterns)
     tag = F.concat(F.lit("orig_hmac="), hmac12(text, key)) if key else F.concat(F.lit("orig_sha256="), digest12(text))
-
-    def one(p: Pattern) -> Column:
-        length = F.char_length(F.regexp_extract(view, p.java, 0)).cast("string")
-        return result(f"regex:{p.name}", p.outcome, F.concat(F.lit(f"{p.reason} [normalized-view match] (match_len="), length, F.lit(" "), tag, F.lit(")")), p.score)
-
-    return _by_index(index, patterns, one)
+    shown = F.concat(p["reason"], F.lit(" [normalized-view match] (match_len="), F.char_length(_found(view, p)).cast("string"), F.lit(" "), tag, F.lit(")"))
+    return F.when(index.isNotNull(), result(p["scanner"], p["outcome"], shown, p["score"]))
 
 
 def clean() -> Column:
@@ -120,11 +119,11 @@ def scan(df: DataFrame, text: str, out: str = "scan", patterns: Sequence[Pattern
     own = hit(F.col(text), F.col("__first"), patterns, key)
     if not normalize:
         return df.withColumn(out, fence(F.coalesce(own, clean()))).drop(*spare)
-    severity = lambda i: _by_index(i, patterns, lambda p: F.lit(SEVERITY[p.outcome]))
-    open_ = (F.octet_length(text) != F.char_length(text)) & F.coalesce(severity(F.col("__first")) < SEVERITY[BLOCK], F.lit(True))
+    severity = lambda i: _severity(i, patterns)
+    open_ = (F.octet_length(text) != F.char_length(text)) & (severity(F.col("__first")) < SEVERITY[BLOCK])
     df = df.withColumn("__view", F.when(open_, F.col(text))).withColumn("__view", normalized_view(F.col("__view")))
     df = df.withColumn("__second", fence(F.when(F.col("__view") != F.col(text), first_index(F.col("__view"), patterns))))
-    better = F.col("__second").isNotNull() & (F.col("__first").isNull() | (severity(F.col("__second")) > severity(F.col("__first"))))
+    better = F.col("__second").isNotNull() & (severity(F.col("__second")) > severity(F.col("__first")))
     seen = hit_in_view(F.col(text), F.col("__view"), F.col("__second"), patterns, key)
     return df.withColumn(out, fence(F.when(better, seen).otherwise(F.coalesce(own, clean())))).drop(*spare)
 
@@ -147,7 +146,7 @@ def scan_chunks(df: DataFrame, chunks: str, out: str, patterns: Sequence[Pattern
     """As `scan`, over an array of texts: one verdict for each of them, in order, without exploding rows.
 
     Rows whose chunks are all ASCII don't travel to Python."""
-    severity = lambda i: F.coalesce(_by_index(i, patterns, lambda p: F.lit(SEVERITY[p.outcome])), F.lit(-1))
+    severity = lambda i: _severity(i, patterns)
     odd = F.exists(chunks, lambda c: F.octet_length(c) != F.char_length(c))
     df = df.withColumn("__v", F.when(odd, F.col(chunks))).withColumn("__v", views("__v"))
     seen = lambda x: F.when(x.v.isNotNull() & (severity(x.i) < SEVERITY[BLOCK]), first_index(x.v, patterns))

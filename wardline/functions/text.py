@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.functions.scan import digest12, result
+from wardline.functions.scan import digest12, fence, result
 
 EXTRACTED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 #: Decoded bytes of one embedded blob at most.
@@ -88,25 +88,43 @@ def flatten(payload: Any) -> str:
     return dumped(payload)
 
 
-def _parsed(raw: str | bytes | None, absent: bool) -> tuple[Any, str]:
+def storable(text: str) -> str:
+    """The text with lone surrogates, which no table can hold, as U+FFFD; pairs of them become their character."""
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
+
+
+#: What is said of payloads that can't be handled for another reason than bad JSON, like nesting without end.
+ENGINE_ERROR = "engine_error"
+
+
+def _extracted(raw: str | bytes | None, absent: bool) -> tuple[str | None, str | None]:
+    """Text and error of a raw payload; whatever one payload holds, only its own row has the error."""
     if raw is None or len(raw) == 0:
-        return ({}, "") if raw is None and absent else (None, "empty json payload")
+        return (flatten({}), None) if raw is None and absent else (None, "empty json payload")
     try:
-        return json.loads(raw), ""
+        value = json.loads(raw)
+    except RecursionError:
+        return None, ENGINE_ERROR
     except ValueError as e:
-        return None, f"invalid json payload: {e}"
+        return None, storable(f"invalid json payload: {e}")
+    try:
+        return storable(flatten(value)), None
+    except RecursionError:
+        return None, ENGINE_ERROR
 
 
 @F.pandas_udf(EXTRACTED)
 def _extract_request(raw: pd.Series) -> pd.DataFrame:
-    got = [_parsed(r, True) for r in raw]
-    return pd.DataFrame({"text": [None if e else flatten(v) for v, e in got], "error": [e or None for _, e in got]})
+    return pd.DataFrame([_extracted(r, True) for r in raw], columns=["text", "error"], dtype=object)
 
 
 @F.pandas_udf(EXTRACTED)
 def _extract_response(raw: pd.Series) -> pd.DataFrame:
-    got = [_parsed(r, False) for r in raw]
-    return pd.DataFrame({"text": [None if e else flatten(v) for v, e in got], "error": [e or None for _, e in got]})
+    return pd.DataFrame([_extracted(r, False) for r in raw], columns=["text", "error"], dtype=object)
 
 
 def extract_text(raw: Column, request: bool = True) -> Column:
@@ -165,15 +183,15 @@ def scan_windows(df: DataFrame, text: str, out: str, most: int, tail: int) -> Da
     long, c = F.octet_length(text) > most, F.col
     part = lambda a, b: F.when(b > a, F.decode(F.substring(c("__d"), a + 1, b - a), "UTF-8"))
     df = df.withColumns({"__d": F.when(long, F.encode(c(text), "UTF-8")), "__t": F.octet_length(text)})
-    df = df.withColumn("__h", cut_back(c("__d"), F.lit(most)))
+    df = df.withColumn("__h", fence(cut_back(c("__d"), F.lit(most))))
     parts = [part(F.lit(0), c("__h"))]
     if tail > 0:
         df = df.withColumn("__s", F.greatest(c("__h"), c("__t") - tail))
         df = df.withColumn("__m", F.greatest(c("__h"), F.floor((c("__h") + c("__s")) / 2).cast("int") - tail // 2))
-        df = df.withColumns({"__a": cut_forward(c("__d"), c("__m")), "__b": cut_back(c("__d"), F.least(c("__m") + tail, c("__t"))), "__e": cut_forward(c("__d"), F.greatest(F.lit(0), c("__t") - tail))})
+        df = df.withColumns({"__a": fence(cut_forward(c("__d"), c("__m"))), "__b": fence(cut_back(c("__d"), F.least(c("__m") + tail, c("__t")))), "__e": fence(cut_forward(c("__d"), F.greatest(F.lit(0), c("__t") - tail)))})
         parts += [F.when(c("__s") - c("__h") > 1, part(c("__a"), c("__b"))), part(c("__e"), c("__t"))]
     found = F.array_distinct(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")))
-    return df.withColumn(out, F.when(long, found).otherwise(whole)).drop("__d", "__t", "__h", "__s", "__m", "__a", "__b", "__e")
+    return df.withColumn(out, fence(F.when(long, found).otherwise(whole))).drop("__d", "__t", "__h", "__s", "__m", "__a", "__b", "__e")
 
 
 def coverage(text: Column, chunks: Column, most: int) -> dict[str, Column]:
@@ -199,6 +217,27 @@ def payload_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def value_bytes(value: Any) -> int:
+    """The size of a JSON value: of a string its own bytes, of others those of their JSON text, 0 if it has none."""
+    try:
+        return len((value if isinstance(value, str) else json.dumps(value, default=str)).encode("utf-8", "ignore"))
+    except (TypeError, ValueError, RecursionError):
+        return 0
+
+
+@F.pandas_udf(T.LongType())
+def json_bytes(raw: pd.Series) -> pd.Series:
+    """`value_bytes` of JSON text, null for null and for text that is none."""
+
+    def one(text: str | None) -> int | None:
+        try:
+            return value_bytes(json.loads(text))
+        except (TypeError, ValueError, RecursionError):
+            return None
+
+    return pd.Series([one(r) for r in raw], dtype="Int64")
+
+
 def softmax_last(logits: Column) -> Column:
     """The last entry of the softmax, computed against the largest entry."""
     top = F.array_max(logits)
@@ -216,3 +255,13 @@ def token_windows(n: Column, win: int = 512, stride: int = 64, most: int = 16) -
     last = (n - win).cast("int")
     full = F.when(F.coalesce(F.try_element_at(some, F.lit(-1)), F.lit(-1)) == last, some).otherwise(F.concat(some, F.array(last)))
     return F.when(n <= win, F.array(F.lit(0))).otherwise(full)
+
+
+def window_starts(n: int, win: int = 512, stride: int = 64, most: int = 16) -> list[int]:
+    """As `token_windows`, of one number."""
+    win = max(8, win)
+    step, end = max(1, win - max(0, stride)), n - win
+    if end <= 0:
+        return [0]
+    budget = min(max(4, (end + step) // step + 1), max(1, most))
+    return sorted({*range(0, end + 1, step)[: budget - 1], end})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,17 +34,17 @@ DECISION = T.StructType(
         T.StructField("scanners", T.ArrayType(_VERDICT)),
     ]
 )
-CHAINED = T.StructType([*DECISION.fields, T.StructField("prev_hash", T.StringType()), T.StructField("line_hash", T.StringType()), T.StructField("event", T.StringType())])
+CHAINED = T.StructType([*DECISION.fields, *fields("prev_hash string, line_hash string, event string, ok boolean, rule_count long, error string")])
 
 
-def record(df: DataFrame, rules_version: str = "1", duration: Column | None = None) -> DataFrame:
+def record(df: DataFrame, rules_version: str = "1", version: str = VERSION, duration: Column | None = None) -> DataFrame:
     """The decision record of every decided exchange (columns of `plans.engine.decide`)."""
     d, ms = F.col("decision"), F.unix_micros("ts") / 1000
     outcome = audit_outcome(d.deny, d.human_review, F.col("mutated").isNotNull())
     cols = {
         "ts": F.floor(ms / 1000).cast("long"), "ts_ms": ms, "phase": F.col("phase"), "method": F.col("method"), "tool": F.when(F.col("phase") == "request", F.col("tool")).otherwise(""),
         "outcome": outcome, "reason": F.col("reason"), "ref": F.col("ref"), "exchange_id": F.col("exchange_id"), "caller": F.col("caller"), "payload_sha256": F.col("payload_sha256"),
-        "rules_version": F.lit(rules_version), "sidecar_version": F.lit(VERSION), "duration_ms": F.lit(0.0) if duration is None else duration, "truncated": F.col("truncated"),
+        "rules_version": F.lit(rules_version), "sidecar_version": F.lit(version), "duration_ms": F.lit(0.0) if duration is None else duration, "truncated": F.col("truncated"),
         "scanned_bytes": F.col("scanned_bytes"), "total_bytes": F.col("total_bytes"), "upstream_transport": F.col("upstream_transport"), "route": F.col("route_name"), "scanners": F.col("results"),
     }
     return df.select(*(c.cast(DECISION[n].dataType).alias(n) for n, c in cols.items()))
@@ -60,20 +61,25 @@ def _line_hash(value: str) -> str:
 def chain(records: DataFrame, stream: str, order: str, body: str = "record") -> DataFrame:
     """stream, seq, line: each stream's JSON records as chained lines, in order.
 
-    A chain is sequential by nature, so one task writes one stream; streams are independent chains, and a
-    writer that opens a new stream begins a new one."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, before, lines = rows.sort_values("seq", kind="stable"), GENESIS, []
-        for value in rows["record"]:
-            entry = {**json.loads(value), "prev_hash": before}
-            entry["line_hash"] = _line_hash(json.dumps(entry, sort_keys=True, default=str))
-            lines.append(json.dumps(entry, sort_keys=True, default=str))
-            before = _line_hash(lines[-1])
-        return rows.assign(line=lines)[["stream", "seq", "line"]]
+    A chain is sequential by nature, so one task writes one stream at a time, a line at a time, with nothing
+    in memory but the hash before it; streams are independent chains, and a writer that opens a new stream
+    begins a new one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, before = object(), GENESIS
+        for rows in batches:
+            lines = []
+            for stream_, value in zip(rows["stream"], rows["record"], strict=True):
+                if stream_ != of:
+                    of, before = stream_, GENESIS
+                entry = {**json.loads(value), "prev_hash": before}
+                entry["line_hash"] = _line_hash(json.dumps(entry, sort_keys=True, default=str))
+                lines.append(json.dumps(entry, sort_keys=True, default=str))
+                before = _line_hash(lines[-1])
+            yield rows.assign(line=lines)[["stream", "seq", "line"]]
 
     lean = records.select(F.col(stream).cast("string").alias("stream"), F.col(order).cast("long").alias("seq"), F.col(body).alias("record"))
-    return lean.groupBy("stream").applyInPandas(run, "stream string, seq long, line string")
+    return lean.repartition("stream").sortWithinPartitions("stream", "seq").mapInPandas(run, "stream string, seq long, line string")
 
 
 @F.pandas_udf(T.StringType())
@@ -157,6 +163,25 @@ def latency(audit: DataFrame) -> DataFrame:
     return decisions(audit).groupBy("phase", "outcome").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("total_ms"), F.max("duration_ms").alias("max_ms"))
 
 
+def histogram(audit: DataFrame, bounds: Sequence[float] = (1, 2, 5, 10, 20, 50, 100, 200, 500, 1000)) -> DataFrame:
+    """phase, outcome, up_to, n: how many decisions took more than the bound before and at most this one (null: more than all)."""
+    up_to = F
+    for b in sorted(bounds):
+        up_to = up_to.when(F.col("duration_ms") <= b, float(b))
+    return decisions(audit).groupBy("phase", "outcome", up_to.otherwise(None).alias("up_to")).agg(F.count("*").alias("n"))
+
+
+def redactions(audit: DataFrame) -> DataFrame:
+    """phase, redactions: the substitutions that the records tell of."""
+    n = F.coalesce(F.try_to_number(F.regexp_extract("reason", r"redaction:(\d+) substitution", 1), F.lit("999999999")), F.lit(0)).cast("long")
+    return decisions(audit).groupBy("phase").agg(F.sum(n).alias("redactions"))
+
+
+def reloads(audit: DataFrame) -> DataFrame:
+    """result, n: reloads of rules, by success and error."""
+    return audit.where("event = 'rules_reload'").groupBy(F.when(F.col("ok"), "success").otherwise("error").alias("result")).agg(F.count("*").alias("n"))
+
+
 def health(samples: DataFrame, key: str, ok: Column, last: int = 100, least: int = 20, worst: float = 0.5) -> DataFrame:
     """`samples` with failure_ratio and healthy: over the key's last samples, once there are enough."""
     recent = Window.partitionBy(key).orderBy("ts", "seq").rowsBetween(-(last - 1), 0)

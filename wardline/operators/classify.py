@@ -1,21 +1,31 @@
-"""A pluggable text classifier: verdicts by threshold, scores over windows, a gated second stage."""
+"""A pluggable text classifier over token windows, and a gated second stage that judges what it flags.
+
+Both take Python functions that make a model, once for each worker; no model is part of this package. All
+verdicts come per chunk, as an array beside the array of texts, so that rows are never exploded.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.patterns import ALLOW, BLOCK, REVIEW
-from wardline.functions.redact import redact
-from wardline.functions.patterns import EGRESS_REDACTIONS
-from wardline.functions.scan import RESULT, result
+from wardline.functions.patterns import ALLOW, BLOCK, EGRESS_REDACTIONS, REVIEW
+from wardline.functions.redact import masker
+from wardline.functions.scan import RESULT, fence, result
+from wardline.functions.text import window_starts
+from wardline.operators.decide import scanner_failure
 
-NAME = "onnx-promptguard"
+NAME, SECOND = "onnx-promptguard", "agent-alignment"
 #: One of these must be in the label of a model's last class (fixed values).
 BAD_LABELS = ("MALICIOUS", "INJECTION", "JAILBREAK")
+#: Characters of a chunk that the second stage is shown, and the score of its denials (fixed values).
+SHOWN, CERTAIN = 4000, 0.95
+
+Scorer = Callable[[list[str]], Sequence[float]]
 
 
 def check_labels(labels: Sequence[str]) -> None:
@@ -24,57 +34,135 @@ def check_labels(labels: Sequence[str]) -> None:
         raise ValueError(f"the last of {list(labels)} is none of {BAD_LABELS}")
 
 
-def verdict(score: Column, block: float = 0.9, review: float = 0.5) -> Column:
+def softmax_last(logits: np.ndarray) -> np.ndarray:
+    """The last class's share of each row, computed against the row's largest entry."""
+    e = np.exp(logits - logits.max(axis=-1, keepdims=True))
+    return e[..., -1] / e.sum(axis=-1)
+
+
+def windowed(encode: Callable[[str], Sequence[int]], logits: Callable[[list[Sequence[int]]], np.ndarray], labels: Sequence[str], win: int = 512, stride: int = 64, most: int = 16) -> Scorer:
+    """A scorer from a tokenizer and a model over token windows: a text's score is the largest of its windows'.
+
+    ValueError if the model's last label isn't the bad one."""
+    check_labels(labels)
+
+    def score(texts: list[str]) -> list[float]:
+        windows, of = [], []
+        for k, ids in enumerate(map(encode, texts)):
+            for start in window_starts(len(ids), win, stride, most):
+                windows.append(ids[start : start + max(8, win)])
+                of.append(k)
+        best = np.zeros(len(texts))
+        np.maximum.at(best, of, softmax_last(np.asarray(logits(windows), float)))
+        return best.tolist()
+
+    return score
+
+
+def stub(scores: Callable[[str], float] = lambda text: 0.0) -> Callable[[], Scorer]:
+    """A stand-in model by a function of the text; without one it finds nothing."""
+    return lambda: lambda texts: [scores(t) for t in texts]
+
+
+def verdict(score: Column, block: float = 0.9, review: float = 0.5, name: str = NAME) -> Column:
     """Block, review or allow by score; a review threshold of 0 turns reviews off."""
-    said = F.format_string("score=%.3f", score)
-    branch = F.when(score >= block, result(NAME, BLOCK, said, score))
+    review = min(review, block)
+    said = F.concat(F.lit("prompt injection score "), F.format_string("%.3f", score))
+    branch = F.when(score >= block, result(name, BLOCK, F.concat(said, F.lit(f" >= {block}")), score))
     if review > 0:
-        branch = branch.when(score >= min(review, block), result(NAME, REVIEW, said, score))
-    return branch.otherwise(result(NAME, ALLOW, "", score))
+        branch = branch.when(score >= review, result(name, REVIEW, F.concat(said, F.lit(f" in grey zone [{review}, {block})")), score))
+    return branch.otherwise(result(name, ALLOW, "", 0.0))
 
 
-def scorer(make: Callable[[], Callable[[list[str]], Sequence[float]]], fail_open: bool = False):
-    """A pandas UDF from text to a verdict struct's score and error. `make` builds the model once for each worker.
+def scorer(make: Callable[[], Scorer]):
+    """A pandas UDF from an array of texts to an array of struct<score, error>, null for null.
 
-    A batch that fails is scored text by text, and a text that fails carries its error."""
+    A batch that fails is scored text by text, and a text that fails carries its error. A model that can't
+    be imported scores nothing: null, as if there were no such scanner."""
 
-    @F.pandas_udf("struct<score:double,error:string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = make()
+    @F.pandas_udf("array<struct<score:double,error:string>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            model, absent = make(), False
+        except ImportError:
+            model, absent = None, True
 
-        def one(text: str) -> tuple[float | None, str | None]:
+        def one(text: str) -> dict:
             try:
-                return float(model([text])[0]), None
+                return {"score": float(model([text])[0]), "error": None}
             except Exception as e:  # noqa: BLE001 - any failure of a model becomes a verdict
-                return None, f"error:{type(e).__name__}:{e}"
+                return {"score": None, "error": f"error:{type(e).__name__}:{e}"}
 
-        for texts in batches:
-            some = [t for t in texts if t is not None]
+        for rows in batches:
+            if absent:
+                yield pd.Series([None] * len(rows), dtype=object)
+                continue
+            some = [t for r in rows if r is not None for t in r]
             try:
-                scores = iter([(float(s), None) for s in model(some)] if some else [])
+                scores = iter([{"score": float(s), "error": None} for s in model(some)] if some else [])
             except Exception:  # noqa: BLE001
                 scores = iter([one(t) for t in some])
-            yield pd.DataFrame([(None, None) if t is None else next(scores) for t in texts], columns=["score", "error"])
+            yield pd.Series([None if r is None else [next(scores) for _ in r] for r in rows], dtype=object)
 
     return run
 
 
-def classify(df: DataFrame, text: str, run, out: str = "classifier", block: float = 0.9, review: float = 0.5, fail_open: bool = False) -> DataFrame:
-    """`df` with the classifier's verdict; failures block, or are reviewed where failures may pass."""
-    from wardline.operators.decide import scanner_failure
+def classify(df: DataFrame, texts: str, run, out: str = "classifier", block: float = 0.9, review: float = 0.5, fail_open: bool = False, name: str = NAME) -> DataFrame:
+    """`df` with the classifier's verdict on each of an array of texts; failures block, or are reviewed where
+    failures may pass. Null where the classifier is absent."""
+    df = df.withColumn("__s", run(F.col(texts)))
+    failed = lambda s: scanner_failure(name, s.error, fail_open)
+    return df.withColumn(out, fence(F.transform("__s", lambda s: F.when(s.error.isNotNull(), failed(s)).otherwise(verdict(s.score, block, review, name))))).drop("__s")
+
+
+def prompt(summary: str, text: str) -> str:
+    """What a judge is asked (fixed wording): the agent's last calls, if any, and the action."""
+    calls = f"The agent's most recent tool calls (oldest first):\n{summary}\n\n" if summary else ""
+    return f"{calls}Evaluate this agent action:\n\n{text}"
+
+
+def aligner(make: Callable[[], Callable[[str], tuple[bool, str]]]):
+    """A pandas UDF from flagged texts (array) and a summary of the last calls to an array of verdicts.
+
+    `make` gives a function from a prompt to (compromised, observation). It raises ValueError for an answer it
+    can't read, with the answer as argument, RuntimeError for its settings, anything else for other
+    failures; all of these become reviews. Texts are masked with the wider set and cut before they leave.
+    Reasons never hold what a model wrote, only its length."""
+
+    @F.pandas_udf(f"array<{RESULT}>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        mask, said = masker(EGRESS_REDACTIONS), lambda outcome, reason, score=0.0: {"scanner": SECOND, "outcome": outcome, "reason": reason, "score": score}
+        judge: list[Callable] = []
+
+        def one(text: str, summary: str) -> dict:
+            try:
+                if not judge:
+                    judge.append(make())
+                compromised, observation = judge[0](prompt(summary, mask(text)[0][:SHOWN]))
+            except ValueError as e:
+                return said(REVIEW, f"unparseable_llm_output (match_len={len(str(e.args[0]) if e.args else '')})")
+            except RuntimeError as e:
+                return said(REVIEW, f"config_error:{e}")
+            except Exception as e:  # noqa: BLE001 - an exception's text can hold what was sent
+                return said(REVIEW, f"llm_error:{type(e).__name__}")
+            if compromised:
+                return said(BLOCK, f"AgentAlignment: compromised (observation match_len={len(observation)})", CERTAIN)
+            return said(ALLOW, "")
+
+        for texts, summaries in batches:
+            yield pd.Series([None if r is None else [one(t, s or "") for t in r] for r, s in zip(texts, summaries, strict=True)], dtype=object)
+
+    return run
 
-    df = df.withColumn("__s", run(text))
-    good = verdict(F.col("__s.score"), block, review)
-    return df.withColumn(out, F.when(F.col("__s.error").isNotNull(), scanner_failure(NAME, F.col("__s.error"), fail_open)).otherwise(good)).drop("__s")
 
+def flagged(chunks: Column, verdicts: Column) -> Column:
+    """The chunks of which some verdict (an array for each chunk) is a review."""
+    of = lambda k: F.exists(F.get(verdicts, k), lambda r: r.outcome == REVIEW)
+    return F.filter(chunks, lambda c, k: of(k))
 
-def second_stage(df: DataFrame, text: str, first: str, judge, out: str = "second", most: int = 4000) -> DataFrame:
-    """Rows whose first verdict is a review get a second one; others get null.
 
-    Texts are masked with the wider set and cut before they leave; only those rows travel. `judge` is a
-    pandas UDF from text to a boolean (true: a threat) or null for a failure."""
-    gated = df.withColumn("__ask", F.when(F.col(first)["outcome"] == REVIEW, F.col(text)))
-    gated = redact(gated, "__ask", "__masked", "__n", EGRESS_REDACTIONS).withColumn("__threat", judge(F.substring("__masked", 1, most)))
-    name = "agent-alignment"
-    found = F.when(F.col("__threat").isNull(), result(name, REVIEW, "error", 0.0)).when(F.col("__threat"), result(name, BLOCK, "threat", 0.95)).otherwise(result(name, ALLOW, "", 0.0))
-    return gated.withColumn(out, F.when(F.col("__ask").isNotNull(), found).otherwise(F.lit(None).cast(RESULT))).drop("__ask", "__masked", "__n", "__threat")
+def second_stage(df: DataFrame, chunks: str, verdicts: str, summary: Column, judge, out: str = "second") -> DataFrame:
+    """`df` with a further verdict on each flagged chunk; only rows with one travel to the judge."""
+    asked = flagged(F.col(chunks), F.col(verdicts))
+    df = df.withColumn("__ask", F.when(F.size(asked) > 0, asked))
+    return df.withColumn(out, fence(F.coalesce(judge(F.col("__ask"), summary), F.array().cast(f"array<{RESULT}>")))).drop("__ask")

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardline.functions.patterns import BLOCK, CATEGORIES, DEFAULT_CATEGORY, REVIEW
-from wardline.functions.scan import RESULT
+from wardline.functions.scan import RESULT, result
+from wardline.functions.text import ENGINE_ERROR
 
 ERROR_CODE = -32001
 
@@ -78,16 +79,16 @@ def metadata(found: Column, redactions: Column, exchange: Column, outcome: Colum
 
 
 def wire_result(error: Column, deny: Column, mutated: Column, public: Column, body: Column) -> Column:
-    """struct<kind, code, reason, mutated, mcp_error>: a parse error, a denial, a changed payload or a pass."""
+    """struct<kind, code, reason, mutated, mcp_error>: a parse error, a failure of the engine, a denial, a changed
+    payload or a pass. Of a failure the caller learns nothing but that it happened."""
     none = F.lit(None).cast("string")
     of = lambda kind, code, reason, value, extra: F.struct(F.lit(kind).alias("kind"), F.lit(code).cast("string").alias("code"), reason.alias("reason"), value.alias("mutated"), extra.alias("mcp_error"))
-    return F.when(error.isNotNull(), of("error", "INVALID", error, none, none)).when(deny, of("error", "PERMISSION_DENIED", public, none, body)).when(mutated.isNotNull(), of("mutated", None, none, mutated, none)).otherwise(of("pass", None, none, none, none))
+    broken = F.when(error == ENGINE_ERROR, of("error", "PERMISSION_DENIED", F.lit(ENGINE_ERROR), none, none)).when(error.isNotNull(), of("error", "INVALID", error, none, none))
+    return broken.when(deny, of("error", "PERMISSION_DENIED", public, none, body)).when(mutated.isNotNull(), of("mutated", None, none, mutated, none)).otherwise(of("pass", None, none, none, none))
 
 
 def scanner_failure(name: str, error: Column, fail_open: bool = False) -> Column:
     """The verdict that stands in for a scanner that failed: a block, or a review where failures may pass."""
-    from wardline.functions.scan import result
-
     if fail_open:
         return result(name, REVIEW, F.concat(F.lit("failopen:"), error), 0.0)
     return result(name, BLOCK, error, 1.0)

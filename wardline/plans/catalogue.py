@@ -16,6 +16,7 @@ from wardline.functions.patterns import CATEGORIES, DEFAULT_CATEGORY, EGRESS_RED
 from wardline.functions.redact import json_redactor, placeholder, redact
 from wardline.functions.scan import clean, first_index, has, hit, result, scan
 from wardline.operators import audit, classify, decide, fold, rules, trace
+from wardline.plans.config import Config
 from wardline.plans.engine import decide as decide_exchanges
 from wardline.plans.engine import scan_texts
 from wardline.sources import audit_log, exchanges
@@ -133,13 +134,27 @@ def scan_normalized(spark, sf_dir):
 # ---------------------------------------------------------------- windows and sizes
 
 
-@query()
+def _sql_cut(at: str, step: int) -> str:
+    """The character boundary at `at` bytes or the next one back (step -1) or forward; h is the text's bytes in hex."""
+    inside = lambda k: f"substr(h, CAST(2 * ({at} + {k * step}) + 1 AS BIGINT), 1) IN ('8', '9', 'A', 'B')"
+    return f"({at} + {step} * CASE WHEN NOT {inside(0)} THEN 0 WHEN NOT {inside(1)} THEN 1 WHEN NOT {inside(2)} THEN 2 ELSE 3 END)"
+
+
+_part = lambda a, b: f"CASE WHEN {b} > {a} THEN decode(unhex(substr(h, CAST(2 * {a} + 1 AS BIGINT), CAST(2 * ({b} - {a}) AS BIGINT)))) END"
+SQL_WINDOWS = f"""WITH w0 AS (SELECT doc_id, text, hex(encode(text)) AS h, strlen(text) AS n FROM documents WHERE strlen(text) > 1024),
+    w1 AS (SELECT *, {_sql_cut("1024", -1)} AS b1 FROM w0), w2 AS (SELECT *, greatest(b1, n - 256) AS s3 FROM w1), w3 AS (SELECT *, greatest(b1, (b1 + s3) // 2 - 128) AS m FROM w2),
+    w4 AS (SELECT *, {_sql_cut("m", 1)} AS a2, {_sql_cut("least(m + 256, n)", -1)} AS b2, {_sql_cut("(n - 256)", 1)} AS a3 FROM w3),
+    w5 AS (SELECT doc_id, n, {_part("0", "b1")} AS p1, CASE WHEN s3 - b1 > 1 THEN {_part("a2", "b2")} END AS p2, {_part("a3", "n")} AS p3 FROM w4),
+    w6 AS (SELECT doc_id, n, [p1] || CASE WHEN p2 <> p1 THEN [p2] ELSE [] END || CASE WHEN p3 <> p1 AND p3 IS DISTINCT FROM p2 THEN [p3] ELSE [] END AS parts FROM w5 UNION ALL SELECT doc_id, strlen(text), [text] FROM documents WHERE strlen(text) <= 1024)"""
+
+
+@query(SQL_WINDOWS + ", x AS (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS part, unnest(parts) AS chunk FROM w6) SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(strlen(chunk) AS INTEGER) AS bytes, md5(chunk) AS md5 FROM x")
 def byte_windows(spark, sf_dir):
     docs = text.scan_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "chunks", 1024, 256)
     return docs.select("doc_id", F.posexplode("chunks").alias("part", "chunk")).select("doc_id", "part", F.octet_length("chunk").alias("bytes"), F.md5("chunk").alias("md5"))
 
 
-@query()
+@query(SQL_WINDOWS + " SELECT doc_id, n AS total_bytes, least(n, CAST(list_sum(list_transform(parts, lambda p: strlen(p))) AS BIGINT)) AS scanned_bytes, n > 1024 AS truncated FROM w6")
 def scan_coverage(spark, sf_dir):
     docs = text.scan_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "chunks", 1024, 256)
     return docs.select("doc_id", *(c.alias(n) for n, c in text.coverage(F.col("text"), F.col("chunks"), 1024).items()))
@@ -183,11 +198,32 @@ def classifier_thresholds(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", classify.verdict(score)["outcome"].alias("outcome"))
 
 
-@query()
+@query("WITH a AS (SELECT doc_id, least(1.0, 8.0 * len(regexp_extract_all(text, '[A-Z]')) / greatest(1, length(text)))::DOUBLE AS s FROM documents) SELECT doc_id, CASE WHEN s >= 0.9 THEN 'block' WHEN s >= 0.5 THEN 'human_review' ELSE 'allow' END AS outcome, CASE WHEN s >= 0.5 THEN round(s, 6) ELSE 0.0 END AS score FROM a")
 def classifier_stage(spark, sf_dir):
     """A stand-in model (share of capitals) through the batch scorer, and its verdicts."""
-    run = classify.scorer(lambda: lambda texts: [min(1.0, 8 * sum(c.isupper() for c in t) / max(1, len(t))) for t in texts])
-    return classify.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", run).select("doc_id", "classifier.outcome", F.round("classifier.score", 6).alias("score"))
+    run = classify.scorer(classify.stub(_capitals))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array("text").alias("texts"))
+    return classify.classify(docs, "texts", run).select("doc_id", F.inline("classifier")).select("doc_id", "outcome", F.round("score", 6).alias("score"))
+
+
+def _capitals(value: str) -> float:
+    return min(1.0, 8 * sum("A" <= c <= "Z" for c in value) / max(1, len(value)))
+
+
+@query("WITH a AS (SELECT doc_id, len(string_split(text, ' ')) AS n, CASE WHEN text = '' THEN [] ELSE string_split(text, ' ') END AS w FROM documents), b AS (SELECT doc_id, w, len(w) AS n FROM a), c AS (SELECT doc_id, w, n, least(greatest(4, (n - 16 + 12) // 12 + 1), 6) AS budget, range(0, n - 15, 12) AS g FROM b WHERE n > 16), d AS (SELECT doc_id, w, n, g[1 : budget - 1] AS s FROM c), e AS (SELECT doc_id, w, CASE WHEN s[len(s)] = n - 16 THEN s ELSE list_append(s, n - 16) END AS s FROM d UNION ALL SELECT doc_id, w, [0] FROM b WHERE n <= 16), f AS (SELECT doc_id, unnest(list_transform(s, lambda x: list_sum(list_transform(w[x + 1 : x + 16], lambda t: CASE WHEN length(t) > 9 THEN 1 ELSE 0 END)))) AS hits FROM e) SELECT doc_id, round(1 / (1 + exp(4 - coalesce(max(hits), 0))), 6) AS score FROM f GROUP BY doc_id")
+def classifier_windows(spark, sf_dir):
+    """The largest score of a text's token windows (16 words, every 12, 6 at most) under a stand-in model that counts long words."""
+    make = lambda: classify.windowed(_words, _logits, ("BENIGN", "MALICIOUS"), 16, 4, 6)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array("text").alias("texts"))
+    return docs.select("doc_id", F.inline(classify.scorer(make)("texts"))).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _words(value: str) -> list[int]:
+    return [len(w) for w in value.split(" ")] if value else []
+
+
+def _logits(windows: list) -> list:
+    return [[0.0, sum(n > 9 for n in w) - 4.0] for w in windows]
 
 
 # ---------------------------------------------------------------- decisions
@@ -232,9 +268,9 @@ def result_metadata(spark, sf_dir):
 # ---------------------------------------------------------------- redaction
 
 
-def sql_redaction(source: str, key: str, patterns) -> str:
+def sql_redaction(source: str, key: str, patterns, of: str = "documents") -> tuple[str, str]:
     """Substitutions one after another, with the matches counted on each intermediate text."""
-    steps = [f"WITH r0 AS (SELECT {key} AS k, {source} AS t, 0 AS n FROM documents)"]
+    steps = [f"WITH r0 AS (SELECT {key} AS k, {source} AS t, 0 AS n FROM {of})"]
     for j, (name, regex) in enumerate(patterns):
         steps.append(f"r{j + 1} AS (SELECT k, regexp_replace(t, {quoted(regex)}, {quoted(placeholder(name))}, 'g') AS t, n + len(regexp_extract_all(t, {quoted(regex)})) AS n FROM r{j})")
     return ", ".join(steps), f"r{len(patterns)}"
@@ -258,11 +294,16 @@ def redact_counts(spark, sf_dir):
     return df.agg(F.sum("redactions").alias("redactions"), F.count_if(F.expr("redactions > 0")).alias("changed"))
 
 
-@query()
+_with, _last = sql_redaction("text || ' mail a.b@example.com'", "{'c': conv_id, 't': turn}", REDACTIONS, "conversations")
+
+
+@query(_with + f" SELECT k.c AS conv_id, k.t AS turn, md5(t) AS md5, CAST(n AS BIGINT) AS redactions FROM {_last}")
 def redact_json(spark, sf_dir):
+    """Strings deep in JSON are masked; they are read back from the ASCII JSON that comes out."""
     talk = table(spark, sf_dir, "conversations")
-    payload = F.to_json(F.struct("role", F.array(F.struct(F.concat("text", F.lit(" mail a.b@example.com")).alias("text"))).alias("content")))
-    return talk.select("conv_id", "turn", json_redactor()(payload).alias("r")).select("conv_id", "turn", F.md5("r.value").alias("md5"), "r.redactions")
+    payload = F.to_json(F.struct("role", F.array(F.struct(F.concat(F.col("text"), F.lit(" mail a.b@example.com")).alias("text"))).alias("content")))
+    masked = talk.select("conv_id", "turn", json_redactor()(payload).alias("r"))
+    return masked.select("conv_id", "turn", F.md5(F.get_json_object("r.value", "$.content[0].text")).alias("md5"), "r.redactions")
 
 
 # ---------------------------------------------------------------- identity and access
@@ -346,14 +387,17 @@ def parse_payloads(spark, sf_dir):
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with typed arguments: k a number, name a text."""
     ev = table(spark, sf_dir, "events")
-    return trace.record(ev, F.col("user_id"), F.col("event_id"), F.col("ts"), F.col("event_type"), F.col("props"))
+    k = rules.argument(F.col("props"), "k", "long")
+    args = F.to_json(F.struct(k.alias("k"), F.concat(F.lit("v"), k.cast("string")).alias("name")))
+    return trace.record(ev, F.col("user_id"), F.col("event_id"), F.col("ts"), F.col("event_type"), args)
 
 
 DAY, SPAN = 86400.0, 8
 LOOP, RATE = rules.Loop("loop", 3), rules.Rate("rate", "*", DAY, 3)
 SUM = rules.Budget("sum", "k", 150, "(purchase|click)", DAY)
-FLOW2 = rules.Flow("flow2", (rules.Step("error"), rules.Step("purchase", {"k": "^[5-9][0-9]$"})))
+FLOW2 = rules.Flow("flow2", (rules.Step("error"), rules.Step("purchase", {"name": "^v[5-9][0-9]$"})))
 FLOW3 = rules.Flow("flow3", (rules.Step("signup"), rules.Step("error"), rules.Step("purchase")))
 GUARDED = rules.Flow("guarded", (rules.Step("error"), rules.Step("view", guard=True), rules.Step("purchase")))
 SQL_CALLS = "WITH e AS (SELECT event_id, user_id, ts, event_type, props, event_type || ':' || props AS fp, json_extract_string(props, '$.k') AS k, count(*) OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))"
@@ -361,7 +405,7 @@ SQL_NOW = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUND
 SQL_PAST = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 SQL_LOOP = SQL_CALLS + f", l AS (SELECT *, lag(rn, 2) OVER (PARTITION BY user_id, fp ORDER BY ts, event_id) AS b FROM e), loop AS (SELECT event_id, coalesce(max(b) {SQL_NOW} > rn - 256, false) AS hit FROM l)"
 SQL_RATE = f", r AS (SELECT *, lag(rn, 3) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS b, lag(ts, 3) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS s FROM e), rate AS (SELECT event_id, coalesce(max(b) {SQL_NOW} > rn - 256 AND max(s) {SQL_NOW} >= ts - INTERVAL 1 DAY, false) AS hit FROM r)"
-SQL_FLOW2 = f", f AS (SELECT *, CASE WHEN event_type = 'error' THEN rn END AS d1 FROM e), f2 AS (SELECT *, CASE WHEN event_type = 'purchase' AND regexp_matches(k, '^[5-9][0-9]$') THEN max(d1) {SQL_PAST} END AS d2 FROM f), flow2 AS (SELECT event_id, coalesce(max(d2) {SQL_NOW} > rn - 8, false) AS hit FROM f2)"
+SQL_FLOW2 = f", f AS (SELECT *, CASE WHEN event_type = 'error' THEN rn END AS d1 FROM e), f2 AS (SELECT *, CASE WHEN event_type = 'purchase' AND regexp_matches('v' || k, '^v[5-9][0-9]$') THEN max(d1) {SQL_PAST} END AS d2 FROM f), flow2 AS (SELECT event_id, coalesce(max(d2) {SQL_NOW} > rn - 8, false) AS hit FROM f2)"
 
 
 @query(SQL_LOOP + " SELECT event_id, hit FROM loop")
@@ -379,6 +423,13 @@ def sum_rule(spark, sf_dir):
     return trace.apply_rule(calls(spark, sf_dir), SUM).select("event_id", F.col("sum").alias("hit"))
 
 
+@query("SELECT event_id, FALSE AS pattern_on_number, FALSE AS text_on_number, k = 77 AS number, regexp_matches('v' || k, '^v7') AS pattern, 'v' || k = 'v77' AS same, FALSE AS number_on_text FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
+def argument_matchers(spark, sf_dir):
+    """Patterns and texts find text alone, numbers find numbers alone."""
+    is_ = lambda path, matcher: rules.argument_is(F.col("args"), path, matcher)
+    return calls(spark, sf_dir).select("event_id", is_("k", "^[5-9][0-9]$").alias("pattern_on_number"), is_("k", "77").alias("text_on_number"), is_("k", 77).alias("number"), is_("name", "^v7").alias("pattern"), is_("name", "v77").alias("same"), is_("name", 77).alias("number_on_text"))
+
+
 @query(SQL_CALLS + SQL_FLOW2 + " SELECT event_id, hit FROM flow2")
 def flow_rule(spark, sf_dir):
     return trace.apply_rule(calls(spark, sf_dir), FLOW2, SPAN).select("event_id", F.col("flow2").alias("hit"))
@@ -436,13 +487,61 @@ def talk_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_with, _last = sql_redaction("text", "{'c': conv_id, 't': turn}", REDACTIONS, "conversations")
+#: The decided conversations: t is what is scanned, masked the number of substitutions in answers.
+SQL_TALK = (
+    _with
+    + f""", q AS (SELECT conv_id, turn, role, role <> 'assistant' AS ask, text, CASE WHEN role <> 'assistant' THEN '{{"arguments": {{"text": ' || to_json(text) || ', "turn": ' || turn || '}}, "name": "ask/' || role || '"}}' ELSE text END AS t FROM conversations),
+    h AS (SELECT *, {SQL_INDEX} AS i FROM q), m AS (SELECT h.*, CASE WHEN ask THEN 0 ELSE n END AS masked FROM h JOIN {_last} r ON r.k.c = conv_id AND r.k.t = turn),
+    v AS (SELECT *, {SQL_SCANNER} AS scanner, {SQL_OUTCOME} AS o, {SQL_REASON} AS r FROM m),
+    y AS (SELECT conv_id || '-' || turn // 2 AS exchange_id, CASE WHEN ask THEN 'request' ELSE 'response' END AS phase, CASE WHEN ask THEN 'ask/' || role ELSE '' END AS tool, role AS caller, conv_id, turn, o, t, ask,
+      CASE o WHEN 'block' THEN scanner || ':block:' || r WHEN 'human_review' THEN scanner || ':review' ELSE '' END AS said, CASE WHEN o = 'block' THEN 0 ELSE masked END AS masked FROM v),
+    z AS (SELECT *, CASE WHEN o = 'block' THEN 'deny' WHEN masked > 0 THEN 'mutated' ELSE 'allow' END AS wire, CASE WHEN masked = 0 THEN said ELSE CASE WHEN said <> '' THEN said || ';' ELSE '' END || 'redaction:' || masked || ' substitution(s)' END AS reason FROM y)"""
+)
+
+
+@query(SQL_TALK + " SELECT exchange_id, phase, tool, caller, wire AS outcome, reason, CASE wire WHEN 'deny' THEN 'error' WHEN 'allow' THEN 'pass' ELSE wire END AS kind, substr(sha256(t), 1, 12) AS payload_sha256, strlen(t) AS total_bytes, conv_id * 1000 + turn AS seq FROM z")
 def decide_exchange_table(spark, sf_dir):
     """The whole dataflow over the conversations."""
     out = decide_exchanges(talk_exchanges(spark, sf_dir))
     return out.select("exchange_id", "phase", "tool", "caller", "outcome", "reason", "wire.kind", "payload_sha256", "total_bytes", "seq")
 
 
+SQL_SECOND = """WITH a AS (SELECT conv_id, turn, role, text, role <> 'assistant' AS ask, least(1.0, 8.0 * len(regexp_extract_all(text, '[A-Z]')) / greatest(1, length(text)))::DOUBLE AS s FROM conversations),
+    b AS (SELECT *, conv_id || '-' || turn // 2 AS exchange_id FROM a WHERE NOT ask)"""
+
+
+@query(SQL_SECOND + " SELECT conv_id * 1000 + turn AS seq, CASE WHEN s >= 0.9 THEN 'block' WHEN s >= 0.3 THEN 'human_review' ELSE 'allow' END AS first, CASE WHEN s >= 0.9 OR s < 0.3 THEN '' WHEN length(text) % 2 = 0 THEN 'block:AgentAlignment: compromised (observation match_len=' || length(text) || ')' ELSE 'allow:' END AS second, CASE WHEN s >= 0.9 OR (s >= 0.3 AND length(text) % 2 = 0) THEN 'deny' WHEN s >= 0.3 THEN 'human_review' ELSE 'allow' END AS outcome FROM b")
+def second_stage_decisions(spark, sf_dir):
+    """Answers under a stand-in classifier (share of capitals) and a stand-in judge (texts of even length are bad)."""
+    cfg = Config(enable_regex_scanner=False, enable_agent_alignment=True, enable_redaction=False, pg_review_threshold=0.3)
+    out = decide_exchanges(talk_exchanges(spark, sf_dir), cfg, classifier=classify.scorer(classify.stub(_capitals)), judge=classify.aligner(lambda: _even))
+    of = lambda name: F.filter("results", lambda r: r.scanner == name)
+    second = F.coalesce(F.get(F.transform(of(classify.SECOND), lambda r: F.concat_ws(":", r.outcome, r.reason)), 0), F.lit(""))
+    labelled = decide.audit_outcome(F.col("decision.deny"), F.col("decision.human_review"), F.lit(False))
+    return out.where("phase = 'response'").select("seq", F.get(of(classify.NAME), 0)["outcome"].alias("first"), second.alias("second"), labelled.alias("outcome"))
+
+
+def _even(asked: str) -> tuple[bool, str]:
+    value = asked.rsplit("Evaluate this agent action:\n\n", 1)[1]
+    return len(value) % 2 == 0, value
+
+
+@query("SELECT conv_id * 1000 + turn AS seq, CASE WHEN role = 'assistant' THEN 'response' ELSE 'request' END AS phase, CASE WHEN length(text) % 3 = 0 THEN 'onnx-promptguard:review' ELSE '' END AS reason FROM conversations")
+def failures_pass_open(spark, sf_dir):
+    """A scorer that fails on some texts, where failures are reviewed and pass."""
+    cfg = Config(enable_regex_scanner=False, enable_redaction=False, failure_mode="failOpen")
+    talk = talk_exchanges(spark, sf_dir).withColumn("payload", F.to_json(F.struct(F.array(F.struct(F.coalesce(F.get_json_object("payload", "$.arguments.text"), F.get_json_object("payload", "$.content[0].text")).alias("text"))).alias("content"))))
+    out = decide_exchanges(talk, cfg, classifier=classify.scorer(classify.stub(_fails_on_thirds)))
+    return out.select("seq", "phase", "reason")
+
+
+def _fails_on_thirds(value: str) -> float:
+    if len(value) % 3 == 0:
+        raise ValueError("thirds")
+    return 0.0
+
+
 def talk_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit records of the conversations under a fixed verdict by length, for the replay queries."""
     talk = table(spark, sf_dir, "conversations")
@@ -505,10 +604,10 @@ def metrics_latency(spark, sf_dir):
     return audit.latency(talk_audit(spark, sf_dir))
 
 
-@query()
+@query(SQL_TALK + " SELECT 1700000000 + conv_id * 1000 + turn AS ts, phase, 'tools/call' AS method, tool, CASE WHEN o = 'block' THEN 'deny' WHEN o = 'human_review' THEN 'human_review' WHEN masked > 0 THEN 'mutated' ELSE 'allow' END AS outcome, reason, exchange_id, caller, substr(sha256(t), 1, 12) AS payload_sha256, FALSE AS truncated, strlen(t) AS scanned_bytes, strlen(t) AS total_bytes, 'c' || conv_id AS route, CASE WHEN ask THEN 2 ELSE 1 END AS scanners FROM z")
 def audit_record(spark, sf_dir):
     out = audit.record(decide_exchanges(talk_exchanges(spark, sf_dir)))
-    return out.select(F.to_json(F.struct(*out.columns)).alias("record"))
+    return out.select("ts", "phase", "method", "tool", "outcome", "reason", "exchange_id", "caller", "payload_sha256", "truncated", "scanned_bytes", "total_bytes", "route", F.size("scanners").alias("scanners"))
 
 
 def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -538,7 +637,7 @@ def audit_scan(spark, sf_dir):
     return audit_log.malformed(table(spark, sf_dir, "documents").select(value.alias("value")))
 
 
-@query()
+@query(SQL_TEXTS + f", v AS (SELECT doc_id, {SQL_SCANNER} AS scanner, {SQL_OUTCOME} AS o FROM h) SELECT to_json({{'outcome': o, 'reason': scanner || ':review', 'ref': substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8), 'exchange_id': CAST(doc_id AS VARCHAR)}})::VARCHAR AS body FROM v WHERE o = 'human_review'")
 def review_payloads(spark, sf_dir):
     """What reviewers are told of documents that need one."""
     df = scan_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import identity, text
+from wardline.functions.patterns import ALLOW
 from wardline.functions.redact import json_redactor, redaction_gate, tagged
-from wardline.functions.scan import RESULT, fence, scan, scan_chunks
+from wardline.functions.scan import RESULT, fence, result, scan, scan_chunks
+from wardline.operators import audit
 from wardline.operators import decide as d
 from wardline.operators import trace
+from wardline.operators.classify import classify, scorer, second_stage, windowed
 from wardline.operators.rules import DEFAULT_PACK, Rule
 from wardline.plans.config import Config
 
@@ -34,45 +38,94 @@ def prepare(exchanges: DataFrame, cfg: Config = Config()) -> DataFrame:
             "ref": F.substring(F.sha2(F.concat_ws("|", "exchange_key", "phase", "seq"), 256), 1, 8),
         }
     )
-    df = df.withColumn("trace_key", identity.trace_key(F.col("route_name"), F.col("service_names"), headers, cfg.invariant_trace_key_headers))
     df = text.scan_windows(df, "text", "chunks", cfg.max_content_bytes, cfg.scan_tail_bytes)
     df = df.withColumns(text.coverage(F.col("text"), F.col("chunks"), cfg.max_content_bytes))
     return df.withColumn("payload_sha256", text.payload_digest(F.col("text"))).drop("parsed")
 
 
-def decide(exchanges: DataFrame, cfg: Config = Config(), pack: Sequence[Rule] = DEFAULT_PACK) -> DataFrame:
+#: What says which exchange a row is.
+IDENTITY = ("exchange_key", "phase", "seq")
+
+
+def traced(exchanges: DataFrame, cfg: Config = Config(), pack: Sequence[Rule] = DEFAULT_PACK, responses: bool = False) -> DataFrame:
+    """IDENTITY, invariant, summary of the requests (and responses): the first rule that fires, and the last calls before.
+
+    Only ids, tools and arguments are shuffled by trace key and sorted by time; payloads and texts stay
+    where they are. Responses look at their route's trace and never enter it."""
+    request = F.col("phase") == "request"
+    call = exchanges if responses else exchanges.where(request)
+    key = identity.trace_key(identity.metadata_value(F.col("metadata"), "route_name"), F.col("service_names"), F.col("headers"), cfg.invariant_trace_key_headers)
+    route = identity.trace_key(identity.metadata_value(F.col("metadata"), "route_name"), F.col("service_names"))
+    tool = F.when(request, text.tool_name(F.col("method"), F.col("payload"))).otherwise("")
+    args = F.coalesce(F.to_json(F.try_variant_get(F.try_parse_json("payload"), "$.arguments", "variant")), F.lit("{}"))
+    call = call.select(*IDENTITY, F.when(request, key).otherwise(route).alias("__key"), "ts", tool.alias("__tool"), F.when(request, args).otherwise("{}").alias("__args"))
+    calls = trace.record(call, F.col("__key"), F.col("seq"), F.col("ts"), F.col("__tool"), F.col("__args"), args_most=cfg.invariant_args_max_bytes)
+    calls = trace.apply_pack(calls, pack, window=cfg.invariant_window)
+    if responses:
+        calls = trace.summary(calls)
+    else:
+        calls = calls.withColumn("summary", F.lit(None).cast("string"))
+    return calls.select(*IDENTITY, "invariant", "summary").where(F.col("invariant").isNotNull() | (F.col("summary") != ""))
+
+
+def scanned(df: DataFrame, chunks: str, out: str, cfg: Config, classifier=None) -> DataFrame:
+    """`df` with an array of verdicts for each chunk: patterns, then the classifier, as far as they are enabled."""
+    c = F.col
+    if cfg.dry_run:
+        stub = F.concat(F.lit("stub."), c("phase"))
+        return df.withColumn(out, F.transform(chunks, lambda _: F.array(result(stub, ALLOW, "", 0.0))))
+    parts = []
+    if cfg.enable_regex_scanner:
+        df = scan_chunks(df, chunks, "__regex", key=cfg.audit_hmac_key or None)
+        parts.append("__regex")
+    if cfg.enable_promptguard and classifier is not None:
+        df = classify(df, chunks, classifier, "__model", cfg.lf_promptguard_block_threshold, cfg.pg_review_threshold, cfg.failure_mode == "failOpen")
+        parts.append("__model")
+    each = lambda k: F.filter(F.array(*(F.get(c(p), k) for p in parts)), lambda r: r.isNotNull())
+    verdicts = F.transform(chunks, lambda _, k: each(k)) if parts else F.transform(chunks, lambda _: F.array().cast(f"array<{RESULT}>"))
+    return df.withColumn(out, fence(verdicts)).drop(*parts)
+
+
+def decide(exchanges: DataFrame, cfg: Config = Config(), pack: Sequence[Rule] = DEFAULT_PACK, classifier=None, judge=None) -> DataFrame:
     """Every exchange with results, decision, reason, mutated, outcome and the wire result.
 
-    The trace rules run over requests alone, in one shuffle by trace key; a tool call that the access
-    list denies skips the content scans but stays in the trace."""
+    `classifier` is a `classify.scorer`, `judge` a `classify.aligner`; both also need their settings. A tool call
+    that the access list denies isn't scanned but stays in the trace. Trace verdicts are joined back by
+    IDENTITY, and only those that say something, so the planner can send them to where the payloads are.
+    """
     df = prepare(exchanges, cfg)
-    df = df.withColumn("acl", F.when(F.col("phase") == "request", identity.acl_verdict(F.col("tool"), cfg.tool_allow, cfg.tool_deny)))
-    if cfg.enable_regex_scanner:
-        df = scan_chunks(df, "chunks", "content", key=cfg.audit_hmac_key or None)
+    request, none = F.col("phase") == "request", F.array().cast(f"array<{RESULT}>")
+    df = df.withColumn("acl", F.when(request, identity.acl_verdict(F.col("tool"), cfg.allow_tools, cfg.deny_tools)))
+    df = df.withColumn("__scanned", fence(F.when(F.col("acl").isNull() & F.col("error").isNull(), F.col("chunks")).otherwise(F.array().cast("array<string>"))))
+    df = scanned(df, "__scanned", "content", cfg, classifier)
+    df = df.withColumn("size", text.payload_size(F.col("total_bytes"), F.col("scanned_bytes"), cfg.scan_max_payload_bytes))
+
+    aligned = judge is not None and cfg.enable_agent_alignment
+    found = traced(exchanges, cfg, pack, aligned).dropDuplicates(list(IDENTITY)).withColumnsRenamed({c: f"__{c}" for c in IDENTITY})
+    df = df.join(found, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in IDENTITY]), "left").drop(*(f"__{c}" for c in IDENTITY))
+    if aligned:
+        df = df.withColumn("__answers", F.when(~request, F.col("__scanned")).otherwise(F.array().cast("array<string>")))
+        df = second_stage(df, "__answers", "content", F.col("summary"), judge).drop("__answers")
     else:
-        df = df.withColumn("content", F.array().cast(f"array<{RESULT}>"))
-    size = text.payload_size(F.col("total_bytes"), F.col("scanned_bytes"), cfg.scan_max_payload_bytes)
-    df = df.withColumn("size", size)
-
-    args = F.coalesce(F.to_json(F.try_variant_get(F.try_parse_json("payload"), "$.arguments", "variant")), F.lit("{}"))
-    request = F.col("phase") == "request"
-    df = trace.record(df, F.concat(F.col("phase"), F.lit(":"), F.col("trace_key")), F.col("seq"), F.col("ts"), F.col("tool"), args, request & (F.col("tool") != "") & F.col("error").isNull())
-    df = trace.apply_pack(df, pack, window=cfg.invariant_window).withColumn("invariant", fence(F.col("invariant")))
+        df = df.withColumn("second", none)
 
-    scanned = F.when(F.col("acl").isNotNull(), F.array("acl")).otherwise(F.col("content"))
-    df = df.withColumn("results", fence(d.results(d.as_array(F.col("size")), scanned, d.as_array(F.when(request, F.col("invariant"))))))
+    rule = F.when(request, F.array(F.coalesce("invariant", result("invariant", ALLOW, "", 0.0)))).otherwise(none)
+    df = df.withColumn("results", fence(d.results(d.as_array(F.col("size")), d.as_array(F.col("acl")), F.flatten("content"), F.col("second"), rule)))
     df = df.withColumn("decision", fence(d.decision(F.col("results"), cfg.human_review_mode)))
 
-    gate = redaction_gate(F.col("decision.deny"), F.col("decision.human_review"), F.col("total_bytes"), cfg.redact_on_review, cfg.redaction_max_bytes)
-    wanted = F.lit(cfg.enable_redaction) & gate.isNull() & F.col("error").isNull() & (~request | F.lit(cfg.redact_request_params))
-    df = df.withColumn("__m", json_redactor()(F.when(wanted, F.col("payload"))))
+    gate = redaction_gate(F.col("decision.deny"), F.col("decision.human_review"), cfg.redact_on_review)
+    wanted = F.lit(cfg.enable_redaction) & gate.isNull() & F.col("error").isNull()
+    mask = lambda whose, member: json_redactor(member=member, most=cfg.redaction_max_bytes)(F.when(wanted & whose, F.col("payload")))
+    df = df.withColumn("__m", mask(~request, None))
+    if cfg.redact_request_params:
+        df = df.withColumn("__r", mask(request, "arguments")).withColumn("__m", F.when(request, F.col("__r")).otherwise(F.col("__m"))).drop("__r")
     n = F.coalesce(F.col("__m.redactions"), F.lit(0))
-    df = df.withColumns({"redactions": n, "mutated": F.when(n > 0, F.col("__m.value")), "reason": tagged(F.col("decision.reason"), n)}).drop("__m")
+    df = df.withColumns({"redactions": n, "mutated": F.when(n > 0, F.col("__m.value")), "redaction_skipped": F.coalesce(F.col("__m.skipped"), F.lit(False)), "reason": tagged(F.col("decision.reason"), n)}).drop("__m")
     outcome = d.wire_outcome(F.col("decision.deny"), F.col("mutated").isNotNull())
     public = d.public_reason(F.col("phase"), F.col("ref"))
     wire = d.wire_result(F.col("error"), F.col("decision.deny"), F.col("mutated"), public, d.error_body(F.col("results"), F.col("phase"), F.col("ref")))
     meta = F.when(request, d.metadata(F.col("results"), F.col("redactions"), F.col("exchange_id"), outcome))
-    return df.withColumns({"outcome": outcome, "wire": wire, "result_metadata": meta}).drop("acl", "size", "content", "invariant", "rn", "fp", "recorded", "key", "args")
+    return df.withColumns({"outcome": outcome, "wire": wire, "result_metadata": meta}).drop("acl", "size", "content", "second", "invariant", "summary", "__scanned")
 
 
 def scan_texts(df: DataFrame, column: str) -> DataFrame:
@@ -82,3 +135,11 @@ def scan_texts(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("outcome", d.audit_outcome(F.col("decision.deny"), F.col("decision.human_review"), F.lit(False)))
 
 
+def health(samples: DataFrame, key: str, ok: Column, cfg: Config = Config()) -> DataFrame:
+    """`audit.health` with the settings' window, least number of samples and worst ratio."""
+    return audit.health(samples, key, ok, cfg.unhealthy_scanner_window, cfg.unhealthy_scanner_min_samples, cfg.unhealthy_scanner_error_rate)
+
+
+def scorer_of(encode, logits, labels: Sequence[str], cfg: Config = Config()):
+    """A scorer for `decide` from functions that make a tokenizer and a model in a worker, over the settings' number of windows."""
+    return scorer(lambda: windowed(encode(), logits(), labels, most=cfg.pg_max_windows))

@@ -36,6 +36,11 @@ def decode_headers(pairs: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def with_decoded_headers(exchanges: DataFrame, headers: str = "headers") -> DataFrame:
+    """Exchanges whose headers came as pairs of a name and bytes, with headers as SCHEMA has them."""
+    return exchanges.withColumn(headers, decode_headers(F.col(headers)))
+
+
 def review_payload(decided: DataFrame) -> DataFrame:
     """What a reviewer is told of exchanges that need one: metadata only, reasons cut at 512 characters."""
     rows = decided.where(F.col("decision.human_review"))

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from wardline.operators import audit
 from wardline.operators.fold import TraceFold
 from wardline.operators.rules import DEFAULT_PACK, Rule
 from wardline.plans.config import Config
 from wardline.plans.engine import decide
+from wardline.sources import audit_log
 from wardline.sources.packs import Reloader
 
 SCHEMA = "key string, seq long, rule string"
@@ -21,7 +23,8 @@ SCHEMA = "key string, seq long, rule string"
 class TraceProcessor(StatefulProcessor):
     """Keeps one key's bounded trace in the state store; each batch's calls are taken in order of time.
 
-    State of keys that stay silent for `idle_ms` expires, in place of a global bound on keys."""
+    State of keys that stay silent for `idle_ms` expires, in place of a global bound on keys. A call that
+    says `reset` clears its key's trace and parked progress before it is recorded."""
 
     def __init__(self, pack: Sequence[Rule], window: int, ttl_s: float, idle_ms: int) -> None:
         self.pack, self.window, self.ttl_s, self.idle_ms = tuple(pack), window, ttl_s, idle_ms
@@ -34,11 +37,14 @@ class TraceProcessor(StatefulProcessor):
         if self.kept.exists():
             fold.load(self.kept.get()[0])
         out = []
-        for _, r in pd.concat(list(rows)).sort_values(["t", "seq"], kind="stable").iterrows():
-            if r["recorded"]:
-                fold.record(r["tool"], r["args"], r["t"])
-            hit = fold.evaluate(r["t"])
-            out.append((key[0], r["seq"], hit.name if hit else None))
+        calls = pd.concat(list(rows)).sort_values(["t", "seq"], kind="stable")[["seq", "t", "tool", "args", "recorded", "reset"]]
+        for seq, t, tool, args, recorded, reset in calls.itertuples(index=False):
+            if reset:
+                fold = TraceFold(self.pack, self.window, self.ttl_s)
+            if recorded:
+                fold.record(tool, args, t)
+            hit = fold.evaluate(t)
+            out.append((key[0], seq, hit.name if hit else None))
         self.kept.update((fold.state(),))
         yield pd.DataFrame(out, columns=["key", "seq", "rule"])
 
@@ -47,25 +53,38 @@ class TraceProcessor(StatefulProcessor):
 
 
 def trace_stream(calls: DataFrame, pack: Sequence[Rule] = DEFAULT_PACK, window: int = 256, ttl_s: float = 600.0, idle_ms: int = 86_400_000) -> DataFrame:
-    """key, seq, rule of a stream of calls (key, seq, ts, tool, args, recorded): the first rule that fires, or null.
-
-    Needs the RocksDB state store provider."""
-    lean = calls.select(F.col("key").cast("string"), F.col("seq").cast("long"), (F.unix_micros("ts") / 1_000_000).alias("t"), "tool", "args", "recorded")
+    """key, seq, rule of a stream of calls (key, seq, ts, tool, args, recorded, and reset if it is there): the first
+    rule that fires, or null. Needs the RocksDB state store provider. To set other rules, start the query with
+    them on the same checkpoint: traces and parked progress, which go by rule name, are kept."""
+    reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in calls.columns else F.lit(False)
+    lean = calls.select(F.col("key").cast("string"), F.col("seq").cast("long"), (F.unix_micros("ts") / 1_000_000).alias("t"), "tool", "args", "recorded", reset.alias("reset"))
     return lean.groupBy("key").transformWithStateInPandas(TraceProcessor(pack, window, ttl_s, idle_ms), SCHEMA, "Update", "ProcessingTime")
 
 
+def trace_stream_of(calls: DataFrame, cfg: Config, pack: Sequence[Rule] = DEFAULT_PACK) -> DataFrame:
+    """`trace_stream` with the window and time to live of the settings."""
+    return trace_stream(calls, pack, cfg.invariant_window, cfg.invariant_sticky_ttl_s)
+
+
+def snapshot(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """key, tools (oldest first), parked (rule to stages passed) of all traces in a stream's checkpoint."""
+    rows = spark.read.format("statestore").option("stateVarName", "trace").load(checkpoint)
+    kept = F.from_json(F.col("value.value.state"), "calls array<struct<tool:string>>, parked map<string,array<double>>")
+    return rows.select(F.col("key.key").alias("key"), kept.alias("kept")).select("key", F.col("kept.calls.tool").alias("tools"), F.transform_values("kept.parked", lambda _, v: v[0].cast("int")).alias("parked"))
+
+
 def rate_windows(calls: DataFrame, late: str = "10 minutes", span: str = "1 minute", most: int = 30) -> DataFrame:
     """Event-time counterpart of the rate rule for dashboards: tools over the limit in a tumbling window."""
     counts = calls.withWatermark("ts", late).groupBy(F.window("ts", span), "key", "tool").agg(F.count("*").alias("calls"))
     return counts.where(F.col("calls") > most)
 
 
-def decide_batches(reloader: Reloader, sinks: Sequence[Callable[[DataFrame, int], None]], cfg: Config = Config()) -> Callable[[DataFrame, int], None]:
+def decide_batches(reloader: Reloader, sinks: Sequence[Callable[[DataFrame, int], None]], cfg: Config = Config(), classifier=None, judge=None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: the rule file is read anew for each batch, the batch decided once and given to all sinks."""
 
     def run(batch: DataFrame, number: int) -> None:
         reloader.reload()
-        decided = decide(batch, cfg, reloader.pack).persist()
+        decided = decide(batch, cfg, reloader.pack, classifier, judge).persist()
         try:
             for sink in sinks:
                 sink(decided, number)
@@ -73,3 +92,19 @@ def decide_batches(reloader: Reloader, sinks: Sequence[Callable[[DataFrame, int]
             decided.unpersist()
 
     return run
+
+
+def audit_sink(cfg: Config, reloader: Reloader | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that appends decision records, and the log of reloads, as JSON lines under `audit_log_path`.
+
+    Each batch begins chains of its own, one a route; without `audit_hash_chain` lines are written as they are."""
+
+    def run(decided: DataFrame, number: int) -> None:
+        version = str(reloader.version) if reloader else "1"
+        rows = audit.record(decided, version, cfg.guardrail_version or audit.VERSION)
+        lines = rows.select(F.concat_ws("-", F.lit(str(number)), "route").alias("stream"), F.floor("ts_ms").cast("long").alias("seq"), F.to_json(F.struct(*rows.columns)).alias("record"))
+        if reloader and reloader.log:
+            lines = lines.unionByName(reloader.lines().withColumn("stream", F.concat_ws("-", F.lit(str(number)), "stream")))
+        audit_log.write(audit.chain(lines, "stream", "seq") if cfg.audit_hash_chain else lines.withColumnRenamed("record", "line"), cfg.audit_log_path)
+
+    return run
