@@ -19,7 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
 #: Words of a shingle; shorter windows have one shingle of all their words.
 SHINGLE = 3
-#: A prefix table of at most so many bytes is broadcast; a larger one is joined by shuffling positions.
+#: Tables from a benchmark of at most so many bytes are broadcast; those of a larger one are joined by shuffling positions.
 BROADCAST_BYTES = 32_000_000
 
 
@@ -51,10 +51,10 @@ def _window_shingles(table: DataFrame) -> DataFrame:
 
 
 def _positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """All columns of docs (with its words), p, h: a shingle of each of the sizes at each word, and one row with p = -1."""
-    rows = docs.select("*", F.explode(F.sequence(F.lit(-1), F.size("words") - 1)).alias("p"))
-    hashes = [_shingle("words", F.col("p"), k) for k in sizes]
-    return rows.withColumn("h", hashes[0] if len(hashes) == 1 else F.explode(F.array(*hashes)))
+    """id, mark, n_words, p, h: a shingle of each of the sizes at each word, and one row with p = -1 for each document."""
+    rows = docs.select("id", "mark", F.size("words").alias("n_words"), "words", F.explode(F.sequence(F.lit(-1), F.size("words") - 1)).alias("p"))
+    hashes = F.when(F.col("p") >= 0, F.array(*(_shingle("words", F.col("p"), k) for k in sizes))).otherwise(F.array(F.lit(None).cast("long")))
+    return rows.select("id", "mark", "n_words", "p", F.explode(hashes).alias("h"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame:
@@ -62,6 +62,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: st
 
     spans is the set of (start, end) word ranges that equal a window, items the set of their items.
     `mark` is a 64-bit hash of the row's text, so that rows of one key with other texts stay apart.
+
+    Documents are cut into words once for the places where a benchmark's shingle stands, which are written;
+    all that follows works on those. Only documents with a place that the prefix and its bounds leave are cut
+    again, to compare words. What comes from the benchmark is broadcast if its bytes are few, whatever the
+    number of documents; a benchmark of any size is joined by shuffling instead.
     """
     spark = docs.sparkSession
     shingles = cut(_window_shingles(windows(benchmark, item, item_text)), "window-shingles")
@@ -70,35 +75,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: st
     if not sizes:
         none = F.array().cast("array<struct<s:int,e:int>>"), F.array().cast(spark.createDataFrame([], benchmark.select(F.array(item).alias("i")).schema).schema["i"].dataType)
         return rows.groupBy("id", "mark").agg(F.max(F.size("words")).alias("n_words"), F.count("*").alias("copies")).withColumns({"spans": none[0], "items": none[1]})
-
-    keys = shingles.select("h").distinct()
     weight = shingles.agg(F.sum(F.octet_length(F.array_join("w", " ")) + 100).alias("bytes")).first().bytes
-    bounded = weight <= BROADCAST_BYTES
-    seen = _positions(rows, sizes).where("p >= 0")
-    seen = seen.join(F.broadcast(keys), "h", "left_semi").groupBy("h").count() if bounded else seen.groupBy("h").count().join(keys, "h", "left_semi")
+    sent = F.broadcast if weight <= BROADCAST_BYTES else lambda table: table.hint("merge")
+
+    keys = shingles.select("h", F.lit(True).alias("known")).distinct()
+    seen = cut(_positions(rows, sizes).join(sent(keys), "h", "left").where("known or p = -1").drop("known"), "seen")
+    places = seen.where("p >= 0")
     # the rarest shingle of each window; a window with one that no document has can't occur
-    ranked = shingles.join(seen, "h", "left").groupBy("w", "n", "items").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "h", "o")).alias("x"))
-    prefix = cut(ranked.where("x.c > 0").select("w", "n", "items", "x.h", "x.o"), "prefix")
-
-    found = (F.col("p") >= F.col("o")) & (F.col("p") - F.col("o") + F.col("n") <= F.size("words"))
-    equal = F.slice("words", F.col("p") - F.col("o") + 1, F.col("n")) == F.col("w")
-    start = (F.col("p") - F.col("o")).alias("s")
-    head = ["id", "mark", F.size("words").alias("n_words")]
-    if bounded:
-        hits = _positions(rows, sizes).join(F.broadcast(prefix), "h", "left").where((F.col("p") == -1) | (found & equal))
-        once = F.when((F.col("p") == -1) & F.col("w").isNull(), 1)
-        span = F.when(F.col("p") >= 0, F.struct(start, (F.col("p") - F.col("o") + F.col("n")).alias("e")))
-        hits = hits.select(*head, once.alias("one"), span.alias("span"), F.when(F.col("p") >= 0, F.col("items")).alias("items"))
-        # with several sizes a row without place comes once for each of them
-        return hits.groupBy("id", "mark").agg(F.max("n_words").alias("n_words"), (F.count("one") / len(sizes)).cast("long").alias("copies"), F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    lean = _positions(rows, sizes).where("p >= 0").select("id", "mark", F.size("words").alias("size"), "p", "h")
-    wid = prefix.withColumn("wid", F.xxhash64("w"))
-    places = lean.join(wid.select("h", "o", "n", "wid"), "h").where("p >= o and p - o + n <= size")
-    places = places.select("id", "mark", (F.col("p") - F.col("o")).alias("s"), "wid", "n").distinct()
-    again = rows.dropDuplicates(["id", "mark"]).withColumnsRenamed({"id": "id_", "mark": "mark_"})
-    checked = places.join(again, F.col("id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_"))).select("id", "mark", "s", "wid", F.slice("words", F.col("s") + 1, F.col("n")).alias("got"))
-    sure = checked.join(wid.select("wid", "w", "n", "items"), "wid").where("got = w").select("id", "mark", F.struct("s", (F.col("s") + F.col("n")).alias("e")).alias("span"), "items", F.lit(None).cast("int").alias("n_words"))
-    base = rows.select("id", "mark", F.lit(None).cast("struct<s:int,e:int>").alias("span"), F.lit(None).cast(prefix.schema["items"].dataType).alias("items"), F.size("words").alias("n_words"))
+    counts = places.groupBy("h").agg(F.count("*").alias("count"))
+    ranked = shingles.join(counts, "h", "left").groupBy("w", "n", "items").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "h", "o")).alias("x"))
+    prefix = cut(ranked.where("x.c > 0").select("w", "n", "items", "x.h", "x.o", F.xxhash64("w").alias("wid")), "prefix")
+
+    bounded = places.join(sent(prefix.select("h", "o", "n", "wid")), "h").where("p >= o and p - o + n <= n_words")
+    starts = F.collect_set(F.struct((F.col("p") - F.col("o")).alias("s"), "n", "wid")).alias("starts")
+    wanted = bounded.groupBy(F.col("id").alias("id_"), F.col("mark").alias("mark_")).agg(starts)
+    texts = docs.join(wanted.hint("merge"), F.col(key).eqNullSafe(F.col("id_")) & (F.xxhash64(F.lit(1), text) == F.col("mark_")))
+    got = texts.select("id_", "mark_", words(F.col(text)).alias("words"), "starts").select("id_", "mark_", "words", F.inline("starts"))
+    got = got.select("id_", "mark_", "s", "n", "wid", F.slice("words", F.col("s") + 1, F.col("n")).alias("got"))
+    sure = got.join(sent(prefix.select("wid", "w", "items")), "wid").where("got = w")
+    span = F.struct("s", (F.col("s") + F.col("n")).alias("e")).alias("span")
+    sure = sure.select(F.col("id_").alias("id"), F.col("mark_").alias("mark"), span, "items", F.lit(None).cast("int").alias("n_words"))
+    base = seen.where("p = -1").select("id", "mark", F.lit(None).cast("struct<s:int,e:int>").alias("span"), F.lit(None).cast(prefix.schema["items"].dataType).alias("items"), "n_words")
     return base.unionByName(sure).groupBy("id", "mark").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
 
