@@ -19,41 +19,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.llm.common import trim
-from wardline.llm.token_count import cut_long
+from wardline.llm.token_count import sliced
 
 #: Hashed features, longest n-gram, and the labelled documents the model is fitted on for each language, about.
 FEATURES, LONGEST, SAMPLE = 1 << 15, 3, 4_000
 #: A document's evidence counts as that of so many n-grams at most, so that scores don't all end at 1.
 EVIDENCE = 40.0
 UNKNOWN = "und"
-#: Bytes of texts that are read at a time, and where a longer text may be cut.
-SLICE, ANYWHERE = 1_000_000, r"(?s:.)"
+#: Bytes of texts that are read at a time; of a text of more characters so many positions at a time.
+SLICE = 1_000_000
 
 _LETTER = regex.compile(r"\p{L}")
 _P = [np.uint32(p) for p in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
+def _unit(text: str) -> str:
+    return " " + text.lower() + " " * LONGEST
+
+
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    """Hashed n-grams of 1 to LONGEST characters from each position on (positions x lengths)."""
+    out = np.empty((len(codes), LONGEST), np.int32)
+    for n in range(1, LONGEST + 1):
+        h = np.full(len(codes), n * 0x01000193, np.uint32)
+        for k in range(n):
+            h[: len(codes) - k] = (h[: len(codes) - k] ^ codes[k:]) * _P[k]
+        out[:, n - 1] = (h ^ (h >> np.uint32(15))) * _P[0] >> np.uint32(17)
+    return out
+
+
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of the texts one after another, and where each text's begin (one more at the end).
 
     n-grams don't cross texts: every text ends with blanks, and those at which an n-gram could begin that
     reaches the next text all count as feature 0."""
-    pad = " " * LONGEST
-    units = [" " + t.lower() + pad for t in texts]
-    codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+    units = [_unit(t) for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(u) for u in units])])
-    hashed = []
-    for n in range(1, LONGEST + 1):
-        h = np.full(len(codes), n * 0x01000193, np.uint32)
-        for k in range(n):
-            h[: len(codes) - k] = (h[: len(codes) - k] ^ codes[k:]) * _P[k]
-        hashed.append((h ^ (h >> np.uint32(15))) * _P[0] >> np.uint32(17))
-    found = np.stack(hashed, axis=1).astype(np.int32)
+    found = _hashed(_codes("".join(units)))
     for k in range(1, LONGEST):
         found[starts[1:] - k] = 0
     return found.reshape(-1), starts * LONGEST
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def long_features(text: str) -> Iterator[np.ndarray]:
+    """The same n-grams of one text, some of its positions at a time."""
+    unit = _unit(text)
+    for at in range(0, len(unit), SLICE):
+        found = _hashed(_codes(unit[at : at + SLICE + LONGEST - 1]))[: len(unit) - at][:SLICE]
+        found[max(0, len(unit) - at - LONGEST + 1) :] = 0
+        yield found.reshape(-1)
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -61,9 +81,12 @@ class Model:
 
     def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text the sums of log probabilities by language, the number of n-grams, and whether it has letters."""
+        known = np.array([bool(_LETTER.search(t)) for t in texts])
+        if len(texts) == 1 and len(texts[0]) > SLICE:
+            found = [(np.array([row[part].sum(dtype=np.float64) for row in self.logp]), len(part)) for part in long_features(texts[0])]
+            return sum(x for x, _ in found)[None], np.array([sum(n for _, n in found)]), known
         found, starts = features(texts)
-        sums = np.stack([np.add.reduceat(row[found], starts[:-1]) for row in self.logp], axis=1)
-        return sums, np.diff(starts), np.array([bool(_LETTER.search(t)) for t in texts])
+        return np.stack([np.add.reduceat(row[found], starts[:-1]) for row in self.logp], axis=1), np.diff(starts), known
 
     def decided(self, sums: np.ndarray, n: np.ndarray, known: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score; `und` and 0 without letters."""
@@ -102,13 +125,17 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         total = {}
         for batch in batches:
             names, at = batch.column(1).to_pylist(), 0
-            for part, more in cut_long(batch.column(0), SLICE, ANYWHERE):
+            for part in sliced(batch.column(0), SLICE):
                 texts = part.to_pylist()
-                found, starts = features(texts)
-                of = np.array([langs.index(n) for n in names[at : at + len(texts)]]).repeat(np.diff(starts))
-                for k in np.unique(of):
-                    total[k] = total.get(k, 0) + np.bincount(found[of == k], minlength=FEATURES)
-                at += 0 if more else len(texts)
+                if len(texts) == 1 and len(texts[0]) > SLICE:
+                    counted = [(langs.index(names[at]), f) for f in long_features(texts[0])]
+                else:
+                    found, starts = features(texts)
+                    of = np.array([langs.index(n) for n in names[at : at + len(texts)]]).repeat(np.diff(starts))
+                    counted = [(k, found[of == k]) for k in np.unique(of)]
+                for k, some in counted:
+                    total[k] = total.get(k, 0) + np.bincount(some, minlength=FEATURES)
+                at += len(texts)
         for k, counts in total.items():
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.int64))], ["l", "f", "n"])
@@ -123,26 +150,18 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of `docs` and lang_pred, score (columns of these names are replaced).
 
     Null, empty and letterless texts are `und` with score 0; ties go to the first language by name.
-    Each row is scored alone: repeated rows agree, an empty table stays empty. Texts of more than twice
-    SLICE bytes are read in parts, of which the evidence is added up (an n-gram across a cut ends there).
+    Each row is scored alone: repeated rows agree, an empty table stays empty. The evidence of
+    texts of more than SLICE characters is added up over parts of them, with the same result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
     schema, at = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)]), base.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            langs, scores, before = [], [], None
-            for part, more in cut_long(pc.fill_null(batch.column(at), ""), SLICE, ANYWHERE):
-                if not model.langs:
-                    a, b = model.score([] if more else part.to_pylist())
-                else:
-                    sums, n, known = model.evidence(part.to_pylist())
-                    if before is not None:
-                        sums[0], n[0], known[0] = sums[0] + before[0], n[0] + before[1], known[0] | before[2]
-                    before = (sums[0], n[0], known[0]) if more else None
-                    a, b = ([], np.zeros(0)) if more else model.decided(sums, n, known)
+            langs, scores = [], []
+            for part in sliced(pc.fill_null(batch.column(at), ""), SLICE):
+                a, b = shared.value.score(part.to_pylist())
                 langs += a
                 scores.append(b)
             both = [pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, np.zeros(0)]))]
