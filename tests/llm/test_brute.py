@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from wardline.llm import fingerprint, language_id, mixing, near_dedup, secret_scan
+from wardline.llm import decontaminate, fingerprint, language_id, line_dedup, mixing, near_dedup, secret_scan, substring_dedup, token_count, token_files
 
 SMALL = "abcdefghijklmnopqrstuvwxyz"
 SYLLABLES = {"aa": ["thi", "ou", "wha", "sh"], "bb": ["lich", "keit", "äu", "ß"], "cc": ["ción", "mente", "ñ", "osa"]}
@@ -351,3 +351,28 @@ def test_repeated_rows_come_as_often_as_planned(spark):
     nulls = mixing.mix(spark.createDataFrame([(None, prose(rnd, "aa", 3 + k), "s") for k in range(30)], "doc_id long, text string, source string")).collect()
     assert len({r.mark for r in nulls}) == 30
     assert json.dumps(sorted(r.taken for r in nulls))
+
+
+def test_columns_of_any_name_pass_through(spark, tmp_path):
+    """Names that operators use themselves, in their results or inside, beside id and text."""
+    rnd = random.Random(48)
+    names = "id mark size source k bin h s e n group row label node parts words place first again n_tokens lang_pred score n_lines n_removed n_sentences known starts w items taken extra epochs _0 _1 __id __mark __ranges __parts __n __copy __gone __bad __text __left __row __all __source __epochs __extra".split()
+    rows = [(k, "\n".join(prose(rnd, "aa", 9) for _ in range(3)), *(f"{n}{k}" for n in names)) for k in range(12)]
+    rows += [(20, rows[3][1], *rows[3][2:]), (None, None, *(None for _ in names))]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{n}` string" for n in names)])).repartition(2)
+    bench = spark.createDataFrame([(1, prose(rnd, "cc", 20))], "item_id long, text string")
+    found = {
+        "token_counts": token_count.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")), "predict": language_id.predict(docs, language_id.fit(docs.withColumnRenamed("source", "lang"))), "line_dedup": line_dedup.line_dedup(docs),
+        "substring_dedup": substring_dedup.substring_dedup(docs), "mixed": mixing.mixed_documents(docs), "clean": decontaminate.clean(docs, bench), "one_of_each": near_dedup.one_of_each(docs),
+    }
+    own = {"token_counts": ["n_tokens"], "predict": ["lang_pred", "score"], "line_dedup": ["n_lines", "n_removed"], "substring_dedup": ["n_sentences", "n_removed"]}
+    for name, df in found.items():
+        got = df.collect()
+        assert sorted(df.columns) == sorted(docs.columns), name
+        for r in got:
+            key = r.doc_id
+            values = {n: r[n] for n in names if n not in own.get(name, [])}
+            assert values == {n: None if key is None else f"{n}{3 if key == 20 else key}" for n in values}, name
+        assert len(got) == {"mixed": len(got), "one_of_each": len(rows) - 1}.get(name, len(rows)), name
+    for df in (near_dedup.near_duplicates(docs), fingerprint.fingerprints(docs), decontaminate.contamination(docs, bench), mixing.mix(docs), token_files.op3_token_files(docs, public_tokenizers.path("word_bpe_49k.json"))):
+        assert df.count() == len(rows)

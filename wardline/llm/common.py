@@ -62,6 +62,22 @@ def text_of(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+class Shielded:
+    """A table under column names that no helper column has, and its own names back on what comes of it."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        self.names = docs.columns
+        self.docs = docs.toDF(*(f"_{k}" for k in range(len(self.names))))
+
+    def __getitem__(self, name: str) -> str:
+        """The name that stands for a column here."""
+        return f"_{self.names.index(name)}"
+
+    def columns(self, *but: str) -> list[Column]:
+        """All columns, or all but some, under their own names."""
+        return [F.col(f"_{k}").alias(n) for k, n in enumerate(self.names) if n not in but]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

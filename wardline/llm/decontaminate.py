@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import cut, text_of
+from wardline.llm.common import Shielded, cut
 
 #: What stands between words (fixed value): ASCII but for digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -91,8 +91,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: st
     bounded = places.join(sent(prefix.select("h", "o", "n", "wid")), "h").where("p >= o and p - o + n <= n_words")
     starts = F.collect_set(F.struct((F.col("p") - F.col("o")).alias("s"), "n", "wid")).alias("starts")
     wanted = bounded.groupBy(F.col("id").alias("id_"), F.col("mark").alias("mark_")).agg(starts)
-    texts = docs.join(wanted.hint("merge"), F.col(key).eqNullSafe(F.col("id_")) & (F.xxhash64(F.lit(1), text) == F.col("mark_")))
-    got = texts.select("id_", "mark_", words(F.col(text)).alias("words"), "starts").select("id_", "mark_", "words", F.inline("starts"))
+    lean = docs.select(F.col(key).alias("key_"), F.col(text).alias("text_"))
+    texts = lean.join(wanted.hint("merge"), F.col("key_").eqNullSafe(F.col("id_")) & (F.xxhash64(F.lit(1), "text_") == F.col("mark_")))
+    got = texts.select("id_", "mark_", words(F.col("text_")).alias("words"), "starts").select("id_", "mark_", "words", F.inline("starts"))
     got = got.select("id_", "mark_", "s", "n", "wid", F.slice("words", F.col("s") + 1, F.col("n")).alias("got"))
     sure = got.join(sent(prefix.select("wid", "w", "items")), "wid").where("got = w")
     span = F.struct("s", (F.col("s") + F.col("n")).alias("e")).alias("span")
@@ -122,8 +123,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, key: s
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, that are not contaminated."""
-    bad = cut(contamination(docs, benchmark, key=key, text=text).where("contaminated").select(F.col("id").alias("__bad"), F.col("mark").alias("__mark")), "contaminated")
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad")) & (F.xxhash64(F.lit(1), text) == F.col("__mark")), "left_anti")
+    own = Shielded(docs)
+    docs, key, text = own.docs, own[key], own[text]
+    found = contamination(docs, benchmark, key=key, text=text).where("contaminated")
+    bad = cut(found.select(F.col("id").alias("__bad"), F.col("mark").alias("__mark")), "contaminated")
+    return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad")) & (F.xxhash64(F.lit(1), text) == F.col("__mark")), "left_anti").select(*own.columns())
 
 
 def op5_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

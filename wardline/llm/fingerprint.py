@@ -135,7 +135,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     The following document is the next by ascending key, after the last the first; rows of equal keys
     are ordered by text, null keys come first, a null text is empty, a lone row follows itself. Repeated
-    rows follow one another. An empty table gives an empty table. Other columns are not read.
+    rows follow one another. An empty table gives an empty table. Other columns are not read. A worker holds two
+    texts at a time, at some twenty times their bytes.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 

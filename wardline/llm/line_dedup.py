@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import cut
+from wardline.llm.common import Shielded, cut
 from wardline.llm.repeats import place, rows_of, without
 
 #: Lines under the rolling hash, and the mean number of lines of a chunk.
@@ -55,19 +55,20 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lone: b
     stay as they are; rows that repeat key and text are one document, rows with the same key and other
     texts are ordered by a hash of them; null keys come first. Empty tables stay empty. Joins are merge joins
     at every size, whose skewed keys the planner splits. A text of any length is one row; its lines and chunks
-    are in memory together. Columns of any name pass through, but for names that begin with two underscores.
+    are in memory together. Columns of any name pass through.
     With `lone`, chunks of one line occur and always stay; see chunks().
     """
-    all_ = chunks(docs, key, text, lone)
+    own = Shielded(docs)
+    docs, key_, text_ = own.docs, own[key], own[text]
+    all_ = chunks(docs, key_, text_, lone)
     twice = cut(all_.groupBy("h").agg(F.min(place("s")).alias("x"), F.max(place("s")).alias("y")).where("x <> y").select("h"), "hashes")
     again = cut(all_.join(twice.hint("merge"), "h", "left_semi").withColumn("place", place("s")), "chunks")
     # grouping by the bytes themselves is the comparison: chunks of one hash and other bytes stay apart
     first = again.groupBy("h", "chunk").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last")
     first = cut(first.select(F.col("h").alias("h_"), F.col("chunk").alias("chunk_"), "first"), "first")
     gone = again.join(first.hint("merge"), (F.col("h") == F.col("h_")) & (F.col("chunk") == F.col("chunk_"))).where("place <> first").select("id", "mark", "s", "e")
-    out = without(docs, gone, key, text, lines)
-    others = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
-    return out.select(*others, F.col("__text").alias(text), F.col("__n").alias("n_lines"), F.col("__gone").alias("n_removed"))
+    out = without(docs, gone, key_, text_, lines)
+    return out.select(*own.columns(text, "n_lines", "n_removed"), F.col("__text").alias(text), F.col("__n").alias("n_lines"), F.col("__gone").alias("n_removed"))
 
 
 def op7_line_dedup(docs: DataFrame) -> DataFrame:

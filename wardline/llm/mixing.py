@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.common import cut
+from wardline.llm.common import Shielded, cut
 
 #: Words (fixed value): runs of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -103,16 +103,17 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, key: str
     """The mix itself: every row of `docs` as often as it is taken, with all its columns.
 
     Rows that repeat id, text and source are told apart by a running number, so that together they come as
-    often as the mix takes them together. Rows without words are never taken. Names of columns that begin
-    with two underscores are used inside.
+    often as the mix takes them together. Rows without words are never taken. Columns of any name pass through.
     """
+    own = Shielded(docs)
+    docs, key, text, source = own.docs, own[key], own[text], own[source]
     plan = mix(docs, quality, key=key, text=text, source=source).where("size > 0")
     times = plan.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("source").alias("__source")).agg(F.min("epochs").alias("__epochs"), F.count_if("extra").alias("__extra"))
     times = times.where("__epochs > 0 or __extra > 0")
     same = F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")) & F.col(source).cast("string").eqNullSafe(F.col("__source"))
     number = F.row_number().over(Window.partitionBy("__id", "__mark", "__source").orderBy(F.lit(0)))
     rows = docs.join(times, same).withColumn("__n", F.col("__epochs") + (number <= F.col("__extra")).cast("long"))
-    return rows.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*docs.columns)
+    return rows.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*own.columns())
 
 
 def op6_mixing(docs: DataFrame, labels: DataFrame) -> DataFrame:

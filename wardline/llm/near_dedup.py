@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.common import cut, forget, text_of, trim
+from wardline.llm.common import Shielded, cut, forget, text_of, trim
 from wardline.llm.graph import components
 from wardline.llm.shingles import mixed, shingle_sets
 from wardline.llm.token_count import sliced
@@ -165,7 +165,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str
     smallest key that links reach; kept says that it is the row's own. Null and empty texts have no
     shingles, no links and are kept. Repeated rows share one fate (all kept or none); a null key never
     becomes a component's id unless it has no other. Other columns are not read. An empty table gives
-    an empty table. Links are found by MinHash (see BANDS) and confirmed on the full sets.
+    an empty table. Links are found by MinHash (see BANDS) and confirmed on the full sets. A text of any length
+    is one row, whose shingles (8 bytes a word) are in memory together.
     """
     shift = F.lit(_SHIFTED).cast("decimal(19,0)")
     all_ = cut(signed(docs, width, key, text), "signed")
@@ -211,6 +212,8 @@ def one_of_each(docs: DataFrame, percent: int = 85, width: int = 5, key: str = "
     Of each group one row stays, also where its rows repeat each other or share a key: one with the least key
     (null if there is no other), then the least hash of key and text. Rows without shingles all stay.
     """
+    own = Shielded(docs)
+    docs, key, text = own.docs, own[key], own[text]
     found = near_duplicates(docs, percent, width, key, text)
     chosen = found.where("kept and n_shingles > 0").groupBy("group").agg(F.min("row").alias("__row"))
     chosen = cut(found.where("n_shingles = 0").select(F.col("row").alias("__row"), F.lit(True).alias("__all")).distinct().unionByName(chosen.select("__row", F.lit(False).alias("__all"))), "chosen")
@@ -218,4 +221,4 @@ def one_of_each(docs: DataFrame, percent: int = 85, width: int = 5, key: str = "
     keyed = found.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct().join(chosen, "__row")
     same = (F.xxhash64(key, text) == F.col("__row")) & F.col(key).cast("long").eqNullSafe(F.col("__id"))
     copy = F.row_number().over(Window.partitionBy("__row", "__id").orderBy(F.lit(0)))
-    return docs.join(keyed, same).withColumn("__copy", copy).where("__all or __copy = 1").select(*docs.columns)
+    return docs.join(keyed, same).withColumn("__copy", copy).where("__all or __copy = 1").select(*own.columns())

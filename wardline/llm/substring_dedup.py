@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from wardline.llm.common import text_of, trim
+from wardline.llm.common import Shielded, text_of, trim
 from wardline.llm.repeats import ranged
 from wardline.llm.shingles import mixed
 from wardline.llm.token_count import sliced
@@ -271,17 +271,18 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     words. Null stays null; texts of fewer pieces than a span stay as they are; rows that repeat key and
     text are one document, rows with the same key and other texts are ordered by a hash of them; null
     keys come first. Empty tables stay empty. A text is held whole by the worker that cuts it, at some
-    twenty times its bytes. Columns of any name pass through, but for names that begin with two underscores.
+    twenty times its bytes. Columns of any name pass through.
     """
+    own = Shielded(docs)
+    docs, key_, text_ = own.docs, own[key], own[text]
     order = Window.partitionBy("h", "g").orderBy("id", "mark", "s")
     first = F.first(F.struct("id", "mark", "s")).over(order)
     # a repeated row gives the same place again, and that is as first as the first
-    gone = spans(docs, key, text).withColumn("first", first).where(F.col("again") | ~F.struct("id", "mark", "s").eqNullSafe(F.col("first"))).select("id", "mark", "s", "e")
+    gone = spans(docs, key_, text_).withColumn("first", first).where(F.col("again") | ~F.struct("id", "mark", "s").eqNullSafe(F.col("first"))).select("id", "mark", "s", "e")
     left = F.arrow_udf(left_over, "struct<text string, n long, gone long>")
-    out = ranged(docs, gone, key, text).withColumn("__left", left(text_of(text), F.col("__ranges")))
-    others = [c for c in docs.columns if c not in (text, "n_sentences", "n_removed")]
-    kept = F.when(F.col("__ranges").isNull(), F.col(text)).otherwise(F.col("__left.text"))
-    return out.select(*others, kept.alias(text), F.col("__left.n").alias("n_sentences"), F.col("__left.gone").alias("n_removed"))
+    out = ranged(docs, gone, key_, text_).withColumn("__left", left(text_of(text_), F.col("__ranges")))
+    kept = F.when(F.col("__ranges").isNull(), F.col(text_)).otherwise(F.col("__left.text"))
+    return out.select(*own.columns(text, "n_sentences", "n_removed"), kept.alias(text), F.col("__left.n").alias("n_sentences"), F.col("__left.gone").alias("n_removed"))
 
 
 def op10_substring_dedup(docs: DataFrame) -> DataFrame:
