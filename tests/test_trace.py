@@ -168,3 +168,19 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     kept = {r.key: r for r in snapshot(spark, str(tmp_path / "cp")).collect()}
     for key in "pqr":
         assert list(kept[key].tools) == [r[3] for r in sorted(rows, key=lambda r: (r[2], r[1])) if r[0] == key and r[3]][-WINDOW:]
+
+
+def test_a_stream_is_reset_drained_and_stopped(spark, tmp_path):
+    from wardline.streaming.traces import shut_down, spans, trace_stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [("k", s, START + timedelta(seconds=s), "w", "{}", True, s == 3) for s in range(6)]
+    calls = spark.createDataFrame(rows, "key string, seq long, ts timestamp, tool string, args string, recorded boolean, reset boolean")
+    calls.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(calls.schema).parquet(str(tmp_path / "in"))
+    q = trace_stream(source, [rules.Loop("loop", 3)], WINDOW).writeStream.format("memory").queryName("after_reset").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    shut_down([q], 20.0)
+    assert not q.isActive
+    assert {r.seq: r.rule for r in spark.table("after_reset").collect()} == {0: None, 1: None, 2: "loop", 3: None, 4: None, 5: "loop"}
+    assert {"addBatch", "triggerExecution"} <= {s["name"] for s in spans(q)}

@@ -150,25 +150,26 @@ def _is(matcher: str, tool: str) -> bool:
     return matcher == "*" or (bool(re.search(matcher, tool)) if is_regex(matcher) else matcher == tool)
 
 
-def fold_keys(calls: DataFrame, pack: Sequence[Rule], window: int = 256, ttl_s: float = 600.0, sticky: bool = True) -> DataFrame:
+def fold_keys(calls: DataFrame, pack: Sequence[Rule], window: int = 256, ttl_s: float = 600.0, sticky: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """key, seq, rule of every call of a recorded table (see `trace.record`): the name of the rule that fires, or null.
 
     Calls are dealt by key and sorted by time; a task runs through them with the state of one key at a time,
-    which the window bounds, however long a key's history is."""
+    which the window bounds, however long a key's history is. Columns to `carry` come along as text."""
     pack = tuple(pack)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fold, of = None, None
         for rows in batches:
             out = []
-            for known, key, seq, t, tool, args, recorded in rows.itertuples(index=False):
+            for known, key, seq, t, tool, args, recorded, *more in rows.itertuples(index=False):
                 if fold is None or (known, key) != of:
                     fold, of = TraceFold(pack, window, ttl_s, sticky), (known, key)
                 if recorded:
                     fold.record(tool, args, t)
                 hit = fold.evaluate(t)
-                out.append((key, seq, hit.name if hit else None))
-            yield pd.DataFrame(out, columns=["key", "seq", "rule"], dtype=object)
+                out.append((key, seq, hit.name if hit else None, *more))
+            yield pd.DataFrame(out, columns=["key", "seq", "rule", *carry], dtype=object)
 
-    lean = calls.select(F.col("key").isNotNull().alias("known"), F.col("key").cast("string"), F.col("seq").cast("long"), (F.unix_micros("ts") / 1_000_000).alias("t"), "tool", "args", "recorded")
-    return lean.repartition("key").sortWithinPartitions("key", "t", "seq").mapInPandas(run, "key string, seq long, rule string")
+    more = [F.col(c).cast("string") for c in carry]
+    lean = calls.select(F.col("key").isNotNull().alias("known"), F.col("key").cast("string"), F.col("seq").cast("long"), (F.unix_micros("ts") / 1_000_000).alias("t"), "tool", "args", "recorded", *more)
+    return lean.repartition("key").sortWithinPartitions("key", "t", "seq").mapInPandas(run, "key string, seq long, rule string" + "".join(f", {c} string" for c in carry))

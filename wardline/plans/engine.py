@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import identity, text
-from wardline.functions.patterns import ALLOW
+from wardline.functions.patterns import ALLOW, BLOCK
 from wardline.functions.redact import json_redactor, redaction_gate, tagged
 from wardline.functions.scan import RESULT, fence, result, scan, scan_chunks
 from wardline.operators import audit
 from wardline.operators import decide as d
 from wardline.operators import trace
 from wardline.operators.classify import classify, scorer, second_stage, windowed
+from wardline.operators.fold import fold_keys
 from wardline.operators.rules import DEFAULT_PACK, Rule
 from wardline.plans.config import Config
 
@@ -47,9 +48,12 @@ def prepare(exchanges: DataFrame, cfg: Config = Config()) -> DataFrame:
 IDENTITY = ("exchange_key", "phase", "seq")
 
 
-def traced(exchanges: DataFrame, cfg: Config = Config(), pack: Sequence[Rule] = DEFAULT_PACK, responses: bool = False) -> DataFrame:
+def traced(exchanges: DataFrame, cfg: Config = Config(), pack: Sequence[Rule] = DEFAULT_PACK, responses: bool = False, parked: bool = False) -> DataFrame:
     """IDENTITY, invariant, summary of the requests (and responses): the first rule that fires, and the last calls before.
 
+    With `parked` flows go on after the window has left their first steps behind, for as long as the settings
+    say; the calls of a key are then folded in order instead of seen through windows (without summaries).
+
     Only ids, tools and arguments are shuffled by trace key and sorted by time; payloads and texts stay
     where they are. Responses look at their route's trace and never enter it."""
     request = F.col("phase") == "request"
@@ -60,6 +64,12 @@ def traced(exchanges: DataFrame, cfg: Config = Config(), pack: Sequence[Rule] =
     args = F.coalesce(F.to_json(F.try_variant_get(F.try_parse_json("payload"), "$.arguments", "variant")), F.lit("{}"))
     call = call.select(*IDENTITY, F.when(request, key).otherwise(route).alias("__key"), "ts", tool.alias("__tool"), F.when(request, args).otherwise("{}").alias("__args"))
     calls = trace.record(call, F.col("__key"), F.col("seq"), F.col("ts"), F.col("__tool"), F.col("__args"), args_most=cfg.invariant_args_max_bytes)
+    if parked:
+        rule = F.col("rule")
+        folded = fold_keys(calls, pack, cfg.invariant_window, cfg.invariant_sticky_ttl_s, carry=IDENTITY[:2])
+        said = F.coalesce(*(F.when(rule == r.name, F.lit(r.description or r.name)) for r in pack)) if pack else F.lit(None).cast("string")
+        calls = folded.withColumn("invariant", F.when(rule.isNotNull(), result(F.concat(F.lit("invariant:"), rule), BLOCK, said, 0.0)))
+        return calls.select(*IDENTITY, "invariant", F.lit(None).cast("string").alias("summary")).where(rule.isNotNull())
     calls = trace.apply_pack(calls, pack, window=cfg.invariant_window)
     if responses:
         calls = trace.summary(calls)
@@ -86,10 +96,11 @@ def scanned(df: DataFrame, chunks: str, out: str, cfg: Config, classifier=None)
     return df.withColumn(out, fence(verdicts)).drop(*parts)
 
 
-def decide(exchanges: DataFrame, cfg: Config = Config(), pack: Sequence[Rule] = DEFAULT_PACK, classifier=None, judge=None) -> DataFrame:
+def decide(exchanges: DataFrame, cfg: Config = Config(), pack: Sequence[Rule] = DEFAULT_PACK, classifier=None, judge=None, parked: bool = False) -> DataFrame:
     """Every exchange with results, decision, reason, mutated, outcome and the wire result.
 
-    `classifier` is a `classify.scorer`, `judge` a `classify.aligner`; both also need their settings. A tool call
+    `classifier` is a `classify.scorer`, `judge` a `classify.aligner`; both also need their settings. `parked` is as
+    in `traced`. A tool call
     that the access list denies isn't scanned but stays in the trace. Trace verdicts are joined back by
     IDENTITY, and only those that say something, so the planner can send them to where the payloads are.
     """
@@ -101,7 +112,11 @@ def decide(exchanges: DataFrame, cfg: Config = Config(), pack: Sequence[Rule] =
     df = df.withColumn("size", text.payload_size(F.col("total_bytes"), F.col("scanned_bytes"), cfg.scan_max_payload_bytes))
 
     aligned = judge is not None and cfg.enable_agent_alignment
-    found = traced(exchanges, cfg, pack, aligned).dropDuplicates(list(IDENTITY)).withColumnsRenamed({c: f"__{c}" for c in IDENTITY})
+    found = traced(exchanges, cfg, pack, aligned)
+    if parked:
+        found = found.drop("invariant").unionByName(traced(exchanges, cfg, pack, parked=True), allowMissingColumns=True) if aligned else traced(exchanges, cfg, pack, parked=True)
+        found = found.groupBy(*IDENTITY).agg(F.first("invariant", ignorenulls=True).alias("invariant"), F.max("summary").alias("summary"))
+    found = found.dropDuplicates(list(IDENTITY)).withColumnsRenamed({c: f"__{c}" for c in IDENTITY})
     df = df.join(found, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in IDENTITY]), "left").drop(*(f"__{c}" for c in IDENTITY))
     if aligned:
         df = df.withColumn("__answers", F.when(~request, F.col("__scanned")).otherwise(F.array().cast("array<string>")))

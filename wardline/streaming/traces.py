@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from wardline.operators import audit
 from wardline.operators.fold import TraceFold
@@ -108,3 +109,17 @@ def audit_sink(cfg: Config, reloader: Reloader | None = None) -> Callable[[DataF
         audit_log.write(audit.chain(lines, "stream", "seq") if cfg.audit_hash_chain else lines.withColumnRenamed("record", "line"), cfg.audit_log_path)
 
     return run
+
+
+def spans(query: StreamingQuery) -> list[dict]:
+    """One record for each step of each batch that a query still remembers: name, batch and duration in ms."""
+    return [{"event": "span", "name": step, "batch": p["batchId"], "duration_ms": float(ms)} for p in query.recentProgress for step, ms in p["durationMs"].items()]
+
+
+def shut_down(queries: Sequence[StreamingQuery], drain_s: float = 5.0) -> None:
+    """Let batches that are at work end, for so many seconds together, then stop; what is stopped begins anew from its checkpoint."""
+    until = time.monotonic() + drain_s
+    for query in queries:
+        while query.isActive and query.status["isTriggerActive"] and time.monotonic() < until:
+            time.sleep(0.05)
+        query.stop()
