@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.common import Shielded, cut
+from wardline.llm.common import Shielded, cut, forget, partitions
 
 #: Words (fixed value): runs of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,20 +35,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     """source, source_size, target of a table (source, source_size) with a row for each source.
 
     Sources by code point, null last, weigh `weights` in turn and share the sum of all sizes. No target
-    passes `most` times its source's size; the excess is shared by weight among the others. The level at
-    which it settles is found in one pass: sources in order of size over weight stop one after another.
+    passes `most` times its source's size; the excess is shared by weight among the others, until none is
+    above. Sources are numbered over ranges, and each sharing is one sum over all of them, so that there may
+    be as many as there are web sites; only sums and the number of sources of each range come to the driver.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    rows = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")).cast("double"))
-    rows = rows.withColumn("cap", (most * F.col("source_size")).cast("double"))
-    fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    # the first source that the level of its turn doesn't fill sets the level of all that follow
-    rows = rows.withColumn("turn", level).withColumn("free", F.col("cap") > F.col("turn") * F.col("weight"))
-    rows = rows.withColumn("level", F.max(F.when(F.col("free"), F.col("turn"))).over(whole))
-    return rows.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
+    order = F.col("source").asc_nulls_last()
+    dealt = cut(sizes.repartitionByRange(partitions(sizes.sparkSession), order).withColumn("part", F.spark_partition_id()), "sources")
+    counts = {r.part: r.n for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before = [sum(n for p, n in counts.items() if p < k) for k in range(max(counts, default=0) + 1)]
+    number = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1 + F.get(F.array(*map(F.lit, before)), F.col("part"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (number % len(weights) + 1).cast("int")).cast("double")
+    rows = cut(dealt.select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).cast("double").alias("cap")), "weighed")
+    forget(dealt)
+    level, last = 0.0, None
+    while level is not None and level != last:
+        full, last = F.col("cap") <= F.lit(level) * F.col("weight"), level
+        left = rows.agg(F.sum("source_size").cast("double").alias("all"), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("free")).first()
+        level = (left["all"] - left["full"]) / left.free if left.free else None
+    return rows.select("source", "source_size", F.col("cap").alias("target") if level is None else F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
