@@ -24,6 +24,10 @@ NAME, SECOND = "onnx-promptguard", "agent-alignment"
 BAD_LABELS = ("MALICIOUS", "INJECTION", "JAILBREAK")
 #: Characters of a chunk that the second stage is shown, and the score of its denials (fixed values).
 SHOWN, CERTAIN = 4000, 0.95
+# Wording of audit reasons and of what a judge is asked.
+SCORED, OVER, GREY = "prompt injection score ", " >= {block}", " in grey zone [{review}, {block})"
+UNREADABLE, SETTINGS, FAILED, COMPROMISED = "unparseable_llm_output (match_len={n})", "config_error:{e}", "llm_error:{e}", "AgentAlignment: compromised (observation match_len={n})"
+LAST_CALLS, QUESTION = "The agent's most recent tool calls (oldest first):\n{summary}\n\n", "Evaluate this agent action:\n\n{text}"
 
 Scorer = Callable[[list[str]], Sequence[float]]
 
@@ -67,10 +71,10 @@ def stub(scores: Callable[[str], float] = lambda text: 0.0) -> Callable[[], Scor
 def verdict(score: Column, block: float = 0.9, review: float = 0.5, name: str = NAME) -> Column:
     """Block, review or allow by score; a review threshold of 0 turns reviews off."""
     review = min(review, block)
-    said = F.concat(F.lit("prompt injection score "), F.format_string("%.3f", score))
-    branch = F.when(score >= block, result(name, BLOCK, F.concat(said, F.lit(f" >= {block}")), score))
+    said = F.concat(F.lit(SCORED), F.format_string("%.3f", score))
+    branch = F.when(score >= block, result(name, BLOCK, F.concat(said, F.lit(OVER.format(block=block))), score))
     if review > 0:
-        branch = branch.when(score >= review, result(name, REVIEW, F.concat(said, F.lit(f" in grey zone [{review}, {block})")), score))
+        branch = branch.when(score >= review, result(name, REVIEW, F.concat(said, F.lit(GREY.format(review=review, block=block))), score))
     return branch.otherwise(result(name, ALLOW, "", 0.0))
 
 
@@ -116,9 +120,8 @@ def classify(df: DataFrame, texts: str, run, out: str = "classifier", block: flo
 
 
 def prompt(summary: str, text: str) -> str:
-    """What a judge is asked (fixed wording): the agent's last calls, if any, and the action."""
-    calls = f"The agent's most recent tool calls (oldest first):\n{summary}\n\n" if summary else ""
-    return f"{calls}Evaluate this agent action:\n\n{text}"
+    """What a judge is asked: the agent's last calls, if any, and the action."""
+    return (LAST_CALLS.format(summary=summary) if summary else "") + QUESTION.format(text=text)
 
 
 def aligner(make: Callable[[], Callable[[str], tuple[bool, str]]]):
@@ -140,13 +143,13 @@ def aligner(make: Callable[[], Callable[[str], tuple[bool, str]]]):
                     judge.append(make())
                 compromised, observation = judge[0](prompt(summary, mask(text)[0][:SHOWN]))
             except ValueError as e:
-                return said(REVIEW, f"unparseable_llm_output (match_len={len(str(e.args[0]) if e.args else '')})")
+                return said(REVIEW, UNREADABLE.format(n=len(str(e.args[0]) if e.args else "")))
             except RuntimeError as e:
-                return said(REVIEW, f"config_error:{e}")
+                return said(REVIEW, SETTINGS.format(e=e))
             except Exception as e:  # noqa: BLE001 - an exception's text can hold what was sent
-                return said(REVIEW, f"llm_error:{type(e).__name__}")
+                return said(REVIEW, FAILED.format(e=type(e).__name__))
             if compromised:
-                return said(BLOCK, f"AgentAlignment: compromised (observation match_len={len(observation)})", CERTAIN)
+                return said(BLOCK, COMPROMISED.format(n=len(observation)), CERTAIN)
             return said(ALLOW, "")
 
         for texts, summaries in batches:
