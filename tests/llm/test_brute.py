@@ -192,6 +192,29 @@ def test_model_spans_by_definition(spark):
     assert found > 50
 
 
+# ---------------------------------------------------------------- near duplicates
+
+
+def test_the_prefix_filter_loses_no_pair_and_meets_no_template(spark):
+    rnd = random.Random(49)
+    sets = []
+    for _ in range(40):  # families of sets of many sizes about the threshold
+        base = [rnd.getrandbits(62) for _ in range(rnd.choice([1, 2, 5, 19, 20, 40, 130]))]
+        for _ in range(6):
+            kept = [x for x in base if rnd.random() > 0.06]
+            sets.append(sorted({*kept, *(rnd.getrandbits(62) for _ in range(rnd.randint(0, len(base) // 9)))} or set(base)))
+    frame = spark.createDataFrame([(k, len(x), x) for k, x in enumerate(sets)], "node long, n long, shingles array<long>")
+    rest = frame.selectExpr("node", "node AS label")
+    got = {tuple(r) for r in near_dedup._rest(rest, frame, 85).collect()}
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) for same in [len({*sets[i]} & {*sets[j]})] if 100 * same >= 85 * (len(sets[i]) + len(sets[j]) - same)}
+    assert len(alike) > 100
+    assert alike <= got
+    template = [rnd.getrandbits(62) for _ in range(91)]
+    pages = [(k, 100, sorted([*template, *(rnd.getrandbits(62) for _ in range(9))])) for k in range(60)]  # similarity 0.835
+    frame = spark.createDataFrame(pages, "node long, n long, shingles array<long>")
+    assert near_dedup._rest(frame.selectExpr("node", "node AS label"), frame, 85).count() == 0
+
+
 # ---------------------------------------------------------------- the pipeline
 
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.common import Shielded, cut, forget, text_of, trim
@@ -30,6 +30,8 @@ BANDS, ROWS = 32, 6
 #: Bits of an odd sketch; a pair is dropped unread only if its estimate is this far under the threshold
 #: (over five standard errors of the sample).
 SKETCH_BITS, SLACK = 1024, 0.18
+#: Width of the classes of set sizes in the prefix filter.
+SIZE_STEP = 1.04
 
 _RANDOM = np.random.default_rng(20)
 _A = (_RANDOM.integers(0, 2**32, BANDS * ROWS, np.uint32) | np.uint32(1))[:, None]
@@ -58,7 +60,7 @@ def signature(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bands.view(np.int64), np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
-def estimate(differing: F.Column) -> F.Column:
+def estimate(differing: Column) -> Column:
     """The similarity that so many differing sketch bits suggest."""
     n, k = SKETCH_BITS, BANDS * ROWS
     gone = F.least(F.lit(0.999), 2 * differing / F.lit(n))
@@ -136,24 +138,39 @@ def _linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int
     return linked
 
 
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """The common shingles that sets of these sizes need at least."""
+    return F.floor((percent * (n + m) + (99 + percent)) / F.lit(100 + percent)).cast("long")
+
+
 def _rest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of the nodes (node, label) of different labels that can pass at all.
 
-    A prefix filter: with shingles in one order, rare ones first, two sets that pass share one of the
-    first n - ceil(percent n / 100) + 1 of each. The first one they share, at places i and j, leaves room
-    for at most min(m - i, n - j) common shingles, which must reach the overlap that the two sizes ask
-    for; that drops pairs that share only what everybody has. Shingles of one label aren't joined."""
+    A prefix filter: with shingles in one order, rare ones first, the first shingle that two sets of sizes n and m
+    share stands so early in both that the overlap which their sizes ask for still fits behind it. Sizes fall
+    into classes a few percent wide, and a set offers for each class of partners just the shingles that can
+    be first with them: texts of one template that are less alike than asked for then meet in no shingle,
+    since what is their own comes before what all of them have. Places bound the overlap once more, pair by
+    pair. Shingles of one label aren't joined."""
     each = sets.join(rest, "node").select("node", "label", "n", F.explode("shingles").alias("s"))
     counts = each.groupBy("s").agg(F.count("*").alias("c"))
-    size = (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).cast("int")
+    n, place = F.col("n"), F.col("i")
+    size = (n - F.ceil(percent * n / 100) + 1).cast("int")
     ranked = each.join(counts, "s").groupBy("node", "label", "n").agg(F.array_sort(F.collect_set(F.struct("c", "s"))).alias("order"))
-    prefix = cut(ranked.select("node", "label", "n", F.posexplode(F.slice("order", F.lit(1), size)).alias("i", "x")).select("node", "label", (F.col("n") - F.col("i")).alias("room"), "n", "x.s"), "prefix")
-    shared = prefix.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("s")
-    some = cut(prefix.join(shared, "s", "left_semi"), "prefix")
-    of = lambda *names: some.select("s", *(F.col(c).alias(n) for c, n in zip(("node", "label", "n", "room"), names, strict=True)))
-    pairs = of("a", "x", "m", "k").join(of("b", "y", "n", "l"), "s").where("a < b and x <> y")
+    prefix = ranked.select("node", "label", "n", F.posexplode(F.slice("order", F.lit(1), size)).alias("i", "x"))
+    kind = lambda n: F.floor(F.log(n.cast("double")) / math.log(SIZE_STEP)).cast("int")
+    least = F.greatest(F.ceil(percent * n / 100), F.floor(F.pow(F.lit(SIZE_STEP), F.col("with"))).cast("long") - 1, F.lit(1))
+    own, with_ = kind(n), F.col("with")
+    prefix = prefix.select("node", "label", "n", "i", "x.s", F.explode(F.sequence(kind(F.greatest(F.lit(1), F.floor(percent * n / 100) - 1)), kind(F.ceil(100 * n / percent) + 1))).alias("with"))
+    prefix = prefix.where(place <= n - _overlap(n, least, percent)).select("node", "label", "n", (n - place).alias("room"), "s", own.alias("own"), F.least(own, with_).alias("low"), F.greatest(own, with_).alias("high"))
+    prefix = cut(prefix, "prefix")
+    key = ["s", "low", "high"]
+    shared = prefix.groupBy(*key).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(*key)
+    some = cut(prefix.join(shared, key, "left_semi"), "prefix")
+    of = lambda side, *names: some.where(F.col("own") == F.col(side)).select(*key, *(F.col(c).alias(n) for c, n in zip(("node", "label", "n", "room"), names, strict=True)))
+    pairs = of("low", "a", "x", "m", "k").join(of("high", "b", "y", "n", "l"), key).where("(low < high or a < b) and x <> y")
     pairs = pairs.where((100 + percent) * F.least("k", "l") >= percent * (F.col("m") + F.col("n")))
-    pairs = cut(pairs.select("a", "b").distinct(), "pairs")
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     forget(prefix, some)
     return pairs
 
