@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import identity, text
-from wardline.functions.patterns import CATEGORIES, DEFAULT_CATEGORY, EGRESS_REDACTIONS, PATTERNS, REDACTIONS
+from wardline.functions.patterns import CATEGORIES, DEFAULT_CATEGORY, EGRESS_REDACTIONS, LOOK_LIKE, LOOKALIKES, PATTERNS, REDACTIONS, SEVERITY
 from wardline.functions.redact import json_redactor, placeholder, redact
 from wardline.functions.scan import clean, first_index, has, hit, result, scan
 from wardline.operators import audit, classify, decide, fold, rules, trace
@@ -123,10 +123,22 @@ def scan_pages(spark, sf_dir):
     return first_hits(table(spark, sf_dir, "pages").select("page_id", "html"), "html").select("page_id", "scan.scanner", "scan.outcome")
 
 
-@query()
+#: A marker written with a lookalike letter, with wide letters, with a hidden character, and a word that is none.
+ODD = ("### ЅYSTEM", "＃＃＃ ＳＹＳＴＥＭ", "### SY\u00adSTEM", "### Συνολο")
+_SEVERITY = lambda i: f"CASE {i} " + " ".join(f"WHEN {k} THEN {SEVERITY[p.outcome]}" for k, p in enumerate(PATTERNS)) + " ELSE -1 END"
+_IN_VIEW = "CASE j " + " ".join(f"WHEN {k} THEN {quoted(p.reason)} || ' [normalized-view match] (match_len=' || length(regexp_extract(w, {quoted(p.regex)})) || ' orig_sha256=' || substr(sha256(t), 1, 12) || ')'" for k, p in enumerate(PATTERNS)) + " END"
+#: The view as far as these texts need it: wide letters, the soft hyphen, lookalikes.
+SQL_NORMALIZED = f"""WITH a AS (SELECT doc_id, text || ' ' || CASE doc_id % 4 {" ".join(f"WHEN {k} THEN {quoted(o)}" for k, o in enumerate(ODD))} END AS t FROM documents),
+    s AS (SELECT doc_id, t, replace(translate(translate(t, '＃ＳＹＴＥＭ', '#SYTEM'), '{LOOKALIKES}', '{LOOK_LIKE}'), chr(173), '') AS w FROM a),
+    h AS (SELECT *, {SQL_INDEX} AS i FROM s), g AS (SELECT *, CASE WHEN w <> t AND strlen(t) <> length(t) AND {_SEVERITY("i")} < 2 THEN {SQL_INDEX.replace("regexp_matches(t,", "regexp_matches(w,")} ELSE -1 END AS j FROM h),
+    b AS (SELECT *, j >= 0 AND {_SEVERITY("j")} > {_SEVERITY("i")} AS seen FROM g)
+    SELECT doc_id, CASE WHEN seen THEN {SQL_SCANNER.replace("CASE i", "CASE j")} ELSE {SQL_SCANNER} END AS scanner, CASE WHEN seen THEN {SQL_OUTCOME.replace("CASE i", "CASE j")} ELSE {SQL_OUTCOME} END AS outcome, CASE WHEN seen THEN {_IN_VIEW} ELSE {SQL_REASON} END AS reason FROM b"""
+
+
+@query(SQL_NORMALIZED)
 def scan_normalized(spark, sf_dir):
-    """Documents that end in a marker written with lookalike letters, wide letters or hidden characters."""
-    odd = F.element_at(F.array(*map(F.lit, ["### ЅYSTEM", "＃＃＃ ＳＹＳＴＥＭ", "### SY­STEM", "### Συνολο"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    """Documents that end in a marker written in an odd way, through both passes."""
+    odd = F.element_at(F.array(*map(F.lit, ODD)), (F.col("doc_id") % 4 + 1).cast("int"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" "), odd).alias("t"))
     return scan(docs, "t").select("doc_id", "scan.scanner", "scan.outcome", "scan.reason")
 
@@ -452,7 +464,26 @@ def rule_priority(spark, sf_dir):
     return df.select("event_id", F.when(F.col("first"), "invariant:flow2").otherwise(F.col("invariant.scanner")).alias("scanner"))
 
 
-@query()
+#: The fold by recursion: b and t are the stages that a flow has parked and since when; codes are the last 8 calls.
+_RUN = "(list_reduce(list_prepend(10 + {start}, codes), lambda s, c: {step}) - 10)"
+_RUN2 = _RUN.format(start="x1", step="CASE WHEN s = 10 AND c = 1 THEN 11 WHEN s = 11 AND c = 3 THEN 12 ELSE s END")
+_RUN3 = _RUN.format(start="x2", step="CASE WHEN s = 10 AND c = 1 THEN 11 WHEN s = 11 AND c = 2 THEN 10 WHEN s = 11 AND c IN (3, 4) THEN 12 ELSE s END")
+_PARK = "CASE WHEN p{k} = 2 OR p{k} < x{k} THEN 0 ELSE greatest(p{k}, x{k}) END AS b{k}, CASE WHEN p{k} > x{k} THEN ts ELSE t{k} END AS t{k}"
+_START = "CASE WHEN b{k} > 0 AND ts > t{k} + INTERVAL 30 DAY THEN 0 ELSE b{k} END AS x{k}"
+SQL_STICKY = (
+    SQL_CALLS.replace("WITH e AS", "WITH RECURSIVE e AS")
+    + f""", w AS (SELECT event_id, user_id, ts, rn, list(CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN CASE WHEN regexp_matches('v' || k, '^v[5-9][0-9]$') THEN 3 ELSE 4 END ELSE 5 END) OVER l AS codes, list(fp) OVER l AS fps FROM e WINDOW l AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+    v AS (SELECT event_id, user_id, ts, rn, codes, list_max(list_transform(fps, lambda x: len(list_filter(fps, lambda y: y = x)))) >= 3 AS again FROM w),
+    f AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS rule, 0 AS b1, min(ts) AS t1, 0 AS b2, min(ts) AS t2 FROM v GROUP BY user_id
+      UNION ALL SELECT user_id, rn, event_id, CASE WHEN p1 = 2 THEN 'flow2' WHEN p2 = 2 THEN 'guarded' WHEN again THEN 'loop' END, CAST(b1 AS INTEGER), t1, CAST(CASE WHEN p1 = 2 THEN o2 ELSE b2 END AS INTEGER), CASE WHEN p1 = 2 THEN u2 ELSE t2 END FROM (
+        SELECT user_id, rn, event_id, again, p1, p2, o2, u2, {_PARK.format(k=1)}, {_PARK.format(k=2)} FROM (
+          SELECT user_id, rn, event_id, again, ts, x1, t1, x2, t2, b2 AS o2, t2 AS u2, {_RUN2} AS p1, {_RUN3} AS p2 FROM (
+            SELECT v.user_id, v.rn, v.event_id, v.again, v.ts, v.codes, b1, t1, b2, t2, {_START.format(k=1)}, {_START.format(k=2)} FROM f JOIN v ON v.user_id = f.user_id AND v.rn = f.rn + 1))))
+    SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq, rule FROM f WHERE rn > 0"""
+)
+
+
+@query(SQL_STICKY)
 def flow_sticky(spark, sf_dir):
     """The fold with parked progress: flows may span more calls than the window holds."""
     return fold.fold_keys(calls(spark, sf_dir), (FLOW2, GUARDED, LOOP), SPAN, 30 * DAY)
@@ -616,7 +647,15 @@ def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.chain(docs.select("source", "doc_id", body.alias("record")), "source", "doc_id")
 
 
-@query()
+#: Lines by recursion: each holds the hash of the line before it and the hash of itself without that member.
+SQL_CHAIN = """WITH RECURSIVE d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, '{"doc_id": ' || doc_id || CASE WHEN lang IS NULL THEN '' ELSE ', "lang": ' || to_json(lang) END || ', ' AS head,
+      '"payload_sha256": "' || md5(text) || '", "prev_hash": "' AS body, '", "source": ' || to_json(source) || '}' AS tail FROM documents),
+    r AS (SELECT source, doc_id, k, head || '"line_hash": "' || substr(sha256(head || body || '0000000000000000' || tail), 1, 16) || '", ' || body || '0000000000000000' || tail AS line FROM d WHERE k = 1
+      UNION ALL SELECT d.source, d.doc_id, d.k, head || '"line_hash": "' || substr(sha256(head || body || substr(sha256(line), 1, 16) || tail), 1, 16) || '", ' || body || substr(sha256(line), 1, 16) || tail FROM r JOIN d ON d.source = r.source AND d.k = r.k + 1)
+    SELECT source AS stream, doc_id AS seq, line FROM r"""
+
+
+@query(SQL_CHAIN)
 def chain_write(spark, sf_dir):
     return _chained(spark, sf_dir)
 
