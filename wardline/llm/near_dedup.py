@@ -239,3 +239,23 @@ def one_of_each(docs: DataFrame, percent: int = 85, width: int = 5, key: str = "
     same = (F.xxhash64(key, text) == F.col("__row")) & F.col(key).cast("long").eqNullSafe(F.col("__id"))
     copy = F.row_number().over(Window.partitionBy("__row", "__id").orderBy(F.lit(0)))
     return docs.join(keyed, same).withColumn("__copy", copy).where("__all or __copy = 1").select(*own.columns())
+
+
+def op9_near_dedup(docs: DataFrame) -> DataFrame:
+    return near_duplicates(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: All pairs that share a shingle, and all that links reach; for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(ws[i : i + 4], ' ') AS k FROM (SELECT r, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n u ON u.r = x JOIN n v ON v.r = y WHERE 100 * c >= 85 * (u.n + v.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+f AS (SELECT r, r AS q FROM n UNION SELECT f.r, e.y FROM f JOIN e ON e.x = f.q),
+m AS (SELECT f.r, min(d.doc_id) AS least FROM f JOIN d ON d.r = f.q GROUP BY f.r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, CASE WHEN n.n IS NULL THEN d.doc_id ELSE m.least END AS component_id,
+       d.doc_id IS NOT DISTINCT FROM CASE WHEN n.n IS NULL THEN d.doc_id ELSE m.least END AS kept
+FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
+"""
