@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="wardline-")
+        folder = tempfile.mkdtemp(prefix="wardline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        folder = f"file://{folder}"
         spark.conf.set("spark.wardline.scratch", folder)
     return folder.rstrip("/")
 
