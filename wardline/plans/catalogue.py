@@ -20,6 +20,7 @@ from wardline.plans.config import Config
 from wardline.plans.engine import decide as decide_exchanges
 from wardline.plans.engine import scan_texts
 from wardline.sources import audit_log, exchanges
+from wardline.streaming.traces import rate_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -172,6 +173,11 @@ def scan_coverage(spark, sf_dir):
     return docs.select("doc_id", *(c.alias(n) for n, c in text.coverage(F.col("text"), F.col("chunks"), 1024).items()))
 
 
+@query(f"WITH a AS (SELECT doc_id, text, hex(encode(text)) AS h, strlen(text) AS n FROM documents) SELECT doc_id, md5(CASE WHEN n <= 777 THEN text ELSE {_part('0', _sql_cut('777', -1))} END) AS md5 FROM a")
+def truncate_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.truncate(F.col("text"), 777)).alias("md5"))
+
+
 @query("SELECT doc_id, strlen(text) AS total_bytes, CASE WHEN strlen(text) > 4096 THEN 'human_review' END AS outcome FROM documents")
 def payload_size(spark, sf_dir):
     total = F.octet_length("text").cast("long")
@@ -268,6 +274,16 @@ def deny_category(spark, sf_dir):
     return decided(spark, sf_dir).select("doc_id", F.inline(F.array(decide.deny_category(F.col("results")))))
 
 
+@query(
+    SQL_DECIDED
+    + f""", x AS (SELECT doc_id, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS ref FROM v WHERE o = 'block') SELECT doc_id, '{{"jsonrpc":"2.0","id":null,"error":{{"code":-32001,"message":"denied by content policy (ref ' || ref || ')","data":{{"ref":"' || ref || '","phase":"request","category":"{CATEGORIES["regex"][0]}","remedy":"{CATEGORIES["regex"][1]}"}}}}}}' AS body FROM x"""
+)
+def error_body(spark, sf_dir):
+    """What callers get of a denial."""
+    ref = F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 8)
+    return decided(spark, sf_dir).where("d.deny").select("doc_id", decide.error_body(F.col("results"), F.lit("request"), ref).alias("body"))
+
+
 @query(SQL_DECIDED + " SELECT doc_id, score AS scan_score, CASE WHEN o = 'block' THEN 'deny' ELSE 'allow' END AS outcome, CASE WHEN o = 'block' THEN 'denied by content policy (ref ' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) || ')' END AS public_reason FROM v")
 def result_metadata(spark, sf_dir):
     df = decided(spark, sf_dir)
@@ -382,11 +398,44 @@ def extract_blob(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", got.alias("x")).select("doc_id", F.md5("x.text").alias("md5"))
 
 
+@query("SELECT conv_id, turn, md5(text || chr(10) || role || chr(10) || 'tail' || chr(10) || '{\"n\": ' || turn || '}') AS md5 FROM conversations")
+def extract_messages(spark, sf_dir):
+    """Messages whose content is text, a list of parts, and an object without text."""
+    part = lambda value: F.to_json(F.struct(value.alias("text")))
+    raw = F.concat(F.lit('{"messages": [{"content": '), F.get_json_object(part(F.to_json(F.array("text"))), "$.text"), F.lit('}, {"content": ['), part(F.col("role")), F.lit(', "tail"]}, {"content": {"n": '), F.col("turn").cast("string"), F.lit("}}]}"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.extract_text(raw, request=False).alias("x")).select("conv_id", "turn", F.md5("x.text").alias("md5"))
+
+
+@query("SELECT conv_id, turn, md5('{\"a\": ' || to_json(text) || ', \"b\": {\"role\": ' || to_json(role) || '}}') AS md5 FROM conversations")
+def extract_dump(spark, sf_dir):
+    """A payload without known members is dumped with sorted names."""
+    raw = F.to_json(F.struct(F.struct("role").alias("b"), F.col("text").alias("a")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.extract_text(raw).alias("x")).select("conv_id", "turn", F.md5("x.text").alias("md5"))
+
+
+@query("SELECT event_id, event_type AS kind, CAST(user_id AS VARCHAR) AS who FROM events")
+def header_decode(spark, sf_dir):
+    """Headers as bytes; of equal names the last counts."""
+    pair = lambda key, value: F.struct(F.lit(key).alias("key"), F.encode(value, "UTF-8").alias("value"))
+    pairs = F.array(pair("who", F.lit("nobody")), pair("kind", F.col("event_type")), pair("who", F.col("user_id").cast("string")))
+    df = exchanges.with_decoded_headers(table(spark, sf_dir, "events").select("event_id", pairs.alias("headers")))
+    return df.select("event_id", F.col("headers")["kind"].alias("kind"), F.col("headers")["who"].alias("who"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def dotted_path(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", rules.argument(F.col("props"), "k", "long").alias("k"))
 
 
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'deny' ELSE 'allow' END AS outcome, role AS tool, CAST(conv_id AS DOUBLE) AS duration_ms, turn % 2 = 0 AS truncated FROM conversations WHERE turn % 5 <> 4")
+def audit_parse(spark, sf_dir):
+    """Audit lines back as records; broken lines are left out."""
+    outcome = F.when(F.col("turn") % 3 == 0, "deny").otherwise("allow")
+    good = F.to_json(F.struct(outcome.alias("outcome"), F.lit("request").alias("phase"), F.col("role").alias("tool"), F.col("conv_id").cast("double").alias("duration_ms"), (F.col("turn") % 2 == 0).alias("truncated")))
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 5 == 4, F.substring(good, 1, 20)).otherwise(good).alias("value"))
+    return audit_log.parse(lines).select("conv_id", "turn", "outcome", "tool", "duration_ms", "truncated")
+
+
 @query("SELECT role, count(*) AS n, count(*) FILTER (turn % 4 = 0) AS absent, count(*) FILTER (turn % 4 = 1) AS bad FROM conversations GROUP BY role")
 def parse_payloads(spark, sf_dir):
     """Null payloads are empty objects, broken ones errors."""
@@ -641,6 +690,26 @@ def audit_record(spark, sf_dir):
     return out.select("ts", "phase", "method", "tool", "outcome", "reason", "exchange_id", "caller", "payload_sha256", "truncated", "scanned_bytes", "total_bytes", "route", F.size("scanners").alias("scanners"))
 
 
+@query(SQL_AUDIT + " SELECT phase, outcome, CASE WHEN duration_ms <= 5 THEN 5.0 WHEN duration_ms <= 50 THEN 50.0 WHEN duration_ms <= 90 THEN 90.0 END::DOUBLE AS up_to, count(*) AS n FROM a GROUP BY ALL")
+def metrics_histogram(spark, sf_dir):
+    return audit.histogram(talk_audit(spark, sf_dir), (5, 50, 90))
+
+
+@query(SQL_AUDIT + " SELECT phase, CAST(sum(n % 4) AS BIGINT) AS redactions FROM a GROUP BY phase")
+def metrics_redactions(spark, sf_dir):
+    """Substitutions from the reasons of records."""
+    n = (F.substring("reason", 5, 20).cast("long") % 4).cast("string")
+    reason = F.when(n == "0", F.col("reason")).otherwise(F.concat(F.col("reason"), F.lit(";redaction:"), n, F.lit(" substitution(s)")))
+    return audit.redactions(talk_audit(spark, sf_dir).withColumn("reason", reason))
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, CAST(user_id AS VARCHAR) AS key, event_type AS tool, count(*) AS calls FROM events GROUP BY ALL HAVING count(*) > 2")
+def rate_dashboard(spark, sf_dir):
+    """Tools over a limit in tumbling windows; the same plan runs over a stream."""
+    ev = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("tool"), F.col("ts").cast("timestamp").alias("ts"))
+    return rate_windows(ev, span="1 day", most=2).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "key", "tool", "calls")
+
+
 def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     body = F.to_json(F.struct("doc_id", "lang", "source", F.md5("text").alias("payload_sha256")))
