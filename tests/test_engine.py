@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.operators import audit, classify, rules
+from wardline.plans import engine
 from wardline.plans.config import Config
 from wardline.plans.engine import decide, health, scorer_of, traced
 from wardline.sources import audit_log, exchanges
@@ -84,6 +85,14 @@ def test_traces_are_by_route_and_take_calls_alone(spark):
     assert "content" not in plan
 
 
+def test_many_trace_verdicts_are_joined_without_broadcast(spark, monkeypatch):
+    rows = [call(k, "same", {"p": 1}, route=f"r{k % 4}") for k in range(40)] + [answer(50, "x")]
+    sent = {k: names(r) for k, r in decided(spark, rows).items()}
+    monkeypatch.setattr(engine, "BROADCAST_ROWS", 3)
+    assert {k: names(r) for k, r in decided(spark, rows).items()} == sent
+    assert sum(n[-1][1] == "block" for n in sent.values()) == 32
+
+
 def test_parked_flows_outlive_the_window(spark):
     rows = [call(1, "inbox_read"), *[call(k, "fs_read", {"p": k}) for k in range(2, 7)], call(7, "email_send", {"to": "a@evil.example"}), answer(8, "x")]
     cfg = Config(invariant_window=3)

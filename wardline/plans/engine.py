@@ -44,6 +44,8 @@ def prepare(exchanges: DataFrame, cfg: Config = Config()) -> DataFrame:
     return df.withColumn("payload_sha256", text.payload_digest(F.col("text"))).drop("parsed")
 
 
+#: Trace verdicts, of less than a kilobyte each, that are broadcast at most.
+BROADCAST_ROWS = 50_000
 #: What says which exchange a row is.
 IDENTITY = ("exchange_key", "phase", "seq")
 
@@ -78,6 +80,14 @@ def traced(exchanges: DataFrame, cfg: Config = Config(), pack: Sequence[Rule] =
     return calls.select(*IDENTITY, "invariant", "summary").where(F.col("invariant").isNotNull() | (F.col("summary") != ""))
 
 
+def _beside(found: DataFrame) -> DataFrame:
+    """Trace verdicts as the right side of a join with whole payloads: sent to where the payloads are if at most
+    BROADCAST_ROWS of them (no more are ever fetched) exist; beyond that both sides are shuffled."""
+    found = found.withColumn("invariant", F.col("invariant").cast(RESULT))  # whose members may be null, as Arrow wants it
+    few = found.limit(BROADCAST_ROWS + 1).toArrow()
+    return F.broadcast(found.sparkSession.createDataFrame(few, found.schema)) if few.num_rows <= BROADCAST_ROWS else found
+
+
 def scanned(df: DataFrame, chunks: str, out: str, cfg: Config, classifier=None) -> DataFrame:
     """`df` with an array of verdicts for each chunk: patterns, then the classifier, as far as they are enabled."""
     c = F.col
@@ -101,8 +111,8 @@ def decide(exchanges: DataFrame, cfg: Config = Config(), pack: Sequence[Rule] =
 
     `classifier` is a `classify.scorer`, `judge` a `classify.aligner`; both also need their settings. `parked` is as
     in `traced`. A tool call
-    that the access list denies isn't scanned but stays in the trace. Trace verdicts are joined back by
-    IDENTITY, and only those that say something, so the planner can send them to where the payloads are.
+    that the access list denies isn't scanned but stays in the trace. Trace verdicts are found at once, when this
+    is called, and joined back by IDENTITY; only those that say something, so that payloads need not move.
     """
     df = prepare(exchanges, cfg)
     request, none = F.col("phase") == "request", F.array().cast(f"array<{RESULT}>")
@@ -116,7 +126,7 @@ def decide(exchanges: DataFrame, cfg: Config = Config(), pack: Sequence[Rule] =
     if parked:
         found = found.drop("invariant").unionByName(traced(exchanges, cfg, pack, parked=True), allowMissingColumns=True) if aligned else traced(exchanges, cfg, pack, parked=True)
         found = found.groupBy(*IDENTITY).agg(F.first("invariant", ignorenulls=True).alias("invariant"), F.max("summary").alias("summary"))
-    found = found.dropDuplicates(list(IDENTITY)).withColumnsRenamed({c: f"__{c}" for c in IDENTITY})
+    found = _beside(found.dropDuplicates(list(IDENTITY)).withColumnsRenamed({c: f"__{c}" for c in IDENTITY}))
     df = df.join(found, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in IDENTITY]), "left").drop(*(f"__{c}" for c in IDENTITY))
     if aligned:
         df = df.withColumn("__answers", F.when(~request, F.col("__scanned")).otherwise(F.array().cast("array<string>")))
