@@ -46,6 +46,25 @@ def test_first_match_and_normalized_view(spark):
     assert keyed.endswith(f"match_hmac={hmac.new(b'k', AWS.encode(), 'sha256').hexdigest()[:12]})")
 
 
+def test_hidden_characters_are_found_behind_the_fast_look(spark):
+    hidden = [*range(9), 11, 12, *range(14, 32), 127, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF]
+    plain = ["\t\n\r ~", "é ß Ω ж ก", "中文 — “quoted” …", "😀", ""]
+    df = column(spark, [f"a{chr(c)}b" for c in hidden] + plain)
+    got = {r.k: r.scan.scanner for r in scan(df, "t").collect()}
+    assert [got[k] for k in range(len(hidden))] == ["regex:hidden_ascii"] * len(hidden)
+    assert {got[len(hidden) + k] for k in range(len(plain))} == {"regex"}
+
+
+def test_small_tables_are_dealt_to_all_cores(spark):
+    from wardline.sources.exchanges import spread
+
+    df = spark.range(10, numPartitions=1)
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(df).rdd.getNumPartitions() == cores
+    assert sorted(r.id for r in spread(df).collect()) == list(range(10))
+    assert spread(spark.range(10, numPartitions=cores)).rdd.getNumPartitions() == cores
+
+
 def boundaries(value):
     """The byte offsets at which characters of a text begin, and its end."""
     return [len(value[:k].encode()) for k in range(len(value) + 1)]

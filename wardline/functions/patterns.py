@@ -24,6 +24,8 @@ class Pattern:
     score: float
     high_entropy: bool = True
     needs: tuple[str, ...] = ()
+    #: Matches whole texts in which the pattern can't occur, far faster than the pattern is looked for.
+    harmless: str = ""
 
     @property
     def java(self) -> str:
@@ -33,7 +35,7 @@ class Pattern:
 
 # Patterns, reasons and scores in order of priority.
 PATTERNS = (
-    Pattern("hidden_ascii", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}]", BLOCK, "hidden/control unicode detected", 0.9),
+    Pattern("hidden_ascii", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}]", BLOCK, "hidden/control unicode detected", 0.9, harmless=r"\A[\n\r\t\x20-\x7e\x80-\x{1fff}]*+\z"),
     Pattern("format_injection", r"(?i)\[SYSTEM\]|\[INST\]|\[/INST\]|\[ASSISTANT\]|<\|?im_start\|?>|<\|?im_end\|?>|<\|?endoftext\|?>|###\s*(?:system|instruction|override|ignore)", BLOCK, "format-injection marker (ChatML / instruction tag)", 0.98, needs=("[", "<", "###")),
     Pattern("private_key", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----", BLOCK, "private key material in payload", 0.99, needs=("-----BEGIN ",)),
     Pattern("aws_access_key", r"\bAKIA[0-9A-Z]{16}\b", BLOCK, "AWS access key id", 0.95, needs=("AKIA",)),

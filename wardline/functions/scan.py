@@ -23,8 +23,10 @@ def result(scanner: Column | str, outcome: Column | str, reason: Column | str, s
 
 
 def has(text: Column, pattern: Pattern) -> Column:
-    """Whether the pattern occurs; its literals are looked for first, which is far cheaper."""
+    """Whether the pattern occurs; its literals are looked for first, or texts passed by that look harmless, which is far cheaper."""
     found = text.rlike(pattern.java)
+    if pattern.harmless:
+        found = ~text.rlike(pattern.harmless) & found
     return reduce(Column.__or__, [text.contains(n) for n in pattern.needs]) & found if pattern.needs else found
 
 

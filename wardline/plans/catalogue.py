@@ -37,7 +37,9 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; those with long texts on all cores, even if they are one small file."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return exchanges.spread(df) if name in ("documents", "pages") else df
 
 
 def quoted(value: str) -> str:
