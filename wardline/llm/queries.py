@@ -1,4 +1,4 @@
-"""The ten operators as queries with production parameters over whole tables, and their SQL."""
+"""The operators as queries with production parameters over whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from wardline.llm import decontaminate, fingerprint, language_id, line_dedup, mixing, near_dedup, secret_scan, substring_dedup, token_count, token_files
+from wardline.llm import align, chat_format, decontaminate, filter_audit, fingerprint, language_id, line_dedup, mixing, near_dedup, secret_scan, substring_dedup, token_count, token_files
 from wardline.llm.common import documents
 
 
@@ -52,6 +52,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.op10_substring_dedup(documents(spark, sf_dir))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.op11_chat_format(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.op12_filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.op13_tokenizer_alignment(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_fingerprints": op2_fingerprints,
@@ -63,9 +75,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_near_dedup": op9_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_chat_format": op11_chat_format,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": decontaminate.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op9_near_dedup": near_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": decontaminate.ORACLE_SQL,
+    "op6_mixing": mixing.ORACLE_SQL,
+    "op9_near_dedup": near_dedup.ORACLE_SQL,
+    "op11_chat_format": chat_format.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
