@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -35,7 +37,9 @@ from wardline.llm.common import cut, trim
 from wardline.llm.token_count import sliced, words_of
 
 #: Texts of about this many bytes make a block; a longer text is a block of its own.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 6_000_000
+#: Words that the libraries encode at a time.
+WORDS = 8192
 SPACE = "▁"
 
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
@@ -44,6 +48,7 @@ _ENTRIES = [("groups", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
 
 @functools.lru_cache(maxsize=1)
 def _libraries(a_path: str, b_path: str) -> tuple[Tokenizer, sentencepiece.SentencePieceProcessor]:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     a = Tokenizer.from_file(a_path)
     a.encode_special_tokens = True
     a.no_padding()
@@ -123,12 +128,15 @@ def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _encoded(pair: Pair, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A ids, their number by word, B ids, their number by word."""
+    """A ids, their number by word, B ids, their number by word. The libraries' own results are kept for some words at a time."""
     a, b = _libraries(pair.a, pair.b)
-    of_a = [e.ids for e in a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-    of_b = b.encode(words, num_threads=1)
-    flat = lambda lists: (np.array([i for ids in lists for i in ids], np.int64), np.array([len(ids) for ids in lists], np.int64))
-    return *flat(of_a), *flat(of_b)
+    found: tuple[list[np.ndarray], ...] = ([], [], [], [])
+    for k in range(0, len(words), WORDS):
+        some = words[k : k + WORDS]
+        for at, lists in ((0, [e.ids for e in a.encode_batch_fast([" " + w for w in some], add_special_tokens=False)]), (2, b.encode(some, num_threads=1))):
+            found[at].append(np.fromiter(itertools.chain.from_iterable(lists), np.int64))
+            found[at + 1].append(np.fromiter(map(len, lists), np.int64, len(lists)))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in found)
 
 
 def _whole(pair: Pair, words: list[str], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -270,7 +278,8 @@ def _blocks(docs: DataFrame, pair: Pair) -> DataFrame:
                 a, b, held = found.pairs
                 yield filled(len(a), a=a, b=b, docs=held)
                 at, number = at + n, number + 1
-        trim()
+                del found, listed, own, a, b, held
+                trim()
 
     return docs.mapInArrow(run, schema)
 
