@@ -49,6 +49,7 @@ def failures(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), *(c.alias(n) for n, c in own.items()), F.unhex(F.sha2(body, 256)).alias("digest"))
     rows = cut(rows, "filter-flags")
     first = rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    first = cut(first, "first-copies")  # as a table of its own, so that the planner can split the join's hot digests
     rows = rows.join(first, "digest", "left").withColumn("E", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
     is_one = lambda c: F.coalesce(F.max(F.col(c) == 1), F.lit(False))
     known = labels.groupBy(F.col("doc_id").alias("labelled")).agg(is_one("quality").alias("good"), is_one("toxic").alias("toxic")).where("good or toxic")
