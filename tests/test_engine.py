@@ -1,7 +1,8 @@
 """The whole dataflow over small exchange tables, and its audit lines written to files and read back."""
 
 import json
-from datetime import datetime, timedelta
+import time
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,3 +258,101 @@ def test_scorer_by_settings(spark):
     df = spark.createDataFrame([(["a" * 2000 + "z", "z" + "a" * 2000, "a" * 1000 + "z" + "a" * 1000],), (None,)], "t array<string>")
     got = [r.s and [round(x.score, 1) for x in r.s] for r in df.select(run("t").alias("s")).collect()]
     assert got == [[1.0, 1.0, 0.0], None]
+
+
+def test_stream_decisions_know_earlier_batches(spark, tmp_path):
+    """Four equal calls in four batches, each after a restart: the third and the fourth are denied; an answer sees the calls before it."""
+    from wardline.streaming.replay import settings
+    from wardline.streaming.traces import decide_stream
+
+    seen, judged = {}, classify.aligner(lambda: lambda asked: ("fs_write, fs_write" in asked, asked))
+    cfg = Config(enable_agent_alignment=True, enable_regex_scanner=False, audit_log_path=str(tmp_path / "audit"))
+    keep = lambda df, n: seen.update({r.seq: r for r in df.collect()})
+    odd = exchange(21, '{"name":"shell_exec","name":"shell_exec","arguments":{}}'), exchange(22, "{not json"), exchange(23, ""), exchange(24, '"abc"', route="q")
+    for k, rows in enumerate(([call(0, "fs_write", {"p": 1})], [call(1, "fs_write", {"p": 1.0}), call(2, "fs_write", {"p": 1})], [call(3, "fs_write", {"p": 1}), answer(10, "y")], [call(4, "fs_write", {"p": 1}), answer(11, "y", route="other"), *odd])):
+        table(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        writer = decide_stream(exchanges.read_stream(spark, str(tmp_path / "in")), [audit_sink(cfg), keep], Config(**{**cfg.__dict__, "deny_tools": ("shell_exec",)}), classifier=classify.scorer(classify.stub(lambda t: 0.6 if t == "y" else 0.0)), judge=judged, shards=3)
+        with settings(spark):
+            q = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            assert q.awaitTermination(200), k
+    assert {k: seen[k].outcome for k in sorted(seen)} == {0: "allow", 1: "allow", 2: "allow", 3: "deny", 4: "deny", 10: "deny", 11: "allow", 21: "deny", 22: None, 23: None, 24: "allow"}
+    assert names(seen[4])[-1] == ("invariant:denied-tool-retry-loop", "block")
+    assert seen[4].decision.reason.endswith("Same tool+args call repeated 3+ times in the window (injection retry loop)")
+    assert seen[21].wire.code == "PERMISSION_DENIED"
+    back = audit_log.read(spark, str(tmp_path / "audit"))
+    assert sorted((r.ts, r.rules_version) for r in back.collect()) == [(int((START + timedelta(seconds=k)).replace(tzinfo=UTC).timestamp()), "1") for k in sorted(seen) if k not in (22, 23)]
+
+
+def test_one_parser_reads_text_and_tool(spark):
+    payloads = {
+        '{"name":"shell_exec","name":"shell_exec","arguments":{}}': ("shell_exec", None), '{"name":"shell_exec","arguments":{"v":NaN}}': ("shell_exec", None), '{"name":"a","name":"shell_exec"}': ("shell_exec", None), '{"name":"shell_exec","name":"a"}': ("a", None),
+        '"abc"': ("", '{"_raw": "abc"}'), "[1]": ("", '{"_raw": [1]}'), "7": ("", '{"_raw": 7}'), "true": ("", '{"_raw": true}'), "null": ("", '{"_raw": null}'), '{"name":1.0,"arguments":{"n":1.0}}': ("1.0", None), '{"name":"t","arguments":"x"}': (None, None), '{"name":"t","arguments":[]}': ("t", None),
+    }
+    got = decided(spark, [exchange(k, p) for k, p in enumerate(payloads)], Config(deny_tools=("shell_exec",)))
+    for k, (raw, (tool, flat)) in enumerate(payloads.items()):
+        assert got[k].tool == (tool or ""), raw
+        assert flat is None or got[k].text == flat
+        assert (got[k].outcome, got[k].error) == ({"shell_exec": "deny"}.get(tool, "allow"), None) if tool is not None else (None, "engine_error"), raw
+    plan = engine.prepare(table(spark, [exchange(1, "{}")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_windows_and_fold_agree_on_typed_arguments(spark):
+    rows = [call(k, "w", a) for k, a in enumerate([{"a": 1}, {"a": 1.0}, {"a": 1.00}, {"a": "1"}, {"a": 1}, {"b": 2, "a": 1}, {"a": 1, "b": 2}])]
+    pack = (rules.Loop("loop", 2),)
+    for parked in (False, True):
+        got = decided(spark, rows, pack=pack, parked=parked)
+        assert [k for k in sorted(got) if got[k].outcome == "deny"] == [2, 3, 4, 5, 6]  # what holds in the window goes on firing
+
+
+def test_large_verdicts_are_not_sent_around(spark):
+    rows = [call(k, "same", {"p": 1}) for k in range(4)]
+    sent = {k: names(r) for k, r in decided(spark, rows).items()}
+    long = [(f"{r[0]}{'x' * 2000}", *r[1:]) for r in rows]
+    assert {k: names(r) for k, r in decided(spark, long).items()} == sent
+
+
+def test_counters_and_sketches_of_batches(spark, tmp_path):
+    from wardline.streaming import reports
+
+    rnd = __import__("random").Random(3)
+    rows = [(rnd.choice(["request", "response"]), rnd.choice(["allow", "deny"]), rnd.expovariate(0.1)) for _ in range(4000)]
+    records = spark.createDataFrame(rows, "phase string, outcome string, duration_ms double").withColumns({"method": F.lit("tools/call"), "scanners": F.array(F.struct(F.lit("regex").alias("scanner"), F.lit("allow").alias("outcome")))})
+    sink = reports.metrics_sink(f"file://{tmp_path}/m", lambda df: df)
+    parts = records.randomSplit([0.2] * 5, 1)
+    for n, part in [*enumerate(parts), (2, parts[2])]:  # a batch that is repeated counts once
+        sink(part, n)
+    counted = {(r.label1, r.label2): r.n for r in spark.read.parquet(f"file://{tmp_path}/m/counters").where("metric = 'decisions'").groupBy("label1", "label2").agg(F.sum("n").alias("n")).collect()}
+    want = {(p, o): sorted(d for q, x, d in rows if (q, x) == (p, o)) for p in ("request", "response") for o in ("allow", "deny")}
+    assert counted == {k: len(v) for k, v in want.items()}
+    for r in reports.quantiles(spark.read.parquet(f"file://{tmp_path}/m/durations")).collect():
+        mine = want[r.phase, r.outcome]
+        assert abs(sum(d <= r.duration_ms for d in mine) / len(mine) - r.share) < 0.02
+    live = reports.Live("live")
+    spark.streams.addListener(live)
+    records.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = reports.observed(spark.readStream.schema(records.schema).parquet(str(tmp_path / "in")), "live")
+    q = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(100)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+    spark.streams.removeListener(live)
+    assert {k: v for k, v in live.totals.items() if ":" in k} == {f"{p}:{o}": len(v) for (p, o), v in want.items()}
+
+
+def test_a_silent_scanner_is_told_of(spark, tmp_path):
+    from wardline.streaming import reports
+    from wardline.streaming.replay import settings
+
+    rows = [("s", k, START + timedelta(seconds=k), k != 1) for k in range(4)]
+    df = spark.createDataFrame(rows, "key string, seq long, ts timestamp, ok boolean")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = reports.health_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "key", F.col("ok"), last=2, least=2, worst=0.4, silent_ms=300)
+    with settings(spark, **{"spark.sql.streaming.noDataMicroBatches.enabled": "true"}):
+        q = stream.writeStream.format("memory").queryName("told").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+        for _ in range(60):
+            time.sleep(1)
+            if spark.sql("SELECT * FROM told WHERE silent").count():
+                break
+        q.stop()
+    got = [tuple(r)[1:] for r in spark.sql("SELECT * FROM told ORDER BY seq NULLS LAST").collect()]
+    assert got == [(0, 0.0, True, False), (1, 0.5, False, False), (2, 0.5, False, False), (3, 0.0, True, False), (None, None, None, True)]

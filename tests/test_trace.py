@@ -8,10 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.operators import audit, rules, trace
-from wardline.operators.fold import TraceFold, fold_keys, shortened
+from wardline.functions import text
+from wardline.functions.text import shortened
+from wardline.operators.fold import TraceFold, fold_keys
 from wardline.plans.config import from_env
 from wardline.sources import packs
 from wardline.sources.packs import Reloader
+from wardline.sources.ranges import cut, ranged
 
 START = datetime(2026, 1, 1)
 WINDOW = 12
@@ -33,22 +36,58 @@ def random_calls(n=500, seed=4):
     rows, t = [], 0
     for k in range(n):
         t += rnd.choice([0, 1, 5, 30])
-        args = json.dumps({"n": rnd.choice([4, 9, -3]), "s": rnd.choice(["x1", "y"]), "m": rnd.choice([[True, "z"], [False, None]])}, sort_keys=True)
+        args = json.dumps({"n": rnd.choice([4, 9, 9.0, -3]), "s": rnd.choice(["x1", "y"]), "m": rnd.choice([[True, "z"], [False, None]])}, sort_keys=True)
         rows.append((rnd.choice("pqr"), k, START + timedelta(seconds=t), rnd.choice(["a", "b", "c", "d", ""]), args))
     return rows
 
 
+@pytest.mark.parametrize("size", [13, trace.BLOCK_CALLS])
 @pytest.mark.parametrize("rule", PACK, ids=lambda r: r.name)
-def test_windows_agree_with_the_fold(spark, rule):
+def test_windows_agree_with_the_fold(spark, monkeypatch, rule, size):
+    monkeypatch.setattr(trace, "BUSY_CALLS", 160 if size == 13 else 10**6)  # two of the three keys are busy
     calls = spark.createDataFrame(random_calls(), "k string, s long, t timestamp, tool string, args string")
     df = trace.record(calls, F.col("k"), F.col("s"), F.col("t"), F.col("tool"), F.col("args"))
-    windows = {r.seq: r[rule.name] for r in trace.apply_rule(df, rule, WINDOW).select("seq", rule.name).collect()}
+    judged = trace.judged(trace.apply_rule(trace.blocks(df, WINDOW, size), rule, WINDOW)).select("seq", rule.name).collect()
+    windows = {r.seq: r[rule.name] for r in judged}
+    assert len(judged) == len(windows) == 500
     folded = {r.seq: r.rule is not None for r in fold_keys(df, [rule], WINDOW, sticky=False).collect()}
     assert windows == folded
     assert 5 < sum(folded.values()) < 480 or rule.name == "typed"
     assert rule.name != "typed" or not any(folded.values())  # a pattern finds no numbers
 
 
+def test_one_busy_key_is_the_work_of_many_tasks(spark, monkeypatch):
+    """A key's calls lie in several ranges and many blocks, and are judged as by the fold."""
+    monkeypatch.setattr(trace, "BUSY_CALLS", 1000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        calls = spark.range(6000, numPartitions=4).select(F.lit("hot").alias("k"), F.col("id").alias("s"), F.timestamp_seconds(F.col("id") * 7).alias("t"), F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("tool"), F.concat(F.lit('{"n": '), F.pmod(F.xxhash64("id"), F.lit(9)).cast("string"), F.lit("}")).alias("args"))
+        df = trace.record(calls, F.col("k"), F.col("s"), F.col("t"), F.col("tool"), F.col("args"))
+        numbered = trace.numbered(df)
+        assert {r.s: r.rn for r in numbered.collect()} == {k: k + 1 for k in range(6000)}
+        blocks = trace.blocks(df, 32, 64)
+        assert blocks.groupBy("block").count().agg(F.max("count"), F.count("*")).first()[:] == (95, 95)  # 64 and a halo of 31; the last has nothing but a halo
+        judged = trace.apply_pack(blocks, PACK[:3], window=32)
+        assert judged.rdd.mapPartitions(lambda rows: [any(True for _ in rows)]).sum() == 4
+        got = {r.seq: r.invariant and r.invariant.scanner[10:] for r in trace.judged(judged).collect()}
+        assert got == {r.seq: r.rule for r in fold_keys(df, PACK[:3], 32, sticky=False).collect()}
+        assert len(set(got.values())) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_sums_go_down_and_up_without_arrays(spark):
+    rnd = random.Random(6)
+    rows = [("k", k, START + timedelta(seconds=k // 3 * 10), "a", json.dumps({"n": rnd.choice([5, -4, 0.25, float("inf"), float("nan"), "2", True, None, [1]]) if k % 50 else 1e30})) for k in range(400)]
+    df = trace.record(spark.createDataFrame(rows, "k string, s long, t timestamp, tool string, args string").withColumn("args", text.shortened_json("args", F.lit(0))), F.col("k"), F.col("s"), F.col("t"), F.col("tool"), F.col("args"))
+    for rule in (rules.Budget("sum", "n", 11, "*", 45.0), rules.Budget("sum", "n", 9.25, "*", 1000.0)):
+        out = trace.apply_rule(df, rule, 7)
+        assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = {r.seq: r["sum"] for r in out.collect()}
+        assert got == {r.seq: r.rule is not None for r in fold_keys(df, [rule], 7, sticky=False).collect()}
+        assert 20 < sum(got.values()) < 380
+
+
 def run(pack, calls, window=256, ttl=600.0):
     fold, out = TraceFold(pack, window, ttl), []
     for k, (tool, args) in enumerate(calls):
@@ -105,6 +144,21 @@ def test_chain(spark):
     lines.unpersist()
 
 
+def test_a_line_lost_between_ranges_is_found(spark):
+    """One stream of many lines is checked over several ranges; what is missing at any place breaks the next line."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lines = cut(audit.chain(spark.range(3000).select(F.lit("x").alias("stream"), F.col("id").alias("seq"), F.concat(F.lit('{"k": '), F.col("id").cast("string"), F.lit("}")).alias("record")), "stream", "seq"), "lines")
+        places = ranged(lines, "stream", "seq").groupBy("range").agg(F.min("seq").alias("a"), F.count("*").alias("n"))
+        assert places.count() == 4
+        assert audit.verify(lines).first()[1:] == (3000, 0, None, None)
+        for first in [r.a for r in places.orderBy("range").collect()][1:]:
+            assert audit.verify(lines.where(F.col("seq") != first - 1)).first()[1:] == (2999, 0, first, "prev_hash mismatch")
+            assert audit.verify(lines.where(F.col("seq") != first)).first()[3] == first + 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_packs(spark, tmp_path):
     pack = [r for r in PACK if r.name != "guarded-start"]
     assert rules.from_json(rules.to_json(pack)) == tuple(pack)
@@ -160,12 +214,13 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     for k in range(2):
         calls.where((F.col("seq") >= k * 100) & (F.col("seq") < k * 100 + 100)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = trace_stream(source, PACK, WINDOW).writeStream.format("memory").queryName("fired").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = trace_stream(source, PACK, WINDOW).writeStream.format("memory").queryName("fired").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(200)
     got = {r.seq: r.rule for r in spark.table("fired").collect()}
     want = {r.seq: r.rule for r in fold_keys(calls, PACK, WINDOW).collect()}
     assert got == want
     kept = {r.key: r for r in snapshot(spark, str(tmp_path / "cp")).collect()}
+    assert set(kept) == set("pqr")
     for key in "pqr":
         assert list(kept[key].tools) == [r[3] for r in sorted(rows, key=lambda r: (r[2], r[1])) if r[0] == key and r[3]][-WINDOW:]
 
@@ -178,9 +233,60 @@ def test_a_stream_is_reset_drained_and_stopped(spark, tmp_path):
     calls = spark.createDataFrame(rows, "key string, seq long, ts timestamp, tool string, args string, recorded boolean, reset boolean")
     calls.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(calls.schema).parquet(str(tmp_path / "in"))
-    q = trace_stream(source, [rules.Loop("loop", 3)], WINDOW).writeStream.format("memory").queryName("after_reset").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = trace_stream(source, [rules.Loop("loop", 3)], WINDOW).writeStream.format("memory").queryName("after_reset").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     shut_down([q], 20.0)
     assert not q.isActive
     assert {r.seq: r.rule for r in spark.table("after_reset").collect()} == {0: None, 1: None, 2: "loop", 3: None, 4: None, 5: "loop"}
     assert {"addBatch", "triggerExecution"} <= {s["name"] for s in spans(q)}
+
+
+def drained(stream, out, checkpoint):
+    """Run a stream over what is there, as after a restart."""
+    from wardline.streaming.replay import settings
+
+    with settings(stream.sparkSession):
+        q = stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start()
+        assert q.awaitTermination(200)
+
+
+CALLS = "key string, seq long, ts timestamp, tool string, args string, recorded boolean"
+
+
+def test_traces_beyond_the_bound_go_by_use(spark, tmp_path):
+    """The key that recorded a call the longest ago loses its trace; a call that isn't recorded is no use."""
+    from wardline.streaming.traces import snapshot, trace_stream
+
+    keys = [("a", True), ("b", True), ("c", True), ("a", True), ("b", False), ("d", True), ("b", True), ("d", True), ("c", True)]
+    rows = [(k, s, START + timedelta(seconds=s), "w", "{}", r) for s, (k, r) in enumerate(keys)]
+    for part in (rows[:4], rows[4:]):
+        spark.createDataFrame(part, CALLS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = trace_stream(spark.readStream.schema(CALLS).parquet(str(tmp_path / "in")), [rules.Loop("loop", 2)], WINDOW, shards=1, most=3)
+        drained(stream, tmp_path / "out", tmp_path / "cp")
+    got = {r.seq: (r.rule, r.evicted) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # d comes when b is the oldest, b when c is, c when a is: all but a and d begin anew
+    assert got == {0: (None, None), 1: (None, None), 2: (None, None), 3: ("loop", None), 4: (None, None), 5: (None, "b"), 6: (None, "c"), 7: ("loop", None), 8: (None, "a")}
+    assert {r.key: list(r.tools) for r in snapshot(spark, str(tmp_path / "cp")).collect()} == {"b": ["w"], "c": ["w"], "d": ["w", "w"]}
+
+
+def test_rules_are_data_of_a_running_stream(spark, tmp_path):
+    """A new pack acts from the batch on in which it comes; what flows have passed is kept by rule name; a bad pack changes nothing."""
+    from wardline.streaming.traces import packs_stream, trace_stream
+
+    flow = lambda last: rules.Flow("flow", (rules.Step("a"), rules.Step(last)))
+    tools = ["a", "n", "n", "n", "b", "c", "c", "c"]
+    (tmp_path / "packs").mkdir()
+    for s, tool in enumerate(tools):
+        spark.createDataFrame([("k", s, START + timedelta(seconds=s), tool, "{}", True)], CALLS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if s == 5:
+            (tmp_path / "packs" / "pack-7.json").write_text(rules.to_json([flow("c")]))
+        if s == 6:
+            (tmp_path / "packs" / "pack-9.json").write_text('[{"kind": "flow"}]')
+            (tmp_path / "packs" / "pack-3.json").write_text(rules.to_json([rules.Loop("old", 2)]))
+        if s == 7:
+            (tmp_path / "packs" / "pack-8.json").write_text(rules.to_json([rules.Loop("three", 3, "said so")]))
+        if s >= 3:
+            calls = spark.readStream.schema(CALLS).parquet(str(tmp_path / "in"))
+            drained(trace_stream(calls, [flow("z")], 2, packs=packs_stream(spark, str(tmp_path / "packs")), shards=2), tmp_path / "out", tmp_path / "cp")
+    got = {r.seq: (r.rule, r.version) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: (None, 1), 1: (None, 1), 2: (None, 1), 3: (None, 1), 4: (None, 1), 5: ("flow", 7), 6: (None, 7), 7: (None, 8)}

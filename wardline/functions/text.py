@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
-from collections.abc import Iterator
+import math
+import sys
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -14,7 +17,6 @@ from pyspark.sql import types as T
 
 from wardline.functions.scan import digest12, fence, result
 
-EXTRACTED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 #: Decoded bytes of one embedded blob at most.
 BLOB_BYTES = 256 * 1024
 
@@ -99,48 +101,126 @@ def storable(text: str) -> str:
 
 #: What is said of payloads that can't be handled for another reason than bad JSON, like nesting without end.
 ENGINE_ERROR = "engine_error"
+#: The one method whose params name a tool, and the member that stands for params that are no object (fixed values).
+TOOL_CALL, RAW = "tools/call", "_raw"
+READ = T.StructType([T.StructField(n, T.StringType()) for n in ("text", "error", "tool", "args", "fp")])
+MARK = "…[truncated]"
+
+
+def with_strings(value: Any, change: Callable[[str], Any]) -> Any:
+    """A JSON value with every string in it, but for names, replaced by what `change` makes of it."""
+    match value:
+        case str():
+            return change(value)
+        case dict():
+            return dict(zip(value, map(lambda v: with_strings(v, change), value.values()), strict=True))
+        case list():
+            return [with_strings(v, change) for v in value]
+    return value
+
+
+def shortened(args: Any, most: int = 4096) -> Any:
+    """Arguments as a trace keeps them: if their JSON is longer than `most` (0: no bound), the strings share
+    that length equally, 64 characters each at least, and what goes beyond its share is cut off."""
+    if not 0 < most < len(json.dumps(args)):
+        return args
+    lengths: list[int] = []
+    with_strings(args, lambda text: lengths.append(len(text)))
+    share = max(64, most // len(lengths)) if lengths else most
+    return with_strings(args, lambda text: text[:share] + MARK * (len(text) > share))
+
+
+def finite(value: Any) -> Any:
+    """A JSON value whose numbers every parser reads: infinities as the largest number, NaN as null."""
+    match value:
+        case float() if not math.isfinite(value):
+            return None if math.isnan(value) else math.copysign(sys.float_info.max, value)
+        case dict():
+            return {k: finite(v) for k, v in value.items()}
+        case list():
+            return [finite(v) for v in value]
+    return value
+
+
+def sorted_json(value: Any) -> str:
+    return storable(json.dumps(value, sort_keys=True, ensure_ascii=False))
+
+
+def fingerprint(tool: str, args: Any) -> str:
+    """What two calls have in common that are one: a digest of the tool and all arguments by sorted names. 1 is not 1.0."""
+    return hashlib.sha256(f"{tool}:{json.dumps(args, sort_keys=True)}".encode("utf-8", "ignore")).hexdigest()[:32]
+
+
+def parsed_args(args: str | None) -> Any:
+    """Arguments from their JSON text; an empty object for text that is none or nests without end."""
+    try:
+        return json.loads(args) if args else {}
+    except (ValueError, RecursionError):
+        return {}
 
 
-def _extracted(raw: str | bytes | None, absent: bool) -> tuple[str | None, str | None]:
-    """Text and error of a raw payload; whatever one payload holds, only its own row has the error."""
+def _loaded(raw: str | bytes | None, request: bool) -> tuple[Any, str | None]:
+    """The value of a raw payload and its error. A null request is an empty object, and one that is no object the
+    member RAW of one; an empty payload is an error."""
+    if raw is None and request:
+        return {}, None
     if raw is None or len(raw) == 0:
-        return (flatten({}), None) if raw is None and absent else (None, "empty json payload")
+        return None, "empty json payload"
     try:
         value = json.loads(raw)
     except RecursionError:
         return None, ENGINE_ERROR
     except ValueError as e:
         return None, storable(f"invalid json payload: {e}")
+    return ({RAW: value} if request and not isinstance(value, dict) else value), None
+
+
+def read_payload(raw: str | bytes | None, request: bool = True, method: str | None = TOOL_CALL, most: int = 0, flat: bool = True) -> tuple[str | None, ...]:
+    """Text, error, tool, args and fingerprint of one payload, all from one parse; only the error where there is one.
+
+    The tool is "" for all but calls of a tool by name; a name that is no string counts by its text. args are by
+    sorted names, shortened to `most`; a call whose arguments are no object can't be told and is an error.
+    Whatever one payload holds, only its own row has the error."""
+    value, error = _loaded(raw, request)
+    if error:
+        return None, error, None, None, None
     try:
-        return storable(flatten(value)), None
-    except RecursionError:
-        return None, ENGINE_ERROR
+        text, tool, args = storable(flatten(value)) if flat else None, "", {}
+        if request and method == TOOL_CALL:
+            tool = storable(str(value.get("name", "")))
+            args = dict(value.get("arguments") or {}) if tool else {}
+        return text, None, tool, sorted_json(finite(shortened(args, most))), fingerprint(tool, args)
+    except (RecursionError, TypeError, ValueError):
+        return None, ENGINE_ERROR, None, None, None
 
 
-@F.pandas_udf(EXTRACTED)
-def _extract_request(raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_extracted(r, True) for r in raw], columns=["text", "error"], dtype=object)
+def read(phase: Column, method: Column, payload: Column, most: int = 0, flat: bool = True) -> Column:
+    """struct<text, error, tool, args, fp> of exchanges; see `read_payload`. Without `flat` the text is left out."""
 
+    @F.pandas_udf(READ)
+    def run(phases: pd.Series, methods: pd.Series, raw: pd.Series) -> pd.DataFrame:
+        rows = [read_payload(r, p == "request", m, most, flat) for p, m, r in zip(phases, methods, raw, strict=True)]
+        return pd.DataFrame(rows, columns=READ.names, dtype=object)
 
-@F.pandas_udf(EXTRACTED)
-def _extract_response(raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_extracted(r, False) for r in raw], columns=["text", "error"], dtype=object)
+    return run(phase, method, payload)
 
 
 def extract_text(raw: Column, request: bool = True) -> Column:
     """struct<text, error> of a raw JSON payload. A null request is an empty object; an empty one is an error."""
-    return (_extract_request if request else _extract_response)(raw)
+    got = read(F.lit("request" if request else "response"), F.lit(""), raw)
+    return F.struct(got["text"].alias("text"), got["error"].alias("error"))
 
 
-def tool_name(method: Column, payload: Column) -> Column:
-    """The name of a tool call's params, "" for other methods and shapes."""
-    name = F.coalesce(F.try_variant_get(F.try_parse_json(payload), "$.name", "string"), F.lit(""))
-    return F.when(method == "tools/call", name).otherwise(F.lit(""))
+@F.pandas_udf(T.StringType())
+def call_print(tool: pd.Series, args: pd.Series) -> pd.Series:
+    """The fingerprint of calls whose arguments are JSON text."""
+    return pd.Series([None if t is None else fingerprint(t, parsed_args(a)) for t, a in zip(tool, args, strict=True)], dtype=object)
 
 
-def valid_json(payload: Column) -> Column:
-    """JSON by the built-in parser; null requests count as valid, empty ones don't."""
-    return payload.isNull() | F.try_parse_json(payload).isNotNull()
+@F.pandas_udf(T.StringType())
+def shortened_json(args: pd.Series, most: pd.Series) -> pd.Series:
+    """`shortened` on JSON text, by sorted names; null for null."""
+    return pd.Series([None if a is None else sorted_json(finite(shortened(parsed_args(a), int(n)))) for a, n in zip(args, most, strict=True)], dtype=object)
 
 
 def _byte(data: Column, at: Column) -> Column:

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardline.functions.scan import fence
 from wardline.operators.decide import audit_outcome
+from wardline.sources.ranges import carried, ranged
 
 #: The hash before a chain's first line (fixed value).
 GENESIS = "0" * 16
@@ -37,14 +39,16 @@ DECISION = T.StructType(
 CHAINED = T.StructType([*DECISION.fields, *fields("prev_hash string, line_hash string, event string, ok boolean, rule_count long, error string")])
 
 
-def record(df: DataFrame, rules_version: str = "1", version: str = VERSION, duration: Column | None = None) -> DataFrame:
-    """The decision record of every decided exchange (columns of `plans.engine.decide`)."""
+def record(df: DataFrame, rules_version: str | Column = "1", version: str = VERSION, duration: Column | None = None) -> DataFrame:
+    """The decision record of every decided exchange (columns of `plans.engine.decide`). Payloads that were refused
+    have no decision and so no record."""
+    df = df.where(F.col("error").isNull()) if "error" in df.columns else df
     d, ms = F.col("decision"), F.unix_micros("ts") / 1000
     outcome = audit_outcome(d.deny, d.human_review, F.col("mutated").isNotNull())
     cols = {
         "ts": F.floor(ms / 1000).cast("long"), "ts_ms": ms, "phase": F.col("phase"), "method": F.col("method"), "tool": F.when(F.col("phase") == "request", F.col("tool")).otherwise(""),
         "outcome": outcome, "reason": F.col("reason"), "ref": F.col("ref"), "exchange_id": F.col("exchange_id"), "caller": F.col("caller"), "payload_sha256": F.col("payload_sha256"),
-        "rules_version": F.lit(rules_version), "sidecar_version": F.lit(version), "duration_ms": F.lit(0.0) if duration is None else duration, "truncated": F.col("truncated"),
+        "rules_version": rules_version if isinstance(rules_version, Column) else F.lit(rules_version), "sidecar_version": F.lit(version), "duration_ms": F.lit(0.0) if duration is None else duration, "truncated": F.col("truncated"),
         "scanned_bytes": F.col("scanned_bytes"), "total_bytes": F.col("total_bytes"), "upstream_transport": F.col("upstream_transport"), "route": F.col("route_name"), "scanners": F.col("results"),
     }
     return df.select(*(c.cast(DECISION[n].dataType).alias(n) for n, c in cols.items()))
@@ -98,14 +102,22 @@ def _expected(lines: pd.Series) -> pd.Series:
 def verify(lines: DataFrame, stream: str = "stream", order: str = "seq", line: str = "line") -> DataFrame:
     """stream, checked, unchained, broken_at, problem of every stream.
 
-    Each line is held against its predecessor among the chained lines, all in parallel; the first problem
-    by order is reported. Lines without a chain are passed over; malformed JSON is a break."""
+    Each line is held against its predecessor among the chained lines, all in parallel; the first problem by
+    order is reported. Lines without a chain are passed over; malformed JSON is a break. Lines stay where they are
+    read: only their hashes are put in order, by ranges, and a range takes over the hash of the stream's last chained line
+    before it. So one long stream is the work of many tasks."""
     rows = lines.where(F.trim(line) != "").select(F.col(stream).alias("stream"), F.col(order).alias("seq"), F.rtrim(F.col(line), F.lit("\n")).alias("line"))
-    parsed = F.try_parse_json("line")
-    prev, own = F.try_variant_get(parsed, "$.prev_hash", "string"), F.try_variant_get(parsed, "$.line_hash", "string")
-    rows = rows.withColumns({"bad": parsed.isNull(), "prev": prev, "own": own}).withColumn("chained", ~F.col("bad") & F.col("prev").isNotNull() & F.col("own").isNotNull())
-    before = F.lag(hashed(F.col("line"))).over(Window.partitionBy("stream", "chained").orderBy("seq"))
-    rows = rows.withColumn("want", F.coalesce(before, F.lit(GENESIS))).withColumn("hash", _expected("line"))
+    rows = rows.withColumn("json", fence(F.try_parse_json("line")))
+    prev, own = F.try_variant_get("json", "$.prev_hash", "string"), F.try_variant_get("json", "$.line_hash", "string")
+    rows = rows.withColumns({"bad": F.col("json").isNull(), "prev": prev, "own": own}).withColumn("chained", ~F.col("bad") & F.col("prev").isNotNull() & F.col("own").isNotNull())
+    rows = rows.withColumns({"is": hashed(F.col("line")), "hash": _expected("line")}).drop("line", "json")
+    rows = ranged(rows, "stream", "seq")
+    chained = F.when(F.col("chained"), F.struct("seq", "is"))
+    carry = carried(rows, "stream", F.max(chained), F.max("value"))
+    before = F.lag("is").over(Window.partitionBy("stream", "range", "chained").orderBy("seq"))
+    rows = rows.withColumn("inside", before)
+    rows = rows.join(F.broadcast(carry), F.col("stream").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")), "left")
+    rows = rows.withColumn("want", F.coalesce("inside", "before.is", F.lit(GENESIS)))
     problem = F.when(F.col("bad"), "malformed JSON").when(F.col("chained") & (F.col("prev") != F.col("want")), "prev_hash mismatch").when(F.col("chained") & (F.col("own") != F.col("hash")), "line_hash mismatch")
     rows = rows.withColumn("problem", problem)
     first = F.min(F.when(F.col("problem").isNotNull(), F.struct("seq", "problem")))

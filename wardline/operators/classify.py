@@ -18,6 +18,7 @@ from wardline.functions.redact import masker
 from wardline.functions.scan import RESULT, fence, result
 from wardline.functions.text import window_starts
 from wardline.operators.decide import scanner_failure
+from wardline.sources.ranges import cut
 
 NAME, SECOND = "onnx-promptguard", "agent-alignment"
 #: One of these must be in the label of a model's last class (fixed values).
@@ -111,10 +112,30 @@ def scorer(make: Callable[[], Scorer]):
     return run
 
 
-def classify(df: DataFrame, texts: str, run, out: str = "classifier", block: float = 0.9, review: float = 0.5, fail_open: bool = False, name: str = NAME) -> DataFrame:
+def asked_once(df: DataFrame, texts: str, ask: Callable[[Column, Column], Column], out: str, beside: Column | None = None) -> DataFrame:
+    """`df` with `out`, what `ask` says of each of an array of texts (with what stands beside them), asking once for equal ones.
+
+    Texts are known by a digest: distinct ones are asked about, the answers are a table by digest, and rows get
+    theirs through places of digests alone. The rows are written once, so that each keeps its number. A hot text
+    is one row before it is shuffled, and its places are a join that the planner splits. Null for a null array, and
+    where an answer is null."""
+    beside = F.lit("") if beside is None else F.coalesce(beside, F.lit(""))
+    rows = cut(df.withColumns({"__row": F.monotonically_increasing_id(), "__beside": beside}), "asking")
+    each = rows.select("__row", "__beside", F.posexplode(texts).alias("place", "text"))
+    each = each.withColumn("digest", F.unhex(F.sha2(F.concat(F.sha2("__beside", 256), "text"), 256)))
+    distinct = each.groupBy("digest").agg(F.any_value("text").alias("text"), F.any_value("__beside").alias("beside"))
+    known = cut(distinct.select("digest", ask(F.array("text"), F.col("beside"))[0].alias("said")), "answers")
+    found = each.select("__row", "place", "digest").join(known, "digest").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("place", "said"))).alias("__said"))
+    rows = rows.join(found, "__row", "left")
+    said = F.transform("__said", lambda x: x.said)
+    none = F.when(F.size(texts) == 0, F.array().cast(f"array<{known.schema['said'].dataType.simpleString()}>"))
+    return rows.withColumn(out, F.when(F.col("__said").isNull(), none).when(~F.exists(said, lambda x: x.isNull()), said)).drop("__row", "__beside", "__said")
+
+
+def classify(df: DataFrame, texts: str, run, out: str = "classifier", block: float = 0.9, review: float = 0.5, fail_open: bool = False, name: str = NAME, once: bool = False) -> DataFrame:
     """`df` with the classifier's verdict on each of an array of texts; failures block, or are reviewed where
-    failures may pass. Null where the classifier is absent."""
-    df = df.withColumn("__s", run(F.col(texts)))
+    failures may pass. Null where the classifier is absent. With `once` equal texts are scored once."""
+    df = asked_once(df, texts, lambda x, _: run(x), "__s") if once else df.withColumn("__s", run(F.col(texts)))
     failed = lambda s: scanner_failure(name, s.error, fail_open)
     return df.withColumn(out, fence(F.transform("__s", lambda s: F.when(s.error.isNotNull(), failed(s)).otherwise(verdict(s.score, block, review, name))))).drop("__s")
 
@@ -164,8 +185,12 @@ def flagged(chunks: Column, verdicts: Column) -> Column:
     return F.filter(chunks, lambda c, k: of(k))
 
 
-def second_stage(df: DataFrame, chunks: str, verdicts: str, summary: Column, judge, out: str = "second") -> DataFrame:
-    """`df` with a further verdict on each flagged chunk; only rows with one travel to the judge."""
+def second_stage(df: DataFrame, chunks: str, verdicts: str, summary: Column, judge, out: str = "second", once: bool = False) -> DataFrame:
+    """`df` with a further verdict on each flagged chunk; only rows with one travel to the judge. With `once` equal texts
+    behind equal calls are judged once."""
     asked = flagged(F.col(chunks), F.col(verdicts))
     df = df.withColumn("__ask", F.when(F.size(asked) > 0, asked))
+    if once:
+        df = asked_once(df, "__ask", judge, "__told", summary)
+        return df.withColumn(out, fence(F.coalesce("__told", F.array().cast(f"array<{RESULT}>")))).drop("__ask", "__told")
     return df.withColumn(out, fence(F.coalesce(judge(F.col("__ask"), summary), F.array().cast(f"array<{RESULT}>")))).drop("__ask")

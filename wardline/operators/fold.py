@@ -8,57 +8,18 @@ looks at the whole window again, and the first rule that fires ends the evaluati
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections import Counter, deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from typing import Any
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from wardline.operators.rules import Budget, Flow, Loop, Rate, Rule, is_regex, python_step, resolve
-
-MARK = "…[truncated]"
-
-
-def _with_strings(value: Any, change: Callable[[str], Any]) -> Any:
-    """A JSON value with every string in it, but for names, replaced by what `change` makes of it."""
-    match value:
-        case str():
-            return change(value)
-        case dict():
-            return dict(zip(value, map(lambda v: _with_strings(v, change), value.values()), strict=True))
-        case list():
-            return [_with_strings(v, change) for v in value]
-    return value
-
-
-def shortened(args: Any, most: int = 4096) -> Any:
-    """Arguments as the trace keeps them: if their JSON is longer than `most` (0: no bound), the strings share
-    that length equally, 64 characters each at least, and what goes beyond its share is cut off."""
-    if not 0 < most < len(json.dumps(args)):
-        return args
-    lengths: list[int] = []
-    _with_strings(args, lambda text: lengths.append(len(text)))
-    share = max(64, most // len(lengths)) if lengths else most
-    return _with_strings(args, lambda text: text[:share] + MARK * (len(text) > share))
-
-
-def parsed(args: str | None) -> Any:
-    """Arguments from their JSON text; an empty object for text that is none or nests without end."""
-    try:
-        return json.loads(args) if args else {}
-    except (ValueError, RecursionError):
-        return {}
-
-
-@F.pandas_udf(T.StringType())
-def shortened_json(args: pd.Series, most: pd.Series) -> pd.Series:
-    """`shortened` on JSON text; null for null."""
-    return pd.Series([None if a is None else json.dumps(shortened(parsed(a), int(n)), sort_keys=True) for a, n in zip(args, most, strict=True)], dtype=object)
 
+from wardline.functions.text import finite, fingerprint, parsed_args, shortened
+from wardline.operators.rules import Budget, Flow, Loop, Named, Rate, Rule, is_regex, python_step, resolve
 
 class FlowFold:
     """A flow as a list of stages, each a positive step with the guards before it; guards behind the last don't matter."""
@@ -101,9 +62,10 @@ class TraceFold:
         self.parked = {k: tuple(v) for k, v in kept["parked"].items()}
         return self
 
-    def record(self, tool: str, args: str, ts: float) -> None:
-        value = parsed(args)
-        self.calls.append({"tool": tool, "args": shortened(value, self.args_most), "fp": f"{tool}:{json.dumps(value, sort_keys=True)}", "ts": ts})
+    def record(self, tool: str, args: str, ts: float, fp: str | None = None) -> None:
+        """fp is the call's `text.fingerprint`, made of the arguments if it isn't given."""
+        value = parsed_args(args)
+        self.calls.append({"tool": tool, "args": finite(shortened(value, self.args_most)), "fp": fp or fingerprint(tool, value), "ts": ts})
 
     def _flow(self, rule: Flow, now: float) -> bool:
         """A complete flow and one that a guard has sent back leave nothing parked; further progress is parked anew."""
@@ -130,14 +92,14 @@ class TraceFold:
                 mine = Counter(c["tool"] for c in self.calls if _is(rule.tool, c["tool"]) and c["ts"] >= now - rule.window_s)
                 return max(mine.values(), default=0) > rule.max_calls
             case Budget():
-                total = 0.0
+                total, most = Decimal(0), _exact(rule.max_total)
                 for c in self.calls:
                     if _is(rule.tool, c["tool"]) and c["ts"] >= now - rule.window_s:
                         try:
-                            total += float(resolve(c["args"], rule.field))
+                            total += _exact(float(resolve(c["args"], rule.field)))
                         except (TypeError, ValueError):
                             continue
-                        if total > rule.max_total:
+                        if total > most:
                             return True
                 return False
 
@@ -146,7 +108,14 @@ class TraceFold:
         return next((r for r in self.pack if self._holds(r, now)), None)
 
 
-def _is(matcher: str, tool: str) -> bool:
+def _exact(value: float) -> Decimal:
+    """The number to nine digits behind the point, as `trace.budget` sums it up; NaN is 0."""
+    return Decimal(0) if math.isnan(value) else Decimal(repr(min(max(value, -1e24), 1e24))).quantize(Decimal("1e-9"), ROUND_HALF_UP, Context(prec=40))
+
+
+def _is(matcher: str | Named, tool: str) -> bool:
+    if isinstance(matcher, Named):
+        return matcher(tool)
     return matcher == "*" or (bool(re.search(matcher, tool)) if is_regex(matcher) else matcher == tool)
 
 
@@ -161,15 +130,16 @@ def fold_keys(calls: DataFrame, pack: Sequence[Rule], window: int = 256, ttl_s:
         fold, of = None, None
         for rows in batches:
             out = []
-            for known, key, seq, t, tool, args, recorded, *more in rows.itertuples(index=False):
+            for known, key, seq, t, tool, args, fp, recorded, *more in rows.itertuples(index=False):
                 if fold is None or (known, key) != of:
                     fold, of = TraceFold(pack, window, ttl_s, sticky), (known, key)
                 if recorded:
-                    fold.record(tool, args, t)
+                    fold.record(tool, args, t, fp)
                 hit = fold.evaluate(t)
                 out.append((key, seq, hit.name if hit else None, *more))
             yield pd.DataFrame(out, columns=["key", "seq", "rule", *carry], dtype=object)
 
     more = [F.col(c).cast("string") for c in carry]
-    lean = calls.select(F.col("key").isNotNull().alias("known"), F.col("key").cast("string"), F.col("seq").cast("long"), (F.unix_micros("ts") / 1_000_000).alias("t"), "tool", "args", "recorded", *more)
+    fp = F.col("fp") if "fp" in calls.columns else F.lit(None).cast("string")
+    lean = calls.select(F.col("key").isNotNull().alias("known"), F.col("key").cast("string"), F.col("seq").cast("long"), (F.unix_micros("ts") / 1_000_000).alias("t"), "tool", "args", fp.alias("fp"), "recorded", *more)
     return lean.repartition("key").sortWithinPartitions("key", "t", "seq").mapInPandas(run, "key string, seq long, rule string" + "".join(f", {c} string" for c in carry))

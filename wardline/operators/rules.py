@@ -5,22 +5,50 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field, fields
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOOL_META, VALUE_META = set("^$.*+?[]()|"), set("^$.*+?[]()|\\")
 
 
+@dataclass(frozen=True)
+class Named:
+    """A matcher by a function of the tool's name or an argument's value (None where there is none). A call for which the
+    function fails doesn't match. In JSON it stands by its name alone, see `named`."""
+
+    name: str
+    test: Callable[[Any], Any] = field(compare=False)
+
+    def __call__(self, value: Any) -> bool:
+        try:
+            return bool(self.test(value))
+        except Exception:  # noqa: BLE001 - whatever a function makes of a caller's values
+            return False
+
+
+#: Functions that packs in JSON can name.
+FUNCTIONS: dict[str, Named] = {}
+
+
+def named(name: str, test: Callable[[Any], Any]) -> Named:
+    """A matcher by function that packs in JSON can name from now on."""
+    FUNCTIONS[name] = Named(name, test)
+    return FUNCTIONS[name]
+
+
 @dataclass(frozen=True)
 class Step:
     """A call of a tool whose arguments match (dotted path -> matcher). A matcher that is text finds text alone,
     by equality or, if it has meta characters, as a regular expression; one of another type equals values of
-    that type. A guard step voids the flow if it occurs before the positive step that follows it."""
+    that type; a `Named` one asks its function. A guard step voids the flow if it occurs before the positive step that
+    follows it."""
 
-    tool: str
+    tool: str | Named
     args: dict[str, Any] = field(default_factory=dict)
     guard: bool = False
 
@@ -48,7 +76,7 @@ class Rate:
     """One tool more than `max_calls` times within `window_s` seconds."""
 
     name: str
-    tool: str = "*"
+    tool: str | Named = "*"
     window_s: float = 60.0
     max_calls: int = 30
     description: str = ""
@@ -61,7 +89,7 @@ class Budget:
     name: str
     field: str
     max_total: float
-    tool: str = "*"
+    tool: str | Named = "*"
     window_s: float = 3600.0
     description: str = ""
 
@@ -83,8 +111,20 @@ def is_regex(matcher: str, meta: set[str] = TOOL_META) -> bool:
     return bool(meta & set(matcher)) and matcher != "*"
 
 
-def tool_is(tool: Column, matcher: str, wildcard: bool = False) -> Column:
-    """Equality, or a search if the matcher has meta characters; "*" is any tool only where that is asked for."""
+def _asked(test: Named, value: Column, read: Callable[[str], Any] = json.loads) -> Column:
+    """What a function says of values that come as JSON text."""
+
+    @F.pandas_udf(T.BooleanType())
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([test(None if v is None else read(v)) for v in values], dtype=bool)
+
+    return run(value)
+
+
+def tool_is(tool: Column, matcher: str | Named, wildcard: bool = False) -> Column:
+    """Equality, a search if the matcher has meta characters, or a function; "*" is any tool only where that is asked for."""
+    if isinstance(matcher, Named):
+        return _asked(matcher, tool, str)
     if wildcard and matcher == "*":
         return F.lit(True)
     return tool.rlike("(?U)" + matcher) if is_regex(matcher) else tool == matcher
@@ -112,6 +152,8 @@ def argument(args: Column, path: str, kind: str = "string") -> Column:
 def argument_is(args: Column, path: str, matcher: Any) -> Column:
     """Whether the value at a path fits a matcher; never null."""
     value = argument_value(args, path)
+    if isinstance(matcher, Named):
+        return F.coalesce(_asked(matcher, F.to_json(value)), F.lit(False))
     kind = F.schema_of_variant(value)
     if matcher is None:
         return F.coalesce(kind == "VOID", F.lit(True))
@@ -148,6 +190,8 @@ def resolve(data: Any, path: str) -> Any:
 
 def fits(matcher: Any) -> Callable[[Any], bool]:
     """As `argument_is`, of Python values."""
+    if isinstance(matcher, Named):
+        return matcher
     if isinstance(matcher, str):
         search = re.compile(matcher).search if is_regex(matcher, VALUE_META) else matcher.__eq__
         return lambda value: isinstance(value, str) and bool(search(value))
@@ -156,14 +200,37 @@ def fits(matcher: Any) -> Callable[[Any], bool]:
 
 def python_step(step: Step) -> Callable[[str, Any], bool]:
     """The step as a function of tool and parsed arguments."""
-    tool = re.compile(step.tool).search if is_regex(step.tool) else step.tool.__eq__
+    tool = step.tool if isinstance(step.tool, Named) else re.compile(step.tool).search if is_regex(step.tool) else step.tool.__eq__
     args = [(path, fits(matcher)) for path, matcher in step.args.items()]
     return lambda t, a: bool(tool(t)) and all(fit(resolve(a, path)) for path, fit in args)
 
 
+def _plain(value: Any) -> Any:
+    """A rule, step or matcher as JSON has it."""
+    match value:
+        case Named():
+            return {"function": value.name}
+        case Flow() | Loop() | Rate() | Budget() | Step():
+            return {f.name: _plain(getattr(value, f.name)) for f in fields(value)}
+        case dict():
+            return {k: _plain(v) for k, v in value.items()}
+        case tuple():
+            return [_plain(v) for v in value]
+    return value
+
+
+def _matcher(value: Any) -> Any:
+    """A matcher from JSON: an object with the one member `function` is that function."""
+    if isinstance(value, dict) and set(value) == {"function"}:
+        if value["function"] not in FUNCTIONS:
+            raise ValueError(f"no such function: {value['function']!r}")
+        return FUNCTIONS[value["function"]]
+    return value
+
+
 def to_json(pack: Sequence[Rule]) -> str:
     names = {v: k for k, v in _KINDS.items()}
-    return json.dumps([{"kind": names[type(r)], **asdict(r)} for r in pack], indent=1)
+    return json.dumps([{"kind": names[type(r)], **_plain(r)} for r in pack], indent=1)
 
 
 def from_json(text: str) -> tuple[Rule, ...]:
@@ -175,7 +242,9 @@ def from_json(text: str) -> tuple[Rule, ...]:
         if kind is None:
             raise ValueError(f"no such kind of rule: {row}")
         if "steps" in row:
-            row["steps"] = tuple(Step(**s) for s in row["steps"])
+            row["steps"] = tuple(Step(**{**s, "tool": _matcher(s.get("tool")), "args": {k: _matcher(m) for k, m in s.get("args", {}).items()}}) for s in row["steps"])
+        if "tool" in row:
+            row["tool"] = _matcher(row["tool"])
         try:
             pack.append(kind(**row))
         except TypeError as e:
@@ -210,7 +279,7 @@ def _faults(r: Rule) -> list[tuple[bool, str]]:
     if isinstance(r, Rate | Budget):
         found.append((r.window_s <= 0, "the time window is empty"))
     patterns = [s.tool for s in r.steps] + [m for s in r.steps for m in s.args.values() if isinstance(m, str)] if isinstance(r, Flow) else [getattr(r, "tool", "*")]
-    return found + [(_broken(p), f"{p!r} is no regular expression") for p in patterns]
+    return found + [(_broken(p), f"{p!r} is no regular expression") for p in patterns if isinstance(p, str)]
 
 
 def _broken(pattern: str) -> bool:

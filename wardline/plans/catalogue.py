@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from wardline.functions import identity, text
 from wardline.functions.patterns import CATEGORIES, DEFAULT_CATEGORY, EGRESS_REDACTIONS, LOOK_LIKE, LOOKALIKES, PATTERNS, REDACTIONS, SEVERITY
 from wardline.functions.redact import json_redactor, placeholder, redact
-from wardline.functions.scan import clean, first_index, has, hit, result, scan
+from wardline.functions.scan import clean, fence, first_index, has, hit, result, scan
 from wardline.operators import audit, classify, decide, fold, rules, trace
 from wardline.plans.config import Config
 from wardline.plans.engine import decide as decide_exchanges
 from wardline.plans.engine import scan_texts
 from wardline.sources import audit_log, exchanges
-from wardline.streaming.traces import rate_windows
+from wardline.streaming import reports
+from wardline.streaming.replay import thirds, through_stream
+from wardline.streaming.traces import rate_windows, trace_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -451,10 +453,14 @@ def parse_payloads(spark, sf_dir):
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with typed arguments: k a number, name a text."""
-    ev = table(spark, sf_dir, "events")
-    k = rules.argument(F.col("props"), "k", "long")
-    args = F.to_json(F.struct(k.alias("k"), F.concat(F.lit("v"), k.cast("string")).alias("name")))
-    return trace.record(ev, F.col("user_id"), F.col("event_id"), F.col("ts"), F.col("event_type"), args)
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", rules.argument(F.col("props"), "k", "long").alias("k"))
+    args = F.to_json(F.struct("k", F.concat(F.lit("v"), F.col("k").cast("string")).alias("name")))
+    return called(ev.withColumn("a", fence(args)), F.col("a"), F.concat("event_type", F.lit(":"), "a"))
+
+
+def called(ev: DataFrame, args: Column, fp: Column | None = None) -> DataFrame:
+    rows = trace.record(ev, F.col("user_id"), F.col("event_id"), F.col("ts"), F.col("event_type"), args, fp=fp)
+    return rows.select("event_id", "key", "seq", "ts", "tool", "args", "recorded", *(["fp"] if fp is not None else []))
 
 
 DAY, SPAN = 86400.0, 8
@@ -481,6 +487,23 @@ def rate_rule(spark, sf_dir):
     return trace.apply_rule(calls(spark, sf_dir), RATE).select("event_id", F.col("rate").alias("hit"))
 
 
+@query("WITH e AS (SELECT *, event_type || ':' || json_extract_string(props, '$.k') || CASE WHEN event_id % 2 = 0 THEN '.0' ELSE '' END AS fp, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS rn FROM events), l AS (SELECT *, lag(rn, 1) OVER (PARTITION BY user_id, fp ORDER BY ts, event_id) AS b FROM e) SELECT event_id, coalesce(max(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) > rn - 64, false) AS hit FROM l")
+def loop_typed(spark, sf_dir):
+    """Calls with 1 and with 1.0 are not the same call, whatever the order of the arguments' names."""
+    k = rules.argument(F.col("props"), "k", "string")
+    k = F.concat(k, F.when(F.col("event_id") % 2 == 0, ".0").otherwise(""))
+    args = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"k": '), k, F.lit(', "a": 1}'))).otherwise(F.concat(F.lit('{"a":1,"k":'), k, F.lit("}")))
+    return trace.apply_rule(called(table(spark, sf_dir, "events"), args), rules.Loop("loop", 2), 64).select("event_id", F.col("loop").alias("hit"))
+
+
+@query("WITH e AS (SELECT *, CASE WHEN event_type IN ('purchase', 'click') THEN CAST(json_extract_string(props, '$.k') AS BIGINT) - 40 ELSE 0 END AS v FROM events), w AS (SELECT event_id, ts, list({'t': ts, 'v': v}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS x FROM e), y AS (SELECT event_id, list_transform(list_filter(x, lambda c: c.t >= ts - INTERVAL 2 DAY), lambda c: c.v) AS v FROM w) SELECT event_id, list_max(list_transform(range(1, len(v) + 1), lambda i: list_sum(v[1 : i]))) > 40 AS hit FROM y")
+def sum_negative(spark, sf_dir):
+    """Sums that go down again, over the last four calls of the last two days: one that was over the total counts."""
+    ev = table(spark, sf_dir, "events")
+    args = F.to_json(F.struct((rules.argument(F.col("props"), "k", "long") - 40).alias("k")))
+    return trace.apply_rule(called(ev, args, F.lit("")), rules.Budget("sum", "k", 40, "(purchase|click)", 2 * DAY), 4).select("event_id", F.col("sum").alias("hit"))
+
+
 @query(SQL_CALLS + " SELECT event_id, coalesce(sum(CASE WHEN event_type IN ('purchase', 'click') THEN CAST(k AS DOUBLE) END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW), 0) > 150 AS hit FROM e")
 def sum_rule(spark, sf_dir):
     return trace.apply_rule(calls(spark, sf_dir), SUM).select("event_id", F.col("sum").alias("hit"))
@@ -510,8 +533,8 @@ def flow_negate(spark, sf_dir):
 
 @query(SQL_LOOP + SQL_RATE + SQL_FLOW2 + " SELECT event_id, CASE WHEN flow2.hit THEN 'invariant:flow2' WHEN loop.hit THEN 'invariant:loop' WHEN rate.hit THEN 'invariant:rate' END AS scanner FROM flow2 JOIN loop USING (event_id) JOIN rate USING (event_id)")
 def rule_priority(spark, sf_dir):
-    df = trace.apply_rule(calls(spark, sf_dir), FLOW2, SPAN).withColumnRenamed("flow2", "first")
-    df = trace.apply_pack(df, (LOOP, RATE))
+    df = trace.apply_rule(trace.blocks(calls(spark, sf_dir)), FLOW2, SPAN).withColumnRenamed("flow2", "first")
+    df = trace.judged(trace.apply_pack(df, (LOOP, RATE)))
     return df.select("event_id", F.when(F.col("first"), "invariant:flow2").otherwise(F.col("invariant.scanner")).alias("scanner"))
 
 
@@ -540,6 +563,15 @@ def flow_sticky(spark, sf_dir):
     return fold.fold_keys(calls(spark, sf_dir), (FLOW2, GUARDED, LOOP), SPAN, 30 * DAY)
 
 
+@query(SQL_STICKY)
+def stream_trace(spark, sf_dir):
+    """The same calls through a stream that keeps its traces in state: they come in three parts, each read by a query that
+    is started anew on the checkpoint of the one before."""
+    ev = calls(spark, sf_dir)
+    run = lambda stream: trace_stream(stream, (FLOW2, GUARDED, LOOP), SPAN, 30 * DAY).select("key", "seq", "rule")
+    return through_stream([ev.where(part) for part in thirds(ev)], run)
+
+
 @query(SQL_CALLS + " SELECT event_id, array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), ', ') AS summary FROM e")
 def trace_summary(spark, sf_dir):
     return trace.summary(calls(spark, sf_dir)).select("event_id", "summary")
@@ -552,6 +584,15 @@ def health_window(spark, sf_dir):
     return df.select("event_id", F.round("failure_ratio", 9).alias("failure_ratio"), "healthy")
 
 
+@query(ORACLE_SQL["health_window"])
+def stream_health(spark, sf_dir):
+    """The same samples through a stream that keeps each scanner's last ones in state."""
+    ev = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), "ts", "event_type")
+    run = lambda stream: reports.health_stream(stream, "user_id", F.col("event_type") != "error", worst=0.2)
+    found = through_stream([ev.where(part) for part in thirds(ev)], run)
+    return found.select(F.col("seq").alias("event_id"), F.round("failure_ratio", 9).alias("failure_ratio"), "healthy")
+
+
 # ---------------------------------------------------------------- exchanges, audit, replay
 
 
@@ -589,6 +630,42 @@ def decide_exchange_table(spark, sf_dir):
     return out.select("exchange_id", "phase", "tool", "caller", "outcome", "reason", "wire.kind", "payload_sha256", "total_bytes", "seq")
 
 
+#: Payloads that two parsers would read in two ways, that name no tool, or that nobody can read, by number; {t} is a JSON text.
+ODD_PAYLOADS = (
+    '{{"name": "shell_exec", "name": "shell_exec", "arguments": {{}}}}', '{{"name": "shell_exec", "arguments": {{"v": NaN, "t": {t}}}}}', '{{"name": 5, "arguments": {{}}}}', '{{"name": null}}', "{t}", "[1, {t}]", "true",
+    "{{not json", "", None, '{{"name": "x", "arguments": [1]}}', '{{"name": "shell_exec", "arguments": {{"a": 1, "a": 2}}}}',
+)
+_ODD_SAYS = [  # tool, error, text
+    ("'shell_exec'", "NULL", """'{"arguments": {}, "name": "shell_exec"}'"""), ("'shell_exec'", "NULL", """'{"arguments": {"t": ' || q || ', "v": NaN}, "name": "shell_exec"}'"""), ("'5'", "NULL", """'{"arguments": {}, "name": 5}'"""), ("'None'", "NULL", """'{"name": null}'"""),
+    ("''", "NULL", """'{"_raw": ' || q || '}'"""), ("''", "NULL", """'{"_raw": [1, ' || q || ']}'"""), ("''", "NULL", """'{"_raw": true}'"""), ("''", "'INVALID'", "''"), ("''", "'INVALID'", "''"), ("''", "NULL", "'{}'"), ("''", "'PERMISSION_DENIED'", "''"), ("'shell_exec'", "NULL", """'{"arguments": {"a": 2}, "name": "shell_exec"}'"""),
+]
+_odd_case = lambda j: "CASE k " + " ".join(f"WHEN {k} THEN {s[j]}" for k, s in enumerate(_ODD_SAYS)) + " END"
+SQL_ODD = f"WITH a AS (SELECT conv_id * 1000 + turn AS seq, CASE role WHEN 'assistant' THEN 'x' ELSE role END AS caller, (conv_id * 7 + turn) % {len(ODD_PAYLOADS)} AS k, to_json('w' || conv_id)::VARCHAR AS q FROM conversations), o AS (SELECT seq, caller, {_odd_case(0)} AS tool, {_odd_case(1)} AS error, {_odd_case(2)} AS t FROM a)"
+
+
+def odd_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests whose payloads are ODD_PAYLOADS."""
+    k, t = (F.col("seq") / 1000).cast("long") * 7 + F.col("seq") % 1000, F.concat(F.lit('"w'), (F.col("seq") / 1000).cast("long").cast("string"), F.lit('"'))
+    branch = F
+    for n, p in enumerate(ODD_PAYLOADS):
+        branch = branch.when(k % len(ODD_PAYLOADS) == n, None if p is None else F.replace(F.lit(p.format(t="@")), F.lit("@"), t))
+    return talk_exchanges(spark, sf_dir).withColumns({"phase": F.lit("request"), "payload": branch})
+
+
+@query(SQL_ODD + " SELECT seq, tool, CASE WHEN error IS NOT NULL THEN 'error:' || error WHEN tool = 'shell_exec' THEN 'error:PERMISSION_DENIED' ELSE 'pass:' END AS wire, CASE WHEN error IS NULL THEN CASE tool WHEN 'shell_exec' THEN 'deny' ELSE 'allow' END END AS outcome, substr(sha256(t), 1, 12) AS payload_sha256 FROM o")
+def decide_odd_payloads(spark, sf_dir):
+    """Whatever shape a payload has, a denied tool stays denied, and what can't be read is refused."""
+    out = decide_exchanges(odd_exchanges(spark, sf_dir), Config(deny_tools=("shell_exec",)), pack=())
+    return out.select("seq", "tool", F.concat_ws(":", "wire.kind", F.coalesce("wire.code", F.lit(""))).alias("wire"), "outcome", "payload_sha256")
+
+
+@query(SQL_ODD + " SELECT tool, CASE tool WHEN 'shell_exec' THEN 'deny' ELSE 'allow' END AS outcome, count(*) AS n FROM o WHERE error IS NULL GROUP BY ALL")
+def audit_refused(spark, sf_dir):
+    """Records of exchanges, none of them for a payload that was refused."""
+    out = audit.record(decide_exchanges(odd_exchanges(spark, sf_dir), Config(deny_tools=("shell_exec",)), pack=()))
+    return out.groupBy("tool", "outcome").agg(F.count("*").alias("n"))
+
+
 SQL_SECOND = """WITH a AS (SELECT conv_id, turn, role, text, role <> 'assistant' AS ask, least(1.0, 8.0 * len(regexp_extract_all(text, '[A-Z]')) / greatest(1, length(text)))::DOUBLE AS s FROM conversations),
     b AS (SELECT *, conv_id || '-' || turn // 2 AS exchange_id FROM a WHERE NOT ask)"""
 
@@ -666,6 +743,17 @@ def replay_pairs(spark, sf_dir):
     return audit.pairs(talk_audit(spark, sf_dir))
 
 
+@query(ORACLE_SQL["replay_pairs"])
+def stream_pairs(spark, sf_dir):
+    """Both sides of exchanges arrive in parts; late singles are given out when signs of life move the watermark on."""
+    rows = talk_audit(spark, sf_dir).select("phase", "outcome", "exchange_id", "ts_ms", "ts").withColumn("t", F.timestamp_millis(F.col("ts_ms").cast("long")))
+    end = rows.agg(F.max("ts_ms").alias("ts_ms")).select(F.explode(F.array(F.lit("request"), F.lit("response"))).alias("phase"), F.lit("allow").alias("outcome"), F.concat(F.lit("alive-"), "phase").alias("exchange_id"), "ts_ms", F.lit(None).cast("long").alias("ts"))
+    later = lambda days: end.withColumn("ts_ms", F.col("ts_ms") + 86_400_000.0 * days)
+    parts = [rows.where(part).drop("t") for part in thirds(rows, "t")]
+    found = through_stream([*parts, later(1), later(2)], lambda stream: reports.pairs_stream(stream, "1 minute"))
+    return reports.paired(found.where(~F.col("exchange_id").startswith("alive-")))
+
+
 @query(SQL_AUDIT + " SELECT exchange_id, phase, outcome, tool, reason, 'r' AS ref FROM a WHERE outcome <> 'allow'")
 def replay_detail(spark, sf_dir):
     return audit.deny_detail(talk_audit(spark, sf_dir))
@@ -697,6 +785,18 @@ def metrics_histogram(spark, sf_dir):
     return audit.histogram(talk_audit(spark, sf_dir), (5, 50, 90))
 
 
+@query(SQL_AUDIT + " SELECT phase, outcome, q.share::DOUBLE AS share, count(*) AS n, TRUE AS within FROM a, (SELECT unnest([0.5, 0.9, 0.99]) AS share) q GROUP BY ALL")
+def metrics_sketch(spark, sf_dir):
+    """Quantiles of durations from the merged sketches of seven batches: their ranks are within 0.02 of what was asked."""
+    rows = talk_audit(spark, sf_dir)
+    batch = F.pmod(F.xxhash64("exchange_id"), F.lit(7))
+    found = reports.quantiles(reports.durations(rows.withColumn("batch", batch), "batch"))
+    ranks = rows.groupBy("phase", "outcome", "duration_ms").agg(F.count("*").alias("c"))
+    ranks = ranks.join(found.withColumnRenamed("duration_ms", "found"), ["phase", "outcome"]).groupBy("phase", "outcome", "share", "n").agg(F.sum(F.when(F.col("duration_ms") < F.col("found"), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("duration_ms") <= F.col("found"), F.col("c")).otherwise(0)).alias("upto"))
+    within = (F.col("below") <= (F.col("share") + 0.02) * F.col("n")) & (F.col("upto") >= (F.col("share") - 0.02) * F.col("n"))
+    return ranks.select("phase", "outcome", "share", "n", within.alias("within"))
+
+
 @query(SQL_AUDIT + " SELECT phase, CAST(sum(n % 4) AS BIGINT) AS redactions FROM a GROUP BY phase")
 def metrics_redactions(spark, sf_dir):
     """Substitutions from the reasons of records."""
