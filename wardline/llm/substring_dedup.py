@@ -1,10 +1,10 @@
 """Removal of repeated passages by sliding sentence spans.
 
-A text is cut into sentences, and these where their words say so: of every WINDOW words without a stop
-the one with the least hash ends a piece, so that a passage has the same pieces inside whatever stands
-before it. Every run of SPAN consecutive pieces (more where they are short) is hashed, spans of all
-documents meet by hash, and a piece goes if any repeated span that isn't the first of its kind covers it, unless
-such spans together cover less than LEAST_WORDS words there: common lines are no passages.
+A text is cut into sentences at stops and line feeds. Every run of SPAN consecutive sentences (more where they
+are short) is hashed, spans of all documents meet by hash, and a sentence goes if any repeated span that isn't
+the first of its kind covers it. Only a sentence of more than SENTENCE_WORDS words is divided, where its words say
+so: of every WINDOW of them the one with the least hash ends a part, and its parts count as sentences. So a
+passage has the same sentences inside whatever stands before it, and any 51 shared words hold a span.
 
 All of this works on the bytes of a whole slice of texts at once.
 """
@@ -26,15 +26,14 @@ from wardline.llm.repeats import ranged
 from wardline.llm.shingles import mixed
 from wardline.llm.token_count import sliced
 
-#: Pieces of a span; words of a sentence that n_sentences counts as one at most; bytes a span needs, so
-#: that short common sentences are no passage.
-SPAN, PIECE_WORDS, LEAST_BYTES = 3, 25, 40
-#: Words of which one ends a piece. Two copies of a passage can be cut differently only in their first and
-#: last WINDOW - 1 words, so 51 words leave 37 with at least four common ends: SPAN pieces.
+#: Sentences of a span, and bytes that it has at least: where they are short it goes on over more of them.
+SPAN, LEAST_BYTES = 3, 40
+#: A sentence of more words is divided. Of 51 shared words the first and the last sentence can have foreign words, or be
+#: divided in one place and whole in another: 12 words each at most. The 27 between them are three sentences of 13 at least.
+SENTENCE_WORDS = 13
+#: Words of which one ends a part. Two copies of a long sentence can be divided differently only in the first and last
+#: WINDOW - 1 words that they share, so 51 words without a stop leave 37 with at least four common ends.
 WINDOW = 8
-#: Words that repeated spans must cover without a gap before anything goes. Of 51 shared words at least those between
-#: two common ends are covered, the first of which is the 15th at most and the last the 37th at least.
-LEAST_WORDS = 20
 #: Bytes of texts that are cut at a time; words of more bytes are hashed alone.
 SLICE, LONG_WORD = 2_000_000, 512
 
@@ -134,13 +133,18 @@ class Pieces:
         return nexts[-1][nexts[-1] < end]
 
     def _cut(self) -> None:
-        """Ends of pieces: words that end sentences, the least of every WINDOW words of a text (the last of equals), last words."""
-        ends = self.last.copy()
-        if len(ends) >= WINDOW:
-            least = np.where(self.last, np.int64(-1), (self.hash >> np.uint64(32)).astype(np.int64))
-            windows = np.lib.stride_tricks.sliding_window_view(least, WINDOW)[:, ::-1]
-            place = np.arange(len(windows)) + WINDOW - 1 - windows.argmin(axis=1)
-            ends[place[self.of[: len(windows)] == self.of[WINDOW - 1 :]]] = True
+        """Ends of pieces: the last words of sentences and texts, and in sentences of more than SENTENCE_WORDS words the
+        least of every WINDOW (the last of equals)."""
+        ends, n = self.last.copy(), len(self.last)
+        if n >= WINDOW:
+            fresh = np.ones(n, bool)
+            fresh[1:] = self.last[:-1] | (self.of[1:] != self.of[:-1])
+            sentence = np.cumsum(fresh) - 1
+            long = np.bincount(sentence)[sentence] > SENTENCE_WORDS
+            inside = np.flatnonzero(long[: n - WINDOW + 1] & (sentence[: n - WINDOW + 1] == sentence[WINDOW - 1 :]))
+            least = (self.hash >> np.uint64(32)).astype(np.int64)
+            windows = np.lib.stride_tricks.sliding_window_view(least, WINDOW)[inside, ::-1]
+            ends[inside + WINDOW - 1 - windows.argmin(axis=1)] = True
         if len(ends):
             ends[-1] = True
             ends[:-1] |= self.of[1:] != self.of[:-1]
@@ -225,38 +229,20 @@ def _again(ids: pa.Array, marks: pa.Array, row: np.ndarray, s: np.ndarray, h: np
     return again, keep
 
 
-def long_runs(gone: np.ndarray, cut: Pieces) -> np.ndarray:
-    """Those of the pieces that lie in a run of LEAST_WORDS words at least of one text."""
-    fresh = np.ones(len(gone), bool)
-    fresh[1:] = (gone[1:] != gone[:-1]) | (cut.piece_of[1:] != cut.piece_of[:-1])
-    run = np.cumsum(fresh) - 1
-    return gone & (np.bincount(run, cut.to - cut.piece_start)[run] >= LEAST_WORDS) if len(gone) else gone
-
-
 def left_over(texts: pa.Array, ranges: pa.Array) -> pa.Array:
-    """struct<text, n, gone>: the texts without these ranges of pieces (where they make runs of LEAST_WORDS); their sentences (of at most PIECE_WORDS
-    words), and how many of them lose something."""
+    """struct<text, n, gone>: the texts without these ranges of sentences, and how many sentences there were and went."""
     out, at = [], 0
     for part in sliced(texts, SLICE):
         cut, mine = Pieces(part), ranges.slice(at, len(part))
         at += len(part)
-        n = len(cut.start)
-        # sentences: a word begins one if it is a text's first, follows a sentence's last or PIECE_WORDS others
-        fresh = np.ones(n, bool)
-        fresh[1:] = cut.last[:-1] | (cut.of[1:] != cut.of[:-1])
-        since = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0)) if n else np.zeros(0, np.int64)
-        sentence = np.cumsum(since % PIECE_WORDS == 0) - 1
-        first = np.searchsorted(cut.of, np.arange(len(cut.at)))
-        count = np.diff(np.append(sentence, sentence[-1] + 1)[first]) if n else np.zeros(len(part), np.int64)
-        # pieces that a range covers, then their words, then their bytes
         flat = mine.flatten()
         row = np.repeat(np.arange(len(part)), np.asarray(pc.fill_null(pc.list_value_length(mine), 0)))
         change = np.zeros(len(cut.to) + 1, np.int64)
         np.add.at(change, cut.piece_at[row] + np.asarray(pc.struct_field(flat, "s")), 1)
         np.add.at(change, cut.piece_at[row] + np.asarray(pc.struct_field(flat, "e")) + 1, -1)
-        gone = np.repeat(long_runs(np.cumsum(change)[:-1] > 0, cut), cut.to - cut.piece_start)
-        lost = np.bincount(cut.of[np.flatnonzero(gone)[np.unique(sentence[gone], return_index=True)[1]]], minlength=len(part)) if n else np.zeros(len(part), np.int64)
-        keep = np.repeat(~gone, cut.end - cut.start)
+        gone = np.cumsum(change)[:-1] > 0
+        count, lost = (np.bincount(of, minlength=len(part)) for of in (cut.piece_of, cut.piece_of[gone]))
+        keep = np.repeat(~np.repeat(gone, cut.to - cut.piece_start), cut.end - cut.start)
         ends = np.concatenate([[0], np.cumsum(keep)])[cut.at].astype(np.int64)
         text = pa.Array.from_buffers(pa.large_string(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(cut.data[keep]))]).cast(pa.string())
         out.append(pa.StructArray.from_arrays([text, pa.array(count, pa.int64()), pa.array(lost, pa.int64())], ["text", "n", "gone"]))
@@ -267,8 +253,8 @@ def left_over(texts: pa.Array, ranges: pa.Array) -> pa.Array:
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with n_sentences, n_removed and the text without repeated passages (columns of these names are replaced).
 
-    The first occurrence of a span by key, then place, stays. n_removed counts the sentences that lose
-    words. Null stays null; texts of fewer pieces than a span stay as they are; rows that repeat key and
+    The first occurrence of a span by key, then place, stays. Both numbers count the parts of long sentences as
+    sentences; what goes are whole ones. Null stays null; texts of fewer sentences than a span stay as they are; rows that repeat key and
     text are one document, rows with the same key and other texts are ordered by a hash of them; null
     keys come first. Empty tables stay empty. A text is held whole by the worker that cuts it, at some
     twenty times its bytes. Columns of any name pass through.
