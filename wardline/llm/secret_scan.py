@@ -1,16 +1,18 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate.
 
 A candidate is a long run of characters that keys are made of, or a shorter one that a key's name stands
-before. The network reads it and the characters around it, in overlapping views if it is long; the
-largest score counts. It is trained here, in numpy, on labelled findings: a
-bounded sample of the corpus' candidates, of which those that a pattern finds are the secrets, and
-made-up ones of other shapes. A held-out part calibrates its scores, and the threshold of each shape is
-the highest that keeps the demanded recall on that part.
+before; what a pattern finds in it is cut out, and what is left on either side is a candidate of its own. The network
+reads it and the characters around it, in overlapping views if it is long; the largest score counts. It is
+trained here, in numpy, on labelled findings: a bounded sample of the corpus' candidates, of which those that a
+pattern finds are the secrets, and made-up ones of other shapes. A held-out part calibrates its scores, and the
+threshold of each shape is the highest that keeps the demanded recall on the held-out secrets of either source.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.common import text_of
@@ -59,6 +61,28 @@ def base_findings(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int
     return sorted(found), sorted(candidates)
 
 
+def split(candidates: list[tuple[int, int]], found: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """What findings cover of candidates, and what they leave on either side; both as far as they are as long as a candidate must be."""
+    covered: list[list[int]] = []  # the findings' union, in order
+    for s, _, e in found:
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    inside, outside = [], []
+    for start, end in candidates:
+        least, at = 16 if end - start >= 16 else 6, start
+        for s, e in itertools.takewhile(lambda x: x[0] < end, itertools.islice(covered, bisect.bisect_right(covered, start, key=lambda x: x[1]), None)):
+            if s - at >= least:
+                outside.append((at, s))
+            if min(e, end) - max(s, start) >= 6:
+                inside.append((max(s, start), min(e, end)))
+            at = max(at, e)
+        if end - at >= least:
+            outside.append((at, end))
+    return inside, outside
+
+
 def shape(word: str) -> int:
     """0 digits, 1 hex, 2 capitals and digits, 3 other; 4 what is shorter than a run."""
     return 4 if len(word) < 16 else 0 if word.isdigit() else 1 if re.fullmatch("[0-9a-f]+", word) else 2 if re.fullmatch("[A-Z0-9]+", word) else 3
@@ -156,13 +180,11 @@ def made_up(n: int, rng: random.Random) -> list[tuple[str, int, int]]:
     return out
 
 
-def train(labelled: list[tuple[str, int, int]], seed: int = 4, reported: list[tuple[str, int, int]] | None = None) -> Network:
-    """A network from (view, label, shape): four fifths fit it, one fifth calibrates it and sets thresholds.
-
-    `reported` are those of the labelled whose kind the network is to report (by default all): thresholds keep the
-    recall on the held-out secrets among them, not on those that patterns find without it."""
+def train(*sources: list[tuple[str, int, int]], seed: int = 4) -> Network:
+    """A network from sources of (view, label, shape): four fifths fit it, one fifth calibrates it and sets thresholds,
+    which keep the recall on the held-out secrets of each source."""
     rng = np.random.default_rng(seed)
-    rows = sorted(set(labelled), key=lambda r: hashlib.sha256(r[0].encode("utf-8", "surrogatepass")).digest())
+    rows = sorted({r for source in sources for r in source}, key=lambda r: hashlib.sha256(r[0].encode("utf-8", "surrogatepass")).digest())
     x, y, shapes = codes([r[0] for r in rows]), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
     held = np.arange(len(rows)) % 5 == 0
     net, moments, t = Network.fresh(rng), {}, 0
@@ -181,20 +203,24 @@ def train(labelled: list[tuple[str, int, int]], seed: int = 4, reported: list[tu
         a, b = np.array([a, b]) - np.linalg.solve(h, g)
     net.scale = (float(a), float(b))
     p = 1 / (1 + np.exp(-np.clip(a * z + b, -60, 60)))
-    asked = {r[0] for r in reported or labelled}
-    secret, cuts = (target == 1) & np.array([rows[k][0] in asked for k in np.flatnonzero(held)], bool), []
-    for s in range(5):
-        mine = p[secret & (shapes[held] == s)]
-        mine = mine if len(mine) >= 20 else p[secret]
-        cuts.append(float(np.sort(mine)[int((1 - RECALL) * len(mine))]) if len(mine) else LEAST)
-    net.thresholds = tuple(cuts)
+    cuts: list[list[float]] = [[] for _ in range(5)]
+    for views in ({r[0] for r in source} for source in sources):
+        secret = (target == 1) & np.array([rows[k][0] in views for k in np.flatnonzero(held)], bool)
+        for s in range(5):
+            mine = p[secret & (shapes[held] == s)]
+            mine = mine if len(mine) >= 20 else p[secret]
+            if len(mine):
+                cuts[s].append(float(np.sort(mine)[int((1 - RECALL) * len(mine))]))
+    net.thresholds = tuple(min(c, default=LEAST) for c in cuts)
     return net
 
 
 def labelled_findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> list[tuple[str, int, int]]:
-    """Up to SAMPLE candidates of each label from about SAMPLE_DOCUMENTS documents, by a hash that reruns repeat."""
+    """Up to SAMPLE candidates of each label from about SAMPLE_DOCUMENTS documents, by a hash of their keys that reruns repeat.
+
+    What a pattern finds in a candidate is a secret, what it leaves of one is harmless."""
     n = docs.count()
-    rows = docs.select(F.xxhash64(F.lit("secrets"), key, text).alias("h"), text_of(text).alias("text"))
+    rows = docs.select(F.xxhash64(F.lit("secrets"), key).alias("h"), text_of(text).alias("text"))
     rows = rows.where(F.pmod("h", F.lit(1_000_000)) < min(1.0, SAMPLE_DOCUMENTS / max(n, 1)) * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,19 +228,21 @@ def labelled_findings(docs: DataFrame, key: str = "doc_id", text: str = "text")
             out = []
             for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found, candidates = base_findings(t)
-                for start, end in candidates:
-                    out += [(h ^ a, view(t, a, b), int(any(s < b and a < e for s, _, e in found)), shape(t[start:end])) for a, b in parts_of(start, end)]
+                for label, spans in zip((1, 0), split(candidates, found), strict=True):
+                    for start, end in spans:
+                        out += [(h ^ a, view(t, a, b), label, shape(t[start:end])) for a, b in parts_of(start, end)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int32()))], ["h", "view", "label", "shape"])
 
     all_ = rows.mapInArrow(run, "h long, view string, label int, shape int")
-    return [(r.view, r.label, r.shape) for y in (0, 1) for r in all_.where(F.col("label") == y).orderBy("h", "view").limit(SAMPLE).collect()]
+    first = Window.partitionBy("label").orderBy("h", "view")  # a task keeps no more than the bound of each label
+    return [(r.view, r.label, r.shape) for r in all_.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE).collect()]
 
 
 def scan(docs: DataFrame, network: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and spans (array of kind, start, end, score) of every row, by start, then kind.
 
     Starts and ends are code points, ends exclusive; pattern findings have score 1 and always stay, the
-    network adds candidates that touch none of them. Null and empty texts have no spans. Rows are read
+    network adds candidates, or what those leave of them on either side. Null and empty texts have no spans. Rows are read
     one by one: repeated rows agree, an empty table stays empty, other columns are not read. Texts of any length
     are read whole, and of long candidates every part; their views are scored 256 at a time.
     """
@@ -230,11 +258,10 @@ def scan(docs: DataFrame, network: Network, key: str = "doc_id", text: str = "te
                 for k, t in enumerate(part.to_pylist()):
                     found, candidates = base_findings(t)
                     spans.append([(a, i, b, 1.0) for a, i, b in found])
-                    for a, b in candidates:
-                        if not any(s < b and a < e for s, _, e in found):
-                            read = parts_of(a, b)
-                            of.append((k, a, b, shape(t[a:b]), len(views), len(views) + len(read)))
-                            views += [view(t, *x) for x in read]
+                    for a, b in split(candidates, found)[1]:
+                        read = parts_of(a, b)
+                        of.append((k, a, b, shape(t[a:b]), len(views), len(views) + len(read)))
+                        views += [view(t, *x) for x in read]
                 scores = net.score(views)
                 for k, a, b, s, x, y in of:
                     if (p := float(scores[x:y].max())) >= net.thresholds[s]:
@@ -248,9 +275,7 @@ def scan(docs: DataFrame, network: Network, key: str = "doc_id", text: str = "te
 
 def op4_secret_scan(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    invented = made_up(MADE_UP, random.Random(4))
-    network = train(labelled_findings(docs) + invented, reported=invented)
-    rows = scan(docs, network)
+    rows = scan(docs, train(labelled_findings(docs), made_up(MADE_UP, random.Random(4))))
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
     count = lambda k: F.size(F.filter("spans", lambda x: x.kind == k)).cast("long").alias(f"n_{k}")
     base = F.sha2(joined(F.filter("spans", lambda x: x.kind != "model")), 256).alias("base_sha256")
