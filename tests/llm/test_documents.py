@@ -1,12 +1,14 @@
 """The document operators against brute-force versions on small tables of awkward rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from wardline.llm import decontaminate, fingerprint, graph, language_id, line_dedup, mixing, near_dedup, secret_scan, substring_dedup
@@ -250,8 +252,9 @@ def test_targets_are_levelled(spark):
     assert got == pytest.approx(want)
 
 
-def brute_lines(rows):
-    """The texts left by the definition: chunks by rolled hashes are compared by their bytes."""
+def brute_lines(rows, lone=True):
+    """The texts left by the definition: chunks by rolled hashes are compared by their bytes. Without `lone` an end of a
+    chunk isn't taken where the chunk, or what is left of the text, would be one line."""
     import xxhash
 
     def hashed(b):
@@ -261,11 +264,14 @@ def brute_lines(rows):
     def chunks(text):
         parts = re.findall(r"[^\n]*\n|[^\n]+", text)
         h, out, start = [hashed(p.rstrip("\n").encode()) for p in parts], [], 0
+        rolled = []
         for i in range(len(parts)):
             old = h[i - 1] if i else 0
             r = h[i] ^ ((old << 21 | old >> 43) & (2**64 - 1))
-            r = r - 2**64 if r >= 2**63 else r
-            if r % line_dedup.MEAN == 0 or i == len(parts) - 1:
+            rolled.append((r - 2**64 if r >= 2**63 else r) % line_dedup.MEAN == 0)
+        for i in range(len(parts)):
+            allowed = lone or (0 < i < len(parts) - 2 and (i == 1 or not rolled[i - 1]))
+            if rolled[i] and allowed or i == len(parts) - 1:
                 out.append((start, i, "".join(parts[start : i + 1]).rstrip("\n")))
                 start = i + 1
         return parts, out
@@ -296,27 +302,80 @@ def test_line_dedup(spark, docs, none):
     assert got.columns == ["doc_id", "text", "n_lines", "n_removed"]
     assert sorted(tuple(r) for r in got.collect()) == brute_lines(rows)
     assert sum(r[3] for r in brute_lines(rows)) > 50
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.op7_line_dedup(frame.select("doc_id", "text")).collect()) == brute_lines(rows, lone=False)
+    assert brute_lines(rows, lone=False) != brute_lines(rows)
     odd = {(r.doc_id, r.text) for r in line_dedup.op7_line_dedup(docs).collect()}
     assert odd == {(r[0], r[1]) for r in corpus()}
     assert line_dedup.op7_line_dedup(none).count() == 0
 
 
+def brute_sentences(text):
+    """A text's sentences by the definition, as lists of its words with what follows them; long ones divided by the words' hashes."""
+    words = re.findall(r"[^.!?\s]+(?:[^\S\n]*[.!?\n]+\s*|[^\S\n]+)?|[.!?\s]+(?=[^.!?\s]|$)", text, re.A)
+    assert "".join(words) == text
+    out, now = [], []
+    for w in words:
+        now.append(w)
+        if re.search(r"[.!?\n]|^\s", w, re.A):
+            out.append(now)
+            now = []
+    return out + [now] if now else out
+
+
 def brute_passages(rows):
+    """Texts, sentences and removed sentences by the definition. How a long sentence is divided is taken from the words' hashes."""
+    cut = {}
+    for _, text in rows:
+        pieces = substring_dedup.Pieces(pa.array([text]))
+        hashes = dict(zip(pieces.start.tolist(), (pieces.hash >> np.uint64(32)).tolist(), strict=True))
+        parts, at = [], 0
+        for sentence in brute_sentences(text):
+            where = list(itertools.accumulate([at, *(len(w.encode()) for w in sentence)]))
+            at, ends = where[-1], {len(sentence)}
+            if len(sentence) > 13:
+                for k in range(len(sentence) - 7):
+                    least = min(range(k, k + 8), key=lambda i: (hashes[where[i]], -i))
+                    ends.add(least + 1)
+            ends = sorted(ends)
+            parts += [sentence[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        cut[text] = parts
     seen, out = set(), []
     for key, text in sorted(rows):
-        parts = re.findall(r"(?:[^.!?\s]+[^\S\n]*){1,25}(?:[.!?\n]+\s*)?|[.!?\s]+", text, re.A)
-        trimmed, gone = [p.strip(" ") for p in parts], set()
-        for s in range(len(parts) - 2):
-            span = tuple(trimmed[s : s + 3])
-            if sum(map(len, span)) >= 40:
-                if span in seen:
-                    gone |= {s, s + 1, s + 2}
-                seen.add(span)
-        assert "".join(parts) == text
-        out.append((key, "".join(p for k, p in enumerate(parts) if k not in gone), len(parts), len(gone)))
+        parts, gone = cut[text], set()
+        bare = [[re.sub(r"\s+$", "", w, flags=re.A) for w in p] for p in parts]
+        size = [len(re.sub(r"\s+$", "", "".join(p), flags=re.A).encode()) for p in parts]
+        runs = set()
+        for s in range(len(parts)):
+            for step in (1, -1):  # the shortest run on from each sentence, and back from each
+                e = s + 2 * step
+                long = lambda a, b: sum(size[a : b + 1]) + b - a >= 40
+                while 0 <= e < len(parts) and not long(min(s, e), max(s, e)):
+                    e += step
+                if 0 <= e < len(parts):
+                    runs.add((min(s, e), max(s, e)))
+        for s, e in sorted(runs):
+            span = tuple(w for p in bare[s : e + 1] for w in p)
+            if span in seen:
+                gone |= set(range(s, e + 1))
+            seen.add(span)
+        out.append((key, "".join("".join(p) for k, p in enumerate(parts) if k not in gone), len(parts), len(gone)))
     return out
 
 
+def test_sentences_go_whole(spark):
+    """Short sentences that repeat, long ones, odd gaps, passages that begin and end inside sentences: the whole result."""
+    rnd = random.Random(41)
+    plain = lambda n: " ".join(rnd.choices(VOCAB, k=n))
+    shared = [f"{plain(5)}. {plain(6)}! {plain(6)}?", f"He ran. She hid. {plain(9)}.", f"{plain(40)}.", f"{plain(13)}. {plain(14)}.\n{plain(20)}. . {plain(4)}", f"a b. c d.\n\n{plain(3)}... {plain(7)}\n \n{plain(8)}", prose(rnd, 70)]
+    rows = [(k, " ".join([plain(rnd.randint(0, 20)) + rnd.choice(["", ".", ".\n", " ."]), rnd.choice(shared), rnd.choice(["", "\n", ". "]) + plain(rnd.randint(1, 20))])) for k in range(80)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(tuple(r) for r in got.collect()) == brute_passages(rows)
+    probe = "One two three mango four five. Six seven plum nine. Ten eleven twelve pear melon fig."
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame([(1, f"Own words. {probe}"), (2, f"Changed here, {probe[:1].lower()}{probe[1:]} More words."), (3, f"{probe} More.")], "doc_id long, text string")).collect()}
+    assert [got[k].n_removed for k in (1, 2, 3)] == [0, 0, 3]
+    assert got[3].text == "More."
+
+
 def test_substring_dedup(spark, docs, none):
     rnd = random.Random(8)
     passage = prose(rnd, 55) + "."

@@ -64,6 +64,27 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.op13_tokenizer_alignment(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def fingerprint_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 reads of each document and its edited text, as SQL can tell it."""
+    return op2_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's findings by fixed patterns, counted, as SQL can tell them."""
+    return op4_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+FINGERPRINT_TEXTS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS next FROM d)
+SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 4) || left(next, length(t) // 4)) AS edited_sha256 FROM n
+"""
+SECRET_COUNTS_SQL = r"""
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+       CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access,
+       CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_fingerprints": op2_fingerprints,
@@ -78,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_chat_format": op11_chat_format,
     "op12_filter_audit": op12_filter_audit,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
+    "fingerprint_texts": fingerprint_texts,
+    "secret_counts": secret_counts,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -86,6 +109,8 @@ ORACLE_SQL: dict[str, str] = {
     "op9_near_dedup": near_dedup.ORACLE_SQL,
     "op11_chat_format": chat_format.ORACLE_SQL,
     "op12_filter_audit": filter_audit.ORACLE_SQL,
+    "fingerprint_texts": FINGERPRINT_TEXTS_SQL,
+    "secret_counts": SECRET_COUNTS_SQL,
 }
 
 
