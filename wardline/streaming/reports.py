@@ -124,6 +124,6 @@ def health_stream(samples: DataFrame, key: str, ok: Column, last: int = 100, lea
     """key, seq, failure_ratio, healthy, silent of a stream of samples (ts, seq): `audit.health` over the batches so far.
 
     With `silent_ms` a key that has sent nothing for so long gives one row that says so, without numbers."""
-    lean = samples.select(F.col(key).cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), F.unix_micros("ts").alias("t"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    lean = samples.select(F.col(key).cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.coalesce(ok, F.lit(False)).alias("ok"))
     schema = "key string, seq long, failure_ratio double, healthy boolean, silent boolean"
     return lean.groupBy("key").transformWithStateInPandas(HealthProcessor(last, least, worst, silent_ms), schema, "Append", "ProcessingTime")
