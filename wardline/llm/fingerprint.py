@@ -101,27 +101,51 @@ def _below(borders: list[int], value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), start, halve)["low"] if n else F.lit(0)
 
 
+def _share(rank: Column, parts: Column) -> Column:
+    """Which of so many parts a 64-bit hash falls into, in ascending order."""
+    top = F.shiftrightunsigned(rank.bitwiseXOR(F.lit(-(2**63))), 33)
+    return F.floor(top * parts / 2**31).cast("int")
+
+
 def with_successor(docs: DataFrame, key: str, text: str, bins: int) -> DataFrame:
-    """bin, guest, id, text: documents in bins of ascending key, each bin with its successor's first rows as guests.
-
-    Bin borders are quantiles of the key, so that no task sorts all documents and each text moves once.
-    Null keys come first; rows of equal keys share a bin."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("text"))
-    borders = rows.agg(F.percentile_approx("id", [k / bins for k in range(1, bins)], 10_000).alias("q")).first().q if bins > 1 else None
-    borders = sorted(set(borders or []))
-    rows = rows.withColumn("bin", F.when(F.col("id").isNull(), 0).otherwise(_below(borders, F.col("id"))))
-    firsts = {r.bin: r for r in rows.groupBy("bin").agg(F.min("id").alias("least"), (F.count("*") > F.count("id")).alias("nulls")).collect()}
+    """bin, guest, id, rank, text: documents in bins of ascending key, each bin with its successor's first rows as guests.
+
+    Bin borders are quantiles of the key, so that no task sorts all documents and each text moves once. Null keys
+    come first; rows of equal keys stand by a hash of their texts (rank). A key that several quantiles fall on, and
+    null keys, have bins of their own, as many as is their share, by rank."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("text")).withColumn("rank", F.xxhash64("text"))
+    many = rows.agg(F.percentile_approx("id", [k / bins for k in range(1, max(2, bins))], 10_000).alias("q"), F.count("*").alias("n"), F.count("id").alias("known")).first()
+    quantiles = sorted(many.q or []) if bins > 1 else []
+    borders, busy = sorted(set(quantiles)), 1 + (many.n - many.known) * bins // max(1, many.n)
+    # bins in order: those of null keys; then for each border what is below or at it, or below it and then its own bins
+    start, own, at = [], [], busy
+    for b in borders:
+        times = quantiles.count(b)
+        start.append(at)
+        own.append(times if times > 1 else 0)
+        at += 1 + own[-1]
+    start, own, total = [*start, at], [*own, 0], at + 1
+    if borders or busy > 1:
+        below = F.when(F.col("id").isNotNull(), _below(borders, F.col("id")))
+        entry = lambda values, k: F.get(F.array(*map(F.lit, values)).cast("array<int>"), k)
+        rows = rows.withColumn("k", below).withColumn("times", F.when(F.col("id") == F.get(F.array(*map(F.lit, borders)).cast("array<long>"), F.col("k")), entry(own, F.col("k"))).otherwise(0))
+        rows = rows.withColumn("bin", F.when(F.col("id").isNull(), _share(F.col("rank"), F.lit(busy))).otherwise(entry(start, F.col("k")) + F.when(F.col("times") > 0, 1 + _share(F.col("rank"), F.col("times"))).otherwise(0)))
+    else:
+        rows = rows.withColumns({"bin": F.when(F.col("id").isNull(), 0).otherwise(1), "times": F.lit(0)})
+    alone = F.col("id").isNull() | (F.col("times") > 0)  # in a bin of one key, or of null keys: its first row is that of the least rank
+    firsts = {r.bin: r for r in rows.groupBy("bin").agg(F.min("id").alias("least"), (F.count("*") > F.count("id")).alias("nulls"), F.min(F.when(alone, F.col("rank"))).alias("rank")).collect()}
     if not firsts:
-        return rows.select("bin", F.lit(False).alias("guest"), "id", "text")
-    # by bin: where its first rows are guests (before the first bin comes the last), and their key
-    known, before, least = sorted(firsts), [None] * (len(borders) + 1), [None] * (len(borders) + 1)
+        return rows.select("bin", F.lit(False).alias("guest"), "id", "rank", "text")
+    # by bin: where its first rows are guests (before the first bin comes the last), and their key and rank
+    known, before, least, rank = sorted(firsts), [None] * total, [None] * total, [None] * total
     for k, b in enumerate(known):
-        before[b], least[b] = known[k - 1], None if firsts[b].nulls else firsts[b].least
-    info = {"before": F.get(F.array(*map(F.lit, before)).cast("array<int>"), F.col("bin")), "least": F.get(F.array(*map(F.lit, least)).cast("array<long>"), F.col("bin"))}
-    first = F.col("id").eqNullSafe(info["least"])
-    homes = F.when(first, F.array(F.struct(F.col("bin").alias("bin"), F.lit(False).alias("guest")), F.struct(info["before"].alias("bin"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("bin").alias("bin"), F.lit(False).alias("guest"))))
-    dealt = rows.select("id", "text", F.explode(homes).alias("home")).select("home.bin", "home.guest", "id", "text")
-    return dealt.repartitionById(len(borders) + 1, F.col("bin")).sortWithinPartitions("bin", "guest", "id", "text")
+        before[b], least[b], rank[b] = known[k - 1], None if firsts[b].nulls else firsts[b].least, firsts[b].rank
+    of = lambda values, kind: F.get(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), F.col("bin"))
+    first = F.col("id").eqNullSafe(of(least, "long")) & F.coalesce(F.col("rank") == of(rank, "long"), F.lit(True))
+    here = F.struct(F.col("bin").alias("bin"), F.lit(False).alias("guest"))
+    homes = F.when(first, F.array(here, F.struct(of(before, "int").alias("bin"), F.lit(True).alias("guest")))).otherwise(F.array(here))
+    dealt = rows.select("id", "rank", "text", F.explode(homes).alias("home")).select("home.bin", "home.guest", "id", "rank", "text")
+    return dealt.repartitionById(total, F.col("bin")).sortWithinPartitions("bin", "guest", "id", "rank", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -134,7 +158,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The following document is the next by ascending key, after the last the first; rows of equal keys
-    are ordered by text, null keys come first, a null text is empty, a lone row follows itself. Repeated
+    are ordered by a 64-bit hash of their texts, then by text, null keys come first, a null text is empty, a lone row follows itself. Repeated
     rows follow one another. An empty table gives an empty table. Other columns are not read. A worker holds two
     texts at a time, at some twenty times their bytes.
     """
@@ -152,7 +176,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             return key_, len(text_), hashlib.sha256(whole).hexdigest(), mine, changed, likeness(mine, changed), likeness(mine, following[4])
 
         for batch in batches:
-            for bin_, guest, key_, text_ in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for bin_, guest, key_, text_ in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True):
                 if bin_ != home:
                     last, home, done = None, bin_, False
                 data = text_.encode()
