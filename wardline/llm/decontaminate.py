@@ -115,14 +115,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, key: s
     contaminated: at least one word in `share` lies in an occurrence of a window. Null and empty texts
     have no words and are clean; null and empty items have no windows; items that share a window all
     count; a null item id joins as nothing. Repeated rows come as one with their number in copies.
-    Empty tables give empty or clean results. Other columns are not read.
+    Empty tables give empty or clean results. Texts of any length are read whole, as one row of words. Other
+    columns are not read.
     """
     rows = matches(docs, benchmark, key, text, item, item_text).withColumn("n_hit", covered("spans"))
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, that are not contaminated."""
+    """The rows of `docs`, with all their columns, under any names, that are not contaminated (see `contamination`). Rows
+    that repeat each other all stay or all go; a null key is a key like others."""
     own = Shielded(docs)
     docs, key, text = own.docs, own[key], own[text]
     found = contamination(docs, benchmark, key=key, text=text).where("contaminated")

@@ -106,8 +106,9 @@ def label_quality(labels: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: every row of `docs` as often as it is taken, with all its columns.
 
-    Rows that repeat id, text and source are told apart by a running number, so that together they come as
-    often as the mix takes them together. Rows without words are never taken. Columns of any name pass through.
+    Rows that repeat id, text and source are numbered by their other columns, so that together they come as
+    often as the mix takes them together, the same ones in every run. Rows without words are never taken. Texts of any length
+    are counted whole and travel once. Columns of any name pass through.
     """
     own = Shielded(docs)
     docs, key, text, source = own.docs, own[key], own[text], own[source]
@@ -115,7 +116,7 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, key: str
     times = plan.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("source").alias("__source")).agg(F.min("epochs").alias("__epochs"), F.count_if("extra").alias("__extra"))
     times = times.where("__epochs > 0 or __extra > 0")
     same = F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")) & F.col(source).cast("string").eqNullSafe(F.col("__source"))
-    number = F.row_number().over(Window.partitionBy("__id", "__mark", "__source").orderBy(F.lit(0)))
+    number = F.row_number().over(Window.partitionBy("__id", "__mark", "__source").orderBy(F.to_json(F.struct(*(c for c in docs.columns if c != text)))))
     rows = docs.join(times, same).withColumn("__n", F.col("__epochs") + (number <= F.col("__extra")).cast("long"))
     return rows.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*own.columns())
 

@@ -227,7 +227,8 @@ def one_of_each(docs: DataFrame, percent: int = 85, width: int = 5, key: str = "
     """The rows of `docs`, with all their columns, of which no other row of their group is kept.
 
     Of each group one row stays, also where its rows repeat each other or share a key: one with the least key
-    (null if there is no other), then the least hash of key and text. Rows without shingles all stay.
+    (null if there is no other), then the least hash of key and text, then the first
+    by its other columns. Rows without shingles all stay.
     """
     own = Shielded(docs)
     docs, key, text = own.docs, own[key], own[text]
@@ -237,7 +238,7 @@ def one_of_each(docs: DataFrame, percent: int = 85, width: int = 5, key: str = "
     # a row's hash alone could be another row's, which a key beside it rules out as far as keys differ
     keyed = found.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct().join(chosen, "__row")
     same = (F.xxhash64(key, text) == F.col("__row")) & F.col(key).cast("long").eqNullSafe(F.col("__id"))
-    copy = F.row_number().over(Window.partitionBy("__row", "__id").orderBy(F.lit(0)))
+    copy = F.row_number().over(Window.partitionBy("__row", "__id").orderBy(F.to_json(F.struct(*(c for c in docs.columns if c != text)))))
     return docs.join(keyed, same).withColumn("__copy", copy).where("__all or __copy = 1").select(*own.columns())
 
 
