@@ -23,6 +23,8 @@ from wardline.llm.token_count import sliced
 
 #: Hashed features, longest n-gram, and the labelled documents the model is fitted on for each language, about.
 FEATURES, LONGEST, SAMPLE = 1 << 15, 3, 4_000
+#: Languages a model knows at most: a column of dirty labels can have any number of values.
+LANGUAGES = 1_000
 #: A document's evidence counts as that of so many n-grams at most, so that scores don't all end at 1.
 EVIDENCE = 40.0
 UNKNOWN = "und"
@@ -110,15 +112,15 @@ def held_out(key: str) -> Column:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model from about `sample` documents of each language, chosen by a hash of the key among those not held out."""
+    """A model from about `sample` documents of each language, chosen by a hash of the key among those not held out, for
+    the LANGUAGES languages of most documents; all are taken for equally likely."""
     rows = docs.where(~held_out(key)).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((0, FEATURES), np.float32))
-    share = F.lit(0.0)
-    for name in langs:
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, sample / sizes[name]))).otherwise(share)
+    shares = F.create_map(*(F.lit(x) for name in langs for x in (name, min(1.0, sample / sizes[name]))))
+    share = F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0))
     chosen = rows.where(F.pmod(F.xxhash64(F.lit("language"), "key", F.when(F.col("key").isNull(), F.col("text"))), F.lit(1_000_000)) < share * 1_000_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
