@@ -446,16 +446,45 @@ def test_language_id(spark, docs, none):
     assert wide.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
 
 
-def test_fingerprints(spark, docs, none):
-    got = fingerprint.op2_fingerprints(docs).collect()
-    rows = sorted(((r[0] is not None, r[0] or 0, r[1] or "") for r in corpus()))
+def brute_edited(rows):
+    """(key, characters, digest of the edited text) of (key, text), in order of keys, hashes of texts, and texts."""
+    import xxhash
+
+    def rank(text):
+        h = xxhash.xxh64_intdigest(text.encode(), 42)
+        return h - 2**64 if h >= 2**63 else h
+
+    rows = sorted((key is not None, key or 0, rank(text or ""), text or "") for key, text in rows)
     want = []
-    for k, (known, key, text) in enumerate(rows):
-        following = rows[(k + 1) % len(rows)][2]
+    for k, (known, key, _, text) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][3]
         n = len(text) // 4
         want.append((key if known else None, len(text), hashlib.sha256((text[: len(text) - n] + following[:n]).encode()).hexdigest()))
-    order = lambda r: tuple(str(x) for x in r)
-    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=order) == sorted(want, key=order)
+    return sorted(want, key=str)
+
+
+def test_a_key_of_many_rows_is_many_bins(spark):
+    """Null keys and one key with a third of the rows each: the edited texts are right, and no bin holds a key's rows alone."""
+    rnd = random.Random(12)
+    rows = [(rnd.choice([None, 50, k]), prose(rnd, rnd.randint(0, 12))) for k in range(300)] + [(50, "same text"), (50, "same text"), (None, "same text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for bins in (1, 2, 4, 16):
+        dealt = fingerprint.with_successor(docs, "doc_id", "text", bins)
+        counts = {r.bin: r.n for r in dealt.where("not guest").groupBy("bin").count().withColumnRenamed("count", "n").collect()}
+        assert sum(counts.values()) == len(rows)
+        assert bins < 16 or max(counts.values()) < 60
+        assert dealt.where("guest").count() <= len(counts) + 2
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprint.op2_fingerprints(docs).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(got, key=str) == brute_edited(rows)
+
+
+def test_fingerprints(spark, docs, none):
+    got = fingerprint.op2_fingerprints(docs).collect()
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == brute_edited([r[:2] for r in corpus()])
     by = {}
     for r in got:
         by.setdefault(r.doc_id, set()).add(r.fingerprint)

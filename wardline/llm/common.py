@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import re
 import shutil
 import tempfile
@@ -50,13 +49,6 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let the driver's JVM notice that finished jobs are no longer referred to, so that their shuffle files go
-    before the next step needs the disk."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -83,9 +75,9 @@ class Shielded:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents; a small file of fewer partitions than there are cores is dealt to all of them."""
+    """The documents; a small file of fewer partitions than there are cores is dealt to all of them, by key, which needs no sorting."""
     docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
 
 
 def trim() -> None:
