@@ -2,6 +2,7 @@
 
 import json
 import time
+import uuid
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -356,3 +357,38 @@ def test_a_silent_scanner_is_told_of(spark, tmp_path):
         q.stop()
     got = [tuple(r)[1:] for r in spark.sql("SELECT * FROM told ORDER BY seq NULLS LAST").collect()]
     assert got == [(0, 0.0, True, False), (1, 0.5, False, False), (2, 0.5, False, False), (3, 0.0, True, False), (None, None, None, True)]
+
+
+def test_equal_texts_are_asked_about_once(spark, tmp_path):
+    """Model and judge are called as often as there are distinct texts (and calls before them); verdicts don't change."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def note(kind, value):
+        (calls / f"{kind}-{uuid.uuid4().hex}").write_text(value)
+
+    def score(value):
+        note("model", value)
+        return 0.6 if value.startswith("y") else 0.0
+
+    def judge(asked):
+        note("judge", asked)
+        return "yes" in asked, asked
+
+    rows = [answer(k, f"{'y' if k % 3 else 'n'}es {k % 6}", route=f"r{k % 2}") for k in range(30)] + [exchange(40, {"content": []}, phase="response"), exchange(41, "{broken", phase="response")]
+    cfg = Config(enable_agent_alignment=True, enable_regex_scanner=False)
+    run = {"classifier": classify.scorer(classify.stub(score)), "judge": classify.aligner(lambda: judge)}
+    verdicts = lambda got: {k: [(x.scanner, x.outcome, x.reason, x.score) for x in r.results] for k, r in got.items()}
+    each = verdicts(decided(spark, rows, cfg, **run))
+    many = sorted(f.name.split("-")[0] for f in calls.iterdir())
+    for f in calls.iterdir():
+        f.unlink()
+    assert verdicts(decided(spark, rows, cfg, once=True, **run)) == each
+    once = sorted(f.name.split("-")[0] for f in calls.iterdir())
+    assert (once.count("model"), once.count("judge")) == (7, 4)  # six texts and an empty list's; four of them flagged
+    assert many.count("model") > 20
+
+    def absent():
+        raise ImportError("no runtime")
+
+    assert verdicts(decided(spark, rows[:2], Config(enable_regex_scanner=False), once=True, classifier=classify.scorer(absent))) == {0: [], 1: []}

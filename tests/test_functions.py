@@ -58,7 +58,7 @@ def test_hidden_characters_are_found_behind_the_fast_look(spark):
 def test_small_tables_are_dealt_to_all_cores(spark):
     from wardline.sources.exchanges import spread
 
-    df = spark.range(10, numPartitions=1)
+    df = spark.range(10, numPartitions=1)  # by its first column
     cores = spark.sparkContext.defaultParallelism
     assert spread(df).rdd.getNumPartitions() == cores
     assert sorted(r.id for r in spread(df).collect()) == list(range(10))

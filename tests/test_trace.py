@@ -56,6 +56,22 @@ def test_windows_agree_with_the_fold(spark, monkeypatch, rule, size):
     assert rule.name != "typed" or not any(folded.values())  # a pattern finds no numbers
 
 
+FIRST = rules.named("first tools", lambda tool: tool < "c")
+BY_FUNCTION = [rules.Flow("named", (rules.Step(FIRST, {"n": rules.named("odd", lambda v: v % 2 == 1)}), rules.Step("c", {"none": rules.named("absent", lambda v: v is None)}))), rules.Budget("named-sum", "n", 12, FIRST, 90.0), rules.Rate("named-rate", FIRST, 60.0, 2)]
+
+
+@pytest.mark.parametrize("rule", BY_FUNCTION, ids=lambda r: r.name)
+def test_matchers_by_function(spark, rule):
+    calls = spark.createDataFrame(random_calls(300), "k string, s long, t timestamp, tool string, args string")
+    df = trace.record(calls, F.col("k"), F.col("s"), F.col("t"), F.col("tool"), F.col("args"))
+    windows = {r.seq: r[rule.name] for r in trace.apply_rule(df, rule, WINDOW).select("seq", rule.name).collect()}
+    assert windows == {r.seq: r.rule is not None for r in fold_keys(df, [rule], WINDOW, sticky=False).collect()}
+    assert 5 < sum(windows.values()) < 295
+    assert rules.from_json(rules.to_json([rule])) == (rule,)
+    with pytest.raises(ValueError, match="no such function"):
+        rules.from_json(rules.to_json([rules.Rate("r", rules.Named("unknown", bool))]))
+
+
 def test_one_busy_key_is_the_work_of_many_tasks(spark, monkeypatch):
     """A key's calls lie in several ranges and many blocks, and are judged as by the fold."""
     monkeypatch.setattr(trace, "BUSY_CALLS", 1000)

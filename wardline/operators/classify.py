@@ -26,7 +26,8 @@ BAD_LABELS = ("MALICIOUS", "INJECTION", "JAILBREAK")
 #: Characters of a chunk that the second stage is shown, and the score of its denials (fixed values).
 SHOWN, CERTAIN = 4000, 0.95
 # Wording of audit reasons and of what a judge is asked.
-SCORED, OVER, GREY = "prompt injection score ", " >= {block}", " in grey zone [{review}, {block})"
+OVER = "prompt injection score {score} >= {block}"
+GREY = "prompt injection score {score} in grey zone [{review}, {block})"
 UNREADABLE, SETTINGS, FAILED, COMPROMISED = "unparseable_llm_output (match_len={n})", "config_error:{e}", "llm_error:{e}", "AgentAlignment: compromised (observation match_len={n})"
 LAST_CALLS, QUESTION = "The agent's most recent tool calls (oldest first):\n{summary}\n\n", "Evaluate this agent action:\n\n{text}"
 
@@ -72,10 +73,10 @@ def stub(scores: Callable[[str], float] = lambda text: 0.0) -> Callable[[], Scor
 def verdict(score: Column, block: float = 0.9, review: float = 0.5, name: str = NAME) -> Column:
     """Block, review or allow by score; a review threshold of 0 turns reviews off."""
     review = min(review, block)
-    said = F.concat(F.lit(SCORED), F.format_string("%.3f", score))
-    branch = F.when(score >= block, result(name, BLOCK, F.concat(said, F.lit(OVER.format(block=block))), score))
+    said = lambda template: F.replace(F.lit(template.format(score="{}", block=block, review=review)), F.lit("{}"), F.format_string("%.3f", score))
+    branch = F.when(score >= block, result(name, BLOCK, said(OVER), score))
     if review > 0:
-        branch = branch.when(score >= review, result(name, REVIEW, F.concat(said, F.lit(GREY.format(review=review, block=block))), score))
+        branch = branch.when(score >= review, result(name, REVIEW, said(GREY), score))
     return branch.otherwise(result(name, ALLOW, "", 0.0))
 
 

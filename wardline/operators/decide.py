@@ -10,6 +10,8 @@ from wardline.functions.scan import RESULT, result
 from wardline.functions.text import ENGINE_ERROR
 
 ERROR_CODE = -32001
+#: What the caller reads of a denial (fixed value).
+DENIED = "denied by {phase} policy (ref {ref})"
 
 
 def results(*verdicts: Column) -> Column:
@@ -60,7 +62,8 @@ def deny_category(found: Column) -> Column:
 
 def public_reason(phase: Column, ref: Column) -> Column:
     """What the caller reads of a denial: no scanner, no pattern, only a reference for the operator."""
-    return F.concat(F.lit("denied by "), F.when(phase == "request", "content").otherwise(phase), F.lit(" policy (ref "), ref, F.lit(")"))
+    shown = F.replace(F.lit(DENIED), F.lit("{phase}"), F.when(phase == "request", "content").otherwise(phase))
+    return F.replace(shown, F.lit("{ref}"), ref)
 
 
 def error_body(found: Column, phase: Column, ref: Column) -> Column:

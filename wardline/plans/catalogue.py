@@ -39,9 +39,12 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; those with long texts on all cores, even if they are one small file."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return exchanges.spread(df) if name in ("documents", "pages") else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of long texts for work that costs more than moving them: on all cores, even if it is one small file."""
+    return exchanges.spread(table(spark, sf_dir, name))
 
 
 def quoted(value: str) -> str:
@@ -87,7 +90,7 @@ SQL_DECIDED = SQL_PLANTS + f", v AS (SELECT doc_id, t, {SQL_SCANNER} AS scanner,
 
 
 def plants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("t"))
 
 
@@ -99,17 +102,17 @@ def first_hits(df: DataFrame, name: str) -> DataFrame:
 @query(SQL_TEXTS + f" SELECT {SQL_SCANNER} AS scanner, {SQL_OUTCOME} AS outcome, count(*) AS n FROM h GROUP BY ALL")
 def scan_outcomes(spark, sf_dir):
     """Verdicts of all documents, counted."""
-    return first_hits(table(spark, sf_dir, "documents").select("text"), "text").groupBy("scan.scanner", "scan.outcome").agg(F.count("*").alias("n"))
+    return first_hits(texts(spark, sf_dir).select("text"), "text").groupBy("scan.scanner", "scan.outcome").agg(F.count("*").alias("n"))
 
 
 @query(SQL_TEXTS + f" SELECT doc_id, {SQL_SCANNER} AS scanner, {SQL_OUTCOME} AS outcome, {SQL_SCORE} AS score FROM h")
 def scan_first_match(spark, sf_dir):
-    return first_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "scan.scanner", "scan.outcome", "scan.score")
+    return first_hits(texts(spark, sf_dir).select("doc_id", "text"), "text").select("doc_id", "scan.scanner", "scan.outcome", "scan.score")
 
 
 @query(SQL_TEXTS + f" SELECT doc_id, {SQL_REASON} AS reason FROM h")
 def scan_fingerprint(spark, sf_dir):
-    return first_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "scan.reason")
+    return first_hits(texts(spark, sf_dir).select("doc_id", "text"), "text").select("doc_id", "scan.reason")
 
 
 @query(SQL_PLANTS + f" SELECT doc_id, {SQL_SCANNER} AS scanner, {SQL_OUTCOME} AS outcome, {SQL_REASON} AS reason FROM h")
@@ -119,13 +122,13 @@ def scan_injected(spark, sf_dir):
 
 @query("SELECT " + ", ".join(f"count(*) FILTER (regexp_matches(text, {quoted(p.regex)})) AS {p.name}" for p in PATTERNS) + " FROM documents")
 def scan_all_patterns(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.agg(*(F.count_if(has(F.col("text"), p)).alias(p.name) for p in PATTERNS))
 
 
 @query(f"WITH s AS (SELECT page_id, html AS t FROM pages), h AS (SELECT *, {SQL_INDEX} AS i FROM s) SELECT page_id, {SQL_SCANNER} AS scanner, {SQL_OUTCOME} AS outcome FROM h")
 def scan_pages(spark, sf_dir):
-    return first_hits(table(spark, sf_dir, "pages").select("page_id", "html"), "html").select("page_id", "scan.scanner", "scan.outcome")
+    return first_hits(texts(spark, sf_dir, "pages").select("page_id", "html"), "html").select("page_id", "scan.scanner", "scan.outcome")
 
 
 #: A marker written with a lookalike letter, with wide letters, with a hidden character, and a word that is none.
@@ -144,7 +147,7 @@ SQL_NORMALIZED = f"""WITH a AS (SELECT doc_id, text || ' ' || CASE doc_id % 4 {"
 def scan_normalized(spark, sf_dir):
     """Documents that end in a marker written in an odd way, through both passes."""
     odd = F.element_at(F.array(*map(F.lit, ODD)), (F.col("doc_id") % 4 + 1).cast("int"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" "), odd).alias("t"))
+    docs = texts(spark, sf_dir).select("doc_id", F.concat("text", F.lit(" "), odd).alias("t"))
     return scan(docs, "t").select("doc_id", "scan.scanner", "scan.outcome", "scan.reason")
 
 
@@ -224,7 +227,7 @@ def classifier_thresholds(spark, sf_dir):
 def classifier_stage(spark, sf_dir):
     """A stand-in model (share of capitals) through the batch scorer, and its verdicts."""
     run = classify.scorer(classify.stub(_capitals))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array("text").alias("texts"))
+    docs = texts(spark, sf_dir).select("doc_id", F.array("text").alias("texts"))
     return classify.classify(docs, "texts", run).select("doc_id", F.inline("classifier")).select("doc_id", "outcome", F.round("score", 6).alias("score"))
 
 
@@ -236,7 +239,7 @@ def _capitals(value: str) -> float:
 def classifier_windows(spark, sf_dir):
     """The largest score of a text's token windows (16 words, every 12, 6 at most) under a stand-in model that counts long words."""
     make = lambda: classify.windowed(_words, _logits, ("BENIGN", "MALICIOUS"), 16, 4, 6)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array("text").alias("texts"))
+    docs = texts(spark, sf_dir).select("doc_id", F.array("text").alias("texts"))
     return docs.select("doc_id", F.inline(classify.scorer(make)("texts"))).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -322,7 +325,7 @@ _with, _last = sql_redaction("text", "doc_id", REDACTIONS)
 
 @query(_with + f" SELECT CAST(sum(n) AS BIGINT) AS redactions, count(*) FILTER (n > 0) AS changed FROM {_last}")
 def redact_counts(spark, sf_dir):
-    df = redact(table(spark, sf_dir, "documents").select("text"), "text")
+    df = redact(texts(spark, sf_dir).select("text"), "text")
     return df.agg(F.sum("redactions").alias("redactions"), F.count_if(F.expr("redactions > 0")).alias("changed"))
 
 
@@ -399,7 +402,7 @@ def extract_tools(spark, sf_dir):
 def extract_blob(spark, sf_dir):
     """Texts sent as base64 come back as they were."""
     got = text.extract_text(F.to_json(F.struct(F.array(F.struct(F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "\\s", "").alias("blob"))).alias("contents"))), request=False)
-    return table(spark, sf_dir, "documents").select("doc_id", got.alias("x")).select("doc_id", F.md5("x.text").alias("md5"))
+    return texts(spark, sf_dir).select("doc_id", got.alias("x")).select("doc_id", F.md5("x.text").alias("md5"))
 
 
 @query("SELECT conv_id, turn, md5(text || chr(10) || role || chr(10) || 'tail' || chr(10) || '{\"n\": ' || turn || '}') AS md5 FROM conversations")
@@ -850,7 +853,7 @@ def audit_scan(spark, sf_dir):
 @query(SQL_TEXTS + f", v AS (SELECT doc_id, {SQL_SCANNER} AS scanner, {SQL_OUTCOME} AS o FROM h) SELECT to_json({{'outcome': o, 'reason': scanner || ':review', 'ref': substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8), 'exchange_id': CAST(doc_id AS VARCHAR)}})::VARCHAR AS body FROM v WHERE o = 'human_review'")
 def review_payloads(spark, sf_dir):
     """What reviewers are told of documents that need one."""
-    df = scan_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    df = scan_texts(texts(spark, sf_dir).select("doc_id", "text"), "text")
     df = df.withColumns({"reason": F.col("decision.reason"), "ref": F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 8), "exchange_id": F.col("doc_id").cast("string")})
     return exchanges.review_payload(df)
 

@@ -22,10 +22,10 @@ SCHEMA = T.StructType(
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table that comes in fewer partitions than there are cores, as small files do, dealt to all of them; others
-    stay as they are, so large inputs are never shuffled for it."""
+    """A table that comes in fewer partitions than there are cores, as small files do, dealt to all of them by its first
+    column, which needs no sorting; others stay as they are, so large inputs are never shuffled for it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
 
 
 def read(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
