@@ -332,9 +332,9 @@ def brute_passages(rows):
         for sentence in brute_sentences(text):
             where = list(itertools.accumulate([at, *(len(w.encode()) for w in sentence)]))
             at, ends = where[-1], {len(sentence)}
-            if len(sentence) > 13:
-                for k in range(len(sentence) - 7):
-                    least = min(range(k, k + 8), key=lambda i: (hashes[where[i]], -i))
+            if len(sentence) > substring_dedup.SENTENCE_WORDS:
+                for k in range(len(sentence) - substring_dedup.WINDOW + 1):
+                    least = min(range(k, k + substring_dedup.WINDOW), key=lambda i: (hashes[where[i]], -i))
                     ends.add(least + 1)
             ends = sorted(ends)
             parts += [sentence[a:b] for a, b in zip([0, *ends], ends, strict=False)]

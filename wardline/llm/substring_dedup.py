@@ -29,11 +29,12 @@ from wardline.llm.token_count import sliced
 #: Sentences of a span, and bytes that it has at least: where they are short it goes on over more of them.
 SPAN, LEAST_BYTES = 3, 40
 #: A sentence of more words is divided. Of 51 shared words the first and the last sentence can have foreign words, or be
-#: divided in one place and whole in another: 12 words each at most. The 27 between them are three sentences of 13 at least.
-SENTENCE_WORDS = 13
+#: divided in one place and whole in another: 12 words each at most. The 27 between them are more than two sentences of 12.
+SENTENCE_WORDS = 12
 #: Words of which one ends a part. Two copies of a long sentence can be divided differently only in the first and last
-#: WINDOW - 1 words that they share, so 51 words without a stop leave 37 with at least four common ends.
-WINDOW = 8
+#: WINDOW - 1 words that they share; 51 words without a stop have common ends among their first and last 12, and so three
+#: parts of 12 words at most between them.
+WINDOW = 12
 #: Bytes of texts that are cut at a time; words of more bytes are hashed alone.
 SLICE, LONG_WORD = 2_000_000, 512
 
