@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wardline.llm import line_dedup, near_dedup, secret_scan, substring_dedup
@@ -40,6 +41,28 @@ def test_passages_repeat_wherever_they_begin_in_a_sentence(spark):
     assert all(got[k].text == texts[k] for k in range(0, 80, 2))
 
 
+def test_any_51_shared_words_hold_a_span():
+    """Stops anywhere, sentences about the bound in length, own words of any number on both sides."""
+    rnd = random.Random(77)
+
+    def stopped(words, steps):
+        at = rnd.randint(0, 14)
+        while at < len(words):
+            words[at] += rnd.choice([".", ".\n"])
+            at += rnd.randint(*steps)
+        return words
+
+    def spans(passage):
+        text = " ".join([*stopped(plain_words(rnd, rnd.randint(0, 40)), (2, 25)), *passage, *stopped(plain_words(rnd, rnd.randint(0, 40)), (2, 25))])
+        cut = substring_dedup.Pieces(pa.array([text]))
+        return set(zip(*(x.tolist() for x in cut.digests(*cut.runs())), strict=True))
+
+    for k in range(1500):
+        n = substring_dedup.SENTENCE_WORDS
+        passage = stopped(plain_words(rnd, 51), [(60, 60), (n, n), (n, n + 1), (n - 1, n + 1), (9, 14), (20, 30), (3, 20)][k % 7])
+        assert spans(passage) & spans(passage)
+
+
 def test_short_sentences_make_longer_spans(spark):
     """Dialogue, decimals and dotted names: over 50 words of which no three pieces have LEAST_CHARS characters."""
     rnd = random.Random(22)
