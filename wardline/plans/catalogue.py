@@ -22,7 +22,7 @@ from wardline.plans.engine import scan_texts
 from wardline.sources import audit_log, exchanges
 from wardline.streaming import reports
 from wardline.streaming.replay import thirds, through_stream
-from wardline.streaming.traces import rate_windows, trace_stream
+from wardline.streaming.traces import rate_windows, trace_stream, traced_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -200,15 +200,16 @@ def payload_digest(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT doc_id, n_chars AS n FROM documents),
+    """WITH a AS (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents),
     b AS (SELECT *, least(greatest(4, (n - 512 + 448) // 448 + 1), 16) AS budget, range(0, n - 511, 448) AS starts FROM a WHERE n > 512),
     c AS (SELECT doc_id, n, starts[1 : budget - 1] AS s FROM b),
     d AS (SELECT doc_id, CASE WHEN s[len(s)] = n - 512 THEN s ELSE list_append(s, n - 512) END AS s FROM c UNION ALL SELECT doc_id, [0] FROM a WHERE n <= 512)
     SELECT doc_id, generate_subscripts(s, 1) - 1 AS part, unnest(s) AS start FROM d"""
 )
 def token_windows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(text.token_windows(F.col("n_chars"))).alias("part", "start")).select("doc_id", F.col("part").cast("long").alias("part"), F.col("start").cast("long").alias("start"))
+    """Windows over the words of texts, as a stand-in for tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", " ")).alias("n"))
+    return docs.select("doc_id", F.posexplode(text.token_windows(F.col("n"))).alias("part", "start")).select("doc_id", F.col("part").cast("long").alias("part"), F.col("start").cast("long").alias("start"))
 
 
 @query("SELECT vec_id, round(exp(embedding[len(embedding)] - list_max(embedding)) / list_sum(list_transform(embedding, lambda x: exp(x - list_max(embedding)))), 6) AS score FROM embeddings")
@@ -217,10 +218,11 @@ def softmax_last(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(text.softmax_last(logits), 6).alias("score"))
 
 
-@query("SELECT vec_id, CASE WHEN s >= 0.9 THEN 'block' WHEN s >= 0.5 THEN 'human_review' ELSE 'allow' END AS outcome FROM (SELECT vec_id, vec_id % 100 / 100.0::DOUBLE AS s FROM embeddings)")
+@query("SELECT vec_id, CASE WHEN s >= 0.05 THEN 'block' WHEN s >= 0.02 THEN 'human_review' ELSE 'allow' END AS outcome, CASE WHEN s >= 0.02 THEN round(s, 6) ELSE 0.0 END AS score FROM (SELECT vec_id, exp(embedding[len(embedding)] - list_max(embedding)) / list_sum(list_transform(embedding, lambda x: exp(x - list_max(embedding)))) AS s FROM embeddings)")
 def classifier_thresholds(spark, sf_dir):
-    score = (F.col("vec_id") % 100 / 100.0).cast("double")
-    return table(spark, sf_dir, "embeddings").select("vec_id", classify.verdict(score)["outcome"].alias("outcome"))
+    """The share of the last class of each vector, under thresholds that part the table."""
+    found = classify.verdict(text.softmax_last(F.col("embedding").cast("array<double>")), 0.05, 0.02)
+    return table(spark, sf_dir, "embeddings").select("vec_id", found["outcome"].alias("outcome"), F.round(found["score"], 6).alias("score"))
 
 
 @query("WITH a AS (SELECT doc_id, least(1.0, 8.0 * len(regexp_extract_all(text, '[A-Z]')) / greatest(1, length(text)))::DOUBLE AS s FROM documents) SELECT doc_id, CASE WHEN s >= 0.9 THEN 'block' WHEN s >= 0.5 THEN 'human_review' ELSE 'allow' END AS outcome, CASE WHEN s >= 0.5 THEN round(s, 6) ELSE 0.0 END AS score FROM a")
@@ -601,7 +603,7 @@ def stream_health(spark, sf_dir):
 
 def talk_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as exchanges: a question calls the tool `ask/<role>`, the answer is its result."""
-    talk = table(spark, sf_dir, "conversations")
+    talk = texts(spark, sf_dir, "conversations")
     ask = F.col("role") != "assistant"
     id_ = F.concat_ws("-", "conv_id", F.floor(F.col("turn") / 2).cast("string"))
     request = F.to_json(F.struct(F.concat(F.lit("ask/"), F.col("role")).alias("name"), F.struct("text", "turn").alias("arguments")))
@@ -669,6 +671,15 @@ def audit_refused(spark, sf_dir):
     return out.groupBy("tool", "outcome").agg(F.count("*").alias("n"))
 
 
+@query(ORACLE_SQL["decide_exchange_table"])
+def stream_decisions(spark, sf_dir):
+    """The same exchanges through the stream that keeps traces in front of decisions, in three parts with restarts."""
+    talk = talk_exchanges(spark, sf_dir)
+    traced = through_stream([talk.where(part) for part in thirds(talk)], traced_stream)
+    out = decide_exchanges(traced)
+    return out.select("exchange_id", "phase", "tool", "caller", "outcome", "reason", "wire.kind", "payload_sha256", "total_bytes", "seq")
+
+
 SQL_SECOND = """WITH a AS (SELECT conv_id, turn, role, text, role <> 'assistant' AS ask, least(1.0, 8.0 * len(regexp_extract_all(text, '[A-Z]')) / greatest(1, length(text)))::DOUBLE AS s FROM conversations),
     b AS (SELECT *, conv_id || '-' || turn // 2 AS exchange_id FROM a WHERE NOT ask)"""
 

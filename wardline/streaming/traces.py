@@ -39,7 +39,7 @@ class TraceProcessor(StatefulProcessor):
 
     A row with a `pack` isn't a call: its rules, if they are good and of a higher version, act from its batch on; parked
     progress goes by rule name and is kept. A call that says `reset` clears its key's trace before it is recorded.
-    Traces of keys that stay silent for `idle_ms` expire. Beyond `most` traces the key that recorded a call the
+    Traces of keys that stay silent for `idle_ms` expire; a null key and an empty one are one. Beyond `most` traces the key that recorded a call the
     longest ago loses its own when a new key comes; rows that only look don't count as use.
     """
 
