@@ -218,10 +218,10 @@ def softmax_last(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(text.softmax_last(logits), 6).alias("score"))
 
 
-@query("SELECT vec_id, CASE WHEN s >= 0.05 THEN 'block' WHEN s >= 0.02 THEN 'human_review' ELSE 'allow' END AS outcome, CASE WHEN s >= 0.02 THEN round(s, 6) ELSE 0.0 END AS score FROM (SELECT vec_id, exp(embedding[len(embedding)] - list_max(embedding)) / list_sum(list_transform(embedding, lambda x: exp(x - list_max(embedding)))) AS s FROM embeddings)")
+@query("SELECT vec_id, CASE WHEN s >= 0.0175 THEN 'block' WHEN s >= 0.0155 THEN 'human_review' ELSE 'allow' END AS outcome, CASE WHEN s >= 0.0155 THEN round(s, 6) ELSE 0.0 END AS score FROM (SELECT vec_id, exp(embedding[len(embedding)] - list_max(embedding)) / list_sum(list_transform(embedding, lambda x: exp(x - list_max(embedding)))) AS s FROM embeddings)")
 def classifier_thresholds(spark, sf_dir):
     """The share of the last class of each vector, under thresholds that part the table."""
-    found = classify.verdict(text.softmax_last(F.col("embedding").cast("array<double>")), 0.05, 0.02)
+    found = classify.verdict(text.softmax_last(F.col("embedding").cast("array<double>")), 0.0175, 0.0155)
     return table(spark, sf_dir, "embeddings").select("vec_id", found["outcome"].alias("outcome"), F.round(found["score"], 6).alias("score"))
 
 

@@ -45,7 +45,7 @@ def through_stream(parts: Sequence[DataFrame], run: Callable[[DataFrame], DataFr
     for part in parts:
         part.write.mode("append").parquet(f"{folder}/in")
         out = run(spark.readStream.schema(schema).parquet(f"{folder}/in"))
-        with settings(spark):
+        with settings(spark, **{"spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}):
             query = out.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
             query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
