@@ -50,15 +50,20 @@ def digest12(value: Column) -> Column:
     return F.substring(F.sha2(value, 256), 1, 12)
 
 
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _entry(index: Column, patterns: Sequence[Pattern]) -> Column:
     """What is known of the pattern at an index, from one literal table, so that plans stay small; null for none."""
-    rows = [F.struct(F.lit(f"regex:{p.name}").alias("scanner"), F.lit(p.outcome).alias("outcome"), F.lit(p.reason).alias("reason"), F.lit(p.score).alias("score"), F.lit(p.high_entropy).alias("secret"), F.lit(p.java).alias("regex")) for p in patterns]
-    return F.get(F.array(*rows), index)
+    row = "named_struct('scanner', {}, 'outcome', {}, 'reason', {}, 'score', {}D, 'secret', {}, 'regex', {})"
+    rows = (row.format(_sql_text(f"regex:{p.name}"), _sql_text(p.outcome), _sql_text(p.reason), float(p.score), str(p.high_entropy).lower(), _sql_text(p.java)) for p in patterns)
+    return F.get(F.expr(f"array({', '.join(rows)})"), index)
 
 
 def _severity(index: Column, patterns: Sequence[Pattern]) -> Column:
     """The severity of the pattern at an index, -1 for none."""
-    return F.coalesce(F.get(F.array(*(F.lit(SEVERITY[p.outcome]) for p in patterns)), index), F.lit(-1))
+    return F.coalesce(F.get(F.expr(f"array({', '.join(str(SEVERITY[p.outcome]) for p in patterns)})"), index), F.lit(-1))
 
 
 def _found(text: Column, entry: Column) -> Column:
