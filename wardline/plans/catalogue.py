@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from wardline.functions import identity, text
 from wardline.functions.patterns import CATEGORIES, DEFAULT_CATEGORY, EGRESS_REDACTIONS, LOOK_LIKE, LOOKALIKES, PATTERNS, REDACTIONS, SEVERITY
-from wardline.functions.redact import json_redactor, placeholder, redact
+from wardline.functions.redact import json_redactor, placeholder, redact, redaction_gate, tagged
 from wardline.functions.scan import clean, fence, first_index, has, hit, result, scan
 from wardline.operators import audit, classify, decide, fold, rules, trace
 from wardline.plans.config import Config
 from wardline.plans.engine import decide as decide_exchanges
 from wardline.plans.engine import scan_texts
 from wardline.sources import audit_log, exchanges
+from wardline.sources.ranges import new_folder
 from wardline.streaming import reports
 from wardline.streaming.replay import thirds, through_stream
 from wardline.streaming.traces import rate_windows, trace_stream, traced_stream
@@ -343,6 +344,14 @@ def redact_json(spark, sf_dir):
     return masked.select("conv_id", "turn", F.md5(F.get_json_object("r.value", "$.content[0].text")).alias("md5"), "r.redactions")
 
 
+@query(SQL_DECIDED + " SELECT doc_id, CASE o WHEN 'block' THEN 'denied' WHEN 'human_review' THEN 'review' END AS gate, CASE o WHEN 'block' THEN 'denied' END AS gate_on_review, CASE WHEN o = 'block' THEN scanner || ':block:' || r WHEN o = 'human_review' AND doc_id % 3 > 0 THEN scanner || ':review;redaction:' || doc_id % 3 || ' substitution(s)' WHEN o = 'human_review' THEN scanner || ':review' WHEN doc_id % 3 > 0 THEN 'redaction:' || doc_id % 3 || ' substitution(s)' ELSE '' END AS reason FROM v")
+def redaction_gates(spark, sf_dir):
+    """What is masked by decision, with and without reviews, and reasons with the number of substitutions."""
+    n = F.when(F.col("d.deny"), 0).otherwise(F.col("doc_id") % 3)
+    gate = lambda on: redaction_gate(F.col("d.deny"), F.col("d.human_review"), on)
+    return decided(spark, sf_dir).select("doc_id", gate(False).alias("gate"), gate(True).alias("gate_on_review"), tagged(F.col("d.reason"), n).alias("reason"))
+
+
 # ---------------------------------------------------------------- identity and access
 
 
@@ -422,6 +431,25 @@ def extract_dump(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.extract_text(raw).alias("x")).select("conv_id", "turn", F.md5("x.text").alias("md5"))
 
 
+@query(r"""WITH a AS (SELECT conv_id, turn, text, role, length(text) + 5 * len(regexp_extract_all(text, '[\x{80}-\x{FFFF}]')) + 11 * len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]')) + len(regexp_extract_all(text, '[\n\r\t"\\]')) + length(role) + 24 AS n FROM conversations)
+    SELECT conv_id, turn, md5(CASE WHEN n > 300 AND length(text) > 150 THEN left(text, 150) || '…[truncated]' ELSE text END) AS md5, role FROM a""")
+def args_shortened(spark, sf_dir):
+    """Arguments over 300 characters of JSON: each of two strings keeps 150 of its own."""
+    short = text.shortened_json(F.to_json(F.struct("text", "role")), F.lit(300))
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", short.alias("a"))
+    return talk.select("conv_id", "turn", F.md5(F.get_json_object("a", "$.text")).alias("md5"), F.get_json_object("a", "$.role").alias("role"))
+
+
+@query("SELECT conv_id * 1000 + turn AS seq, CASE WHEN role = 'assistant' THEN 'response' ELSE 'request' END AS phase, 'c' || conv_id AS route, role AS caller, md5(text) AS md5 FROM conversations")
+def exchange_files(spark, sf_dir):
+    """Exchanges written as JSON lines and read back by their schema."""
+    folder = new_folder(spark, "exchanges")
+    talk_exchanges(spark, sf_dir).write.json(folder)
+    back = exchanges.read(spark, folder, "json")
+    said = F.coalesce(F.get_json_object("payload", "$.arguments.text"), F.get_json_object("payload", "$.content[0].text"))
+    return back.select("seq", "phase", identity.metadata_value(F.col("metadata"), "route_name").alias("route"), identity.caller(F.col("headers")).alias("caller"), F.md5(said).alias("md5"))
+
+
 @query("SELECT event_id, event_type AS kind, CAST(user_id AS VARCHAR) AS who FROM events")
 def header_decode(spark, sf_dir):
     """Headers as bytes; of equal names the last counts."""
