@@ -32,7 +32,7 @@ LEARNED = "assistant"
 #: What the grammar takes for its own: any of these that stands in a text as it is ends or begins a turn.
 CONTROL = r"\[/?INST\]|</?s>|<</?SYS>>|<<ROLE:|<</ROLE>>"
 OPENER = r"^(?:\[INST\]|<s>|<<SYS>>|<<ROLE:(?:-|[0-9a-f]*)>>) "
-BEHIND_CLOSER = r"(?<=\[/INST\]|</s>|<</SYS>>|<</ROLE>>)"
+UP_TO_CLOSER = r"(?s).*?(?:\[/INST\]|</s>|<</SYS>>|<</ROLE>>)"
 #: A control string's body behind its bracket and its backslashes.
 BODY = r"(/?(?:INST\]|s>|SYS>>|ROLE:|ROLE>>))"
 
@@ -83,8 +83,10 @@ def parsed_turn(piece: Column) -> Column:
 
 
 def parsed(text: Column) -> Column:
-    """The turns of a formatted conversation, by the grammar alone; one that isn't of the grammar is null."""
-    return F.transform(F.array_remove(F.split(text, BEHIND_CLOSER), ""), parsed_turn)
+    """The turns of a formatted conversation, by the grammar alone; what isn't of the grammar is null, also behind the last turn."""
+    read = lambda pieces: F.aggregate(pieces, F.lit(0), lambda n, p: n + F.length(p))
+    rest = lambda pieces: F.filter(F.array(text.substr(read(pieces) + 1, F.length(text))), lambda x: x != "")
+    return _bound(F.regexp_extract_all(text, F.lit(UP_TO_CLOSER), F.lit(0)), lambda pieces: F.transform(F.concat(pieces, rest(pieces)), parsed_turn))
 
 
 def digest(turns: Column) -> Column:
