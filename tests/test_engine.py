@@ -392,3 +392,16 @@ def test_equal_texts_are_asked_about_once(spark, tmp_path):
         raise ImportError("no runtime")
 
     assert verdicts(decided(spark, rows[:2], Config(enable_regex_scanner=False), once=True, classifier=classify.scorer(absent))) == {0: [], 1: []}
+
+
+def test_denials_are_told_from_one_scan(spark, tmp_path):
+    from wardline.functions.patterns import PATTERNS
+    from wardline.plans import catalogue
+
+    docs = [(k, "plain" if k % 2 else "an [INST] mark") for k in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    body = catalogue.error_body(spark, str(tmp_path))
+    searches = body._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
+    assert searches <= len(PATTERNS) + sum(bool(p.harmless) for p in PATTERNS)
+    denied = {r.doc_id for r in catalogue.decision_pass(spark, str(tmp_path)).where("deny").collect()}
+    assert {k for k, t in docs if t != "plain"} < denied == {r.doc_id for r in body.collect()}

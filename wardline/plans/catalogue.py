@@ -97,7 +97,7 @@ def plants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_hits(df: DataFrame, name: str) -> DataFrame:
     """The first-match verdict without the normalized pass, which SQL can't express."""
-    return df.withColumn("i", first_index(F.col(name))).withColumn("scan", F.coalesce(hit(F.col(name), F.col("i")), clean()))
+    return df.withColumn("i", fence(first_index(F.col(name)))).withColumn("scan", F.coalesce(hit(F.col(name), F.col("i")), clean()))
 
 
 @query(SQL_TEXTS + f" SELECT {SQL_SCANNER} AS scanner, {SQL_OUTCOME} AS outcome, count(*) AS n FROM h GROUP BY ALL")
@@ -258,7 +258,7 @@ def _logits(windows: list) -> list:
 
 
 def decided(spark: SparkSession, sf_dir: str, mode: str = "pass") -> DataFrame:
-    df = first_hits(plants(spark, sf_dir), "t").withColumn("results", F.array("scan"))
+    df = first_hits(plants(spark, sf_dir), "t").withColumn("results", fence(F.array("scan")))
     return df.withColumn("d", decide.decision(F.col("results"), mode))
 
 
