@@ -405,3 +405,23 @@ def test_denials_are_told_from_one_scan(spark, tmp_path):
     assert searches <= len(PATTERNS) + sum(bool(p.harmless) for p in PATTERNS)
     denied = {r.doc_id for r in catalogue.decision_pass(spark, str(tmp_path)).where("deny").collect()}
     assert {k for k, t in docs if t != "plain"} < denied == {r.doc_id for r in body.collect()}
+
+
+def test_health_of_many_scanners_is_kept_by_shard(spark, tmp_path):
+    from wardline.streaming import reports
+    from wardline.streaming.replay import settings
+
+    rows = [(None if k % 41 == 40 else f"s{k % 41}", k, START + timedelta(seconds=k // 3), k * 7 % 5 > 1) for k in range(1200)]
+    kind = "key string, seq long, ts timestamp, ok boolean"
+    for k in range(3):  # three batches, the second without some of the scanners
+        part = [r for r in rows if r[1] // 400 == k and not (k == 1 and r[1] % 41 < 9)]
+        spark.createDataFrame(part, kind).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = reports.health_stream(spark.readStream.schema(spark.createDataFrame([], kind).schema).parquet(str(tmp_path / "in")), "key", F.col("ok"), last=7, least=3, worst=0.4, shards=4)
+        with settings(spark):
+            q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            assert q.awaitTermination(100)
+    assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    got = {r.seq: (r.key, r.failure_ratio, r.healthy) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    whole = audit.health(spark.read.schema(kind).parquet(str(tmp_path / "in")), "key", F.col("ok"), 7, 3, 0.4)
+    want = {r.seq: (r.key, r.failure_ratio, r.healthy) for r in whole.collect()}
+    assert len(got) == len(want) and all(got[k] == (key, pytest.approx(ratio), healthy) for k, (key, ratio, healthy) in want.items())

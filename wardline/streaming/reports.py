@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,44 +88,80 @@ class Live(StreamingQueryListener):
         pass
 
 
+#: Shards that scanners are dealt to.
+SHARDS = 256
+
+
 class HealthProcessor(StatefulProcessor):
-    """Keeps the last samples of one scanner; a timer tells of one that has been silent."""
+    """Keeps the last samples of a shard's scanners; a timer tells of those that have been silent.
+
+    The state of a shard is one JSON text: for each key its last samples as 0 and 1, and when it will have been silent
+    for too long. All keys of a batch are worked on at once."""
 
     def __init__(self, last: int, least: int, worst: float, silent_ms: int) -> None:
         self.last, self.least, self.worst, self.silent_ms = last, max(1, least), worst, silent_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ring = handle.getListState("ring", "ok boolean")
-        self.due = handle.getValueState("due", "at long")
+        self.kept = handle.getValueState("kept", "kept string, timer long")
+
+    def _load(self) -> tuple[dict[str | None, tuple[str, int | None]], int | None]:
+        kept, timer = self.kept.get() if self.kept.exists() else ("[]", None)
+        return {k: (ring, due) for k, ring, due in json.loads(kept)}, timer
+
+    def _store(self, known: dict[str | None, tuple[str, int | None]], timer: int | None, pending: bool = True) -> None:
+        """`known` in the state, with a timer for the key that is due first instead of the one before, if that is pending."""
+        first = min((due for _, due in known.values() if due is not None), default=None)
+        if first != timer or not pending:
+            if timer is not None and pending:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        self.kept.update((json.dumps([(k, *v) for k, v in known.items()]), first))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ring = [bool(r[0]) for r in self.ring.get()] if self.ring.exists() else []
-        out = []
-        for t, seq, ok in pd.concat(list(rows)).sort_values(["t", "seq"], kind="stable")[["t", "seq", "ok"]].itertuples(index=False):
-            ring = [*ring, bool(ok)][-self.last :]
-            ratio = ring.count(False) / len(ring)
-            out.append((key[0], seq, ratio, len(ring) < self.least or ratio <= self.worst, False))
-        self.ring.put([(ok,) for ok in ring])
-        if self.silent_ms:
-            if self.due.exists():
-                self.handle.deleteTimer(self.due.get()[0])
-            self.due.update((timerValues.getCurrentProcessingTimeInMs() + self.silent_ms,))
-            self.handle.registerTimer(self.due.get()[0])
-        yield pd.DataFrame(out, columns=["key", "seq", "failure_ratio", "healthy", "silent"])
+        known, timer = self._load()
+        table = pd.concat(list(rows), ignore_index=True)
+        codes, keys = pd.factorize(table["key"], use_na_sentinel=False)
+        names = [None if pd.isna(k) else k for k in keys]
+        table = table.assign(code=codes).sort_values(["code", "t", "seq"])
+        rings = [known.get(k, ("", None))[0] for k in names]
+        before, come = np.array([len(r) for r in rings]), np.bincount(codes, minlength=len(names))
+        # each key's earlier samples, then those that came; failures are counted up over all of them
+        start = np.cumsum(before + come) - (before + come)
+        at = start[table["code"]] + before[table["code"]] + np.arange(len(table)) - (np.cumsum(come) - come)[table["code"]]
+        ok = np.zeros(int((before + come).sum()), dtype=bool)
+        ok[at] = table["ok"].to_numpy(dtype=bool)
+        for s, ring in zip(start, rings, strict=True):
+            ok[s : s + len(ring)] = np.frombuffer(ring.encode(), np.uint8) == ord("1")
+        failed = np.concatenate([[0], np.cumsum(~ok)])
+        first = np.maximum(start[table["code"]], at - self.last + 1)
+        n = at + 1 - first
+        ratio = (failed[at + 1] - failed[first]) / n
+        due = timerValues.getCurrentProcessingTimeInMs() + self.silent_ms if self.silent_ms else None
+        text = np.where(ok, b"1", b"0").tobytes().decode()
+        for k, s, e in zip(names, start, start + before + come, strict=True):
+            known[k] = (text[max(s, e - self.last) : e], due)
+        self._store(known, timer)
+        yield pd.DataFrame({"key": table["key"], "seq": table["seq"], "failure_ratio": ratio, "healthy": (n < self.least) | (ratio <= self.worst), "silent": False})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.due.clear()
-        yield pd.DataFrame([(key[0], None, None, None, True)], columns=["key", "seq", "failure_ratio", "healthy", "silent"])
+        known, timer = self._load()
+        now = max(timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        gone = [k for k, (_, due) in known.items() if due is not None and due <= now]
+        self._store(known | {k: (known[k][0], None) for k in gone}, timer, pending=timer != expiredTimerInfo.getExpiryTimeInMs())
+        yield pd.DataFrame([(k, None, None, None, True) for k in gone], columns=["key", "seq", "failure_ratio", "healthy", "silent"])
 
     def close(self) -> None:
         pass
 
 
-def health_stream(samples: DataFrame, key: str, ok: Column, last: int = 100, least: int = 20, worst: float = 0.5, silent_ms: int = 0) -> DataFrame:
+def health_stream(samples: DataFrame, key: str, ok: Column, last: int = 100, least: int = 20, worst: float = 0.5, silent_ms: int = 0, shards: int = SHARDS) -> DataFrame:
     """key, seq, failure_ratio, healthy, silent of a stream of samples (ts, seq): `audit.health` over the batches so far.
 
-    With `silent_ms` a key that has sent nothing for so long gives one row that says so, without numbers."""
-    lean = samples.select(F.col(key).cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    With `silent_ms` a key that has sent nothing for so long gives one row that says so, without numbers. Keys are dealt
+    to shards, and a shard's rows of a micro-batch are worked on together, so that many keys cost no more than few."""
+    name = F.col(key).cast("string")
+    lean = samples.select(F.pmod(F.xxhash64(name), F.lit(shards)).cast("int").alias("shard"), name.alias("key"), F.col("seq").cast("long").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.coalesce(ok, F.lit(False)).alias("ok"))
     schema = "key string, seq long, failure_ratio double, healthy boolean, silent boolean"
-    return lean.groupBy("key").transformWithStateInPandas(HealthProcessor(last, least, worst, silent_ms), schema, "Append", "ProcessingTime")
+    return lean.groupBy("shard").transformWithStateInPandas(HealthProcessor(last, least, worst, silent_ms), schema, "Append", "ProcessingTime")
