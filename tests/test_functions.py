@@ -175,3 +175,16 @@ def test_redaction_of_one_member_and_of_large_values(spark):
     for most, skipped in ((size, False), (size - 1, True)):
         r = df.withColumn("x", json_redactor(member="arguments", most=most)(F.col("t"))).where("k = 0").first().x
         assert (r.skipped, r.value is None) == (skipped, skipped)
+
+
+def test_long_texts_are_python_objects_a_part_at_a_time(spark):
+    import pyarrow as pa
+
+    from wardline.functions import parts
+
+    texts = pa.array(["é" * (k % 50 * 1000) if k % 7 else None for k in range(700)])
+    cut = [p for (p,) in parts.parts(texts)]
+    assert pa.concat_arrays(cut).equals(texts) and all(p.nbytes <= parts.PART_BYTES or len(p) == 1 for p in cut) and len(cut) > 30
+    seen = []
+    kept = list(parts.by_parts(iter([texts, texts.slice(3, 0), (texts.slice(5, 2),)]), pa.string(), lambda some: seen.append(len(some)) or some))
+    assert pa.concat_arrays(kept).equals(pa.concat_arrays([texts, texts.slice(5, 2)])) and max(seen) < 100

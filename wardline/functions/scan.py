@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardline.functions.parts import by_parts
 from wardline.functions.patterns import ALLOW, BLOCK, LOOK_LIKE, LOOKALIKES, PATTERNS, SEVERITY, Pattern
 
 RESULT = "struct<scanner:string,outcome:string,reason:string,score:double>"
@@ -104,10 +105,10 @@ def clean() -> Column:
     return result("regex", ALLOW, "", 0.0)
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def nfkc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Compatibility composition; there is no built-in for it."""
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+    yield from by_parts(texts, pa.string(), lambda some: [None if t is None else unicodedata.normalize("NFKC", t) for t in some])
 
 
 def normalized_view(text: Column) -> Column:
@@ -135,8 +136,8 @@ def scan(df: DataFrame, text: str, out: str = "scan", patterns: Sequence[Pattern
     return df.withColumn(out, fence(F.when(better, seen).otherwise(F.coalesce(own, clean())))).drop(*spare)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def views(chunks: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def views(chunks: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The normalized view of each chunk; null for ASCII chunks and where the view is the chunk itself."""
     table = str.maketrans(LOOKALIKES, LOOK_LIKE)
 
@@ -146,7 +147,7 @@ def views(chunks: pd.Series) -> pd.Series:
         view = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf").translate(table)
         return None if view == text else view
 
-    return chunks.map(lambda xs: [one(x) for x in xs], na_action="ignore")
+    yield from by_parts(chunks, pa.list_(pa.string()), lambda some: [None if xs is None else [one(x) for x in xs] for xs in some])
 
 
 def scan_chunks(df: DataFrame, chunks: str, out: str, patterns: Sequence[Pattern] = PATTERNS, key: str | None = None) -> DataFrame:
