@@ -188,3 +188,15 @@ def test_long_texts_are_python_objects_a_part_at_a_time(spark):
     seen = []
     kept = list(parts.by_parts(iter([texts, texts.slice(3, 0), (texts.slice(5, 2),)]), pa.string(), lambda some: seen.append(len(some)) or some))
     assert pa.concat_arrays(kept).equals(pa.concat_arrays([texts, texts.slice(5, 2)])) and max(seen) < 100
+
+
+def test_payloads_are_read_and_masked_a_part_at_a_time(spark):
+    import pyarrow as pa
+
+    from wardline.functions import redact, text
+
+    raw = pa.array(['{"content": [{"text": "a.b@example.com %s"}]}' % ("x" * 4000)] * 1500 + [None])
+    for run in (redact.json_redactor(), text.json_bytes):
+        out = list(run.func(iter([raw])))
+        assert len(out) > 5 and max(map(len, out)) < 300
+        assert pa.concat_arrays(out).to_pylist()[-2:] == ([{"value": raw[0].as_py().replace("a.b@example.com", "[REDACTED:EMAIL]"), "redactions": 1, "skipped": False}, {"value": None, "redactions": 0, "skipped": False}] if run is not text.json_bytes else [len(raw[0].as_py()), None])

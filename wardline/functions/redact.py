@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.parts import by_parts
 from wardline.functions.patterns import REDACTION_NEEDS, REDACTIONS
 from wardline.functions.text import value_bytes
 
@@ -54,7 +55,7 @@ def masker(patterns: Sequence[tuple[str, str]] = REDACTIONS) -> Callable[[str],
 
 
 def json_redactor(patterns: Sequence[tuple[str, str]] = REDACTIONS, member: str | None = None, most: int = 0):
-    """A pandas UDF from JSON text to struct<value, redactions, skipped>: strings at any depth are masked, keys,
+    """An Arrow UDF from JSON text to struct<value, redactions, skipped>: strings at any depth are masked, keys,
     numbers and shape stay, and the value is ASCII JSON. With `member` only that member of an object is masked;
     what is larger than `most` bytes (0: no bound) is left alone and marked as skipped. Invalid JSON, nesting
     without end, a missing member and null give null and 0."""
@@ -71,6 +72,8 @@ def json_redactor(patterns: Sequence[tuple[str, str]] = REDACTIONS, member: str
             return [v for v, _ in done], sum(n for _, n in done)
         return value, 0
 
+    names, kinds = ("value", "redactions", "skipped"), (pa.string(), pa.int64(), pa.bool_())
+
     def one(raw: str | None) -> tuple[str | None, int, bool]:
         try:
             whole = json.loads(raw)
@@ -82,9 +85,9 @@ def json_redactor(patterns: Sequence[tuple[str, str]] = REDACTIONS, member: str
         except (TypeError, ValueError, KeyError, RecursionError):
             return None, 0, False
 
-    @F.pandas_udf("struct<value:string,redactions:long,skipped:boolean>")
-    def run(raw: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(r) for r in raw], columns=["value", "redactions", "skipped"])
+    @F.arrow_udf("struct<value:string,redactions:long,skipped:boolean>")
+    def run(raw: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from by_parts(raw, pa.struct(list(zip(names, kinds, strict=True))), lambda some: [dict(zip(names, one(r), strict=True)) for r in some])
 
     return run
 

@@ -10,11 +10,12 @@ import sys
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardline.functions.parts import by_parts
 from wardline.functions.scan import digest12, fence, result
 
 #: Decoded bytes of one embedded blob at most.
@@ -197,10 +198,13 @@ def read_payload(raw: str | bytes | None, request: bool = True, method: str | No
 def read(phase: Column, method: Column, payload: Column, most: int = 0, flat: bool = True) -> Column:
     """struct<text, error, tool, args, fp> of exchanges; see `read_payload`. Without `flat` the text is left out."""
 
-    @F.pandas_udf(READ)
-    def run(phases: pd.Series, methods: pd.Series, raw: pd.Series) -> pd.DataFrame:
-        rows = [read_payload(r, p == "request", m, most, flat) for p, m, r in zip(phases, methods, raw, strict=True)]
-        return pd.DataFrame(rows, columns=READ.names, dtype=object)
+    names = READ.names
+    kind = pa.struct([(n, pa.string()) for n in names])
+
+    @F.arrow_udf(READ)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        one = lambda p, m, r: dict(zip(names, read_payload(r, p == "request", m, most, flat), strict=True))
+        yield from by_parts(batches, kind, lambda *columns: list(map(one, *columns)))
 
     return run(phase, method, payload)
 
@@ -211,16 +215,16 @@ def extract_text(raw: Column, request: bool = True) -> Column:
     return F.struct(got["text"].alias("text"), got["error"].alias("error"))
 
 
-@F.pandas_udf(T.StringType())
-def call_print(tool: pd.Series, args: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def call_print(calls: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """The fingerprint of calls whose arguments are JSON text."""
-    return pd.Series([None if t is None else fingerprint(t, parsed_args(a)) for t, a in zip(tool, args, strict=True)], dtype=object)
+    yield from by_parts(calls, pa.string(), lambda tool, args: [None if t is None else fingerprint(t, parsed_args(a)) for t, a in zip(tool, args, strict=True)])
 
 
-@F.pandas_udf(T.StringType())
-def shortened_json(args: pd.Series, most: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def shortened_json(rows: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """`shortened` on JSON text, by sorted names; null for null."""
-    return pd.Series([None if a is None else sorted_json(finite(shortened(parsed_args(a), int(n)))) for a, n in zip(args, most, strict=True)], dtype=object)
+    yield from by_parts(rows, pa.string(), lambda args, most: [None if a is None else sorted_json(finite(shortened(parsed_args(a), int(n)))) for a, n in zip(args, most, strict=True)])
 
 
 def _byte(data: Column, at: Column) -> Column:
@@ -305,8 +309,8 @@ def value_bytes(value: Any) -> int:
         return 0
 
 
-@F.pandas_udf(T.LongType())
-def json_bytes(raw: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def json_bytes(raw: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """`value_bytes` of JSON text, null for null and for text that is none."""
 
     def one(text: str | None) -> int | None:
@@ -315,7 +319,7 @@ def json_bytes(raw: pd.Series) -> pd.Series:
         except (TypeError, ValueError, RecursionError):
             return None
 
-    return pd.Series([one(r) for r in raw], dtype="Int64")
+    yield from by_parts(raw, pa.int64(), lambda some: [one(r) for r in some])
 
 
 def softmax_last(logits: Column) -> Column:
