@@ -425,3 +425,12 @@ def test_health_of_many_scanners_is_kept_by_shard(spark, tmp_path):
     whole = audit.health(spark.read.schema(kind).parquet(str(tmp_path / "in")), "key", F.col("ok"), 7, 3, 0.4)
     want = {r.seq: (r.key, r.failure_ratio, r.healthy) for r in whole.collect()}
     assert len(got) == len(want) and all(got[k] == (key, pytest.approx(ratio), healthy) for k, (key, ratio, healthy) in want.items())
+
+
+def test_a_model_is_given_some_texts_at_a_time(spark):
+    from wardline.functions.parts import PART_BYTES
+
+    make = lambda: lambda texts: [float(sum(map(len, texts)))] * len(texts)
+    df = spark.range(0, 3000, 1, 1).select(F.when(F.col("id") % 9 > 0, F.array(F.repeat(F.lit("x"), F.lit(4000)), F.lit("y"))).alias("texts"))
+    got = df.select("texts", classify.scorer(make)("texts").alias("s")).agg(F.max(F.array_max("s.score")).alias("most"), F.count_if(F.expr("s is null and texts is null or size(s) = 2")).alias("n")).first()
+    assert 0 < got.most <= PART_BYTES and got.n == 3000
