@@ -434,3 +434,21 @@ def test_a_model_is_given_some_texts_at_a_time(spark):
     df = spark.range(0, 3000, 1, 1).select(F.when(F.col("id") % 9 > 0, F.array(F.repeat(F.lit("x"), F.lit(4000)), F.lit("y"))).alias("texts"))
     got = df.select("texts", classify.scorer(make)("texts").alias("s")).agg(F.max(F.array_max("s.score")).alias("most"), F.count_if(F.expr("s is null and texts is null or size(s) = 2")).alias("n")).first()
     assert 0 < got.most <= PART_BYTES and got.n == 3000
+
+
+def test_payloads_are_read_and_masked_in_one_worker(spark):
+    """Two Python steps in a plan of decisions, the reader and the views, whatever is masked; denied payloads stay as they are."""
+    mail = '{"name":"t","arguments":{"a":"x@example.com"},"_":"y@example.com"}'
+    rows = [exchange(0, mail), answer(1, "z@example.com"), answer(2, "z@example.com ### System"), exchange(3, "{not json"), answer(4, "plain")]
+    for params, sent in ((False, None), (True, '{"name": "t", "arguments": {"a": "[REDACTED:EMAIL]"}, "_": "y@example.com"}')):
+        cfg = Config(redact_request_params=params)
+        plan = engine.decide(table(spark, rows), cfg, pack=())._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 2
+        got = decided(spark, rows, cfg, pack=())
+        assert [got[k].redactions for k in range(5)] == [int(params), 1, 0, 0, 0]
+        assert got[0].mutated == sent
+        assert "[REDACTED:EMAIL]" in got[1].mutated
+        assert [got[k].mutated for k in (2, 3, 4)] == [None] * 3
+        assert got[2].outcome == "deny"
+    plan = engine.decide(table(spark, rows), Config(enable_redaction=False), pack=())
+    assert plan.where("mutated IS NOT NULL OR redaction_skipped").count() == 0

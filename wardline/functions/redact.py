@@ -11,10 +11,11 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wardline.functions.parts import by_parts
 from wardline.functions.patterns import REDACTION_NEEDS, REDACTIONS
-from wardline.functions.text import value_bytes
+from wardline.functions.text import MASKED, value_bytes
 
 
 def placeholder(name: str) -> str:
@@ -54,11 +55,10 @@ def masker(patterns: Sequence[tuple[str, str]] = REDACTIONS) -> Callable[[str],
     return mask
 
 
-def json_redactor(patterns: Sequence[tuple[str, str]] = REDACTIONS, member: str | None = None, most: int = 0):
-    """An Arrow UDF from JSON text to struct<value, redactions, skipped>: strings at any depth are masked, keys,
-    numbers and shape stay, and the value is ASCII JSON. With `member` only that member of an object is masked;
-    what is larger than `most` bytes (0: no bound) is left alone and marked as skipped. Invalid JSON, nesting
-    without end, a missing member and null give null and 0."""
+def json_masker(patterns: Sequence[tuple[str, str]] = REDACTIONS, member: str | None = None, most: int = 0) -> Callable[[str | None], tuple[str | None, int, bool]]:
+    """A function from JSON text to MASKED: strings at any depth are masked, keys, numbers and shape stay, and the value
+    is ASCII JSON. With `member` only that member of an object is masked; what is larger than `most` bytes (0: no bound)
+    is left alone and marked as skipped. Invalid JSON, nesting without end, a missing member and null give null and 0."""
     mask = masker(patterns)
 
     def walk(value: Any) -> tuple[Any, int]:
@@ -72,8 +72,6 @@ def json_redactor(patterns: Sequence[tuple[str, str]] = REDACTIONS, member: str
             return [v for v, _ in done], sum(n for _, n in done)
         return value, 0
 
-    names, kinds = ("value", "redactions", "skipped"), (pa.string(), pa.int64(), pa.bool_())
-
     def one(raw: str | None) -> tuple[str | None, int, bool]:
         try:
             whole = json.loads(raw)
@@ -85,13 +83,32 @@ def json_redactor(patterns: Sequence[tuple[str, str]] = REDACTIONS, member: str
         except (TypeError, ValueError, KeyError, RecursionError):
             return None, 0, False
 
-    @F.arrow_udf("struct<value:string,redactions:long,skipped:boolean>")
+    return one
+
+
+def json_redactor(patterns: Sequence[tuple[str, str]] = REDACTIONS, member: str | None = None, most: int = 0):
+    """`json_masker` as an Arrow UDF."""
+    one, kind = json_masker(patterns, member, most), to_arrow_type(MASKED)
+
+    @F.arrow_udf(MASKED)
     def run(raw: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from by_parts(raw, pa.struct(list(zip(names, kinds, strict=True))), lambda some: [dict(zip(names, one(r), strict=True)) for r in some])
+        yield from by_parts(raw, kind, lambda some: [dict(zip(MASKED.names, one(r), strict=True)) for r in some])
 
     return run
 
 
+def payload_masker(requests: bool = False, most: int = 0) -> Callable[[bool, str | None], tuple[str | None, int, bool]]:
+    """For `text.read`: a function from whether a payload is a request, and the payload, to MASKED. Answers are masked whole,
+    arguments of requests only if `requests`; there is a value only where something was masked."""
+    whole, arguments = json_masker(most=most), json_masker(member="arguments", most=most)
+
+    def one(request: bool, raw: str | None) -> tuple[str | None, int, bool]:
+        value, n, skipped = (arguments if request else whole)(raw if requests or not request else None)
+        return (value if n else None), n, skipped
+
+    return one
+
+
 def redaction_gate(deny: Column, review: Column, on_review: bool = True) -> Column:
     """Null where a payload is to be masked, else why not: denied or review. Size is judged by the redactor."""
     gate = F.when(deny, F.lit("denied"))

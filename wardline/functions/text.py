@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wardline.functions.parts import by_parts
 from wardline.functions.scan import digest12, fence, result
@@ -105,6 +106,8 @@ ENGINE_ERROR = "engine_error"
 #: The one method whose params name a tool, and the member that stands for params that are no object (fixed values).
 TOOL_CALL, RAW = "tools/call", "_raw"
 READ = T.StructType([T.StructField(n, T.StringType()) for n in ("text", "error", "tool", "args", "fp")])
+#: What masking makes of a payload.
+MASKED = T.StructType([T.StructField("value", T.StringType()), T.StructField("redactions", T.LongType()), T.StructField("skipped", T.BooleanType())])
 MARK = "…[truncated]"
 
 
@@ -195,15 +198,20 @@ def read_payload(raw: str | bytes | None, request: bool = True, method: str | No
         return None, ENGINE_ERROR, None, None, None
 
 
-def read(phase: Column, method: Column, payload: Column, most: int = 0, flat: bool = True) -> Column:
-    """struct<text, error, tool, args, fp> of exchanges; see `read_payload`. Without `flat` the text is left out."""
+def read(phase: Column, method: Column, payload: Column, most: int = 0, flat: bool = True, mask: Callable[[bool, str | None], tuple[str | None, int, bool]] | None = None) -> Column:
+    """struct<text, error, tool, args, fp> of exchanges; see `read_payload`. Without `flat` the text is left out. With `mask`
+    (see `redact.payload_masker`) there is a member `masked`, made in the same pass, so that masking needs no worker of its own."""
 
     names = READ.names
-    kind = pa.struct([(n, pa.string()) for n in names])
+    schema = T.StructType([*READ, T.StructField("masked", MASKED)]) if mask else READ
+    kind = to_arrow_type(schema)
 
-    @F.arrow_udf(READ)
+    def one(p: str | None, m: str | None, r: str | bytes | None) -> dict[str, Any]:
+        got = dict(zip(names, read_payload(r, p == "request", m, most, flat), strict=True))
+        return got | {"masked": dict(zip(MASKED.names, mask(p == "request", r), strict=True))} if mask else got
+
+    @F.arrow_udf(schema)
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        one = lambda p, m, r: dict(zip(names, read_payload(r, p == "request", m, most, flat), strict=True))
         yield from by_parts(batches, kind, lambda *columns: list(map(one, *columns)))
 
     return run(phase, method, payload)

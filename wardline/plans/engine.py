@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from wardline.functions import identity, text
 from wardline.functions.patterns import ALLOW, BLOCK
-from wardline.functions.redact import json_redactor, redaction_gate, tagged
+from wardline.functions.redact import payload_masker, redaction_gate, tagged
 from wardline.functions.scan import RESULT, fence, result, scan, scan_chunks
 from wardline.operators import audit
 from wardline.operators import decide as d
@@ -25,14 +25,17 @@ from wardline.plans.config import Config
 def prepare(exchanges: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Exchanges (see sources.exchanges.SCHEMA) with identity, text, windows and coverage.
 
-    Each payload is parsed once, by one Python pass, for its text, its error, and the tool it calls."""
+    Each payload is read once, by one Python pass, for its text, its error, the tool it calls, and `__masked`, what masking
+    would make of it (null without redaction)."""
     meta, headers = F.col("metadata"), F.col("headers")
-    df = exchanges.withColumn("parsed", fence(text.read(F.col("phase"), F.col("method"), F.col("payload"))))
+    mask = payload_masker(cfg.redact_request_params, cfg.redaction_max_bytes) if cfg.enable_redaction else None
+    df = exchanges.withColumn("parsed", fence(text.read(F.col("phase"), F.col("method"), F.col("payload"), mask=mask)))
     df = df.withColumns(
         {
             "error": F.col("parsed.error"),
             "text": F.coalesce("parsed.text", F.lit("")),
             "tool": F.coalesce("parsed.tool", F.lit("")),
+            "__masked": F.col("parsed.masked") if mask else F.lit(None).cast(text.MASKED),
             "upstream_transport": identity.metadata_value(meta, "upstream_transport"),
             "route_name": identity.metadata_value(meta, "route_name"),
             "caller": identity.caller(headers, cfg.audit_caller_headers),
@@ -158,10 +161,7 @@ def decide(exchanges: DataFrame, cfg: Config = Config(), pack: Sequence[Rule] =
 
     gate = redaction_gate(F.col("decision.deny"), F.col("decision.human_review"), cfg.redact_on_review)
     wanted = F.lit(cfg.enable_redaction) & gate.isNull() & F.col("error").isNull()
-    mask = lambda whose, member: json_redactor(member=member, most=cfg.redaction_max_bytes)(F.when(wanted & whose, F.col("payload")))
-    df = df.withColumn("__m", mask(~request, None))
-    if cfg.redact_request_params:
-        df = df.withColumn("__r", mask(request, "arguments")).withColumn("__m", F.when(request, F.col("__r")).otherwise(F.col("__m"))).drop("__r")
+    df = df.withColumn("__m", F.when(wanted & (request.isNotNull() if cfg.redact_request_params else ~request), F.col("__masked"))).drop("__masked")
     n = F.coalesce(F.col("__m.redactions"), F.lit(0))
     df = df.withColumns({"redactions": n, "mutated": F.when(n > 0, F.col("__m.value")), "redaction_skipped": F.coalesce(F.col("__m.skipped"), F.lit(False)), "reason": F.when(F.col("error").isNull(), tagged(F.col("decision.reason"), n))}).drop("__m")
     outcome = F.when(F.col("error").isNull(), d.wire_outcome(F.col("decision.deny"), F.col("mutated").isNotNull()))
