@@ -306,3 +306,36 @@ def test_rules_are_data_of_a_running_stream(spark, tmp_path):
             drained(trace_stream(calls, [flow("z")], 2, packs=packs_stream(spark, str(tmp_path / "packs")), shards=2), tmp_path / "out", tmp_path / "cp")
     got = {r.seq: (r.rule, r.version) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: (None, 1), 1: (None, 1), 2: (None, 1), 3: (None, 1), 4: (None, 1), 5: ("flow", 7), 6: (None, 7), 7: (None, 8)}
+
+
+def test_rows_leave_a_shard_some_at_a_time(spark):
+    """A shard with many rows of one micro-batch gives frames of BATCH_ROWS at most, all rows once and in order; Arrow batches of a replayed stream have the same bound."""
+    import pandas as pd
+
+    from wardline.streaming.replay import settings
+    from wardline.streaming.traces import BATCH_ROWS, TraceProcessor
+
+    class State(dict):
+        removeKey = dict.pop
+        containsKey, getValue, updateValue, iterator = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.items
+        exists, get, update = (lambda self: None in self), (lambda self: self[None]), (lambda self, value: self.__setitem__(None, value))
+
+    class Handle:
+        def getMapState(self, *_, **__):
+            return State()
+
+        getValueState = getMapState
+
+    n = 2 * BATCH_ROWS + 5
+    rows = pd.DataFrame({"key": [f"k{k % 7}" for k in range(n)], "seq": range(n), "t": [float(k) for k in range(n)], "tool": "look", "args": "{}", "fp": None, "recorded": True, "reset": False, "version": None, "pack": None, "payload": [f"p{k}" for k in range(n)]})
+    of = TraceProcessor((), 1, 256, 600.0, 4096, 0, 100, ("payload",))
+    of.init(Handle())
+    frames = list(of.handleInputRows((0,), iter([rows[BATCH_ROWS:], rows[:BATCH_ROWS]]), None))
+    assert [len(f) for f in frames] == [BATCH_ROWS, BATCH_ROWS, 5]
+    assert [tuple(r) for f in frames for r in f[["seq", "key", "payload"]].itertuples(index=False)] == [(k, f"k{k % 7}", f"p{k}") for k in range(n)]
+    assert [len(f) for f in of.handleInputRows((0,), iter([rows[:0]]), None)] == [0]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    with settings(spark):
+        assert spark.conf.get(size) == str(BATCH_ROWS)
+    assert spark.conf.get(size) == before

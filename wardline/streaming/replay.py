@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.sources.ranges import new_folder
-from wardline.streaming.traces import PROVIDER
+from wardline.streaming.traces import BATCH_ROWS, PROVIDER
 
 
 @contextmanager
 def settings(spark: SparkSession, **extra: str) -> Iterator[None]:
-    """The session settings that queries with state need while they start; without batches that have no data, which timers would ask for without end."""
-    wanted = dict([PROVIDER]) | {"spark.sql.streaming.noDataMicroBatches.enabled": "false"} | extra
+    """The session settings that queries with state need while they start; without batches that have no data, which timers would ask for without end, and with Arrow batches of BATCH_ROWS."""
+    wanted = dict([PROVIDER]) | {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)} | extra
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)

@@ -32,6 +32,9 @@ SAID = "key string, seq long, rule string, said string, version long, summary st
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 #: Shards that keys are dealt to, and traces that one of them keeps at most.
 SHARDS, MOST_TRACES = 256, 10_000
+#: Rows of a frame that leaves a shard at most; `replay.settings` gives it to the batches that come in, too, as a batch is in memory as
+#: Arrow, as frames and as tuples at once.
+BATCH_ROWS = 1000
 
 
 class TraceProcessor(StatefulProcessor):
@@ -119,7 +122,8 @@ class TraceProcessor(StatefulProcessor):
             if name in ticks:
                 self.used.updateValue((name,), (ticks[name],))
         self.clock.update((tick,))
-        yield pd.DataFrame(out, columns=["key", "seq", "rule", "said", "version", "summary", "evicted", *self.carry])
+        for k in range(0, max(1, len(out)), BATCH_ROWS):
+            yield pd.DataFrame(out[k : k + BATCH_ROWS], columns=["key", "seq", "rule", "said", "version", "summary", "evicted", *self.carry])
 
     def close(self) -> None:
         pass
